@@ -112,7 +112,7 @@ def running(
 ) -> DataFrame:
     """Add running columns per key without ever holding a whole key in one task."""
     keys, order = list(keys), list(order)
-    work = add_blocks(df, order, blocks)
+    work = df if BLOCK in df.columns else add_blocks(df, order, blocks)
     group = [*keys, BLOCK]
     inside = Window.partitionBy(*group).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -171,10 +171,13 @@ def value_ranks(
     """One row per distinct ``(keys, value)``: ``lo`` rows lie below it, ``ties`` equal it,
     ``n`` is the size of the group. Ties collapse before the shuffle."""
     keys = list(keys)
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties"))
-    counts = running(counts, keys, [value], {"__upto": total(F.col("ties"))}, blocks)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    out = counts.join(sizes, keys, "left") if keys else counts.crossJoin(F.broadcast(sizes))
+    work = add_blocks(df.select(*keys, value), [value], blocks)
+    counts = work.groupBy(*keys, value, BLOCK).agg(F.count(F.lit(1)).alias("ties"))
+    counts = running(counts, keys, [value], {"__upto": total(F.col("ties"))})
+    if keys:
+        out = counts.join(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys, "inner")
+    else:
+        out = counts.withColumn("n", F.lit(df.count()))
     return out.select(*keys, value, (F.col("__upto") - F.col("ties")).alias("lo"), "ties", "n")
 
 

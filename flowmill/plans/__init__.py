@@ -1 +1,6 @@
-"""See the package README for the operator index."""
+"""Registered queries over the given tables."""
+
+from flowmill.plans import feed  # noqa: F401
+from flowmill.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
