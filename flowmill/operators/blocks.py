@@ -19,6 +19,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BLOCK = "__block"
+ROWS_PER_BLOCK = 1_000_000
 _MAX_BLOCKS = 4096
 
 
@@ -35,19 +36,26 @@ def _bucket(df: DataFrame, column: str, points: list[float], out: str) -> DataFr
     return Bucketizer(splits=edges, inputCol=column, outputCol=out, handleInvalid="keep").transform(df)
 
 
-def add_blocks(df: DataFrame, order: Sequence[str], blocks: int | None = None) -> DataFrame:
+def add_blocks(
+    df: DataFrame, order: Sequence[str], blocks: int | None = None, width: int | None = None
+) -> DataFrame:
     """Add the block id, a non-decreasing function of the ordering columns.
 
+    For a dense position per key (row index, event ordinal) pass ``width``: blocks of
+    that many rows need no pass over the data. Otherwise boundaries are quantiles.
+
     The first ordering column must be numeric or a timestamp and free of nulls. A
     value so frequent that it fills whole blocks by itself is cut further along
     the second ordering column when that one is numeric too.
     """
-    n = block_count(df, blocks)
     lead = order[0]
+    if width is not None:
+        return df.withColumn(BLOCK, F.floor(F.col(lead) / width).cast("long"))
+    n = block_count(df, blocks)
     numeric = {f.name for f in df.schema.fields if f.dataType.typeName() in _NUMERIC}
     tie = order[1] if len(order) > 1 and order[1] in numeric else None
     names = [lead] + ([tie] if tie else [])
-    work = df.withColumns({f"__o{i}": F.col(c).cast("double") for i, c in enumerate(names)})
+    work = df.withColumns({f"__o{i}": _as_double(df, c) for i, c in enumerate(names)})
     probs = [i / n for i in range(1, n)]
     cuts = work.approxQuantile([f"__o{i}" for i in range(len(names))], probs, 1.0 / (4 * n)) if probs else []
     first = sorted(set(cuts[0])) if cuts else []
@@ -67,6 +75,12 @@ def add_blocks(df: DataFrame, order: Sequence[str], blocks: int | None = None) -
 _NUMERIC = {"byte", "short", "integer", "long", "float", "double", "decimal", "timestamp", "timestamp_ntz", "date"}
 
 
+def _as_double(df: DataFrame, name: str) -> Column:
+    kind = df.schema[name].dataType.typeName()
+    c = F.col(name)
+    return (c.cast("timestamp") if kind in ("timestamp_ntz", "date") else c).cast("double")
+
+
 @dataclass(frozen=True)
 class Running:
     kind: str
@@ -109,10 +123,11 @@ def running(
     order: Sequence[str],
     specs: dict[str, Running],
     blocks: int | None = None,
+    width: int | None = None,
 ) -> DataFrame:
     """Add running columns per key without ever holding a whole key in one task."""
     keys, order = list(keys), list(order)
-    work = df if BLOCK in df.columns else add_blocks(df, order, blocks)
+    work = df if BLOCK in df.columns else add_blocks(df, order, blocks, width)
     group = [*keys, BLOCK]
     inside = Window.partitionBy(*group).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -211,8 +226,14 @@ def quantiles(
     statistic at ``round((n - 1) * p)``. Works on ranks of distinct values, so a
     group is never collected.
     """
+    return quantiles_of(value_ranks(df, list(keys), value), keys, value, probs, method)
+
+
+def quantiles_of(
+    ranks: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], method: str = "linear"
+) -> DataFrame:
+    """Quantiles from an existing result of ``value_ranks``."""
     keys = list(keys)
-    ranks = value_ranks(df, keys, value)
     wanted = F.array(*[
         F.struct(F.lit(i).alias("p_index"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)
     ])

@@ -226,6 +226,7 @@ def ew_vwap(
     half_life_ms: float = 5000.0,
     version: str = TRANSFORM_CAUSAL_V2,
     out: str = "mid",
+    width: int | None = None,
 ) -> DataFrame:
     """Exponentially weighted trade price with a time half-life, in event order.
 
@@ -263,7 +264,8 @@ def ew_vwap(
     seeds = work.where(priced).groupBy(*keys).agg(F.min(F.struct(at.alias("at"), p.alias("p"))).alias("__seed"))
 
     work = B.running(
-        work, [*keys, "__era"], order, {"__d": B.total(F.col("__w")), "__n": B.total(F.col("__wp"))}
+        work, [*keys, "__era"], order, {"__d": B.total(F.col("__w")), "__n": B.total(F.col("__wp"))},
+        width=width,
     )
     work = work.join(eras, [*keys, "__era"], "left").join(seeds, keys, "left")
     ratio = F.when(
@@ -287,9 +289,10 @@ def derived_features(
     keys, order = ["date", "security_id"], ["event_idx"]
     work = canon.withColumn("__ms", M.packed_to_ms("int_time"))
     work = ew_vwap(
-        work, keys, order, "price", "qty", F.col("evt_type") == "EXEC", "__ms", half_life_ms, version
+        work, keys, order, "price", "qty", F.col("evt_type") == "EXEC", "__ms", half_life_ms, version,
+        width=B.ROWS_PER_BLOCK,
     )
-    work = B.running(work, keys, order, {"__pms": B.previous(F.col("__ms"))})
+    work = B.running(work, keys, order, {"__pms": B.previous(F.col("__ms"))}, width=B.ROWS_PER_BLOCK)
     usable = is_finite("price") & (F.col("price") > 0) & (F.col("mid") > 0)
     rel = F.when(usable, F.log(clip(F.col("price") / F.col("mid"), 1e-6, 1e6)))
     if version == TRANSFORM_BACKFILL_V1:
@@ -312,6 +315,7 @@ def ordering_audit(df: DataFrame, keys: Sequence[str], position: str, order: Seq
     work = B.running(
         df.select(*keys, position, *order), list(keys), [position],
         {"__p": B.previous(F.struct(*[F.col(c) for c in order]))},
+        width=B.ROWS_PER_BLOCK,
     )
     prev = F.col("__p")
     has = prev.isNotNull()

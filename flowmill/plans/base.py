@@ -1,7 +1,7 @@
 """The given tables seen as market data, once for Spark and once as SQL text.
 
 ``events`` becomes the message feed (user = instrument, purchase/error = trade
-rows, the rest = order rows) and its daily quotes; ``lineitem`` becomes a second
+rows, the rest = order rows, price = 1000 yuan + value) and its daily quotes; ``lineitem`` becomes a second
 daily panel (supplier = instrument, ship date = day).
 """
 
@@ -39,7 +39,7 @@ def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero, blank = F.lit(0).cast("long"), F.lit("0")
     e = e.select(
         "event_id", "user_id", "ts", "event_type",
-        (F.round(F.col("value") * 100).cast("long") * 100).alias("px"),
+        ((F.round(F.col("value") * 100).cast("long") + 100_000) * 100).alias("px"),
         ((eid % 50 + 1) * 100).alias("vol"),
         F.col("event_type").isin("purchase", "error").alias("is_t"),
         M.packed_time("ts").alias("int_time"),
@@ -70,7 +70,7 @@ def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 RAW = """
 ev AS (
   SELECT event_id, user_id, ts, event_type, value,
-         CAST(round(value * 100) AS BIGINT) * 100 AS px, (event_id % 50 + 1) * 100 AS vol,
+         (CAST(round(value * 100) AS BIGINT) + 100000) * 100 AS px, (event_id % 50 + 1) * 100 AS vol,
          event_type IN ('purchase', 'error') AS is_t,
          CAST(hour(ts) AS BIGINT) * 10000000 + minute(ts) * 100000 + second(ts) * 1000
            + (microsecond(ts) // 1000) % 1000 AS int_time,

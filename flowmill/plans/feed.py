@@ -31,7 +31,7 @@ def canon(spark: SparkSession, d: str) -> DataFrame:
 )
 def projected_scan(spark, d):
     li = table(spark, d, "lineitem")
-    keep = (F.col("l_shipdate") >= F.lit("2000-01-01").cast("timestamp")) & F.col("l_returnflag").isin("A", "R")
+    keep = (F.col("l_shipdate") >= F.lit("2000-01-01").cast("timestamp_ntz")) & F.col("l_returnflag").isin("A", "R")
     return li.where(keep & (F.col("l_quantity") > 45)).select("l_orderkey", "l_suppkey", "l_quantity")
 
 
@@ -361,8 +361,8 @@ p AS (SELECT *, lag(l_shipdate) OVER w AS a, lag(l_orderkey) OVER w AS b, lag(l_
       FROM r WINDOW w AS (ORDER BY pos)),
 f AS (SELECT pos, coalesce(l_shipdate < a, false) AS x, coalesce(l_shipdate = a AND l_orderkey < b, false) AS y,
              coalesce(l_shipdate = a AND l_orderkey = b AND l_linenumber < c, false) AS z FROM p)
-SELECT count(*) AS n_rows, count_if(x)::BIGINT AS time_inversions, count_if(y)::BIGINT AS sequence_inversions,
-       count_if(z)::BIGINT AS tie_inversions, min(CASE WHEN x OR y OR z THEN pos END) AS first_bad_row,
+SELECT count(*) AS n_rows, count(*) FILTER (x)::BIGINT AS time_inversions, count(*) FILTER (y)::BIGINT AS sequence_inversions,
+       count(*) FILTER (z)::BIGINT AS tie_inversions, min(CASE WHEN x OR y OR z THEN pos END) AS first_bad_row,
        0::BIGINT AS null_ordering_values FROM f"""
 
 
@@ -379,7 +379,7 @@ def file_ordering_audit(spark, d):
     "stream_ordering_audit",
     f"""WITH {RAW}, p AS (SELECT symbol, serial, int_time, lag(int_time) OVER w AS a FROM raw
             WINDOW w AS (PARTITION BY symbol ORDER BY serial))
-        SELECT symbol, count(*) AS n_rows, count_if(int_time < a)::BIGINT AS time_inversions,
+        SELECT symbol, count(*) AS n_rows, count(*) FILTER (int_time < a)::BIGINT AS time_inversions,
                0::BIGINT AS sequence_inversions, 0::BIGINT AS tie_inversions,
                min(CASE WHEN int_time < a THEN serial END) AS first_bad_row, 0::BIGINT AS null_ordering_values
         FROM p GROUP BY symbol""",
