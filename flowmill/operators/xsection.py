@@ -8,7 +8,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from flowmill.functions.scalars import all_of, finite_or_null, is_finite, safe_ratio
 from flowmill.operators import blocks as B
@@ -380,7 +380,7 @@ def portfolio_exposures(holdings: DataFrame, factors: DataFrame, columns: Sequen
     return joined.groupBy(day).agg(*[exposure(c) for c in columns])
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _solve(gram: pd.Series, moment: pd.Series) -> pd.Series:
     """Least-squares coefficients from a day's k x k cross products."""
     def one(g: np.ndarray, m: np.ndarray) -> np.ndarray:

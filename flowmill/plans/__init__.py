@@ -1,6 +1,6 @@
 """Registered queries over the given tables."""
 
-from flowmill.plans import encoding, feed, matching, panels  # noqa: F401
+from flowmill.plans import encoding, feed, live, matching, panels, research  # noqa: F401
 from flowmill.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

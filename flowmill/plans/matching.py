@@ -533,14 +533,14 @@ def _vendor_snapshots(spark, d):
 
 @query(
     "vendor_level_arrays",
-    f"""WITH {RAW} SELECT serial,
-          [(trade_price + order_price - 100 * i)::DOUBLE for i in [1, 2, 3]] AS bid_px,
-          [(serial % 7 + i)::DOUBLE for i in [1, 2, 3]] AS bid_qty,
-          [(trade_price + order_price + 100 * i)::DOUBLE for i in [1, 2, 3]] AS ask_px,
-          [(serial % 5 + i)::DOUBLE for i in [1, 2, 3]] AS ask_qty FROM raw""",
+    f"""WITH {RAW}, l AS (SELECT unnest([1, 2, 3]) AS level, serial, trade_price + order_price AS px FROM raw)
+        SELECT serial, level::INT AS level, (px - 100 * level)::DOUBLE AS bid_px, (serial % 7 + level)::DOUBLE AS bid_qty,
+          (px + 100 * level)::DOUBLE AS ask_px, (serial % 5 + level)::DOUBLE AS ask_qty FROM l""",
 )
 def vendor_level_arrays(spark, d):
-    return K.level_arrays(_vendor_snapshots(spark, d)).select("serial", "bid_px", "bid_qty", "ask_px", "ask_qty")
+    cols = ["bid_px", "bid_qty", "ask_px", "ask_qty"]
+    out = K.level_arrays(_vendor_snapshots(spark, d)).select("serial", F.posexplode(F.arrays_zip(*cols)).alias("i", "v"))
+    return out.select("serial", (F.col("i") + 1).alias("level"), *[F.col("v")[c].alias(c) for c in cols])
 
 
 @query(
