@@ -164,36 +164,12 @@ def priority_sample(
 # --- bin edges ----------------------------------------------------------------
 
 
-def _percentiles(sample: DataFrame, value: str, probs: Sequence[float]) -> list[float]:
-    """Exact percentiles of a sample; its size is bounded by the sampling budget."""
-    return sample.agg(F.percentile(value, F.array(*[F.lit(p) for p in probs]))).first()[0] or []
+def _inner(n_bins: int) -> Column:
+    return F.array(*[F.lit(i / n_bins) for i in range(1, n_bins)])
 
 
-def _clipped(sample: DataFrame, value: str, two_sided: bool) -> tuple[DataFrame, float, float] | None:
-    ends = _percentiles(sample, value, [0.01 if two_sided else 0.0, 0.99])
-    if not ends:
-        return None
-    return sample.select(clip(F.col(value).cast("double"), *ends).alias("v")), ends[0], ends[1]
-
-
-def _inner(n_bins: int) -> list[Column]:
-    return [F.lit(i / n_bins) for i in range(1, n_bins)]
-
-
-def quantile_edges(sample: DataFrame, value: str, n_bins: int, two_sided: bool = False) -> list[float]:
-    """Inner edges at winsorised quantiles, keeping only boundaries that separate values.
-
-    An edge on an end value moves half way to its neighbour; equal edges merge, so the
-    number of bins can be lower than requested.
-    """
-    found = _clipped(sample, value, two_sided) if n_bins > 1 else None
-    if found is None or found[2] <= found[1]:
-        return []
-    clipped, lo, hi = found
-    v = F.col("v")
-    after, before, cuts = clipped.agg(
-        F.min(F.when(v > lo, v)), F.max(F.when(v < hi, v)), F.percentile(v, F.array(*_inner(n_bins)))
-    ).first()
+def _repair(lo: float, hi: float, after: float, before: float, cuts: Sequence[float]) -> list[float]:
+    """Move an edge on an end value half way to its neighbour; equal edges merge."""
     edges = set()
     for q in cuts:
         edge = (lo + after) / 2.0 if q <= lo else (before + hi) / 2.0 if q >= hi else q
@@ -202,16 +178,53 @@ def quantile_edges(sample: DataFrame, value: str, n_bins: int, two_sided: bool =
     return sorted(edges)
 
 
+def edges_of(df: DataFrame, wanted: Mapping[str, tuple[Column, int, bool]]) -> dict[str, list[float]]:
+    """Inner edges at winsorised quantiles for several columns ``name -> (value, bins, two_sided)``.
+
+    Two scans serve all columns: one finds the winsorising bounds, one the quantiles of
+    the clipped values. Percentiles are exact, so the input is a training sample whose
+    size the caller bounds. Only boundaries that separate values are kept; there can be
+    fewer bins than requested.
+    """
+    wanted = {n: w for n, w in wanted.items() if w[1] > 1}
+    if not wanted:
+        return {}
+    ends = df.agg(*[
+        F.percentile(v, F.array(F.lit(0.01 if two else 0.0), F.lit(0.99))).alias(n) for n, (v, _, two) in wanted.items()
+    ]).first()
+    ends = {n: ends[n] for n in wanted if ends[n] and ends[n][1] > ends[n][0]}
+    aggs = []
+    for n, (lo, hi) in ends.items():
+        v = clip(wanted[n][0].cast("double"), lo, hi)
+        v = F.when(wanted[n][0].isNotNull(), v)
+        aggs.append(F.struct(
+            F.min(F.when(v > lo, v)).alias("after"), F.max(F.when(v < hi, v)).alias("before"),
+            F.percentile(v, _inner(wanted[n][1])).alias("cuts"),
+        ).alias(n))
+    row = df.agg(*aggs).first() if aggs else {}
+    return {
+        n: _repair(*ends[n], row[n]["after"], row[n]["before"], row[n]["cuts"]) if n in ends else [] for n in wanted
+    }
+
+
+def quantile_edges(sample: DataFrame, value: str, n_bins: int, two_sided: bool = False) -> list[float]:
+    """Edges of one sampled column; see ``edges_of``."""
+    v = F.when(is_finite(value), F.col(value).cast("double"))
+    return edges_of(sample, {"x": (v, n_bins, two_sided)}).get("x", [])
+
+
 def quantile_edges_v1(sample: DataFrame, value: str, n_bins: int, two_sided: bool = False) -> list[float]:
     """First-version edges: when quantiles collapse, evenly spaced edges replace them."""
     def evenly(a: float, b: float) -> list[float]:
         return [a + (b - a) * i / (n_bins - 2) for i in range(n_bins - 1)]
 
-    found = _clipped(sample, value, two_sided)
-    if found is None:
+    v = F.when(is_finite(value), F.col(value).cast("double"))
+    ends = sample.agg(F.percentile(v, F.array(F.lit(0.01 if two_sided else 0.0), F.lit(0.99)))).first()[0]
+    if not ends:
         return evenly(-1.0, 1.0)
-    clipped, lo, hi = found
-    edges = sorted(set(clipped.agg(F.percentile("v", F.array(*_inner(n_bins)))).first()[0]))
+    lo, hi = ends
+    cuts = sample.agg(F.percentile(F.when(v.isNotNull(), clip(v, lo, hi)), _inner(n_bins))).first()[0]
+    edges = sorted(set(cuts))
     return edges if len(edges) == n_bins - 1 else evenly(lo, hi if hi > lo else lo + 1.0)
 
 
@@ -295,18 +308,19 @@ def fit_vocab(
     """Fit on training rows: statistics, stratified sample, edges, exact occupancy."""
     has_numeric = any(s.numeric for s in specs)
     stats = {r["field"]: r for r in field_stats(train, specs).collect()} if has_numeric else {}
-    numeric, edges = {}, {}
+    numeric = {}
+    edges: dict[str, list[float]] = {s.name: [] for s in specs if s.numeric}
+    two_sided = lambda s: any(m in s.source for m in TWO_SIDED)
+    whole = {}
     for s in specs:
-        if not s.numeric:
-            continue
-        edges[s.name] = []
-        if s.binned:
-            sample = train.where(usable(s)).select(F.col(s.source).cast("double").alias("x"))
-            if stats[s.name]["n_observed"] > budget:
-                counts = {r["stratum"]: r["n"] for r in stratum_counts(train, s, strata).collect()}
-                picked = priority_sample(train, s, strata, allocate_quotas(counts, budget), identity, seed)
-                sample = staged(picked.select(F.col(s.source).cast("double").alias("x")), "vocab-sample")
-            edges[s.name] = quantile_edges(sample, "x", s.n_bins, any(m in s.source for m in TWO_SIDED))
+        if s.binned and stats[s.name]["n_observed"] <= budget:
+            whole[s.name] = (F.when(usable(s), F.col(s.source).cast("double")), s.n_bins, two_sided(s))
+        elif s.binned:
+            counts = {r["stratum"]: r["n"] for r in stratum_counts(train, s, strata).collect()}
+            picked = priority_sample(train, s, strata, allocate_quotas(counts, budget), identity, seed)
+            sample = staged(picked.select(F.col(s.source).cast("double").alias("x")), "vocab-sample")
+            edges[s.name] = quantile_edges(sample, "x", s.n_bins, two_sided(s))
+    edges.update(edges_of(train, whole))
     by_bin: dict[str, dict[int, int]] = {n: {} for n in edges}
     fields = {s.name: (F.when(s.applies(), F.col(s.source)), edges[s.name]) for s in specs if s.numeric}
     if fields:

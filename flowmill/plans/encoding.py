@@ -142,13 +142,10 @@ def priority_sample(spark, d):
         FROM ({" UNION ALL ".join(f"SELECT '{n}' AS field, edge FROM {n}_x" for n in _NUM)})""",
 )
 def quantile_edges(spark, d):
-    df = items(spark, d)
-    rows = []
-    for s in SPECS:
-        if s.binned:
-            sample = staged(df.where(V.usable(s)).select(F.col(s.source).alias("x")), "edges")
-            edges = V.quantile_edges(sample, "x", s.n_bins, any(m in s.source for m in V.TWO_SIDED))
-            rows += [(s.name, i, round(e, 8)) for i, e in enumerate(edges)]
+    fields = {
+        s.name: (F.when(V.usable(s), F.col(s.source)), s.n_bins, any(m in s.source for m in V.TWO_SIDED)) for s in SPECS if s.binned
+    }
+    rows = [(n, i, round(e, 8)) for n, edges in V.edges_of(items(spark, d), fields).items() for i, e in enumerate(edges)]
     return spark.createDataFrame(rows, "field string, i long, edge double")
 
 
@@ -293,7 +290,7 @@ def tokens_first_version(spark, d):
 @query("causal_token_table")
 def causal_token_table(spark, d):
     """The full feed path: events, causal features, vocabulary fitted on early days, tokens."""
-    feats = staged(E.derived_features(canon(spark, d), 120_000.0), "features")
+    feats = staged(E.derived_features(staged(canon(spark, d), "canon"), 120_000.0), "features")
     specs = (
         V.FieldSpec("evt_type", "evt_type", "categorical"), V.FieldSpec("side", "side", "categorical"),
         V.FieldSpec("session", "session", "categorical"), V.FieldSpec("price", "price_rel", "ordinal", 32),

@@ -9,7 +9,7 @@ from flowmill.functions.scalars import day_text, is_finite, is_iso_date, parse_d
 from flowmill.operators import blocks as B, events as E
 from flowmill.plans.base import BOARD_SQL, CANON, MS_SQL, RAW, STREAM, raw_rows, table
 from flowmill.plans.registry import query, rounded, sql_round
-from flowmill.session import new_path
+from flowmill.session import new_path, staged
 from flowmill.sources import io
 
 
@@ -340,7 +340,7 @@ feat AS (
         FROM feat""",
 )
 def causal_features(spark, d):
-    out = E.derived_features(canon(spark, d), _HALF_LIFE)
+    out = E.derived_features(staged(canon(spark, d), "canon"), _HALF_LIFE)
     return out.select("date", "security_id", "event_idx", *[rounded(c).alias(c) for c in ("mid", "price_rel", "log_volume", "log_delta_t")])
 
 
@@ -351,7 +351,7 @@ def causal_features(spark, d):
         FROM feat""",
 )
 def causal_features_backfilled(spark, d):
-    out = E.derived_features(canon(spark, d), _HALF_LIFE, E.TRANSFORM_BACKFILL_V1)
+    out = E.derived_features(staged(canon(spark, d), "canon"), _HALF_LIFE, E.TRANSFORM_BACKFILL_V1)
     return out.select("date", "security_id", "event_idx", rounded("mid").alias("mid"), rounded("price_rel").alias("price_rel"))
 
 

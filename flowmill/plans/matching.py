@@ -8,6 +8,7 @@ from flowmill.functions.scalars import day_text, zero_fill
 from flowmill.operators import book as K, events as E, joins as J
 from flowmill.plans.base import MS_SQL, RAW, STREAM, raw_rows, table
 from flowmill.plans.registry import query, rounded, sql_round
+from flowmill.session import staged
 
 # --- as-of joins --------------------------------------------------------------
 
@@ -422,7 +423,7 @@ def book_state_at_cuts(spark, d):
 
 def book_events(spark, d):
     """The event stream with flat book-state columns derived from each message."""
-    s = E.event_stream(raw_rows(spark, d))
+    s = staged(E.event_stream(raw_rows(spark, d)), "stream")
     n, v, p = F.col("serial"), F.col("volume"), F.col("price")
     return s.withColumns({
         "bid1": F.when(n % 23 != 0, p - (n % 2 + 1) * 100),
@@ -474,8 +475,9 @@ def book_features(spark, d):
                event_price_distance_ticks_pre FROM f JOIN stream USING (date, symbol, event_idx)""",
 )
 def canonical_events_with_book(spark, d):
-    book = book_feature_table(spark, d)
-    out = E.canonical(E.event_stream(raw_rows(spark, d)), "v2", book)
+    events = book_events(spark, d)
+    book = K.book_features(events, ["date", "symbol"], ["event_idx"], "price", width=1_000_000)
+    out = E.canonical(events, "v2", book)
     return out.select(
         "schema_version", "date", "security_id", "event_idx", "exchange_seqnum", "time_of_day_ms", "book_valid_post",
         "spread_ticks_post", rounded("imbalance_l5_post").alias("imbalance_l5_post"),

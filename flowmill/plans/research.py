@@ -86,7 +86,7 @@ def pooled_last_k(spark, d):
 
 
 _POOL_WIN = f"""{RAW},
-e AS (SELECT date, {MS_SQL} AS ms, [(trade_price + order_price)::DOUBLE / 10000, ((trade_volume + order_volume) / 100)::DOUBLE] AS v,
+e AS (SELECT date, {MS_SQL} AS ms, [((trade_price + order_price) // 100)::DOUBLE, ((trade_volume + order_volume) // 100)::DOUBLE] AS v,
         row_number() OVER (PARTITION BY date ORDER BY int_time DESC, serial DESC) AS r FROM raw),
 w AS (SELECT date, 0 AS k, v FROM e UNION ALL SELECT date, 1, v FROM e WHERE r <= 256 UNION ALL SELECT date, 2, v FROM e WHERE r <= 1024
   UNION ALL SELECT date, 3, v FROM e WHERE ms >= 33300000 AND ms < 34200000 UNION ALL SELECT date, 4, v FROM e WHERE ms >= 34200000 AND ms < 41460000
@@ -98,17 +98,17 @@ al AS (SELECT date, k, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM (SELECT DIS
 
 @query(
     "pooled_session_windows",
-    f"""WITH {_POOL_WIN} SELECT date, (k * 2)::INT AS dim, {sql_round("a", 7)} AS value FROM al
-        UNION ALL SELECT date, (k * 2 + 1)::INT, {sql_round("b", 7)} FROM al
-        UNION ALL SELECT date, 16::INT, count(*)::DOUBLE FROM e GROUP BY date""",
+    f"""WITH {_POOL_WIN} SELECT date, (k * 2)::INT AS dim, {sql_round("a * 1024", 3)} AS value FROM al
+        UNION ALL SELECT date, (k * 2 + 1)::INT, {sql_round("b * 1024", 3)} FROM al
+        UNION ALL SELECT date, 16::INT, count(*) * 1024::DOUBLE FROM e GROUP BY date""",
 )
 def pooled_session_windows(spark, d):
     raw = raw_rows(spark, d).select(
         "date", "int_time", "serial", M.packed_to_ms("int_time").alias("ms"),
-        F.array((F.col("trade_price") + F.col("order_price")) / 10000.0, (F.col("trade_volume") + F.col("order_volume")) / 100.0).alias("v"),
+        F.array((F.col("trade_price") + F.col("order_price")) / 100.0, (F.col("trade_volume") + F.col("order_volume")) / 100.0).alias("v"),
     )
     out = W.pool_windows(raw, ["date"], ["int_time", "serial"], "v", "ms", 2, with_count=True)
-    return out.select("date", F.posexplode("pooled").alias("dim", "value")).withColumn("value", rounded("value", 7))
+    return out.select("date", F.posexplode("pooled").alias("dim", "value")).withColumn("value", rounded(F.col("value") * 1024, 3))
 
 
 @query(
