@@ -254,7 +254,7 @@ def canonical_events(spark, d):
 )
 def canonical_sink(spark, d):
     path = new_path(spark, "canonical")
-    io.write_partitioned(canon(spark, d), path, ["date", "exchange"], ["security_id", "event_idx"], files_per_key=4)
+    io.write_partitioned(canon(spark, d), path, ["date", "exchange"], ["security_id", "event_idx"])
     return spark.read.parquet(path).groupBy(F.date_format("date", "yyyy-MM-dd").alias("date"), "exchange").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("event_idx").alias("s_idx"), F.sum("qty").alias("qty")
     )

@@ -49,8 +49,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return os.path.join(shared_dir(spark), "flowmill", f"{name}-{uuid.uuid4().hex}")
+    """A fresh path below the shared folder, grouped by application so it can be expired as one."""
+    app = spark.sparkContext.applicationId
+    return os.path.join(shared_dir(spark), "flowmill", app, f"{name}-{uuid.uuid4().hex}")
 
 
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterable, Sequence
 from datetime import date, datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from flowmill.functions.scalars import is_iso_date, zero_fill
 
@@ -109,19 +109,13 @@ def calendar_digest(calendar: DataFrame) -> DataFrame:
     return calendar.agg(F.count(F.lit(1)).alias("n_days"), F.sha2(joined, 256).alias("calendar_sha256"))
 
 
-def write_partitioned(
-    df: DataFrame, path: str, by: Sequence[str], sort: Sequence[str] = (), files_per_key: int = 1
-) -> None:
+def write_partitioned(df: DataFrame, path: str, by: Sequence[str], sort: Sequence[str] = ()) -> None:
     """Idempotent daily sink: zstd parquet, dynamic partition overwrite.
 
-    ``files_per_key`` salts each partition value over several writers, so one large
-    day is not written by a single task; ``maxRecordsPerFile`` bounds every file.
+    The rebalance hint lets adaptive execution split a large day over several writers
+    and merge small ones; ``maxRecordsPerFile`` bounds every file.
     """
-    keys: list[Column | str] = [*by]
-    if files_per_key > 1:
-        salt = F.pmod(F.xxhash64(*[F.col(c) for c in (sort or df.columns)]), F.lit(files_per_key))
-        keys.append(salt)
-    out = df.repartition(*[F.col(k) if isinstance(k, str) else k for k in keys])
+    out = df.hint("rebalance", *by)
     if sort:
         out = out.sortWithinPartitions(*by, *sort)
     (

@@ -221,7 +221,7 @@ def fake_session(master, **conf):
 
 def test_shared_folder_comes_from_the_session():
     named = fake_session("spark://host", **{"spark.checkpoint.dir": "s3a://shared/ckpt"})
-    assert shared_dir(named) == "s3a://shared/ckpt" and new_path(named, "x").startswith("s3a://shared/ckpt/flowmill/x-")
+    assert shared_dir(named) == "s3a://shared/ckpt" and new_path(named, "x").startswith("s3a://shared/ckpt/flowmill/app-spark://host/x-")
     with pytest.raises(RuntimeError):
         shared_dir(fake_session("spark://host"))
     local = fake_session("local[2]")
