@@ -241,6 +241,14 @@ def quantiles_of(
     lower = (lambda s: F.floor(pos(s))) if method == "linear" else (lambda s: F.rint(pos(s)).cast("long"))
     upper = (lambda s: F.ceil(pos(s))) if method == "linear" else lower
     inside = lambda k: (k >= F.col("lo")) & (k < F.col("lo") + F.col("ties"))
+    # Few rows hold a wanted position: a binary search over the probabilities finds the
+    # candidates, and only those are compared exactly.
+    span = F.greatest(F.col("n") - 1, F.lit(1))
+    ranks = ranks.withColumns({"__a": (F.col("lo") - 1.5) / span, "__b": (F.col("lo") + F.col("ties") + 0.5) / span})
+    cuts = [float("-inf"), *sorted({float(p) for p in probs}), float("inf")]
+    ranks = Bucketizer(
+        splitsArray=[cuts, cuts], inputCols=["__a", "__b"], outputCols=["__ia", "__ib"], handleInvalid="keep"
+    ).transform(ranks).where(F.col("__ib") > F.col("__ia"))
     hits = ranks.withColumn("__p", F.explode(F.filter(wanted, lambda s: inside(lower(s)) | inside(upper(s)))))
     s = F.col("__p")
     ends = hits.groupBy(*keys, s["p_index"].alias("p_index")).agg(

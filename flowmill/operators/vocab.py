@@ -164,8 +164,8 @@ def priority_sample(
 # --- bin edges ----------------------------------------------------------------
 
 
-def _inner(n_bins: int) -> Column:
-    return F.array(*[F.lit(i / n_bins) for i in range(1, n_bins)])
+def _inner(n_bins: int) -> list[float]:
+    return [i / n_bins for i in range(1, n_bins)]
 
 
 def _repair(lo: float, hi: float, after: float, before: float, cuts: Sequence[float]) -> list[float]:
@@ -178,32 +178,48 @@ def _repair(lo: float, hi: float, after: float, before: float, cuts: Sequence[fl
     return sorted(edges)
 
 
+def _winsorised(long: DataFrame, two_sided: Mapping[str, bool]) -> dict[str, tuple[float, float]]:
+    """Lower and upper winsorising bound per field of a long table ``(field, x)``."""
+    rows = B.quantiles(long, ["field"], "x", [0.0, 0.01, 0.99]).collect()
+    at = {(r["field"], r["p_index"]): r["quantile"] for r in rows}
+    return {f: (at[f, int(two)], at[f, 2]) for f, two in two_sided.items() if (f, 2) in at}
+
+
+def _clipped(long: DataFrame, ends: Mapping[str, tuple[float, float]]) -> DataFrame:
+    """Values clipped to their field's bounds; the bounds are two numbers per field."""
+    bound = lambda i: F.create_map(*[F.lit(v) for f, e in ends.items() for v in (f, e[i])])[F.col("field")]
+    return long.where(F.col("field").isin(*ends)).select(
+        "field", F.least(F.greatest("x", bound(0)), bound(1)).alias("x"), bound(0).alias("lo"), bound(1).alias("hi")
+    )
+
+
 def edges_of(df: DataFrame, wanted: Mapping[str, tuple[Column, int, bool]]) -> dict[str, list[float]]:
     """Inner edges at winsorised quantiles for several columns ``name -> (value, bins, two_sided)``.
 
-    Two scans serve all columns: one finds the winsorising bounds, one the quantiles of
-    the clipped values. Percentiles are exact, so the input is a training sample whose
-    size the caller bounds. Only boundaries that separate values are kept; there can be
-    fewer bins than requested.
+    All columns share one long table, and its quantiles are exact and distributed (see
+    ``blocks.quantiles``); only bounds and cuts reach the driver. Only boundaries that
+    separate values are kept, so there can be fewer bins than requested.
     """
     wanted = {n: w for n, w in wanted.items() if w[1] > 1}
     if not wanted:
         return {}
-    ends = df.agg(*[
-        F.percentile(v, F.array(F.lit(0.01 if two else 0.0), F.lit(0.99))).alias(n) for n, (v, _, two) in wanted.items()
-    ]).first()
-    ends = {n: ends[n] for n in wanted if ends[n] and ends[n][1] > ends[n][0]}
-    aggs = []
-    for n, (lo, hi) in ends.items():
-        v = clip(wanted[n][0].cast("double"), lo, hi)
-        v = F.when(wanted[n][0].isNotNull(), v)
-        aggs.append(F.struct(
-            F.min(F.when(v > lo, v)).alias("after"), F.max(F.when(v < hi, v)).alias("before"),
-            F.percentile(v, _inner(wanted[n][1])).alias("cuts"),
-        ).alias(n))
-    row = df.agg(*aggs).first() if aggs else {}
+    pairs = F.array(*[F.struct(F.lit(n).alias("field"), v.cast("double").alias("x")) for n, (v, _, _) in wanted.items()])
+    long = df.select(F.explode(pairs).alias("p")).select("p.field", "p.x").where(F.col("x").isNotNull())
+    long = staged(long, "edges")
+    ends = _winsorised(long, {n: w[2] for n, w in wanted.items()})
+    ends = {n: e for n, e in ends.items() if e[1] > e[0]}
+    if not ends:
+        return {n: [] for n in wanted}
+    clipped = _clipped(long, ends)
+    x = F.col("x")
+    near = clipped.groupBy("field").agg(
+        F.min(F.when(x > F.col("lo"), x)).alias("after"), F.max(F.when(x < F.col("hi"), x)).alias("before")
+    )
+    near = {r["field"]: (r["after"], r["before"]) for r in near.collect()}
+    probs = sorted({p for n in ends for p in _inner(wanted[n][1])})
+    cuts = {(r["field"], probs[r["p_index"]]): r["quantile"] for r in B.quantiles(clipped.select("field", "x"), ["field"], "x", probs).collect()}
     return {
-        n: _repair(*ends[n], row[n]["after"], row[n]["before"], row[n]["cuts"]) if n in ends else [] for n in wanted
+        n: _repair(*ends[n], *near[n], [cuts[n, p] for p in _inner(wanted[n][1])]) if n in ends else [] for n in wanted
     }
 
 
@@ -218,13 +234,13 @@ def quantile_edges_v1(sample: DataFrame, value: str, n_bins: int, two_sided: boo
     def evenly(a: float, b: float) -> list[float]:
         return [a + (b - a) * i / (n_bins - 2) for i in range(n_bins - 1)]
 
-    v = F.when(is_finite(value), F.col(value).cast("double"))
-    ends = sample.agg(F.percentile(v, F.array(F.lit(0.01 if two_sided else 0.0), F.lit(0.99)))).first()[0]
+    long = sample.where(is_finite(value)).select(F.lit("x").alias("field"), F.col(value).cast("double").alias("x"))
+    ends = _winsorised(long, {"x": two_sided})
     if not ends:
         return evenly(-1.0, 1.0)
-    lo, hi = ends
-    cuts = sample.agg(F.percentile(F.when(v.isNotNull(), clip(v, lo, hi)), _inner(n_bins))).first()[0]
-    edges = sorted(set(cuts))
+    lo, hi = ends["x"]
+    cuts = B.quantiles(_clipped(long, ends).select("x"), [], "x", _inner(n_bins)).collect()
+    edges = sorted({r["quantile"] for r in cuts})
     return edges if len(edges) == n_bins - 1 else evenly(lo, hi if hi > lo else lo + 1.0)
 
 

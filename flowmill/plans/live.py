@@ -80,7 +80,7 @@ def stream_new_day_scores(spark, d):
 
 @query(
     "stream_running_vwap",
-    f"""WITH t AS (SELECT {_SYM} AS symbol, value AS p, event_id % 50 + 1 AS q, epoch_us(ts) / 1e6::DOUBLE AS t FROM events WHERE event_type = 'purchase'),
+    f"""WITH t AS (SELECT {_SYM} AS symbol, value AS p, event_id % 50 + 1 AS q, epoch_us(ts) / 1e6::DOUBLE AS t FROM events WHERE event_type = 'purchase' AND value > 0),
           m AS (SELECT *, max(t) OVER (PARTITION BY symbol) AS last FROM t)
         SELECT symbol, {sql_round("sum(p * q * pow(2.0::DOUBLE, (t - last) / 86400.0::DOUBLE)) / sum(q * pow(2.0::DOUBLE, (t - last) / 86400.0::DOUBLE))", 7)} AS mid FROM m GROUP BY symbol""",
 )

@@ -262,7 +262,7 @@ def normalised_keys(spark, d):
                    WHEN coalesce(q, 0) > 0 THEN 'partial' ELSE 'open' END AS status,
               CASE WHEN NOT gone AND initial_quantity - coalesce(q, 0) <= 0 THEN 0
                    ELSE initial_quantity - coalesce(q, 0) END AS remaining_quantity,
-              """ + sql_round("CASE WHEN coalesce(q, 0) > 0 THEN v::DOUBLE / q ELSE 0 END", 4) + """ AS avg_trade_price
+              CASE WHEN coalesce(q, 0) > 0 THEN v::DOUBLE / q ELSE 0 END AS avg_trade_price
        FROM o LEFT JOIN a USING (order_id)""",
 )
 def order_lifecycle(spark, d):
@@ -274,8 +274,7 @@ def order_lifecycle(spark, d):
         F.round(F.col("l_extendedprice") * 100).cast("long").alias("price"),
         F.col("l_quantity").cast("long").alias("quantity"),
     )
-    out = K.order_lifecycle(orders, trades, cancels)
-    return out.withColumn("avg_trade_price", rounded("avg_trade_price", 4))
+    return K.order_lifecycle(orders, trades, cancels)
 
 
 @query(

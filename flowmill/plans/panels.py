@@ -45,11 +45,10 @@ def staged_forward(spark, d):
 
 @query(
     "daily_quotes",
-    f"""WITH {DAYS} SELECT * REPLACE ({sql_round("vwap")} AS vwap, {sql_round("total_notional", 2)} AS total_notional)
-        FROM days""",
+    f"""WITH {DAYS} SELECT * FROM days""",
 )
 def daily_quotes(spark, d):
-    return event_days(spark, d).withColumns({"vwap": rounded("vwap"), "total_notional": rounded("total_notional", 2)})
+    return event_days(spark, d)
 
 
 def _snapshots(spark, d):
@@ -145,12 +144,11 @@ ex AS (
 
 @query(
     "execution_panel",
-    f"""WITH {EXEC} SELECT * REPLACE ({sql_round("entry_px")} AS entry_px, {sql_round("exit_px")} AS exit_px,
-          {sql_round("fwd_ret")} AS fwd_ret), 'vwap_t1_vwap_t2' AS return_spec, 1 AS entry_day_lag, 2 AS exit_day_lag,
+    f"""WITH {EXEC} SELECT *, 'vwap_t1_vwap_t2' AS return_spec, 1 AS entry_day_lag, 2 AS exit_day_lag,
           'vwap' AS entry_price_field, 'vwap' AS exit_price_field, 'after_close' AS signal_availability FROM ex""",
 )
 def execution_panel(spark, d):
-    return execution(spark, d).withColumns({c: rounded(c) for c in ("entry_px", "exit_px", "fwd_ret")})
+    return execution(spark, d)
 
 
 @query(
