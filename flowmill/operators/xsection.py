@@ -380,13 +380,18 @@ def portfolio_exposures(holdings: DataFrame, factors: DataFrame, columns: Sequen
     return joined.groupBy(day).agg(*[exposure(c) for c in columns])
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _solve(gram: pd.Series, moment: pd.Series) -> pd.Series:
-    """Least-squares coefficients from a day's k x k cross products."""
-    def one(g: np.ndarray, m: np.ndarray) -> np.ndarray:
-        k = len(m)
-        return np.linalg.lstsq(np.asarray(g).reshape(k, k), np.asarray(m), rcond=None)[0]
-    return pd.Series([one(g, m) for g, m in zip(gram, moment)])
+def _solver():
+    """Least-squares coefficients from a day's k x k cross products.
+
+    Built inside a function, so it travels to workers by value.
+    """
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def solve(gram: pd.Series, moment: pd.Series) -> pd.Series:
+        def one(g: np.ndarray, m: np.ndarray) -> np.ndarray:
+            return np.linalg.lstsq(np.asarray(g).reshape(len(m), len(m)), np.asarray(m), rcond=None)[0]
+        return pd.Series([one(g, m) for g, m in zip(gram, moment)])
+
+    return solve
 
 
 def residualise(df: DataFrame, factors: Sequence[str], ret: str = "fwd_ret", out: str = "neutralized_ret", day: str = "date") -> DataFrame:
@@ -406,7 +411,7 @@ def residualise(df: DataFrame, factors: Sequence[str], ret: str = "fwd_ret", out
     sums = clean.groupBy(day).agg(
         F.array(*cross).alias("g"), F.array(*moment).alias("m"), F.count(F.lit(1)).alias("n")
     ).where(F.col("n") > k + 1)
-    beta = sums.select(day, _solve("g", "m").alias("__beta"))
+    beta = sums.select(day, _solver()("g", "m").alias("__beta"))
     fitted = sum((F.col("__beta")[i] * F.col(f"__c{i + 1}") for i in range(k)), F.lit(0.0))
     return clean.join(beta, day).select(day, "symbol", (F.col("__c0") - fitted).alias(out))
 
