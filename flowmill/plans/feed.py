@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowmill.functions import market as M
-from flowmill.functions.scalars import day_text, is_finite, is_iso_date, parse_day, zero_fill
-from flowmill.operators import blocks as B, events as E
+from flowmill.functions.scalars import day_text, is_iso_date, parse_day, zero_fill
+from flowmill.operators import events as E
 from flowmill.plans.base import BOARD_SQL, CANON, MS_SQL, RAW, STREAM, raw_rows, table
 from flowmill.plans.registry import query, rounded, sql_round
 from flowmill.session import new_path, staged

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowmill.functions.scalars import is_finite, zero_fill
-from flowmill.operators import blocks as B, joins as J, panel as P, xsection as X
-from flowmill.plans.base import DAYS, LINE_DAYS, event_days, line_days, raw_rows, staged_days, table
+from flowmill.functions.scalars import is_finite
+from flowmill.operators import joins as J, panel as P, xsection as X
+from flowmill.plans.base import DAYS, LINE_DAYS, event_days, line_days, raw_rows, staged_days
 from flowmill.plans.registry import query, rounded, sql_round
 from flowmill.session import staged
 from flowmill.sources import io
@@ -816,5 +816,3 @@ def finite_feature_gate(spark, d):
 
     return finite_gate(forward(spark, d), ["fwd_ret", "score"])
 
-
-_ = (B, table, zero_fill)

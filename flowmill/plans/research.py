@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowmill.functions import market as M
-from flowmill.functions.scalars import all_of, day_text, is_finite, is_iso_date, zero_fill
-from flowmill.operators import book as K, checks as C, joins as J, splits as S, vectors as W
-from flowmill.plans.base import BOARD_SQL, DAYS, LINE_DAYS, MS_SQL, RAW, event_days, line_days, raw_rows, staged_days, table
+from flowmill.functions.scalars import day_text, is_finite, is_iso_date
+from flowmill.operators import checks as C, joins as J, splits as S, vectors as W
+from flowmill.plans.base import DAYS, LINE_DAYS, MS_SQL, RAW, event_days, line_days, raw_rows, staged_days, table
 from flowmill.plans.matching import ATOMIC, atomic_table
 from flowmill.plans.panels import EXEC, FWD, calendar, execution, forward
 from flowmill.plans.registry import query, rounded, sql_round
@@ -639,5 +639,3 @@ def evaluation_tables(spark, d):
     counts = [spark.read.parquet(f"{root}/{n}").agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n_rows")) for n in tables]
     return io.union_relaxed(counts)
 
-
-_ = (BOARD_SQL, K, all_of, zero_fill)
