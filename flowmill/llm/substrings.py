@@ -119,12 +119,14 @@ def remove_repeats(
     # a whole copy of an earlier text goes entirely: the first one stands for its windows
     firsts = staged(long.groupBy("digest").agg(F.min("id").alias("first_id"), F.first("anchors").alias("anchors")), "firsts")
     seeds = firsts.select(F.col("first_id").alias("id"), F.explode("anchors").alias("anchor"))
-    shared = seeds.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor")
+    # what is counted by a key is written before it is joined back: both sides then have exchanges of their own,
+    # whose hot partitions adaptive execution may split
+    shared = staged(seeds.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor"), "shared")
     per_text = seeds.join(shared, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("shared"))
     seeded = staged(docs.join(per_text, "id").withColumn("row", F.monotonically_increasing_id()), "seeded")
     windows = _windows(seeded, length).select("row", "id", F.posexplode("windows").alias("step", "window"), "first")
     windows = staged(windows.select("row", "id", "window", (F.col("first") + F.col("step")).cast("int").alias("start")), "windows")
-    origin = windows.groupBy("window").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    origin = staged(windows.groupBy("window").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high"), "origin")
     later = windows.join(origin.select("window", "low"), "window").where("id > low")
     starts = later.groupBy("row").agg(F.collect_set("start").alias("starts"))
     cut = _cut(seeded.select("row", "id", "text").join(starts, "row").select("id", "text", "starts"), length)
