@@ -174,19 +174,22 @@ def near_duplicates(
     bits = lambda of, n, b: posts.select(F.col("id").alias(of), F.col("n").alias(n), F.col("bits").alias(b))
 
     entries = posts.select("id", F.explode("keys").alias("key"))
-    hubs = entries.groupBy("key").agg(
+    # lists are written before they are joined back: both sides then have exchanges of their own, whose hot
+    # partitions adaptive execution may split
+    hubs = staged(entries.groupBy("key").agg(
         F.count(F.lit(1)).alias("members"), F.min("id").alias("hub"), F.min(F.struct(F.xxhash64("id"), "id"))["id"].alias("other")
-    ).where("members > 1")
+    ).where("members > 1"), "lists")
     stars = entries.join(hubs, "key").select(F.col("id").alias("u"), F.explode(F.array("hub", "other")).alias("v"))
     stars = stars.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     probed = stars.join(bits("u", "n", "x"), "u").join(bits("v", "m", "y"), "v").where(alike("n", "m") & (_agreeing("x", "y") >= MATCHES))
     starred = staged(_confirmed(staged(probed.select("u", "v"), "stars"), docs, shingle, percent), "links")
 
     label = components(starred).withColumnRenamed("component", "part")
-    placed = entries.join(label, "id", "left").select("key", "id", F.coalesce("part", "id").alias("part"))
-    mixed_lists = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
+    placed = staged(posts.select("id", "keys").join(label, "id", "left").select("id", "keys", F.coalesce("part", "id").alias("part")), "placed")
+    placed = placed.select(F.explode("keys").alias("key"), "id", "part")
+    mixed_lists = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
     open_posts = staged(
-        placed.join(mixed_lists.select("key"), "key", "left_semi").join(posts.select("id", "n", "bits"), "id"), "open"
+        placed.join(staged(mixed_lists, "lists"), "key", "left_semi").join(posts.select("id", "n", "bits"), "id"), "open"
     )
     x = open_posts.select("key", F.col("id").alias("u"), F.col("part").alias("p"), "n", F.col("bits").alias("x"))
     y = open_posts.select("key", F.col("id").alias("v"), F.col("part").alias("q"), F.col("n").alias("m"), F.col("bits").alias("y"))
