@@ -21,10 +21,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id."""
+    """One document of each group of near duplicates stays: the one with the smallest id (of repeated ids, one row)."""
     groups = neardup.near_duplicates(docs, shingle=5, percent=80)
     gone = groups.where(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    apart = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())  # rows without an id all stay
+    return kept.withColumn("__apart", apart).dropDuplicates(["doc_id", "__apart"]).drop("__apart")
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ def _towards_minimum(edges: DataFrame, small: bool) -> DataFrame:
     else:
         own = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = own.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = least if small else staged(least, "least")  # written, so that a hub's edges can be split in the join
     joined = own.join(least, "u")
     if small:
         to = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))

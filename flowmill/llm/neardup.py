@@ -3,13 +3,15 @@
 1. Texts with equal shingle sets form a class; the smallest id stands for it from then on.
 2. A class has ``COORDINATES`` min-hashes. Two sets at the likeness wanted agree in ``MATCHES`` coordinates
    or more, but for a chance of about 1e-5 at the very threshold and far less above it.
-3. Prefix: with the coordinate-values in one global order, rare ones first, two such signatures share a value
-   among their first ``COORDINATES - MATCHES + 1``; only these are posted. The order comes from counts in
-   2**18 cells (a fixed size); any order is right, this one keeps frequent values out of the lists.
-4. Merging with skips: each list's members are first compared with two of its members. What is confirmed
-   is contracted to components; a list that lies within one component is skipped, in the others only pairs
-   of different components are merged. The coordinates outside the prefix are counted by probing packed
-   signatures, and pairs below ``MATCHES`` fall out before their texts are touched.
+3. Prefix: with the coordinate-values in one global order, rare ones first, two such signatures share
+   ``COLLISIONS`` values or more among their first ``COORDINATES - MATCHES + COLLISIONS``; only these are posted.
+   The order comes from counts in 2**18 cells (a fixed size); any order is right, this one keeps frequent
+   values out of the lists.
+4. Merging with skips: each class is first compared with two heads of its lists, the one it meets most often
+   and the smallest. What is confirmed is contracted to components; a list that lies within one component is
+   skipped, in the others all pairs of different components are merged and their collisions counted. The
+   coordinates outside the prefix are counted by probing packed signatures, and pairs below ``MATCHES`` fall
+   out before their texts are touched.
 5. The rest is confirmed on the full shingle sets. Components of confirmed links and copies are the result.
 """
 
@@ -24,9 +26,9 @@ from flowmill.llm.graph import components
 from flowmill.llm.words import U64, Words, lists, map_texts, mixed, rolling, seeded
 from flowmill.session import staged
 
-COORDINATES, MATCHES = 64, 36
-PREFIX = COORDINATES - MATCHES + 1
-CELL_BITS = 18
+COORDINATES, MATCHES, COLLISIONS = 64, 36, 4
+PREFIX = COORDINATES - MATCHES + COLLISIONS
+CELL_BITS, ID_CELL_BITS = 18, 24
 _BITS = 4  # of each coordinate, packed 16 to a long
 
 
@@ -133,16 +135,33 @@ def _cell_counts(classes: DataFrame) -> np.ndarray:
     return cells
 
 
+def _cell(c: str) -> Column:
+    return (1 + F.pmod(F.xxhash64(c), F.lit(1 << ID_CELL_BITS))).cast("int")
+
+
+def _cells_of(ids: DataFrame) -> np.ndarray:
+    """Which of ``2**ID_CELL_BITS`` cells hold an id: a filter of fixed size that lets some others through too."""
+    bits = ids.select(F.bitmap_bucket_number(_cell("id")).alias("bucket"), F.bitmap_bit_position(_cell("id")).alias("bit"))
+    wanted = np.zeros((1 << ID_CELL_BITS) + 32768, bool)
+    for r in bits.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
+        flags = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
+        wanted[np.flatnonzero(flags) + (r["bucket"] - 1) * 32768 + 1] = True  # bucket 1 begins with number 1
+    return wanted
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (u, v) whose full shingle sets are alike enough."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    cells = _cells_of(pairs.select(F.explode(F.array("u", "v")).alias("id")))
+    shared = pairs.sparkSession.sparkContext.broadcast(cells)
 
     def work(part, texts):
-        sets = shingle_sets(texts, size)
+        wanted = np.flatnonzero(shared.value[part.column(2).to_numpy()])
+        sets = shingle_sets([texts[i] for i in wanted], size)
         bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-        return {"id": part.column(0), "shingles": lists(np.concatenate([*sets, np.zeros(0, U64)]), bounds, "int64")}
+        return {"id": part.column(0).take(wanted), "shingles": lists(np.concatenate([*sets, np.zeros(0, U64)]), bounds, "int64")}
 
-    sets = staged(map_texts(docs.join(ids, "id", "left_semi"), "text", "id bigint, shingles array<bigint>", work), "shingles")
+    placed = docs.where("id is not null").select("id", "text", _cell("id").alias("cell"))
+    sets = staged(map_texts(placed, "text", "id bigint, shingles array<bigint>", work), "shingles")
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(
         sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v"
     )
@@ -179,8 +198,11 @@ def near_duplicates(
     hubs = staged(entries.groupBy("key").agg(
         F.count(F.lit(1)).alias("members"), F.min("id").alias("hub"), F.min(F.struct(F.xxhash64("id"), "id"))["id"].alias("other")
     ).where("members > 1"), "lists")
-    stars = entries.join(hubs, "key").select(F.col("id").alias("u"), F.explode(F.array("hub", "other")).alias("v"))
-    stars = stars.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    met = entries.join(hubs, "key").select("id", F.explode(F.array("hub", "other")).alias("head")).where("id <> head")
+    met = met.groupBy("id", "head").agg(F.count(F.lit(1)).alias("often")).where(f"often >= {COLLISIONS}")
+    met = met.groupBy("id").agg(F.max(F.struct("often", "head"))["head"].alias("most"), F.min("head").alias("first"))
+    stars = met.select("id", F.explode(F.array("most", "first")).alias("head"))
+    stars = stars.select(F.least("id", "head").alias("u"), F.greatest("id", "head").alias("v")).distinct()
     probed = stars.join(bits("u", "n", "x"), "u").join(bits("v", "m", "y"), "v").where(alike("n", "m") & (_agreeing("x", "y") >= MATCHES))
     starred = staged(_confirmed(staged(probed.select("u", "v"), "stars"), docs, shingle, percent), "links")
 
@@ -194,7 +216,8 @@ def near_duplicates(
     x = open_posts.select("key", F.col("id").alias("u"), F.col("part").alias("p"), "n", F.col("bits").alias("x"))
     y = open_posts.select("key", F.col("id").alias("v"), F.col("part").alias("q"), F.col("n").alias("m"), F.col("bits").alias("y"))
     across = x.join(y, (x["key"] == y["key"]) & (F.col("u") < F.col("v")) & (F.col("p") != F.col("q")) & alike("n", "m") & (_agreeing("x", "y") >= MATCHES))
-    crossed = staged(_confirmed(staged(across.select("u", "v").distinct(), "across"), docs, shingle, percent), "links")
+    across = across.groupBy("u", "v").agg(F.count(F.lit(1)).alias("often")).where(f"often >= {COLLISIONS}").select("u", "v")
+    crossed = staged(_confirmed(staged(across, "across"), docs, shingle, percent), "links")
 
     copies = full.join(classes.select("digest", F.col("id").alias("v")), "digest").select(F.col("id").alias("u"), "v")
     found = components(copies.union(starred).union(crossed))

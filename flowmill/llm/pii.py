@@ -227,7 +227,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     per_row = merged.groupBy("row", "id", "mark").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("cuts"))
     per_text = per_row.groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark")).agg(F.min("cuts").alias("__cuts"))
     text = F.col(text_col)
-    marked = docs.join(per_text, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__mark")), "left")
+    # texts and spans are always sorted and merged: the plan, and so the growth, is the same at every size
+    marked = docs.join(per_text.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__mark")), "left")
     before = lambda i: F.when(i > 0, F.get("__cuts", i - 1)["end"]).otherwise(0)
     kept = lambda s, i: F.substr(text, (before(i) + 1).cast("int"), (s["start"] - before(i)).cast("int"))
     parts = F.transform("__cuts", lambda s, i: F.concat(kept(s, i), F.lit("["), F.upper(F.get(kind_names(), s["kind"])), F.lit("]")))
