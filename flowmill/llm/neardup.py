@@ -7,11 +7,11 @@
    ``COLLISIONS`` values or more among their first ``COORDINATES - MATCHES + COLLISIONS``; only these are posted.
    The order comes from counts in 2**18 cells (a fixed size); any order is right, this one keeps frequent
    values out of the lists.
-4. Merging with skips: each class is first compared with two heads of its lists, the one it meets most often
-   and the smallest. What is confirmed is contracted to components; a list that lies within one component is
-   skipped, in the others all pairs of different components are merged and their collisions counted. The
-   coordinates outside the prefix are counted by probing packed signatures, and pairs below ``MATCHES`` fall
-   out before their texts are touched.
+4. Merging with skips: a list has up to ``HEADS`` heads (the least members under as many hashes), and each class
+   is first compared with the ``TRIED`` heads it meets most often. What is confirmed is contracted to
+   components; a list that lies within one component is skipped, in the others all pairs of different
+   components are merged and their collisions counted. Coordinates outside the prefix are probed on packed
+   signatures of ``PROBES`` coordinates, and pairs below ``PROBE_MATCHES`` fall out before they are counted.
 5. The rest is confirmed on the full shingle sets. Components of confirmed links and copies are the result.
 """
 
@@ -28,6 +28,8 @@ from flowmill.session import staged
 
 COORDINATES, MATCHES, COLLISIONS = 64, 36, 4
 PREFIX = COORDINATES - MATCHES + COLLISIONS
+PROBES, PROBE_MATCHES = 256, 181  # at the threshold 208 agree on average, 4.3 deviations more
+HEADS, TRIED = 6, 3
 CELL_BITS, ID_CELL_BITS = 18, 24
 _BITS = 4  # of each coordinate, packed 16 to a long
 
@@ -47,10 +49,10 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
 
 def signature(shingles: np.ndarray) -> np.ndarray:
     """For each coordinate the scrambled value of the shingle that comes first in its order."""
-    salt, factor = seeded(11, COORDINATES), seeded(12, COORDINATES)
+    salt, factor = seeded(11, PROBES), seeded(12, PROBES)
     least = None
-    for at in range(0, len(shingles), 2048):
-        part = ((shingles[at : at + 2048, None] ^ salt) * factor).min(axis=0)
+    for at in range(0, len(shingles), 512):
+        part = ((shingles[at : at + 512, None] ^ salt) * factor).min(axis=0)
         least = part if least is None else np.minimum(least, part)
     return mixed(least ^ salt)
 
@@ -62,14 +64,14 @@ def packed(values: np.ndarray) -> np.ndarray:
 
 def _agreeing(a: str, b: str) -> Column:
     """How many packed coordinates agree: by chance a few more than the true matches, never fewer."""
-    longs = range(COORDINATES // 16)
+    longs = range(PROBES // 16)
     ones = F.lit(0x1111111111111111)
     differ = F.lit(0)
     for i in longs:
         x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
         any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
         differ = differ + F.bit_count(any_bit.bitwiseAND(ones))
-    return F.lit(COORDINATES) - differ
+    return F.lit(PROBES) - differ
 
 
 def _signatures(docs: DataFrame, size: int) -> DataFrame:
@@ -77,15 +79,17 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
         sets = shingle_sets(texts, size)
         digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
         full = [s for s in sets if len(s)]
-        values = np.stack([signature(s) for s in full]) if full else np.zeros((0, COORDINATES), U64)
-        has = np.array([len(s) > 0 for s in sets])
-        bounds = np.concatenate([[0], np.cumsum(has * COORDINATES)])
+        values = np.stack([signature(s) for s in full]) if full else np.zeros((0, PROBES), U64)
+        bits = np.stack([packed(v) for v in values]) if full else np.zeros((0, PROBES // 16), U64)
+        bounds = np.concatenate([[0], np.cumsum([len(s) > 0 for s in sets])])
         return {
             "id": part.column(0), "n_shingles": [len(s) for s in sets], "digest": digests,
-            "coordinates": lists(values.ravel(), bounds, "int64"),
+            "coordinates": lists(values[:, :COORDINATES].ravel(), bounds * COORDINATES, "int64"),
+            "bits": lists(bits.ravel(), bounds * (PROBES // 16), "int64"),
         }
 
-    return map_texts(docs, "text", "id bigint, n_shingles bigint, digest binary, coordinates array<bigint>", work)
+    schema = "id bigint, n_shingles bigint, digest binary, coordinates array<bigint>, bits array<bigint>"
+    return map_texts(docs, "text", schema, work)
 
 
 def _posts(classes: DataFrame, cells: np.ndarray) -> DataFrame:
@@ -103,14 +107,12 @@ def _posts(classes: DataFrame, cells: np.ndarray) -> DataFrame:
             count = shared.value[(keys >> U64(64 - CELL_BITS)).astype(np.int64)]
             order = np.lexsort((keys, count), axis=1)[:, :PREFIX]
             kept = np.take_along_axis(keys, order, axis=1)
-            bits = np.stack([packed(v) for v in flat]) if n else np.zeros((0, 4), U64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1),
-                 lists(kept.ravel(), np.arange(n + 1) * PREFIX, "int64"), lists(bits.ravel(), np.arange(n + 1) * bits.shape[1], "int64")],
+                [batch.column(0), batch.column(1), lists(kept.ravel(), np.arange(n + 1) * PREFIX, "int64"), batch.column(3)],
                 names=["id", "n", "keys", "bits"],
             )
 
-    return classes.select("id", "n", "coordinates").mapInArrow(run, "id bigint, n bigint, keys array<bigint>, bits array<bigint>")
+    return classes.select("id", "n", "coordinates", "bits").mapInArrow(run, "id bigint, n bigint, keys array<bigint>, bits array<bigint>")
 
 
 def _cell_counts(classes: DataFrame) -> np.ndarray:
@@ -186,7 +188,7 @@ def near_duplicates(
     rows = staged(_signatures(docs, shingle), "signatures")
     full = rows.where("n_shingles > 0 and id is not null")
     classes = staged(full.groupBy("digest").agg(
-        F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("coordinates").alias("coordinates")
+        F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("coordinates").alias("coordinates"), F.first("bits").alias("bits")
     ), "classes")
     posts = staged(_posts(classes, _cell_counts(classes)), "posts")
     alike = lambda n, m: (100 * F.col(n) >= percent * F.col(m)) & (100 * F.col(m) >= percent * F.col(n))
@@ -195,15 +197,16 @@ def near_duplicates(
     entries = posts.select("id", F.explode("keys").alias("key"))
     # lists are written before they are joined back: both sides then have exchanges of their own, whose hot
     # partitions adaptive execution may split
-    hubs = staged(entries.groupBy("key").agg(
-        F.count(F.lit(1)).alias("members"), F.min("id").alias("hub"), F.min(F.struct(F.xxhash64("id"), "id"))["id"].alias("other")
-    ).where("members > 1"), "lists")
-    met = entries.join(hubs, "key").select("id", F.explode(F.array("hub", "other")).alias("head")).where("id <> head")
+    least = [F.min(F.struct(F.xxhash64("id", F.lit(i)), "id"))["id"] for i in range(HEADS)]
+    heads = staged(entries.groupBy("key").agg(
+        F.count(F.lit(1)).alias("members"), F.array_distinct(F.array(*least)).alias("heads")
+    ).where("members > 1").select("key", "heads"), "lists")
+    met = entries.join(heads, "key").select("id", F.explode("heads").alias("head")).where("id <> head")
     met = met.groupBy("id", "head").agg(F.count(F.lit(1)).alias("often")).where(f"often >= {COLLISIONS}")
-    met = met.groupBy("id").agg(F.max(F.struct("often", "head"))["head"].alias("most"), F.min("head").alias("first"))
-    stars = met.select("id", F.explode(F.array("most", "first")).alias("head"))
+    best = F.slice(F.sort_array(F.collect_list(F.struct("often", "head")), asc=False), 1, TRIED)["head"]
+    stars = met.groupBy("id").agg(best.alias("heads")).select("id", F.explode("heads").alias("head"))
     stars = stars.select(F.least("id", "head").alias("u"), F.greatest("id", "head").alias("v")).distinct()
-    probed = stars.join(bits("u", "n", "x"), "u").join(bits("v", "m", "y"), "v").where(alike("n", "m") & (_agreeing("x", "y") >= MATCHES))
+    probed = stars.join(bits("u", "n", "x"), "u").join(bits("v", "m", "y"), "v").where(alike("n", "m") & (_agreeing("x", "y") >= PROBE_MATCHES))
     starred = staged(_confirmed(staged(probed.select("u", "v"), "stars"), docs, shingle, percent), "links")
 
     label = components(starred).withColumnRenamed("component", "part")
@@ -215,7 +218,7 @@ def near_duplicates(
     )
     x = open_posts.select("key", F.col("id").alias("u"), F.col("part").alias("p"), "n", F.col("bits").alias("x"))
     y = open_posts.select("key", F.col("id").alias("v"), F.col("part").alias("q"), F.col("n").alias("m"), F.col("bits").alias("y"))
-    across = x.join(y, (x["key"] == y["key"]) & (F.col("u") < F.col("v")) & (F.col("p") != F.col("q")) & alike("n", "m") & (_agreeing("x", "y") >= MATCHES))
+    across = x.join(y, (x["key"] == y["key"]) & (F.col("u") < F.col("v")) & (F.col("p") != F.col("q")) & alike("n", "m") & (_agreeing("x", "y") >= PROBE_MATCHES))
     across = across.groupBy("u", "v").agg(F.count(F.lit(1)).alias("often")).where(f"often >= {COLLISIONS}").select("u", "v")
     crossed = staged(_confirmed(staged(across, "across"), docs, shingle, percent), "links")
 
