@@ -101,7 +101,9 @@ def log_mel(samples: np.ndarray) -> np.ndarray:
         head = lead if at == 0 else samples[at - _TAPS + 1 : at].astype(np.float32) / 128 - 1
         y = resample(np.concatenate([head, part]), phases)
         last = at + _STRETCH >= len(samples)
-        n = max(1, -(-(len(y) - FRAME + HOP) // HOP)) if last else _STRETCH * UP // DOWN // HOP
+        n = max(at == 0, -(-(len(y) - FRAME + HOP) // HOP)) if last else _STRETCH * UP // DOWN // HOP
+        if not n:  # the frames before reach the end
+            break
         y = np.pad(y[: n * HOP + FRAME], (0, max(0, (n - 1) * HOP + FRAME - len(y))))
         frames = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP][:n]
         power = np.abs(np.fft.rfft(frames * window, axis=1)).astype(np.float32) ** 2
