@@ -87,7 +87,8 @@ def in_order(docs: DataFrame, per_block: int = 8192) -> DataFrame:
     heads = rows.groupBy("block").agg(F.min("key").alias("key")).select(
         "key", F.coalesce(F.lag("block").over(by_block), F.max("block").over(by_block.rowsBetween(Window.currentRow, Window.unboundedFollowing))).alias("before")
     )
-    firsts = rows.join(heads, "key").groupBy("before", "key", "id").agg(F.min("text").alias("text"))
+    # one row of two numbers for each block of ``per_block`` rows: a fraction of a thousandth of the ids
+    firsts = rows.join(F.broadcast(heads), "key").groupBy("before", "key", "id").agg(F.min("text").alias("text"))
     copies = firsts.select("id", "text", "key", F.col("before").alias("block"), F.lit(True).alias("heir"))
     return (
         rows.select("id", "text", "key", "block", F.lit(False).alias("heir")).unionByName(copies)
