@@ -123,7 +123,7 @@ def clock_interval(ms: str | Column, minutes: int = 5, include_open_call: bool =
     The boundary instants 11:30 and 15:00 belong to the last bucket of their session.
     """
     if minutes < 1 or 120 % minutes:
-        raise ValueError("minutes must be a positive divisor of the 120-minute sessions")
+        raise ValueError("a session of 120 minutes is not a whole number of such intervals")
     t = col(ms).cast("long")
     width, per_session = minutes * MINUTE_MS, 120 // minutes
     base = 1 if include_open_call else 0

@@ -237,7 +237,7 @@ def ew_vwap(
     price seen so far stands in.
     """
     if half_life_ms <= 0 or not math.isfinite(half_life_ms):
-        raise ValueError("half_life_ms must be finite and positive")
+        raise ValueError("the half-life has to be a positive number of milliseconds")
     if version not in (TRANSFORM_CAUSAL_V2, TRANSFORM_BACKFILL_V1):
         raise ValueError(f"unsupported transform version {version!r}")
     keys, order = list(keys), list(order)

@@ -106,31 +106,25 @@ def stratum_counts(df: DataFrame, spec: FieldSpec, columns: Sequence[str]) -> Da
     return df.where(usable(spec)).groupBy(stratum(df, columns).alias("stratum")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def allocate_quotas(counts: Mapping[str, int], budget: int) -> dict[str, int]:
-    """Split a sample budget over strata: one each, the rest in proportion to what is left.
+def quotas(counts: DataFrame, budget: int) -> DataFrame:
+    """Add ``quota`` to a stratum table ``(stratum, n)``: one row each, the rest by largest remainder.
 
-    Fractions are dropped while any stratum gains a whole unit; the last few units go
-    to the largest shares, names breaking ties.
+    What is left after one row each is dealt in proportion to ``n - 1``, rounded down; the units lost by
+    rounding go to the largest remainders, then the larger stratum, then the name. Empty strata are dropped,
+    and a budget that covers every row gives every row. Strata are few, so one window ranks them.
     """
-    room = {k: int(n) for k, n in counts.items() if n > 0}
-    if budget < len(room):
-        raise ValueError(f"budget {budget} is smaller than the {len(room)} non-empty strata")
-    if sum(room.values()) <= budget:
-        return room
-    quota = {k: 1 for k in room}
-    spare = budget - len(quota)
-    while spare:
-        open_ = {k: room[k] - quota[k] for k in room if room[k] > quota[k]}
-        pool = sum(open_.values())
-        share = {k: spare * n / pool for k, n in open_.items()}
-        whole = {k: min(math.floor(s), open_[k]) for k, s in share.items()}
-        if not any(whole.values()):
-            whole = dict.fromkeys(sorted(share, key=lambda k: (-share[k], k))[:spare], 1)
-            spare = sum(whole.values())
-        for k, n in whole.items():
-            quota[k] += n
-        spare -= sum(whole.values())
-    return quota
+    sized = counts.where("n > 0")
+    strata, total = sized.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if budget < strata:
+        raise ValueError(f"{strata} strata hold rows, a sample of {budget} cannot have one of each")
+    if total <= budget:
+        return sized.withColumn("quota", F.col("n").cast("long"))
+    due = sized.withColumn("__due", F.lit(budget - strata).cast("decimal(38,0)") * (F.col("n") - 1))
+    due = due.withColumn("__whole", F.expr(f"__due div {total - strata}")).withColumn("__rest", F.expr(f"__due % {total - strata}"))
+    place = F.row_number().over(Window.orderBy(F.desc("__rest"), F.desc("n"), "stratum"))
+    over = F.lit(budget - strata) - F.sum("__whole").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    extra = F.when(place <= over, 1).otherwise(0)
+    return due.withColumn("quota", (1 + F.col("__whole") + extra).cast("long")).drop("__due", "__whole", "__rest")
 
 
 def priority_sample(
@@ -317,25 +311,16 @@ class Vocab:
         )
 
 
-def fit_vocab(
-    train: DataFrame, specs: Sequence[FieldSpec], identity: Sequence[str], strata: Sequence[str] = (),
-    budget: int = 5_000_000, seed: int = 0, day: str = "date", normaliser_clip: float = 5.0,
-) -> Vocab:
-    """Fit on training rows: statistics, stratified sample, edges, exact occupancy."""
+def fit_vocab(train: DataFrame, specs: Sequence[FieldSpec], day: str = "date", normaliser_clip: float = 5.0) -> Vocab:
+    """Fit on all training rows at every size: statistics, exact distributed edges, occupancy."""
     has_numeric = any(s.numeric for s in specs)
     stats = {r["field"]: r for r in field_stats(train, specs).collect()} if has_numeric else {}
     numeric = {}
     edges: dict[str, list[float]] = {s.name: [] for s in specs if s.numeric}
     two_sided = lambda s: any(m in s.source for m in TWO_SIDED)
-    whole = {}
-    for s in specs:
-        if s.binned and stats[s.name]["n_observed"] <= budget:
-            whole[s.name] = (F.when(usable(s), F.col(s.source).cast("double")), s.n_bins, two_sided(s))
-        elif s.binned:
-            counts = {r["stratum"]: r["n"] for r in stratum_counts(train, s, strata).collect()}
-            picked = priority_sample(train, s, strata, allocate_quotas(counts, budget), identity, seed)
-            sample = staged(picked.select(F.col(s.source).cast("double").alias("x")), "vocab-sample")
-            edges[s.name] = quantile_edges(sample, "x", s.n_bins, two_sided(s))
+    whole = {
+        s.name: (F.when(usable(s), F.col(s.source).cast("double")), s.n_bins, two_sided(s)) for s in specs if s.binned
+    }
     edges.update(edges_of(train, whole))
     by_bin: dict[str, dict[int, int]] = {n: {} for n in edges}
     fields = {s.name: (F.when(s.applies(), F.col(s.source)), edges[s.name]) for s in specs if s.numeric}

@@ -70,7 +70,7 @@ def _bin_sql(name):
 
 
 def fitted(spark, d):
-    return V.fit_vocab(items(spark, d), SPECS, _ID, _STRATA)
+    return V.fit_vocab(items(spark, d), SPECS)
 
 
 @query(
@@ -108,13 +108,20 @@ def stratum_counts(spark, d):
     return V.stratum_counts(items(spark, d), SPECS[3], [*_STRATA, "board"])
 
 
-@query("stratum_quotas")
+@query(
+    "stratum_quotas",
+    f"""WITH {ITEMS}, c AS (SELECT concat_ws('{V.STRATUM_SEPARATOR}', 'l_returnflag=' || l_returnflag, 'l_linestatus=' || l_linestatus) AS stratum,
+             count(*) AS n FROM it WHERE l_extendedprice IS NOT NULL GROUP BY 1),
+          t AS (SELECT count(*) AS k, sum(n)::BIGINT AS total, greatest(count(*), sum(n)::BIGINT // 7) AS budget FROM c),
+          d AS (SELECT stratum, n, budget - k AS spare, ((budget - k) * (n - 1)) // (total - k) AS whole,
+                  ((budget - k) * (n - 1)) % (total - k) AS rest FROM c, t)
+        SELECT stratum, n, (1 + whole + CASE WHEN row_number() OVER (ORDER BY rest DESC, n DESC, stratum)
+               <= spare - sum(whole) OVER () THEN 1 ELSE 0 END)::BIGINT AS quota FROM d""",
+)
 def stratum_quotas(spark, d):
     counts = V.stratum_counts(items(spark, d), SPECS[2], _STRATA)
-    sizes = {r["stratum"]: r["n"] for r in counts.collect()}
-    quotas = V.allocate_quotas(sizes, max(len(sizes), sum(sizes.values()) // 7))
-    quota = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])
-    return counts.withColumn("quota", quota[F.col("stratum")].cast("long"))
+    strata, total = counts.agg(F.count(F.lit(1)), F.sum("n")).first()
+    return V.quotas(counts, max(strata, total // 7))
 
 
 _PRIORITY_SQL = (
@@ -298,7 +305,7 @@ def causal_token_table(spark, d):
         V.FieldSpec("delta_t", "log_delta_t", "ordinal", 32),
     )
     train = feats.where(F.col("date") <= "2024-01-20")
-    vocab = V.fit_vocab(train, specs, ["security_id", "event_idx", "date"], ["exchange", "board"])
+    vocab = V.fit_vocab(train, specs)
     return V.tokenize(feats, vocab, ["date", "security_id", "event_idx"])
 
 

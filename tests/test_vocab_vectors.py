@@ -15,10 +15,10 @@ SPEC = V.FieldSpec("x", "x", "ordinal", 4)
 
 
 def test_two_value_fit(spark):
-    v = V.fit_vocab(shards(spark), [SPEC], ["event_idx"], ["exchange"])
+    v = V.fit_vocab(shards(spark), [SPEC])
     assert v.numeric["x"].edges == (0.5,) and v.numeric["x"].occupancy == (20, 20)
     assert v.fit_dates == ("d0", "d1")
-    m = V.fit_vocab(shards(spark, True), [SPEC], ["event_idx"], ["exchange"]).numeric["x"]
+    m = V.fit_vocab(shards(spark, True), [SPEC]).numeric["x"]
     assert (m.n_observed, m.n_missing) == (38, 2)
 
 
@@ -28,7 +28,7 @@ def test_fit_does_not_depend_on_row_order(spark):
     schema = "date string, exchange string, evt_type string, event_idx long, x double"
     a = spark.createDataFrame(rows, schema)
     b = spark.createDataFrame(rows[::-1], schema).repartition(5)
-    fit = lambda d: V.fit_vocab(d, [SPEC], ["event_idx"], ["exchange"], budget=100)
+    fit = lambda d: V.fit_vocab(d, [SPEC])
     one, two = fit(a), fit(b)
     assert one.numeric["x"].edges == two.numeric["x"].edges and one.numeric["x"].occupancy == two.numeric["x"].occupancy
     assert one.numeric["x"].mean == pytest.approx(two.numeric["x"].mean, rel=1e-12)
@@ -45,12 +45,21 @@ def test_priority_sample_equals_sort_and_cut(spark):
     assert {r["event_idx"] for r in got.collect()} == want
 
 
-def test_quotas():
-    q = V.allocate_quotas({"a": 1000, "b": 10, "c": 1, "z": 0}, 100)
+def test_quotas(spark):
+    def quotas(sizes, budget):
+        table = spark.createDataFrame(list(sizes.items()), "stratum string, n bigint")
+        return {r["stratum"]: r["quota"] for r in V.quotas(table, budget).collect()}
+
+    q = quotas({"a": 1000, "b": 10, "c": 1, "z": 0}, 100)
     assert sum(q.values()) == 100 and q["c"] == 1 and q["b"] >= 1 and "z" not in q
-    assert V.allocate_quotas({"a": 3, "b": 2}, 10) == {"a": 3, "b": 2}
+    assert quotas({"a": 3, "b": 2}, 10) == {"a": 3, "b": 2}
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        sizes = {f"s{i}": int(n) for i, n in enumerate(rng.integers(1, 500, 9))}
+        q = quotas(sizes, 9 + int(rng.integers(0, 400)))
+        assert all(1 <= q[k] <= n for k, n in sizes.items())
     with pytest.raises(ValueError):
-        V.allocate_quotas({"a": 5, "b": 5, "c": 5}, 2)
+        quotas({"a": 5, "b": 5, "c": 5}, 2)
 
 
 @pytest.mark.parametrize("two_sided", [False, True])
@@ -80,7 +89,7 @@ def test_digitize_boundaries_and_missing(spark):
 def test_tokens_use_special_ids(spark):
     train = shards(spark)
     specs = [SPEC, V.FieldSpec("ex", "exchange", "categorical", applicable=("ADD",))]
-    v = V.fit_vocab(train, specs, ["event_idx"])
+    v = V.fit_vocab(train, specs)
     new = spark.createDataFrame([("d", "e1", "ADD", 1, 0.9), ("d", "zz", "ADD", 2, None), ("d", None, "EXEC", 3, 0.1)], train.schema)
     got = V.tokenize(new, v, ["event_idx"]).orderBy("event_idx").collect()
     assert [r["tok_x_bin"] for r in got] == [7, 2, 6] and [r["tok_ex"] for r in got] == [7, 1, 2]
