@@ -58,7 +58,7 @@ CONTEXT = {
     "secret": r"login|user|config|export|key", "person": r"dear|by|from|with|contact|sehr",
 }
 SHAPE = {
-    "email": r"^[a-z0-9][a-z0-9._%+-]*@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,12}$",
+    "email": r"^[a-z0-9][a-z0-9._%+-]*@[a-z0-9][a-z0-9.-]*\.[a-z]{2,12}$",
     "ip": r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$", "card": r"^(?:[0-9]{16}|(?:[0-9]{4}[ -]){3}[0-9]{4})",
     "phone": r"^\+[0-9]{1,3}[ .-]?(?:\([0-9]+\)[ .-]?)?[0-9]+(?:[ .-][0-9]+)*$", "ssn": r"^[0-9-]+$",
     "iban": r"^[a-z]{2}[0-9]{2}[a-z0-9]*[0-9]{6}", "local_phone": r"[0-9]{4}$", "secret": r"[a-f0-9]{12,}|[0-9]",
