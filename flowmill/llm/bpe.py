@@ -93,7 +93,7 @@ class Vocabulary:
         """The same by a heap over a linked list, for fragments of any length."""
         import heapq
 
-        n, ranks = len(parts), self.ranks
+        parts, n, ranks = list(parts), len(parts), self.ranks
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
         heap = [(ranks[p], i, p) for i in range(n - 1) if (p := (parts[i], parts[i + 1])) in ranks]
         heapq.heapify(heap)
