@@ -107,6 +107,11 @@ def latest(expr: Column) -> Running:
     return Running("latest", expr)
 
 
+def earlier(expr: Column) -> Running:
+    """Last non-null value before the current row."""
+    return Running("earlier", expr)
+
+
 def previous(expr: Column) -> Running:
     """Value on the preceding row, null on the first."""
     return Running("previous", expr)
@@ -157,8 +162,9 @@ def running(
             summary.append(F.max(e).alias(tot))
             carry[car] = F.max(tot).over(before)
             final[name] = F.greatest(F.col(loc), F.col(car))
-        elif spec.kind == "latest":
-            local[loc] = F.last(e, ignorenulls=True).over(upto)
+        elif spec.kind in ("latest", "earlier"):
+            seen = upto if spec.kind == "latest" else inside.rowsBetween(Window.unboundedPreceding, -1)
+            local[loc] = F.last(e, ignorenulls=True).over(seen)
             summary.append(F.max(F.when(e.isNotNull(), F.struct(at.alias("at"), e.alias("v")))).alias(tot))
             carry[car] = F.last(tot, ignorenulls=True).over(before)
             final[name] = F.coalesce(F.col(loc), F.col(car)["v"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -109,13 +110,13 @@ def clearing_price(orders: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def depth_at(
-    orders: DataFrame, fills: DataFrame, cancels: DataFrame, cuts: Sequence, max_levels: int = 10
+    orders: DataFrame, fills: DataFrame, cancels: DataFrame, cuts: Sequence, max_levels: int | None = None
 ) -> DataFrame:
     """Live quantity by price level at each cut time: ``(cut, symbol, side, level, price, quantity)``.
 
     ``orders``: order_id, symbol, side, price, quantity, time; ``fills``: order_id,
     quantity, time; ``cancels``: order_id, time. One signed change log, one grouped
-    sum per order for all cuts together, then the best levels per side.
+    sum per order for all cuts together, then all levels per side or the best ``max_levels``.
     """
     log = (
         orders.select("order_id", F.col("time"), F.col("quantity").alias("change"), F.lit(False).alias("gone"))
@@ -144,7 +145,8 @@ def depth_at(
     )
     toward = F.when(F.col("side") == "B", -F.col("price")).otherwise(F.col("price"))
     rank = F.row_number().over(Window.partitionBy("cut", "symbol", "side").orderBy(toward))
-    return levels.withColumn("level", rank).where(F.col("level") <= max_levels)
+    levels = levels.withColumn("level", rank)
+    return levels if max_levels is None else levels.where(F.col("level") <= max_levels)
 
 
 def book_state(levels: DataFrame, keys: Sequence[str], tick: int = 100) -> DataFrame:
@@ -280,11 +282,17 @@ LEVEL_PREFIXES = {
 }
 
 
-def level_arrays(df: DataFrame, n_levels: int = 10) -> DataFrame:
-    """Fold vendor level columns into four arrays, found by name and ordered by level."""
+def level_arrays(df: DataFrame, n_levels: int | None = None) -> DataFrame:
+    """Fold vendor level columns into four arrays, found by name and ordered by level number.
+
+    A level column is a prefix, a separator or none, and a number; other columns stay as they are.
+    ``n_levels`` keeps the best levels only.
+    """
     arrays, used = {}, set()
     for target, prefixes in LEVEL_PREFIXES.items():
-        hits = sorted((c for c in df.columns if c.lower().startswith(prefixes)), key=lambda c: (len(c), c))
+        pattern = re.compile(rf"(?:{'|'.join(prefixes)})[_. -]?(\d+)", re.IGNORECASE)
+        found = {c: pattern.fullmatch(c) for c in df.columns}
+        hits = sorted((c for c, m in found.items() if m), key=lambda c: (int(found[c][1]), c))
         used.update(hits)
         arrays[target] = F.array(*[F.col(c).cast("double") for c in hits[:n_levels]])
     rest = [c for c in df.columns if c not in used]
@@ -293,11 +301,14 @@ def level_arrays(df: DataFrame, n_levels: int = 10) -> DataFrame:
 
 def reconcile_snapshots(
     rebuilt: DataFrame, reference: DataFrame, by: Sequence[str], time: str, n_levels: int = 10,
-    price_tol: float = 1e-4, qty_rtol: float = 1e-6,
+    price_tol: float = 1e-4, qty_rtol: float = 1e-6, tie: Sequence[str] = (),
 ) -> DataFrame:
-    """Level-wise agreement of vendor snapshots with the last rebuilt book at or before them."""
-    books = rebuilt.select(*by, F.col(time).alias("__bt"), *[F.col(c).alias(f"r_{c}") for c in LEVEL_PREFIXES])
-    joined = as_of(reference, books, by, time, "__bt", [f"r_{c}" for c in LEVEL_PREFIXES], strict=False)
+    """Level-wise agreement of vendor snapshots with the last rebuilt book at or before them.
+
+    Of several books at one time the one with the greatest ``tie`` columns counts; without them it is an error.
+    """
+    books = rebuilt.select(*by, *[F.col(c).alias(f"__k_{c}") for c in tie], F.col(time).alias("__bt"), *[F.col(c).alias(f"r_{c}") for c in LEVEL_PREFIXES])
+    joined = as_of(reference, books, by, time, "__bt", [f"r_{c}" for c in LEVEL_PREFIXES], strict=False, tie=[f"__k_{c}" for c in tie])
     joined = joined.where(F.col("matched_time").isNotNull())
 
     def compare(side: str) -> Column:

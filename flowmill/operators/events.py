@@ -120,8 +120,10 @@ def event_stream(rows: DataFrame, version: str = ORDER_EXCHANGE_V2) -> DataFrame
         F.when(trade, F.col("trade_volume")).otherwise(F.col("order_volume")).alias("volume"),
         "orderorino", "buy_id", "sell_id",
     )
+    # the content decides between rows that the version's key leaves equal, so a retried task numbers alike
+    content = ["type", "price", "volume", "orderorino", "buy_id", "sell_id", "side"]
     work = B.running(
-        work, ["date", "symbol"], order_columns(version),
+        work, ["date", "symbol"], [*order_columns(version), *content],
         {"event_idx": B.number(), "__prev": B.previous(F.col("int_time"))},
     )
     step = F.coalesce(F.col("int_time") - F.col("__prev"), F.lit(0).cast("long"))
@@ -227,6 +229,7 @@ def ew_vwap(
     version: str = TRANSFORM_CAUSAL_V2,
     out: str = "mid",
     width: int | None = None,
+    sorted_clock: bool = False,
 ) -> DataFrame:
     """Exponentially weighted trade price with a time half-life, in event order.
 
@@ -235,6 +238,10 @@ def ew_vwap(
     double range; one total per rebase block is carried into the next block, and
     anything older weighs below 2^-500. Before the first trade the first valid
     price seen so far stands in.
+
+    A step back from one trade to the next counts as no time: the decay runs on the total of the
+    forward steps. ``sorted_clock`` spares the passes that add them up, where the order of the
+    rows is that of the clock anyway.
     """
     if half_life_ms <= 0 or not math.isfinite(half_life_ms):
         raise ValueError("the half-life has to be a positive number of milliseconds")
@@ -245,8 +252,16 @@ def ew_vwap(
     p, q, t = F.col(price), F.col(qty), F.col(ms)
     priced = is_finite(p) & (p > 0)
     trade = is_trade & priced & (q > 0)
-    work = df.withColumn("__era", F.floor(t / span).cast("long"))
-    weight = F.when(trade, q * F.pow(F.lit(2.0), (t - F.col("__era") * span) / half_life_ms))
+    if sorted_clock:
+        work = df.withColumn("__clock", t)
+    else:
+        work = B.running(df, keys, order, {"__from": B.earlier(F.when(trade, t))}, width=width)
+        forward = F.when(trade, F.greatest(t - F.coalesce(F.col("__from"), t), F.lit(0)))
+        work = B.running(work, keys, order, {"__clock": B.total(forward)}, width=width).drop("__from")
+        work = work.withColumn("__clock", F.coalesce("__clock", F.lit(0)))
+    clock = F.col("__clock")
+    work = work.withColumn("__era", F.floor(clock / span).cast("long"))
+    weight = F.when(trade, q * F.pow(F.lit(2.0), (clock - F.col("__era") * span) / half_life_ms))
     work = work.withColumns({"__w": weight, "__wp": weight * p})
     at = F.struct(*[F.col(c) for c in order])
 
@@ -278,19 +293,22 @@ def ew_vwap(
         seed = F.when(at >= F.col("__seed")["at"], F.col("__seed")["p"])
     mid = F.coalesce(ratio, F.col("__open"), seed)
     return work.withColumn(out, mid).drop(
-        "__era", "__w", "__wp", "__d", "__n", "__den_in", "__num_in", "__open", "__seed"
+        "__clock", "__era", "__w", "__wp", "__d", "__n", "__den_in", "__num_in", "__open", "__seed"
     )
 
 
 def derived_features(
-    canon: DataFrame, half_life_ms: float = 5000.0, version: str = TRANSFORM_CAUSAL_V2
+    canon: DataFrame, half_life_ms: float = 5000.0, version: str = TRANSFORM_CAUSAL_V2, sorted_clock: bool = False
 ) -> DataFrame:
-    """Add ``mid``, ``price_rel``, ``log_volume`` and ``log_delta_t`` to canonical events."""
+    """Add ``mid``, ``price_rel``, ``log_volume`` and ``log_delta_t`` to canonical events.
+
+    ``sorted_clock`` may be set for streams in exchange order, whose clock never steps back.
+    """
     keys, order = ["date", "security_id"], ["event_idx"]
     work = canon.withColumn("__ms", M.packed_to_ms("int_time"))
     work = ew_vwap(
         work, keys, order, "price", "qty", F.col("evt_type") == "EXEC", "__ms", half_life_ms, version,
-        width=B.ROWS_PER_BLOCK,
+        width=B.ROWS_PER_BLOCK, sorted_clock=sorted_clock,
     )
     work = B.running(work, keys, order, {"__pms": B.previous(F.col("__ms"))}, width=B.ROWS_PER_BLOCK)
     usable = is_finite("price") & (F.col("price") > 0) & (F.col("mid") > 0)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowmill.functions.scalars import all_of, is_finite, zero_fill
+from flowmill.functions.scalars import all_of, any_of, is_finite, zero_fill
 from flowmill.operators import blocks as B
 
 
@@ -36,9 +36,13 @@ def as_of(
     values: Sequence[str],
     strict: bool = True,
     matched_time: str = "matched_time",
+    tie: Sequence[str] = (),
 ) -> DataFrame:
     """Latest ``right`` row at or before each ``left`` row (strictly before by default).
 
+    ``right`` has one row per key and time: null keys or times fail the job, and so do repeated ones
+    unless ``tie`` names the columns whose greatest values decide.
+
     Both sides go through one union ordered by time; the side rank decides ties and
     with them the strictness. The carried value crosses blocks, so a key of any size
     is spread over many tasks.
@@ -51,9 +55,14 @@ def as_of(
         *by, F.col(left_time).alias("__t"), F.lit(query_rank).alias("__side"),
         F.struct(*payload).alias("__left"),
     )
-    h = right.select(
-        *by, F.col(right_time).alias("__t"), F.lit(history_rank).alias("__side"), history.alias("__right")
-    )
+    at = F.col(right_time)
+    chosen = F.max_by(history, F.struct(*[F.col(c) for c in tie])) if tie else F.first(history)
+    h = right.groupBy(*by, at.alias("__t")).agg(chosen.alias("__right"), F.count(F.lit(1)).alias("__n"))
+    refused = F.when(any_of([F.col(c).isNull() for c in (*by, "__t")]), F.lit("null key or time in the history"))
+    if not tie:
+        refused = refused.when(F.col("__n") > 1, F.lit("repeated key and time in the history"))
+    sound = F.when(refused.isNull(), F.col("__right")).otherwise(F.raise_error(refused))
+    h = h.select(*by, "__t", F.lit(history_rank).alias("__side"), sound.alias("__right"))
     both = q.unionByName(h, allowMissingColumns=True)
     both = B.running(both, by, ["__t", "__side"], {"__hit": B.latest(F.col("__right"))})
     hits = both.where(F.col("__side") == query_rank)

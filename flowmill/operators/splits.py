@@ -211,10 +211,10 @@ def balanced_sample(
     work = df.withColumns({
         "__pr": key_digest(F.lit(seed), *identity), "__ps": key_digest(F.lit(seed), F.lit("stratum"), *strata),
     })
-    ranked = B.ordinal_rank(work, strata, ["__pr"], "round")
-    if per_stratum is not None:
-        ranked = ranked.where(F.col("round") <= per_stratum)
-    return ranked.orderBy("round", "__ps").limit(max_rows).drop("__pr", "__ps")
+    # no stratum gives more than the whole sample; Spark prunes each task to that many rows before the shuffle
+    most = max_rows if per_stratum is None else min(per_stratum, max_rows)
+    ranked = work.withColumn("round", F.row_number().over(Window.partitionBy(*strata).orderBy("__pr")).cast("long"))
+    return ranked.where(F.col("round") <= most).orderBy("round", "__ps").limit(max_rows).drop("__pr", "__ps")
 
 
 def epoch_assignment(windows: DataFrame, shard: str, window: str, epoch: int, ranks: int, seed: int = 0) -> DataFrame:

@@ -345,19 +345,26 @@ def adjacent_turnover(scores: DataFrame, top_k: int, score: str = "score", day:
     )
 
 
-def ledger(holdings: DataFrame, buy_bps: float, sell_bps: float, stamp_bps: float = 0.0, day: str = "date") -> DataFrame:
-    """Daily accounting of a given holdings table ``(date, symbol, weight, fwd_ret)``."""
-    days = day_index(holdings, day)
+def ledger(
+    holdings: DataFrame, buy_bps: float, sell_bps: float, stamp_bps: float = 0.0, day: str = "date",
+    calendar: DataFrame | None = None,
+) -> DataFrame:
+    """Daily accounting of a given holdings table ``(date, symbol, weight, fwd_ret)``.
+
+    A name that leaves is sold at the weight it had, one that enters is bought at the weight it gets.
+    Days of ``calendar`` without holdings are rows as well, and carry the sales of the day before.
+    """
+    days = day_index(holdings if calendar is None else calendar, day)
     held = holdings.join(days, day).select("d", "symbol", "weight", "fwd_ret")
-    before = held.select((F.col("d") + 1).alias("d"), "symbol", F.lit(1).alias("__was"))
-    both = held.withColumn("__now", F.lit(1)).join(before, ["d", "symbol"], "full_outer").join(days, "d")
-    bought, sold = F.col("__was").isNull(), F.col("__now").isNull()
+    before = held.select((F.col("d") + 1).alias("d"), "symbol", F.lit(1).alias("__was"), F.col("weight").alias("__old"))
+    both = days.join(held.withColumn("__now", F.lit(1)).join(before, ["d", "symbol"], "full_outer"), "d", "left")
+    amount = lambda when, c: F.coalesce(F.sum(F.when(F.col(when).isNull(), F.col(c))), F.lit(0.0))
     out = both.groupBy("d", day).agg(
         F.coalesce(F.sum(F.col("weight") * F.when(is_finite("fwd_ret"), F.col("fwd_ret")).otherwise(0.0)), F.lit(0.0)).alias("gross_return"),
         F.count("__now").alias("n_holdings"),
-        (F.count_if(bought) * F.max("weight")).alias("buy_notional"),
-        (F.count_if(sold) * F.max("weight")).alias("sell_notional"),
-        F.sum("weight").alias("__w"),
+        amount("__was", "weight").alias("buy_notional"),
+        amount("__now", "__old").alias("sell_notional"),
+        F.coalesce(F.sum("weight"), F.lit(0.0)).alias("__w"),
     )
     cost = (F.col("buy_notional") * buy_bps + F.col("sell_notional") * (sell_bps + stamp_bps)) / 1e4
     out = out.withColumns({
@@ -420,9 +427,10 @@ def stylised_facts(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
     """Excess kurtosis and mean autocorrelation of the absolute centred value over lags 1..L.
 
     The sum over all lags is a difference of prefix sums, so one self join on the row
-    number replaces L lagged copies.
+    number replaces L lagged copies. Keys with fewer than L + 2 finite values keep their count, with nulls.
     """
     keys = list(keys)
+    sizes = df.groupBy(*keys).agg(F.count_if(is_finite(value)).alias("n_rows"))
     clean = finite_rows(df, [value]).select(*keys, *order, F.col(value).alias("r"))
     clean = B.with_group_stats(clean, keys, n=F.count(F.lit(1)), __m=F.avg("r"), __k=F.kurtosis("r"))
     clean = clean.where(F.col("n") >= max_lag + 2).withColumn("a", F.abs(F.col("r") - F.col("__m")))
@@ -433,11 +441,11 @@ def stylised_facts(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
     out = pre.join(ahead, [*keys, "i"], "left").join(total, keys)
     reach = F.coalesce(F.col("s_ahead"), F.col("s_all")) - F.col("s")
     acf = F.sum(F.col("a") * reach) / (F.first("den") * max_lag)
-    return out.groupBy(*keys).agg(
-        F.first("n").alias("n_rows"),
+    facts = out.groupBy(*keys).agg(
         finite_or_null(F.first("__k")).alias("excess_kurtosis"),
         F.when(F.first("den") > 0, acf).otherwise(0.0).alias("vol_clustering_acf"),
     )
+    return sizes.join(facts, keys, "left")
 
 
 def linear_scores(df: DataFrame, columns: Sequence[str], weights: Sequence[float], out: str = "score") -> DataFrame:

@@ -297,7 +297,7 @@ def tokens_first_version(spark, d):
 @query("causal_token_table")
 def causal_token_table(spark, d):
     """The full feed path: events, causal features, vocabulary fitted on early days, tokens."""
-    feats = staged(E.derived_features(staged(canon(spark, d), "canon"), 120_000.0), "features")
+    feats = staged(E.derived_features(staged(canon(spark, d), "canon"), 120_000.0, sorted_clock=True), "features")
     specs = (
         V.FieldSpec("evt_type", "evt_type", "categorical"), V.FieldSpec("side", "side", "categorical"),
         V.FieldSpec("session", "session", "categorical"), V.FieldSpec("price", "price_rel", "ordinal", 32),
@@ -400,17 +400,17 @@ def fit_date_leaks(spark, d):
 
 @query(
     "routing_health",
-    f"""WITH p AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: abs(x::DOUBLE) + 0.01::DOUBLE) AS a FROM embeddings),
+    f"""WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: abs(x::DOUBLE) + 0.01::DOUBLE) AS a FROM embeddings),
           n AS (SELECT vec_id, list_transform(a, lambda x: x / list_sum(a)) AS p FROM p),
           x AS (SELECT vec_id, unnest(p) AS p, generate_subscripts(p, 1) - 1 AS expert FROM n),
           r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, expert) AS k FROM x),
-          t AS (SELECT avg(en) AS ent, avg(mx) AS mx, count(*) AS c FROM (SELECT vec_id, -sum(p * ln(p)) / ln(4.0) AS en, max(p) AS mx FROM x GROUP BY 1))
+          t AS (SELECT avg(en) AS ent, avg(mx) AS mx, count(*) AS c FROM (SELECT vec_id, -sum(p * ln(p)) / ln(count(*)) AS en, max(p) AS mx FROM x GROUP BY 1))
         SELECT expert::INT AS expert, {sql_round("count(*)::DOUBLE / (2 * c)")} AS expert_fraction, {sql_round("ent", 6)} AS normalized_entropy,
                {sql_round("mx", 6)} AS mean_top1_probability FROM r, t WHERE k <= 2 GROUP BY expert, c, ent, mx""",
 )
 def routing_health(spark, d):
-    first = F.slice(F.col("embedding").cast("array<double>"), 1, 4)
-    raw = table(spark, d, "embeddings").select(F.transform(first, lambda x: F.abs(x) + 0.01).alias("a"))
+    whole = F.col("embedding").cast("array<double>")
+    raw = table(spark, d, "embeddings").select(F.transform(whole, lambda x: F.abs(x) + 0.01).alias("a"))
     total = F.aggregate("a", F.lit(0.0), lambda s, x: s + x)
     probs = raw.select(total.alias("t"), "a").select(F.transform("a", lambda x: x / F.col("t")).alias("p"))
     out = V.routing_health(probs, "p", 2)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowmill.functions import market as M
-from flowmill.functions.scalars import day_text, is_iso_date, parse_day, zero_fill
+from flowmill.functions.scalars import day_text, is_iso_date, parse_day
 from flowmill.operators import events as E
 from flowmill.plans.base import BOARD_SQL, CANON, MS_SQL, RAW, STREAM, raw_rows, table
 from flowmill.plans.registry import query, rounded, sql_round
@@ -40,9 +40,7 @@ def projected_scan(spark, d):
     "SELECT l_suppkey AS symbol, count(*) AS n_rows FROM lineitem WHERE l_suppkey IN (1, 3, 5) GROUP BY 1",
 )
 def symbol_filtered_keys(spark, d):
-    df = io.read_keys(spark, [[f"{d}/lineitem.parquet"]])
-    wanted = ["000001", "000003", "000005"]
-    df = df.withColumn("symbol", zero_fill("l_suppkey")).where(F.col("symbol").isin(*wanted))
+    df = io.read_keys(spark, [[f"{d}/lineitem.parquet"]], ["000001", "000003", "000005"], ["l_suppkey"], symbol="l_suppkey")
     return df.groupBy(F.col("l_suppkey").alias("symbol")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -340,7 +338,7 @@ feat AS (
         FROM feat""",
 )
 def causal_features(spark, d):
-    out = E.derived_features(staged(canon(spark, d), "canon"), _HALF_LIFE)
+    out = E.derived_features(staged(canon(spark, d), "canon"), _HALF_LIFE, sorted_clock=True)
     return out.select("date", "security_id", "event_idx", *[rounded(c).alias(c) for c in ("mid", "price_rel", "log_volume", "log_delta_t")])
 
 
@@ -351,7 +349,7 @@ def causal_features(spark, d):
         FROM feat""",
 )
 def causal_features_backfilled(spark, d):
-    out = E.derived_features(staged(canon(spark, d), "canon"), _HALF_LIFE, E.TRANSFORM_BACKFILL_V1)
+    out = E.derived_features(staged(canon(spark, d), "canon"), _HALF_LIFE, E.TRANSFORM_BACKFILL_V1, sorted_clock=True)
     return out.select("date", "security_id", "event_idx", rounded("mid").alias("mid"), rounded("price_rel").alias("price_rel"))
 
 

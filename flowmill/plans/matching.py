@@ -316,8 +316,8 @@ def market_order_class(spark, d):
 @query(
     "clearing_price",
     """WITH o AS (SELECT strftime(l_shipdate, '%Y-%m') AS month, CAST(round(l_extendedprice / 500) AS BIGINT) AS price,
-                    l_quantity::BIGINT AS q, CASE WHEN l_returnflag = 'A' THEN 'S' ELSE 'B' END AS side
-             FROM lineitem WHERE l_returnflag <> 'N'),
+                    l_quantity::BIGINT AS q, CASE WHEN l_returnflag = 'A' OR l_returnflag = 'N' AND l_linenumber % 2 = 0 THEN 'S' ELSE 'B' END AS side
+             FROM lineitem),
          l AS (SELECT month, price, sum(CASE WHEN side = 'B' THEN q ELSE 0 END) AS b,
                  sum(CASE WHEN side = 'S' THEN q ELSE 0 END) AS s FROM o GROUP BY ALL),
          c AS (SELECT month, price, least(sum(b) OVER (PARTITION BY month ORDER BY price DESC),
@@ -326,12 +326,12 @@ def market_order_class(spark, d):
        FROM c WHERE volume > 0 GROUP BY month""",
 )
 def clearing_price(spark, d):
-    li = table(spark, d, "lineitem").where(F.col("l_returnflag") != "N")
-    orders = li.select(
+    sold = (F.col("l_returnflag") == "A") | (F.col("l_returnflag") == "N") & (F.col("l_linenumber") % 2 == 0)
+    orders = table(spark, d, "lineitem").select(
         F.date_format("l_shipdate", "yyyy-MM").alias("month"),
         F.round(F.col("l_extendedprice") / 500).cast("long").alias("price"),
         F.col("l_quantity").cast("long").alias("quantity"),
-        F.when(F.col("l_returnflag") == "A", "S").otherwise("B").alias("side"),
+        F.when(sold, "S").otherwise("B").alias("side"),
     )
     return K.clearing_price(orders, ["month"])
 
@@ -370,7 +370,7 @@ live AS (
              AND x.event_id - 5 = o.order_id AND x.ts <= cut)),
 lv AS (SELECT cut, symbol, side, price, sum(q)::BIGINT AS quantity FROM live WHERE q > 0 GROUP BY ALL),
 lev AS (SELECT *, row_number() OVER (PARTITION BY cut, symbol, side
-          ORDER BY CASE WHEN side = 'B' THEN -price ELSE price END)::INT AS level FROM lv QUALIFY level <= 10)"""
+          ORDER BY CASE WHEN side = 'B' THEN -price ELSE price END)::INT AS level FROM lv)"""
 
 
 @query(
@@ -547,7 +547,7 @@ def vendor_level_arrays(spark, d):
 @query(
     "snapshot_reconciliation",
     f"""WITH {RAW}, v AS (SELECT date, symbol, int_time, serial, trade_price + order_price AS px FROM raw),
-          rb AS (SELECT * FROM v WHERE serial % 4 <> 1),
+          rb AS (SELECT * FROM v WHERE serial % 4 <> 1 QUALIFY row_number() OVER (PARTITION BY date, symbol, int_time ORDER BY serial DESC) = 1),
           rf AS (SELECT * FROM v WHERE serial % 3 = 0),
           j AS (SELECT rf.*, rb.px AS bpx, rb.serial AS bs FROM rf ASOF JOIN rb
                 ON rf.date = rb.date AND rf.symbol = rb.symbol AND rf.int_time >= rb.int_time),
@@ -564,6 +564,6 @@ def snapshot_reconciliation(spark, d):
     snaps = K.level_arrays(_vendor_snapshots(spark, d)).select(
         "date", "symbol", "int_time", "serial", "bid_px", "bid_qty", "ask_px", "ask_qty"
     )
-    rebuilt = snaps.where(F.col("serial") % 4 != 1).drop("serial")
+    rebuilt = snaps.where(F.col("serial") % 4 != 1)
     reference = snaps.where(F.col("serial") % 3 == 0).drop("serial")
-    return K.reconcile_snapshots(rebuilt, reference, ["date", "symbol"], "int_time")
+    return K.reconcile_snapshots(rebuilt, reference, ["date", "symbol"], "int_time", tie=["serial"])

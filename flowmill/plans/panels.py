@@ -577,10 +577,10 @@ _HOLD = f"""{FWD}, hold AS (SELECT date, symbol, 0.1::DOUBLE AS weight, fwd_ret
     "holdings_ledger",
     f"""WITH {_HOLD}, dd AS (SELECT date, row_number() OVER (ORDER BY date) AS d FROM (SELECT DISTINCT date FROM hold)),
          h AS (SELECT * FROM hold JOIN dd USING (date)),
-         f AS (SELECT d, weight, fwd_ret, a, b FROM (SELECT *, 1 AS a FROM h) x
-               FULL JOIN (SELECT d + 1 AS d, symbol, 1 AS b FROM h) y USING (d, symbol) WHERE d IN (SELECT d FROM dd)),
+         f AS (SELECT d, weight, old, fwd_ret, a, b FROM (SELECT *, 1 AS a FROM h) x
+               FULL JOIN (SELECT d + 1 AS d, symbol, weight AS old, 1 AS b FROM h) y USING (d, symbol) WHERE d IN (SELECT d FROM dd)),
          g AS (SELECT d, coalesce(sum(weight * coalesce(fwd_ret, 0)), 0) AS gross, count(a) AS n,
-                 count(*) FILTER (b IS NULL) * max(weight) AS bn, count(*) FILTER (a IS NULL) * max(weight) AS sn, sum(weight) AS w
+                 coalesce(sum(weight) FILTER (b IS NULL), 0) AS bn, coalesce(sum(old) FILTER (a IS NULL), 0) AS sn, coalesce(sum(weight), 0) AS w
                FROM f GROUP BY d),
          c AS (SELECT *, (bn * 10 + sn * 15) / 1e4 AS cost FROM g)
         SELECT date, n AS n_holdings, {sql_round("gross")} AS gross_return, {sql_round("bn")} AS buy_notional, {sql_round("sn")} AS sell_notional,
@@ -643,11 +643,12 @@ def neutralised_returns_two_factors(spark, d):
          z AS (SELECT symbol, n, c, a - avg(a) OVER (PARTITION BY symbol) AS a,
                  row_number() OVER (PARTITION BY symbol ORDER BY date) AS i FROM a),
          l AS (SELECT x.symbol, sum(x.a * y.a) AS num FROM z x JOIN z y ON x.symbol = y.symbol AND y.i - x.i BETWEEN 1 AND 5 GROUP BY 1)
-        SELECT z.symbol, any_value(n) AS n_rows, {sql_round("avg(pow(c, 4)) / pow(avg(c * c), 2) - 3", 6)} AS excess_kurtosis,
-               {sql_round("any_value(num) / (sum(a * a) * 5)", 7)} AS vol_clustering_acf FROM z JOIN l USING (symbol) GROUP BY 1""",
+        SELECT s.symbol, s.n_rows, k.* EXCLUDE (symbol) FROM (SELECT symbol, count(fwd_ret) AS n_rows FROM fwd GROUP BY 1) s LEFT JOIN
+          (SELECT z.symbol, {sql_round("avg(pow(c, 4)) / pow(avg(c * c), 2) - 3", 6)} AS excess_kurtosis,
+               {sql_round("any_value(num) / (sum(a * a) * 5)", 7)} AS vol_clustering_acf FROM z JOIN l USING (symbol) GROUP BY 1) k USING (symbol)""",
 )
 def stylised_facts(spark, d):
-    df = staged_forward(spark, d).withColumn("i", F.dayofyear("date"))
+    df = staged_forward(spark, d).withColumn("i", F.unix_date(F.to_date("date")))
     out = X.stylised_facts(df, ["symbol"], ["i"], "fwd_ret", 5)
     return out.withColumns({"excess_kurtosis": rounded("excess_kurtosis", 6), "vol_clustering_acf": rounded("vol_clustering_acf", 7)})
 

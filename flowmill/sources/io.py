@@ -53,10 +53,11 @@ def read_keys(
     families: Sequence[Sequence[str]],
     symbols: Sequence[str] = (),
     columns: Sequence[str] | None = None,
+    symbol: str = "symbol",
 ) -> DataFrame:
     """Read parquet keys, one scan per schema family, with pushed symbol filter and projection.
 
-    A string symbol column is compared as stored, so the filter reaches the scan;
+    A symbol column of strings or integers is compared as stored, so the filter reaches the scan;
     only other types pay for a cast.
     """
     wanted = [s.zfill(6) for s in symbols]
@@ -64,9 +65,11 @@ def read_keys(
     for keys in families:
         df = spark.read.parquet(*keys)
         if wanted:
-            stored = dict(df.dtypes).get("symbol")
-            match = F.col("symbol") if stored == "string" else zero_fill("symbol")
-            df = df.where(match.isin(*wanted))
+            stored = dict(df.dtypes).get(symbol)
+            if stored in ("tinyint", "smallint", "int", "bigint"):
+                df = df.where(F.col(symbol).isin(*[int(s) for s in wanted if s.isdecimal()]))
+            else:
+                df = df.where((F.col(symbol) if stored == "string" else zero_fill(symbol)).isin(*wanted))
         if columns is not None:
             df = df.select(*[c for c in columns if c in df.columns])
         frames.append(df)

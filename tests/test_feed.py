@@ -142,3 +142,13 @@ def test_dense_blocks_need_no_quantiles(spark):
     df = spark.range(100).select(F.lit("k").alias("key"), F.col("id").alias("i"))
     got = B.running(df, ["key"], ["i"], {"p": B.previous(F.col("i")), "n": B.number()}, width=9).orderBy("i").collect()
     assert [r["p"] for r in got] == [None, *range(99)] and [r["n"] for r in got] == list(range(1, 101))
+
+
+def test_ew_vwap_on_a_clock_that_steps_back(spark):
+    ms, price, qty = [0, 4000, 1000, 2500, 3000], [10.0, 11.0, 12.0, 99.0, 13.0], [100.0] * 5
+    trade = [True, True, True, False, True]
+    rows = [("k", i, *r) for i, r in enumerate(zip(price, qty, trade, ms))]
+    df = spark.createDataFrame(rows, "key string, i long, p double, q double, tr boolean, ms long")
+    out = E.ew_vwap(df, ["key"], ["i"], "p", "q", F.col("tr"), "ms", 5000.0).orderBy("i").toPandas()
+    want = loop_mid(np.array(price), np.array(qty), np.array(trade), np.array(ms), 5000.0, False)
+    np.testing.assert_allclose(out["mid"].to_numpy(dtype=float), want, rtol=1e-12)

@@ -125,3 +125,20 @@ def test_snapshot_levels(spark):
     reb = spark.createDataFrame([("s", 4, [10.0, 8.0], [100.0, 60.0], [11.0], [10.5])], ref.schema)
     got = {r["level"]: (r["n_compared"], r["n_price_match"], r["n_qty_match"]) for r in K.reconcile_snapshots(reb, ref, ["s"], "t").collect()}
     assert got == {1: (2, 2, 2), 2: (1, 0, 0)}
+
+
+def test_as_of_history_has_one_row_per_key_and_time(spark):
+    left = spark.createDataFrame([("A", 5)], "s string, t long")
+    twice = spark.createDataFrame([("A", 1, 10, 1), ("A", 1, 11, 2)], "s string, e long, v long, n long")
+    with pytest.raises(PySparkException, match="repeated key"):
+        J.as_of(left, twice, ["s"], "t", "e", ["v"]).collect()
+    assert J.as_of(left, twice, ["s"], "t", "e", ["v"], tie=["n"]).first()["v"] == 11
+    unkeyed = spark.createDataFrame([(None, 1, 10)], "s string, e long, v long")
+    with pytest.raises(PySparkException, match="null key"):
+        J.as_of(left, unkeyed, ["s"], "t", "e", ["v"]).collect()
+
+
+def test_level_arrays_keep_every_level_and_leave_other_columns(spark):
+    names = [f"ap{i}" for i in range(1, 13)] + ["avg_price", "av_1"]
+    out = K.level_arrays(spark.createDataFrame([tuple(range(1, 15))], names)).first()
+    assert out["ask_px"] == [float(i) for i in range(1, 13)] and out["ask_qty"] == [14.0] and out["avg_price"] == 13

@@ -226,3 +226,21 @@ def test_shared_folder_comes_from_the_session():
         shared_dir(fake_session("spark://host"))
     local = fake_session("local[2]")
     assert shared_dir(local) == shared_dir(local)
+
+
+def test_ledger_trades_at_the_weights_of_the_names(spark):
+    held = spark.createDataFrame(
+        [(1, "A", 0.5, 0.0), (1, "B", 0.5, 0.0), (2, "C", 0.7, 0.0), (2, "D", 0.3, 0.0)], "date int, symbol string, weight double, fwd_ret double"
+    )
+    days = spark.createDataFrame([(1,), (2,), (3,)], "date int")
+    out = X.ledger(held, 10.0, 10.0, calendar=days).orderBy("date").collect()
+    assert [(round(r["buy_notional"], 9), round(r["sell_notional"], 9), r["n_holdings"]) for r in out] == [(1.0, 0.0, 2), (1.0, 1.0, 2), (0.0, 1.0, 0)]
+    assert out[2]["cash_weight"] == 1.0 and abs(out[2]["cost"] - 1e-3) < 1e-12
+
+
+def test_stylised_facts_keep_short_keys(spark):
+    rows = [("long", i, float(i * i % 7)) for i in range(30)] + [("short", i, float(i)) for i in range(3)] + [("none", 0, None)]
+    df = spark.createDataFrame(rows, "symbol string, i int, r double")
+    out = {r["symbol"]: r for r in X.stylised_facts(df, ["symbol"], ["i"], "r", 5).collect()}
+    assert out["long"]["vol_clustering_acf"] is not None
+    assert (out["short"]["n_rows"], out["none"]["n_rows"]) == (3, 0) and out["short"]["excess_kurtosis"] is None
