@@ -7,11 +7,12 @@
    ``COLLISIONS`` values or more among their first ``COORDINATES - MATCHES + COLLISIONS``; only these are posted.
    The order comes from counts in 2**18 cells (a fixed size); any order is right, this one keeps frequent
    values out of the lists.
-4. Merging with skips: a list has up to ``HEADS`` heads (the least members under as many hashes), and each class
-   is first compared with the ``TRIED`` heads it meets most often. What is confirmed is contracted to
+4. Merging with skips: a list has up to ``HEADS`` heads, the members whose coordinate-values are the most common
+   ones (the middle of a group of near copies, which links to most of it) and the least member under a hash; each
+   class is first compared with the ``TRIED`` heads it meets most often. What is confirmed is contracted to
    components; a list that lies within one component is skipped, in the others all pairs of different
-   components are merged and their collisions counted. Coordinates outside the prefix are probed on packed
-   signatures of ``PROBES`` coordinates, and pairs below ``PROBE_MATCHES`` fall out before they are counted.
+   components are merged. A pair counts its collisions where it meets first and is posted there alone. Before,
+   it is probed on ``PROBES`` further coordinates of one bit each, and falls out below ``PROBE_MATCHES``.
 5. The rest is confirmed on the full shingle sets. Components of confirmed links and copies are the result.
 """
 
@@ -28,10 +29,9 @@ from flowmill.session import staged
 
 COORDINATES, MATCHES, COLLISIONS = 64, 36, 4
 PREFIX = COORDINATES - MATCHES + COLLISIONS
-PROBES, PROBE_MATCHES = 256, 181  # at the threshold 208 agree on average, 4.3 deviations more
-HEADS, TRIED = 6, 3
+PROBES, PROBE_MATCHES = 2048, 1785  # at the threshold 1843 agree on average, 4.3 deviations more
+HEADS, TRIED = 3, 3
 CELL_BITS, ID_CELL_BITS = 18, 24
-_BITS = 4  # of each coordinate, packed 16 to a long
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -49,7 +49,7 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
 
 def signature(shingles: np.ndarray) -> np.ndarray:
     """For each coordinate the scrambled value of the shingle that comes first in its order."""
-    salt, factor = seeded(11, PROBES), seeded(12, PROBES)
+    salt, factor = seeded(11, COORDINATES), seeded(12, COORDINATES)
     least = None
     for at in range(0, len(shingles), 512):
         part = ((shingles[at : at + 512, None] ^ salt) * factor).min(axis=0)
@@ -57,20 +57,22 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return mixed(least ^ salt)
 
 
-def packed(values: np.ndarray) -> np.ndarray:
-    nibbles = (values & U64(15)).reshape(-1, 16)
-    return np.bitwise_or.reduce(nibbles << (np.arange(16, dtype=U64) * U64(_BITS)), axis=1)
+def probes(shingles: np.ndarray) -> np.ndarray:
+    """One bit of the first shingle in each of ``PROBES`` further orders, packed 64 to a long."""
+    salt, factor = (seeded(n, PROBES).astype(np.uint32) | np.uint32(1) for n in (13, 14))
+    high, least = (shingles >> U64(32)).astype(np.uint32), None
+    for at in range(0, len(high), 64):
+        part = ((high[at : at + 64, None] ^ salt) * factor).min(axis=0)
+        least = part if least is None else np.minimum(least, part)
+    bits = (mixed(least.astype(U64) ^ seeded(15, PROBES)) & U64(1)).astype(np.uint8)
+    return np.packbits(bits).view(U64)
 
 
 def _agreeing(a: str, b: str) -> Column:
-    """How many packed coordinates agree: by chance a few more than the true matches, never fewer."""
-    longs = range(PROBES // 16)
-    ones = F.lit(0x1111111111111111)
+    """How many probes agree: half of those whose shingles differ do so by chance."""
     differ = F.lit(0)
-    for i in longs:
-        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
-        any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
-        differ = differ + F.bit_count(any_bit.bitwiseAND(ones))
+    for i in range(PROBES // 64):
+        differ = differ + F.bit_count(F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i))))
     return F.lit(PROBES) - differ
 
 
@@ -79,13 +81,13 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
         sets = shingle_sets(texts, size)
         digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
         full = [s for s in sets if len(s)]
-        values = np.stack([signature(s) for s in full]) if full else np.zeros((0, PROBES), U64)
-        bits = np.stack([packed(v) for v in values]) if full else np.zeros((0, PROBES // 16), U64)
+        values = np.stack([signature(s) for s in full]) if full else np.zeros((0, COORDINATES), U64)
+        bits = np.stack([probes(s) for s in full]) if full else np.zeros((0, PROBES // 64), U64)
         bounds = np.concatenate([[0], np.cumsum([len(s) > 0 for s in sets])])
         return {
             "id": part.column(0), "n_shingles": [len(s) for s in sets], "digest": digests,
-            "coordinates": lists(values[:, :COORDINATES].ravel(), bounds * COORDINATES, "int64"),
-            "bits": lists(bits.ravel(), bounds * (PROBES // 16), "int64"),
+            "coordinates": lists(values.ravel(), bounds * COORDINATES, "int64"),
+            "bits": lists(bits.ravel(), bounds * (PROBES // 64), "int64"),
         }
 
     schema = "id bigint, n_shingles bigint, digest binary, coordinates array<bigint>, bits array<bigint>"
@@ -93,7 +95,7 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _posts(classes: DataFrame, cells: np.ndarray) -> DataFrame:
-    """Of each class the ``PREFIX`` rarest coordinate-values (as keys) and the packed signature."""
+    """Of each class the ``PREFIX`` rarest coordinate-values (as keys), how common all its values are, and the probes."""
     shared = classes.sparkSession.sparkContext.broadcast(cells)
     tags = mixed(np.arange(1, COORDINATES + 1, dtype=U64))
 
@@ -108,11 +110,12 @@ def _posts(classes: DataFrame, cells: np.ndarray) -> DataFrame:
             order = np.lexsort((keys, count), axis=1)[:, :PREFIX]
             kept = np.take_along_axis(keys, order, axis=1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), lists(kept.ravel(), np.arange(n + 1) * PREFIX, "int64"), batch.column(3)],
-                names=["id", "n", "keys", "bits"],
+                [batch.column(0), batch.column(1), lists(kept.ravel(), np.arange(n + 1) * PREFIX, "int64"), pa.array(count.sum(axis=1)), batch.column(3)],
+                names=["id", "n", "keys", "common", "bits"],
             )
 
-    return classes.select("id", "n", "coordinates", "bits").mapInArrow(run, "id bigint, n bigint, keys array<bigint>, bits array<bigint>")
+    schema = "id bigint, n bigint, keys array<bigint>, common bigint, bits array<bigint>"
+    return classes.select("id", "n", "coordinates", "bits").mapInArrow(run, schema)
 
 
 def _cell_counts(classes: DataFrame) -> np.ndarray:
@@ -194,10 +197,12 @@ def near_duplicates(
     alike = lambda n, m: (100 * F.col(n) >= percent * F.col(m)) & (100 * F.col(m) >= percent * F.col(n))
     bits = lambda of, n, b: posts.select(F.col("id").alias(of), F.col("n").alias(n), F.col("bits").alias(b))
 
-    entries = posts.select("id", F.explode("keys").alias("key"))
+    entries = posts.select("id", "common", F.explode("keys").alias("key"))
     # lists are written before they are joined back: both sides then have exchanges of their own, whose hot
     # partitions adaptive execution may split
-    least = [F.min(F.struct(F.xxhash64("id", F.lit(i)), "id"))["id"] for i in range(HEADS)]
+    # the second middle is the most common member of one half of the ids, so it differs from the first in most lists
+    middle = [F.max(F.struct(F.when(c, F.col("common")).alias("common"), "id"))["id"] for c in (F.lit(True), F.xxhash64("id") % 2 == 0)]
+    least = [*middle, F.min(F.struct(F.xxhash64("id"), "id"))["id"]]
     heads = staged(entries.groupBy("key").agg(
         F.count(F.lit(1)).alias("members"), F.array_distinct(F.array(*least)).alias("heads")
     ).where("members > 1").select("key", "heads"), "lists")
@@ -213,13 +218,18 @@ def near_duplicates(
     placed = staged(posts.select("id", "keys").join(label, "id", "left").select("id", "keys", F.coalesce("part", "id").alias("part")), "placed")
     placed = placed.select(F.explode("keys").alias("key"), "id", "part")
     mixed_lists = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    # keys shortened to 32 bits tell which key of two classes is their first in common
+    tag = lambda c: F.shiftright(c, 32).cast("int")
+    fields = posts.select("id", "n", "bits", F.transform("keys", tag).alias("tags"))
     open_posts = staged(
-        placed.join(staged(mixed_lists, "lists"), "key", "left_semi").join(posts.select("id", "n", "bits"), "id"), "open"
+        placed.join(staged(mixed_lists, "lists"), "key", "left_semi").join(fields, "id"), "open"
     )
-    x = open_posts.select("key", F.col("id").alias("u"), F.col("part").alias("p"), "n", F.col("bits").alias("x"))
-    y = open_posts.select("key", F.col("id").alias("v"), F.col("part").alias("q"), F.col("n").alias("m"), F.col("bits").alias("y"))
-    across = x.join(y, (x["key"] == y["key"]) & (F.col("u") < F.col("v")) & (F.col("p") != F.col("q")) & alike("n", "m") & (_agreeing("x", "y") >= PROBE_MATCHES))
-    across = across.groupBy("u", "v").agg(F.count(F.lit(1)).alias("often")).where(f"often >= {COLLISIONS}").select("u", "v")
+    x = open_posts.select("key", F.col("id").alias("u"), F.col("part").alias("p"), "n", F.col("bits").alias("x"), F.col("tags").alias("s"))
+    y = open_posts.select("key", F.col("id").alias("v"), F.col("part").alias("q"), F.col("n").alias("m"), F.col("bits").alias("y"), F.col("tags").alias("t"))
+    shared = F.array_intersect("s", "t")
+    first_met = (F.size(shared) >= COLLISIONS) & (tag(x["key"]) == F.array_min(shared))
+    across = x.join(y, (x["key"] == y["key"]) & (F.col("u") < F.col("v")) & (F.col("p") != F.col("q")) & alike("n", "m") & (_agreeing("x", "y") >= PROBE_MATCHES) & first_met)
+    across = across.select("u", "v").distinct()
     crossed = staged(_confirmed(staged(across, "across"), docs, shingle, percent), "links")
 
     copies = full.join(classes.select("digest", F.col("id").alias("v")), "digest").select(F.col("id").alias("u"), "v")
