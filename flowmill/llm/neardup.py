@@ -95,7 +95,7 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _posts(classes: DataFrame, cells: np.ndarray) -> DataFrame:
-    """Of each class the ``PREFIX`` rarest coordinate-values (as keys), how common all its values are, and the probes."""
+    """Of each class the ``PREFIX`` rarest coordinate-values (as keys), and how common all its values are."""
     shared = classes.sparkSession.sparkContext.broadcast(cells)
     tags = mixed(np.arange(1, COORDINATES + 1, dtype=U64))
 
@@ -110,12 +110,11 @@ def _posts(classes: DataFrame, cells: np.ndarray) -> DataFrame:
             order = np.lexsort((keys, count), axis=1)[:, :PREFIX]
             kept = np.take_along_axis(keys, order, axis=1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), lists(kept.ravel(), np.arange(n + 1) * PREFIX, "int64"), pa.array(count.sum(axis=1)), batch.column(3)],
-                names=["id", "n", "keys", "common", "bits"],
+                [batch.column(0), batch.column(1), lists(kept.ravel(), np.arange(n + 1) * PREFIX, "int64"), pa.array(count.sum(axis=1))],
+                names=["id", "n", "keys", "common"],
             )
 
-    schema = "id bigint, n bigint, keys array<bigint>, common bigint, bits array<bigint>"
-    return classes.select("id", "n", "coordinates", "bits").mapInArrow(run, schema)
+    return classes.select("id", "n", "coordinates").mapInArrow(run, "id bigint, n bigint, keys array<bigint>, common bigint")
 
 
 def _cell_counts(classes: DataFrame) -> np.ndarray:
@@ -195,7 +194,7 @@ def near_duplicates(
     ), "classes")
     posts = staged(_posts(classes, _cell_counts(classes)), "posts")
     alike = lambda n, m: (100 * F.col(n) >= percent * F.col(m)) & (100 * F.col(m) >= percent * F.col(n))
-    bits = lambda of, n, b: posts.select(F.col("id").alias(of), F.col("n").alias(n), F.col("bits").alias(b))
+    bits = lambda of, n, b: classes.select(F.col("id").alias(of), F.col("n").alias(n), F.col("bits").alias(b))
 
     entries = posts.select("id", "common", F.explode("keys").alias("key"))
     # lists are written before they are joined back: both sides then have exchanges of their own, whose hot
@@ -218,17 +217,17 @@ def near_duplicates(
     placed = staged(posts.select("id", "keys").join(label, "id", "left").select("id", "keys", F.coalesce("part", "id").alias("part")), "placed")
     placed = placed.select(F.explode("keys").alias("key"), "id", "part")
     mixed_lists = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    # only classes with enough open lists can collide often enough; they are written whole and dealt to lists after that
+    opened = placed.join(staged(mixed_lists, "lists"), "key", "left_semi").groupBy("id", "part").agg(F.collect_list("key").alias("keys"))
+    opened = opened.where(F.size("keys") >= COLLISIONS).join(classes.select("id", "n", "bits"), "id")
     # keys shortened to 32 bits tell which key of two classes is their first in common
     tag = lambda c: F.shiftright(c, 32).cast("int")
-    fields = posts.select("id", "n", "bits", F.transform("keys", tag).alias("tags"))
-    open_posts = staged(
-        placed.join(staged(mixed_lists, "lists"), "key", "left_semi").join(fields, "id"), "open"
-    )
+    open_posts = staged(opened, "open").select(F.explode("keys").alias("key"), "id", "part", "n", "bits", F.transform("keys", tag).alias("tags"))
     x = open_posts.select("key", F.col("id").alias("u"), F.col("part").alias("p"), "n", F.col("bits").alias("x"), F.col("tags").alias("s"))
-    y = open_posts.select("key", F.col("id").alias("v"), F.col("part").alias("q"), F.col("n").alias("m"), F.col("bits").alias("y"), F.col("tags").alias("t"))
+    y = open_posts.select(F.col("key").alias("met"), F.col("id").alias("v"), F.col("part").alias("q"), F.col("n").alias("m"), F.col("bits").alias("y"), F.col("tags").alias("t"))
     shared = F.array_intersect("s", "t")
-    first_met = (F.size(shared) >= COLLISIONS) & (tag(x["key"]) == F.array_min(shared))
-    across = x.join(y, (x["key"] == y["key"]) & (F.col("u") < F.col("v")) & (F.col("p") != F.col("q")) & alike("n", "m") & (_agreeing("x", "y") >= PROBE_MATCHES) & first_met)
+    first_met = (F.size(shared) >= COLLISIONS) & (tag("key") == F.array_min(shared))
+    across = x.join(y, (F.col("key") == F.col("met")) & (F.col("u") < F.col("v")) & (F.col("p") != F.col("q")) & alike("n", "m") & (_agreeing("x", "y") >= PROBE_MATCHES) & first_met)
     across = across.select("u", "v").distinct()
     crossed = staged(_confirmed(staged(across, "across"), docs, shingle, percent), "links")
 
