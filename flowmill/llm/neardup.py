@@ -11,8 +11,9 @@
    ones (the middle of a group of near copies, which links to most of it) and the least member under a hash; each
    class is first compared with the ``TRIED`` heads it meets most often. What is confirmed is contracted to
    components; a list that lies within one component is skipped, in the others all pairs of different
-   components are merged. A pair counts its collisions where it meets first and is posted there alone. Before,
-   it is probed on ``PROBES`` further coordinates of one bit each, and falls out below ``PROBE_MATCHES``.
+   components are merged and their collisions counted. A pair whose odd sketches (the parity of the shingles in
+   each of ``BITS`` cells) differ in more bits than two sets at the likeness wanted can falls out before that. For
+   up to ``BITS`` shingles this loses nothing; larger sets are sketched from a sample, with a chance of 1e-5.
 5. The rest is confirmed on the full shingle sets. Components of confirmed links and copies are the result.
 """
 
@@ -29,7 +30,7 @@ from flowmill.session import staged
 
 COORDINATES, MATCHES, COLLISIONS = 64, 36, 4
 PREFIX = COORDINATES - MATCHES + COLLISIONS
-PROBES, PROBE_MATCHES = 2048, 1785  # at the threshold 1843 agree on average, 4.3 deviations more
+BITS = 1024
 HEADS, TRIED = 3, 3
 CELL_BITS, ID_CELL_BITS = 18, 24
 
@@ -57,23 +58,33 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return mixed(least ^ salt)
 
 
-def probes(shingles: np.ndarray) -> np.ndarray:
-    """One bit of the first shingle in each of ``PROBES`` further orders, packed 64 to a long."""
-    salt, factor = (seeded(n, PROBES).astype(np.uint32) | np.uint32(1) for n in (13, 14))
-    high, least = (shingles >> U64(32)).astype(np.uint32), None
-    for at in range(0, len(high), 64):
-        part = ((high[at : at + 64, None] ^ salt) * factor).min(axis=0)
-        least = part if least is None else np.minimum(least, part)
-    bits = (mixed(least.astype(U64) ^ seeded(15, PROBES)) & U64(1)).astype(np.uint8)
-    return np.packbits(bits).view(U64)
-
+def sketches(shingles: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Level, sketch at this level, and sketch at the next level where a larger partner may need it (else empty).
 
-def _agreeing(a: str, b: str) -> Column:
-    """How many probes agree: half of those whose shingles differ do so by chance."""
-    differ = F.lit(0)
-    for i in range(PROBES // 64):
-        differ = differ + F.bit_count(F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i))))
-    return F.lit(PROBES) - differ
+    A sketch has the parity of the number of shingles in each of ``BITS`` cells, so two sketches differ in at most as
+    many bits as the sets differ in shingles. Level ``j`` takes the shingles that begin with ``j`` zero bits; it is
+    the least one that leaves ``BITS`` of them or fewer on average.
+    """
+    n, level = len(shingles), 0
+    while n > BITS << level:
+        level += 1
+    made = []
+    for j in (level, level + 1):
+        if j > level and 100 * n <= 80 * (BITS << level):
+            made.append(np.zeros(0, U64))
+            continue
+        part = shingles[: np.searchsorted(shingles, U64((1 << (64 - j)) - 1), "right")]
+        odd = np.bincount((part & U64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+        made.append(np.packbits(odd.astype(np.uint8)).view(U64))
+    return level, *made
+
+
+def _near_enough(differing: Column, sizes: Column, level: Column, percent: int) -> Column:
+    """Whether so many differing bits allow ``percent``: exact at level 0, 4.3 deviations more where shingles are sampled."""
+    most = sizes * (100 - percent) / (100 + percent)
+    kept = F.exp(-2 * most / F.pow(F.lit(2.0), level) / BITS)
+    sampled = BITS / 2 * (1 - kept) + 4.3 * F.sqrt(BITS / 4 * (1 - kept * kept))
+    return F.when(level == 0, differing * (100 + percent) <= sizes * (100 - percent)).otherwise(differing <= sampled)
 
 
 def _signatures(docs: DataFrame, size: int) -> DataFrame:
@@ -82,20 +93,21 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
         digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
         full = [s for s in sets if len(s)]
         values = np.stack([signature(s) for s in full]) if full else np.zeros((0, COORDINATES), U64)
-        bits = np.stack([probes(s) for s in full]) if full else np.zeros((0, PROBES // 64), U64)
+        drawn = [sketches(s) if len(s) else (0, s, s) for s in sets]
+        flat = lambda i: lists(np.concatenate([d[i] for d in drawn]), np.cumsum([0, *(len(d[i]) for d in drawn)]), "int64")
         bounds = np.concatenate([[0], np.cumsum([len(s) > 0 for s in sets])])
         return {
             "id": part.column(0), "n_shingles": [len(s) for s in sets], "digest": digests,
             "coordinates": lists(values.ravel(), bounds * COORDINATES, "int64"),
-            "bits": lists(bits.ravel(), bounds * (PROBES // 64), "int64"),
+            "level": [d[0] for d in drawn], "sketch": flat(1), "next_sketch": flat(2),
         }
 
-    schema = "id bigint, n_shingles bigint, digest binary, coordinates array<bigint>, bits array<bigint>"
+    schema = "id bigint, n_shingles bigint, digest binary, coordinates array<bigint>, level int, sketch array<bigint>, next_sketch array<bigint>"
     return map_texts(docs, "text", schema, work)
 
 
 def _posts(classes: DataFrame, cells: np.ndarray) -> DataFrame:
-    """Of each class the ``PREFIX`` rarest coordinate-values (as keys), how common all its values are, and the probes."""
+    """Of each class the ``PREFIX`` rarest coordinate-values (as keys), how common all its values are, and the sketches."""
     shared = classes.sparkSession.sparkContext.broadcast(cells)
     tags = mixed(np.arange(1, COORDINATES + 1, dtype=U64))
 
@@ -110,12 +122,12 @@ def _posts(classes: DataFrame, cells: np.ndarray) -> DataFrame:
             order = np.lexsort((keys, count), axis=1)[:, :PREFIX]
             kept = np.take_along_axis(keys, order, axis=1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), lists(kept.ravel(), np.arange(n + 1) * PREFIX, "int64"), pa.array(count.sum(axis=1)), batch.column(3)],
-                names=["id", "n", "keys", "common", "bits"],
+                [batch.column(0), batch.column(1), lists(kept.ravel(), np.arange(n + 1) * PREFIX, "int64"), pa.array(count.sum(axis=1)), *batch.columns[3:]],
+                names=["id", "n", "keys", "common", "level", "sketch", "next_sketch"],
             )
 
-    schema = "id bigint, n bigint, keys array<bigint>, common bigint, bits array<bigint>"
-    return classes.select("id", "n", "coordinates", "bits").mapInArrow(run, schema)
+    schema = "id bigint, n bigint, keys array<bigint>, common bigint, level int, sketch array<bigint>, next_sketch array<bigint>"
+    return classes.select("id", "n", "coordinates", "level", "sketch", "next_sketch").mapInArrow(run, schema)
 
 
 def _cell_counts(classes: DataFrame) -> np.ndarray:
@@ -191,11 +203,13 @@ def near_duplicates(
     rows = staged(_signatures(docs, shingle), "signatures")
     full = rows.where("n_shingles > 0 and id is not null")
     classes = staged(full.groupBy("digest").agg(
-        F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("coordinates").alias("coordinates"), F.first("bits").alias("bits")
+        F.min("id").alias("id"), F.first("n_shingles").alias("n"),
+        *(F.first(c).alias(c) for c in ("coordinates", "level", "sketch", "next_sketch")),
     ), "classes")
     posts = staged(_posts(classes, _cell_counts(classes)), "posts")
     alike = lambda n, m: (100 * F.col(n) >= percent * F.col(m)) & (100 * F.col(m) >= percent * F.col(n))
-    bits = lambda of, n, b: posts.select(F.col("id").alias(of), F.col("n").alias(n), F.col("bits").alias(b))
+    fields = posts.select("id", "n", "level", "sketch", "next_sketch")
+    side = lambda of: fields.select(F.col("id").alias(of), F.struct("n", "level", "sketch", "next_sketch").alias(f"{of}_"))
 
     entries = posts.select("id", "common", F.explode("keys").alias("key"))
     # lists are written before they are joined back: both sides then have exchanges of their own, whose hot
@@ -211,25 +225,33 @@ def near_duplicates(
     best = F.slice(F.sort_array(F.collect_list(F.struct("often", "head")), asc=False), 1, TRIED)["head"]
     stars = met.groupBy("id").agg(best.alias("heads")).select("id", F.explode("heads").alias("head"))
     stars = stars.select(F.least("id", "head").alias("u"), F.greatest("id", "head").alias("v")).distinct()
-    probed = stars.join(bits("u", "n", "x"), "u").join(bits("v", "m", "y"), "v").where(alike("n", "m") & (_agreeing("x", "y") >= PROBE_MATCHES))
+    level = F.greatest("u_.level", "v_.level")
+    at_level = lambda of: F.when(F.col(f"{of}_.level") == level, F.col(f"{of}_.sketch")).otherwise(F.col(f"{of}_.next_sketch"))
+    differ = F.aggregate(F.zip_with(at_level("u"), at_level("v"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, b: n + b)
+    probed = stars.join(side("u"), "u").join(side("v"), "v").where(alike("u_.n", "v_.n"))
+    probed = probed.where(_near_enough(differ, F.col("u_.n") + F.col("v_.n"), level, percent))
     starred = staged(_confirmed(staged(probed.select("u", "v"), "stars"), docs, shingle, percent), "links")
 
     label = components(starred).withColumnRenamed("component", "part")
     placed = staged(posts.select("id", "keys").join(label, "id", "left").select("id", "keys", F.coalesce("part", "id").alias("part")), "placed")
     placed = placed.select(F.explode("keys").alias("key"), "id", "part")
     mixed_lists = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    # keys shortened to 32 bits tell which key of two classes is their first in common
-    tag = lambda c: F.shiftright(c, 32).cast("int")
-    fields = posts.select("id", "n", "bits", F.transform("keys", tag).alias("tags"))
-    open_posts = staged(
-        placed.join(staged(mixed_lists, "lists"), "key", "left_semi").join(fields, "id"), "open"
-    )
-    x = open_posts.select("key", F.col("id").alias("u"), F.col("part").alias("p"), "n", F.col("bits").alias("x"), F.col("tags").alias("s"))
-    y = open_posts.select("key", F.col("id").alias("v"), F.col("part").alias("q"), F.col("n").alias("m"), F.col("bits").alias("y"), F.col("tags").alias("t"))
-    shared = F.array_intersect("s", "t")
-    first_met = (F.size(shared) >= COLLISIONS) & (tag(x["key"]) == F.array_min(shared))
-    across = x.join(y, (x["key"] == y["key"]) & (F.col("u") < F.col("v")) & (F.col("p") != F.col("q")) & alike("n", "m") & (_agreeing("x", "y") >= PROBE_MATCHES) & first_met)
-    across = across.select("u", "v").distinct()
+    # only classes with enough open lists can collide often enough; they are written whole and dealt to lists after that
+    opened = placed.join(staged(mixed_lists, "lists"), "key", "left_semi").groupBy("id", "part").agg(F.collect_list("key").alias("keys"))
+    opened = staged(opened.where(F.size("keys") >= COLLISIONS).join(fields, "id"), "open")
+    own = F.struct("level", F.lit(True).alias("own"), F.col("sketch").alias("bits"))
+    above = F.struct((F.col("level") + 1).alias("level"), F.lit(False).alias("own"), F.col("next_sketch").alias("bits"))
+    levels = F.filter(F.array(own, above), lambda x: F.size(x["bits"]) > 0)
+    dealt = opened.select("id", "part", "n", "keys", F.explode(levels).alias("at")).select(F.explode("keys").alias("key"), "id", "part", "n", "at.*")
+    words = range(BITS // 64)
+    dealt = dealt.select("key", "level", "own", "id", "part", "n", *(F.get("bits", F.lit(i)).alias(f"b{i}") for i in words))
+    x, y = dealt.alias("x"), dealt.alias("y")
+    differ = sum((F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in words), F.lit(0))
+    met_at = (F.col("x.key") == F.col("y.key")) & (F.col("x.level") == F.col("y.level")) & (F.col("x.own") | F.col("y.own"))
+    apart = (F.col("x.id") < F.col("y.id")) & (F.col("x.part") != F.col("y.part")) & alike("x.n", "y.n")
+    near = _near_enough(differ, F.col("x.n") + F.col("y.n"), F.col("x.level"), percent)
+    across = x.join(y, met_at & apart & near).select(F.col("x.id").alias("u"), F.col("y.id").alias("v"))
+    across = across.groupBy("u", "v").agg(F.count(F.lit(1)).alias("often")).where(f"often >= {COLLISIONS}").select("u", "v")
     crossed = staged(_confirmed(staged(across, "across"), docs, shingle, percent), "links")
 
     copies = full.join(classes.select("digest", F.col("id").alias("v")), "digest").select(F.col("id").alias("u"), "v")
