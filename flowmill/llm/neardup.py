@@ -212,14 +212,15 @@ def near_duplicates(
     side = lambda of: fields.select(F.col("id").alias(of), F.struct("n", "level", "sketch", "next_sketch").alias(f"{of}_"))
 
     entries = posts.select("id", "common", F.explode("keys").alias("key"))
+    # most values occur once; from here on only the lists of several members are dealt
+    several = staged(entries.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key"), "lists")
+    entries = staged(entries.join(several, "key", "left_semi").select("id", "common", "key"), "entries")
     # lists are written before they are joined back: both sides then have exchanges of their own, whose hot
     # partitions adaptive execution may split
     # the second middle is the most common member of one half of the ids, so it differs from the first in most lists
     middle = [F.max(F.struct(F.when(c, F.col("common")).alias("common"), "id"))["id"] for c in (F.lit(True), F.xxhash64("id") % 2 == 0)]
     least = [*middle, F.min(F.struct(F.xxhash64("id"), "id"))["id"]]
-    heads = staged(entries.groupBy("key").agg(
-        F.count(F.lit(1)).alias("members"), F.array_distinct(F.array(*least)).alias("heads")
-    ).where("members > 1").select("key", "heads"), "lists")
+    heads = staged(entries.groupBy("key").agg(F.array_distinct(F.array(*least)).alias("heads")), "heads")
     met = entries.join(heads, "key").select("id", F.explode("heads").alias("head")).where("id <> head")
     met = met.groupBy("id", "head").agg(F.count(F.lit(1)).alias("often")).where(f"often >= {COLLISIONS}")
     best = F.slice(F.sort_array(F.collect_list(F.struct("often", "head")), asc=False), 1, TRIED)["head"]
@@ -233,8 +234,7 @@ def near_duplicates(
     starred = staged(_confirmed(staged(probed.select("u", "v"), "stars"), docs, shingle, percent), "links")
 
     label = components(starred).withColumnRenamed("component", "part")
-    placed = staged(posts.select("id", "keys").join(label, "id", "left").select("id", "keys", F.coalesce("part", "id").alias("part")), "placed")
-    placed = placed.select(F.explode("keys").alias("key"), "id", "part")
+    placed = staged(entries.select("id", "key").join(label, "id", "left").select("key", "id", F.coalesce("part", "id").alias("part")), "placed")
     mixed_lists = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
     # only classes with enough open lists can collide often enough; they are written whole and dealt to lists after that
     opened = placed.join(staged(mixed_lists, "lists"), "key", "left_semi").groupBy("id", "part").agg(F.collect_list("key").alias("keys"))
