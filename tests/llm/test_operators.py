@@ -460,3 +460,20 @@ def test_pipeline(spark, sf_dir, tmp_path):
     encoder = bpe.Encoder(bpe.Vocabulary(queries.vocabulary_path()))
     assert set(before) == set(after)
     assert all([int(x) for s, _, _ in encoder.encode(before[i]["text"] or "") for x in s.split()] == list(after[i]["ids"]) for i in after)
+
+
+def test_sketches_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(23)
+    for n in (1, 40, 1024, 1025, 1500):
+        base = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64, endpoint=False))
+        for gone in (0, 1, n // 10):
+            other = np.unique(np.concatenate([base[gone:], rng.integers(0, 2**64, gone, dtype=np.uint64, endpoint=False)]))
+            (level, x, _), (again, y, _) = neardup.sketches(base), neardup.sketches(other)
+            assert level == again == (n > neardup.BITS)
+            differing = sum(int(a ^ b).bit_count() for a, b in zip(x, y, strict=True))
+            assert differing <= len(np.setxor1d(base, other))
+    larger, smaller = base[:1100], base[:1000]  # on both sides of the step from one level to the next
+    assert neardup.sketches(larger)[0] == 1 and neardup.sketches(smaller)[0] == 0
+    next_of_smaller = neardup.sketches(smaller)[2]
+    assert sum(int(a ^ b).bit_count() for a, b in zip(neardup.sketches(larger)[1], next_of_smaller, strict=True)) <= 100
+    assert len(neardup.sketches(base[:800])[2]) == 0
