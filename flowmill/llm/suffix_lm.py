@@ -1,14 +1,20 @@
-"""Language-model scores by a probabilistic suffix tree.
-
-Tokens are the words (A-Z lowered) and one end per text. Each token belongs to one of ``SYMBOLS`` classes: the
-most frequent tokens are classes of their own, the others go by word length. A suffix tree over classes holds
-contexts of up to ``DEPTH`` symbols; a context is kept if its next-symbol distribution diverges from that of
-its parent (the context without its oldest symbol) by more than a likelihood-ratio test allows, and smoothed
-towards the parent's. A token's probability is that of its class after the longest kept suffix of what stands
-before it, times that of the word within its class (add one, a share for unseen words).
-
-Word counts are gathered over all training texts. Those of the ``COMMON`` most frequent words (a fixed number)
-go to every task; texts meet the rare words' counts in a join, so no count is dropped and no key is hot.
+"""Language-model scores by a probabilistic suffix tree over words.
+
+Tokens are the words (A-Z lowered) and one end per text. A context is what stands before a token: its last 1 to
+``REACH`` words, the start of the text counting as one. A next word seen at least twice after a context is named
+there, the others are pooled. A context is kept if one of its named words diverges from its share under the next
+shorter context: the likelihood ratio of this word against all others has to exceed ``log(tokens + words)``, which
+no word seen once can. A kept context gives a named word its count, and hands the pooled counts and one per named
+word to the shorter context (Witten and Bell). Grams are counted by pairs of hashed keys, longer ones only where
+both of their shorter ones occur twice, so the tables of grams and of kept contexts grow with the corpus.
+
+Where no context is kept, a small tree over classes speaks: the most frequent words are classes of their own, the
+others go by word length; contexts have up to ``DEPTH`` of ``SYMBOLS`` classes. A word's probability is that of its
+class after the longest kept suffix, times that of the word within its class (add one, a share for unseen words).
+
+The logarithm of a text's probability is a sum over its grams: a kept context adds what it hands down, a named word
+after it adds the rest. Values of the ``VALUES`` most frequent grams and counts of the ``COMMON`` most frequent
+words (fixed numbers) go to every task; texts meet all others in a join, so nothing is dropped and no key is hot.
 """
 
 from __future__ import annotations
@@ -20,10 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from flowmill.llm.words import U64, Words, byte_chunks, map_texts, mixed, signed
+from flowmill.llm.words import U64, Words, byte_chunks, lists, map_texts, mixed, signed
 from flowmill.session import staged
 
 SYMBOLS, DEPTH, COMMON = 32, 3, 1 << 18
+REACH, VALUES = 4, 1 << 19  # words of a context; grams whose values every task holds
+FILTER_BITS = 15, 29  # log2 of the least and the largest size of a filter of keys
 FREQUENT = 24  # classes of a single word
 SMOOTHING, DIVERGENCE = 16.0, 61.1  # pseudo-counts of the parent; chi-square bound, 31 degrees, 1 in 1000
 _LENGTHS = np.array([3, 5, 7, 9, 12, 16, 24])  # longest words of the classes by length, the last is open
@@ -184,11 +192,156 @@ class SuffixTree:
         return p
 
 
+def _codes(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Keys of single words: the place of a frequent word (short in a shuffle), else the hash."""
+    return np.where(at >= 0, at.astype(U64), tokens)
+
+
+def gram_keys(codes: np.ndarray, bounds: np.ndarray, length: int, start: np.uint64) -> Iterator[tuple]:
+    """For grams of 1 to ``length`` words ending at each token: keys, the keys one token before, and which exist.
+
+    A key is made of those of the gram without its last and without its first word. The end of one text is the
+    start of the next.
+    """
+    place = np.arange(len(codes)) - np.repeat(bounds[:-1], np.diff(bounds))
+    keys, first = codes, start
+    for m in range(1, length + 1):
+        before = np.concatenate([np.array([first], U64), keys[:-1]])
+        yield keys, before, place >= m - 2
+        keys, first = pair_key(before, keys), U64(0)
+
+
+def pair_key(context: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return mixed(context * U64(0x9E3779B97F4A7C15) + low)
+
+
+def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & U64(len(bits) * 8 - 1)
+    return (bits[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & np.uint8(1) == 1
+
+
+def _filter(keys: DataFrame) -> np.ndarray:
+    """A bit per key (by its low bits): what is not marked is none of them."""
+    least, most = FILTER_BITS
+    size = 1 << min(max(least, keys.count().bit_length() + 4), most)
+    place = F.col("key").bitwiseAND(F.lit(size - 1)) + 1  # Spark counts from one
+    parts = keys.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+    bits = np.zeros(size // 8, np.uint8)
+    for r in parts.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
+        at = (r["bucket"] - 1) * len(r["bits"])
+        bits[at : at + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+    return bits
+
+
+def _pair_counts(texts: DataFrame, shared, bits, length: int) -> DataFrame:
+    """Grams of ``length`` words seen at least twice: ``ctx`` and ``low`` (keys without the last and the first word), ``n``, ``key``."""
+
+    def merged(parts: list[tuple]) -> tuple:
+        key, ctx, low, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        _, first, back = np.unique(key, return_index=True, return_inverse=True)
+        return key[first], ctx[first], low[first], np.bincount(back, n).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def send(_, ctx, low, n):
+            for i in range(0, len(n), 50_000):
+                j = slice(i, i + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(ctx[j])), pa.array(signed(low[j])), pa.array(n[j])], names=["ctx", "low", "n"])
+
+        common, marked = Common(*shared.value), bits.value
+        held: list[tuple] = []
+        size = 0
+        end = _codes(END, common.look_up(END, np.array([FREQUENT]))[0])[0]
+        for _, chunk in byte_chunks(batches, "text", 1 << 21):
+            tokens, kind, bounds = _tokens(chunk)
+            codes = _codes(tokens, common.look_up(tokens, kind)[0])
+            *_, (keys, before, _) = gram_keys(codes, bounds, length - 1, end)
+            place = np.arange(len(codes)) - np.repeat(bounds[:-1], np.diff(bounds))
+            twice = _has(marked, keys)
+            use = np.flatnonzero((place >= length - 2) & twice & np.concatenate([_has(marked, before[:1]), twice[:-1]]))
+            held.append(merged([(pair_key(before[use], keys[use]), before[use], keys[use], np.ones(len(use), np.int64))]))
+            size += len(held[-1][0])
+            if size >= 2 * _FLUSH:
+                held = [merged(held)]
+                size = len(held[0][0])
+                if size >= _FLUSH:
+                    yield from send(*held[0])
+                    held, size = [], 0
+        if held:
+            yield from send(*merged(held))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ctx, low = (batch.column(i).to_numpy(zero_copy_only=False).view(U64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signed(pair_key(ctx, low)))], names=["ctx", "low", "n", "key"])
+
+    counts = texts.select("text").mapInArrow(run, "ctx bigint, low bigint, n bigint").repartition("ctx", "low").groupBy("ctx", "low").agg(F.sum("n").alias("n"))
+    return counts.where("n > 1").mapInArrow(keyed, "ctx bigint, low bigint, n bigint, key bigint")
+
+
+def _kept(pairs: DataFrame, bound: float) -> DataFrame:
+    """Kept contexts of ``ctx``, ``n``, ``total``, ``parent``, ``over``: ``total``, named words ``k``, pooled counts ``rest``, ``over``."""
+    n, total, p = F.col("n"), F.col("total"), F.col("parent")
+    others = F.when(total > n, (total - n) * F.log((total - n) / total / (1 - p))).otherwise(0.0)
+    ratio = F.when(n > total * p, n * F.log(n / total / p) + others).otherwise(0.0)
+    contexts = pairs.groupBy("ctx").agg(
+        F.max("total").alias("total"), F.count(F.lit(1)).alias("k"), (F.max("total") - F.sum("n")).alias("rest"),
+        F.max("over").alias("over"), F.max(ratio).alias("ratio"),
+    )
+    return contexts.where(F.col("ratio") > bound).drop("ratio")
+
+
+def _discard(df: DataFrame) -> None:
+    """Delete the files of a staged table that nothing reads any more."""
+    jvm, spark = df.sparkSession._jvm, df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def gram_values(texts: DataFrame, words: DataFrame, shared, bound: float) -> DataFrame:
+    """``key``, ``n``, ``value`` (log10) and ``first`` (the shortest kept context of its positions) of the grams that change a score.
+
+    ``words`` has ``key``, ``n`` and ``p`` of the single words.
+    """
+    spark = texts.sparkSession
+    known = words.withColumn("governed", F.lit(False))
+    values = []
+    for length in range(2, REACH + 2):
+        bits = spark.sparkContext.broadcast(_filter(known.where("n > 1").select("key")))
+        low = known.select(F.col("key").alias("low"), F.col("p").alias("parent"), F.col("governed").alias("over"))
+        total = known.select(F.col("key").alias("ctx"), F.col("n").alias("total"))
+        pairs = staged(_pair_counts(texts, shared, bits, length).join(low, "low").drop("low").join(total, "ctx"), "pairs")
+        kept = staged(_kept(pairs, bound), "kept")
+        handed = F.col("rest") + F.col("k")
+        down = handed / (F.col("total") + F.col("k"))
+        here = pairs.drop("total").join(kept.drop("over"), "ctx", "left")
+        named, parent = F.col("k").isNotNull(), F.col("parent")
+        p = F.when(named, (F.col("n") + handed * parent) / (F.col("total") + F.col("k"))).otherwise(parent)
+        old = known
+        known = here.select("key", "n", p.alias("p"), F.log10(p / parent / down).alias("value"), (named | F.col("over")).alias("governed"))
+        known = staged(known, "known")
+        values.append(staged(known.where("value is not null").select("key", "n", "value", F.lit(0).alias("first")), "named"))
+        values.append(kept.select(F.col("ctx").alias("key"), F.col("total").alias("n"), F.log10(down).alias("value"), F.when(F.col("over"), 0).otherwise(1).alias("first")))
+        known = known.drop("value")
+        _discard(pairs)
+        if length > 2:  # the words themselves stay
+            _discard(old)
+        del pairs, here, old, low, total
+        spark.sparkContext._jvm.System.gc()  # lets go of the level's shuffle files
+        if known.isEmpty():
+            break
+    _discard(known)
+    both = values[0]
+    for v in values[1:]:
+        both = both.unionByName(v)
+    return staged(both.groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value"), F.max("first").alias("first")), "values")
+
+
 def log_scores(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of every row by a model of the rows for which the SQL condition ``train`` holds.
 
     ``id``, ``trains``, ``n_tokens``, ``n_known`` (tokens that occur in training), ``train_tokens``,
-    ``base_score`` (add-one unigrams) and ``score`` (the suffix tree), both log10. Null and empty texts are
+    ``base_score`` (add-one unigrams) and ``score`` (the suffix trees), both log10. Null and empty texts are
     one end token. A condition that is null does not train. Repeated rows train and are scored each. With no
     training rows every token is unseen. Other columns of ``docs`` are not read but for the condition; an
     empty table gives an empty table.
@@ -220,6 +373,23 @@ def log_scores(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: st
     within = np.log10(n_class + v_class + room + (n_class + v_class + room == 0))  # of the denominators
     base = np.log10(all_tokens + distinct + 1)
 
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known_words = Common(*shared.value)
+        for batch in batches:
+            words = batch.column(0).to_numpy(zero_copy_only=False).view(U64)
+            keys = _codes(words, known_words.look_up(words, np.zeros(len(words), np.int64))[0])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), batch.column(1)], names=["key", "n"])
+
+    words = staged(vocabulary.select("word", "n").mapInArrow(coded, "key bigint, n bigint"), "words")
+    words = words.withColumn("p", (F.col("n") + 1) / F.lit(float(all_tokens + distinct + 1)))
+    values = gram_values(training, words, shared, float(np.log(all_tokens + distinct + 1)))
+    spark = rows.sparkSession
+    marked = spark.sparkContext.broadcast(_filter(values.select("key")))
+    top = values.orderBy(F.desc("n"), "key").limit(VALUES).select("key", "value", "first").toArrow()
+    top = [top.column(c).to_numpy() for c in ("key", "value", "first")]
+    by_key = np.argsort(top[0].view(U64))
+    frequent = spark.sparkContext.broadcast((top[0].view(U64)[by_key], top[1][by_key], top[2][by_key] == 1))
+
     def local(part, texts):
         tokens, kind, bounds = _tokens(texts)
         known_words = Common(*shared.value)
@@ -228,30 +398,57 @@ def log_scores(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: st
         known = at >= 0
         counts = np.log10(known_words.counts[at] + 1.0) if len(known_words.words) else np.zeros(len(at))
         counts = np.where(known, counts, 0.0)
+        # what the class tree gives the token after each beyond its unigram; a kept context takes it back
+        after = np.roll(path + base, -1)
+        after[bounds[1:] - 1] = (path + base)[bounds[:-1]]
+        score = counts + path
+        grams, gains, first = frequent.value
+        asked: list[tuple] = []  # tokens and keys that are not at hand
+        start = _codes(END, known_words.look_up(END, np.array([FREQUENT]))[0])[0]
+        for m, (keys, _, exists) in enumerate(gram_keys(_codes(tokens, at), bounds, REACH + 1, start), 1):
+            use = exists & _has(marked.value, keys)
+            if m == 1:
+                asked.append((np.flatnonzero(~known), keys[~known]))
+                use &= known
+            use = np.flatnonzero(use)
+            found = np.minimum(np.searchsorted(grams, keys[use]), max(len(grams) - 1, 0))
+            hit = grams[found] == keys[use] if len(grams) else np.zeros(len(use), bool)
+            score[use[hit]] += gains[found[hit]] - np.where(first[found[hit]], after[use[hit]], 0.0)
+            asked.append((use[~hit], keys[use[~hit]]))
         total = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: E731  every text has its end token
         n = np.diff(bounds)
-        rare, times = [], []
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            words, often = np.unique(tokens[a:b][~known[a:b]], return_counts=True)
-            rare.append(signed(words))
-            times.append(often.astype(np.int32))
+        where, rare = (np.concatenate(x) for x in zip(*asked, strict=True))
+        text = np.searchsorted(bounds, where, "right") - 1
+        order = np.lexsort((rare, text))
+        where, rare, text = where[order], rare[order], text[order]
+        new = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (text[1:] != text[:-1])])) if len(rare) else np.zeros(0, np.int64)
+        cuts = np.searchsorted(text[new], np.arange(len(texts) + 1))
+        times = np.diff(np.append(new, len(rare))).astype(np.int32)
+        afters = np.add.reduceat(after[where], new) if len(new) else np.zeros(0)
         return {
             "id": part.column(0), "trains": part.column(1), "n_tokens": n, "n_known": total(known.astype(np.int64)),
-            "base_score": total(counts) - n * base, "score": total(counts + path), "rare": rare, "times": times,
+            "base_score": total(counts) - n * base, "score": total(score), "rare": lists(rare[new], cuts, pa.int64()),
+            "times": lists(times, cuts, pa.int32()), "afters": lists(afters, cuts, pa.float64()),
         }
 
     schema = (
         "id bigint, trains boolean, n_tokens bigint, n_known bigint, base_score double, score double, "
-        "rare array<bigint>, times array<int>"
+        "rare array<bigint>, times array<int>, afters array<double>"
     )
     scored = staged(map_texts(rows, "text", schema, local).withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    seen = rare.join(vocabulary.select("word", "n"), "word").groupBy("row").agg(
-        F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("logs")
+    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times", "afters")).alias("x"))
+    rare = rare.select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"), F.col("x.afters").alias("afters"))
+    none = F.lit(0.0)
+    terms = words.where(~F.col("key").between(0, COMMON - 1)).select("key", F.lit(1).alias("known"), F.log10(F.col("n") + 1.0).alias("logs"), none.alias("value"), F.lit(0).alias("first"))
+    terms = terms.unionByName(values.select("key", F.lit(0).alias("known"), none.alias("logs"), "value", "first"))
+    times = F.col("times")
+    seen = rare.join(terms, "key").groupBy("row").agg(
+        F.sum(times * F.col("known")).alias("known"), F.sum(times * F.col("logs")).alias("logs"),
+        F.sum(times * F.col("value") - F.col("first") * F.col("afters")).alias("gains"),
     )
-    out = scored.drop("rare", "times").join(seen, "row", "left")
-    logs = F.coalesce("logs", F.lit(0.0))
+    out = scored.drop("rare", "times", "afters").join(seen, "row", "left")
+    logs, gains = F.coalesce("logs", none), F.coalesce("gains", none)
     return out.select(
         "id", "trains", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(all_tokens).cast("long").alias("train_tokens"), (F.col("base_score") + logs).alias("base_score"), (F.col("score") + logs).alias("score"),
+        F.lit(all_tokens).cast("long").alias("train_tokens"), (F.col("base_score") + logs).alias("base_score"), (F.col("score") + logs + gains).alias("score"),
     )

@@ -291,6 +291,75 @@ def test_suffix_tree_rows_are_distributions():
     assert tree.kept[1][2] and not tree.kept[2].any() and 10 ** tree.log10[2, 1] > 0.99
 
 
+def _word_tree(training):
+    """Value, and whether it is the shortest kept context, of every gram (tuples, the start and the end are None)."""
+    grams = collections.Counter()
+    for words in training:
+        line = [None, *words, None]
+        for m in range(1, suffix_lm.REACH + 2):
+            grams.update(tuple(line[i : i + m]) for i in range(m == 1, len(line) - m + 1))
+    total, distinct = sum(n for g, n in grams.items() if len(g) == 1), sum(len(g) == 1 for g in grams)
+    bound, share, governed = math.log(total + distinct + 1), {}, {}
+    for g, n in grams.items():
+        if len(g) == 1:
+            share[g], governed[g] = (n + 1) / (total + distinct + 1), False
+    values, first = collections.Counter(), set()
+    for m in range(2, suffix_lm.REACH + 2):
+        by_context = collections.defaultdict(list)
+        for g, n in grams.items():
+            if len(g) == m and n > 1:
+                by_context[g[:-1]].append(g)
+        for c, named in by_context.items():
+            n = grams[c]
+            ratios = []
+            for g in named:
+                k, p = grams[g], share[g[1:]]
+                rest = (n - k) * math.log((n - k) / n / (1 - p)) if n > k else 0
+                ratios.append(k * math.log(k / n / p) + rest if k > n * p else 0)
+            over = any(governed[g[1:]] for g in named)
+            keep = max(ratios) > bound
+            handed = n - sum(grams[g] for g in named) + len(named)
+            for g in named:
+                p = share[g[1:]]
+                share[g], governed[g] = ((grams[g] + handed * p) / (n + len(named)) if keep else p), over or keep
+                if keep:
+                    values[g] += math.log10(share[g] / p * (n + len(named)) / handed)
+            if keep:
+                values[c] += math.log10(handed / (n + len(named)))
+                if not over:
+                    first.add(c)
+    return values, first, grams
+
+
+def test_suffix_tree_over_words_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    phrase = [f"p{i:04d}" for i in range(12)]  # one length, none of them among the most frequent words
+    lines = {i: [f"w{int(x):04d}" for x in np.minimum(rng.zipf(1.3, 60), 3000)] for i in range(150)}
+    for i in range(0, 150, 6):
+        lines[i][20:20] = phrase
+        lines[i + 3][30:30] = [f"q{x}" for x in "0000100110101111"]  # four words tell the next one
+    inner = {1000 + 5 * a: phrase[a : a + 8] for a in range(3)}
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in (lines | inner).items()], "doc_id bigint, text string").repartition(4)
+    seen = []
+    inside = suffix_lm.gram_values
+    monkeypatch.setattr(suffix_lm, "gram_values", lambda *x: seen.append(inside(*x)) or seen[-1])
+    scores = []
+    for common, values in ((suffix_lm.COMMON, suffix_lm.VALUES), (30, 5)):  # at hand, then nearly all by the join
+        monkeypatch.setattr(suffix_lm, "COMMON", common)
+        monkeypatch.setattr(suffix_lm, "VALUES", values)
+        scores.append({r["id"]: r for r in suffix_lm.log_scores(docs, "doc_id % 5 <> 0").collect()})
+    want, first, grams = _word_tree([x for i, x in lines.items() if i % 5])
+    assert max(map(len, want)) == suffix_lm.REACH + 1 and first
+    want = sorted((grams[g], g in first, round(v, 9)) for g, v in want.items())
+    for table in seen:
+        assert sorted((r["n"], r["first"] == 1, round(r["value"], 9)) for r in table.collect()) == want
+    for i, r in scores[0].items():
+        for c in ("score", "base_score", "n_known", "n_tokens"):
+            assert scores[1][i][c] == pytest.approx(r[c])
+    for i in inner:  # words of a phrase learnt by heart cost little after the first
+        assert scores[0][i]["score"] > scores[0][i]["base_score"] + 10
+
+
 def test_fingerprints(spark, sf_dir, texts):
     got = result(spark, sf_dir, "op10_fingerprints")
     ids = sorted(texts)
