@@ -232,15 +232,31 @@ def board_strength(boards: DataFrame, market: DataFrame, calendar: DataFrame) ->
 
 
 def regime_features(atomic: DataFrame, quotes: DataFrame, universe: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Market, board and per-instrument atomic features on one row per universe member and day."""
+    """Market, board and per-instrument atomic features on every atomic row; nothing is dropped.
+
+    Coverages count the members of the universe, whether they have a quote or not. What is missing is null and
+    told apart: ``in_universe``, ``has_quote`` of the row, and ``has_history`` of the day (20 days of the calendar
+    with a market return). ``regime_violations`` counts them.
+    """
     keys = ["date", "symbol"]
-    members = quotes.join(universe.select(*keys), keys, "left_semi")
+    members = universe.select(*keys).distinct().join(quotes.withColumn("has_quote", F.lit(True)), keys, "left")
+    members = staged(members.withColumns({"in_universe": F.lit(True), "has_quote": F.col("has_quote").isNotNull()}), "members")
     state = staged(daily_state(members), "state")
-    market = market_features(state, calendar)
+    market = market_features(state.where("market_return is not null and total_amount is not null"), calendar)
     strength = board_strength(board_state(members), market, calendar)
-    out = atomic.join(members.select(*keys, "market", "board"), keys, "inner")
-    out = out.join(market.drop("calendar_index", "n_names", "return_coverage", "amount_coverage"), "date", "inner")
-    return out.join(strength, ["date", "board"], "left").withColumn("asof_date", F.col("date"))
+    windows = ("market_return_5d", "market_return_20d", "market_realized_vol_20d", "market_amount_ratio_20d")
+    daily = state.drop("n_names").join(market.select("date", *windows, F.lit(True).alias("has_history")), "date", "left")
+    out = atomic.join(members.select(*keys, "market", "board", "in_universe", "has_quote"), keys, "left").join(daily, "date", "left")
+    flags = {c: F.coalesce(c, F.lit(False)) for c in ("in_universe", "has_quote", "has_history")}
+    return out.join(strength, ["date", "board"], "left").withColumns(flags | {"asof_date": F.col("date")})
+
+
+def regime_violations(features: DataFrame, min_coverage: float) -> DataFrame:
+    """Rows of ``regime_features`` outside the universe, without quote or history, or on a day of low coverage."""
+    low = ~F.coalesce(F.least("return_coverage", "amount_coverage") >= min_coverage, F.lit(False))
+    bad = {"in_universe": ~F.col("in_universe"), "has_quote": ~F.col("has_quote"), "has_history": ~F.col("has_history"), "coverage": low}
+    counts = features.agg(*[F.count_if(e).alias(c) for c, e in bad.items()])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).alias("bad_rows")) for c in bad])))
 
 
 def identity_conflicts(atomic: DataFrame, quotes: DataFrame) -> DataFrame:

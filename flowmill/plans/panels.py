@@ -765,7 +765,7 @@ _REGIME_ATOMIC = ATOMIC + REGIME[REGIME.index(",\nquotes AS"):]
 )
 def regime_features(spark, d):
     q = regime_eod(spark, d)
-    out = P.regime_features(staged(atomic_table(spark, d), "atomic"), q, q, calendar(q))
+    out = P.regime_features(staged(atomic_table(spark, d), "atomic"), q, q, calendar(q)).where("has_quote and has_history")
     cols = (*_MF, "board_relative_strength_20d", "stock_depth_l5_log", "stock_ofi_l1")
     return out.select(
         "date", "symbol", "market", "board", *[rounded(c, 7).alias(c) for c in cols],
@@ -773,6 +773,36 @@ def regime_features(spark, d):
     )
 
 
+_UNQUOTED = """
+uq AS (SELECT date, symbol, symbol::BIGINT % 11 <> 3 AS has_quote, CASE WHEN has_quote THEN market END AS market,
+  CASE WHEN has_quote THEN board END AS board, CASE WHEN has_quote THEN ret_1d END AS ret_1d, CASE WHEN has_quote THEN amount END AS amount FROM rq),
+st AS"""
+_REGIME_UNIVERSE = _REGIME_ATOMIC.replace("\nst AS", _UNQUOTED).replace("FROM rq GROUP BY date", "FROM uq GROUP BY date").replace(
+    "FROM rq WHERE ret_1d", "FROM uq WHERE ret_1d"
+)
+
+
+@query(
+    "regime_universe_features",
+    f"""WITH {_REGIME_UNIVERSE} SELECT a.date, a.symbol, uq.market, uq.board, coalesce(has_quote, false) AS has_quote,
+          market_return_20d IS NOT NULL AS has_history, {", ".join(f"{sql_round('mf.' + c, 7)} AS {c}" for c in _MF)},
+          {sql_round("st.market_breadth")} AS market_breadth, {sql_round("st.return_coverage")} AS return_coverage,
+          {sql_round("st.amount_coverage")} AS amount_coverage, {sql_round("board_relative_strength_20d", 7)} AS board_relative_strength_20d,
+          {sql_round("stock_ofi_l1", 7)} AS stock_ofi_l1
+        FROM atomic a LEFT JOIN uq ON a.date = uq.date AND a.symbol = uq.symbol LEFT JOIN st ON st.date = a.date
+          LEFT JOIN mf ON mf.date = a.date LEFT JOIN bst ON bst.date = a.date AND bst.board = uq.board""",
+)
+def regime_universe_features(spark, d):
+    """Every eleventh name of the universe has no quote; all rows and warm-up days stay."""
+    q = regime_eod(spark, d)
+    out = P.regime_features(staged(atomic_table(spark, d), "atomic"), q.where(F.col("symbol").cast("long") % 11 != 3), q, calendar(q))
+    return out.select(
+        "date", "symbol", "market", "board", "has_quote", "has_history",
+        *[rounded(c, 7).alias(c) for c in (*_MF, "board_relative_strength_20d", "stock_ofi_l1")],
+        *[rounded(c).alias(c) for c in ("market_breadth", "return_coverage", "amount_coverage")],
+    )
+
+
 @query(
     "identity_conflicts",
     f"""WITH {REGIME}, a AS (SELECT date, symbol, market, CASE WHEN symbol::BIGINT % 37 = 5 THEN 'BSE' ELSE board END AS board FROM rq)

@@ -130,6 +130,22 @@ def test_regime_windows_need_twenty_days(spark):
     assert P.market_features(gap, cal).count() == 0
 
 
+def test_regime_rows_without_quote_or_history_stay(spark):
+    cal = calendar(spark, 25)
+    keys = cal.select("date", F.explode(F.array(F.lit("600001"), F.lit("600002"), F.lit("600003"))).alias("symbol"))
+    quotes = keys.where("symbol <> '600003'").select(
+        "date", "symbol", F.lit("SH").alias("market"), F.lit("MAIN").alias("board"), F.lit(0.01).alias("ret_1d"), F.lit(10.0).alias("amount")
+    )
+    atomic = keys.unionByName(keys.limit(1).withColumn("symbol", F.lit("999999"))).withColumn("x", F.lit(1))
+    out = P.regime_features(atomic, quotes, keys, cal).cache()
+    rows = out.collect()
+    assert len(rows) == 76 and {round(r["return_coverage"], 6) for r in rows} == {round(2 / 3, 6)}
+    assert sum(r["market_return_20d"] is None for r in rows) == 19 * 3 + 1
+    assert {r["symbol"] for r in rows if not r["has_quote"]} == {"600003", "999999"}
+    bad = {r["check"]: r["bad_rows"] for r in P.regime_violations(out, 0.9).collect()}
+    assert bad == {"in_universe": 1, "has_quote": 26, "has_history": 58, "coverage": 76}
+
+
 def test_purged_folds_brute_force(spark):
     n, g, purge, embargo = 29, 5, 2, 1
     edge = [k * n // g for k in range(g + 1)]
