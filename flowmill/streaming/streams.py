@@ -15,6 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from flowmill.functions import market as M
 from flowmill.operators import blocks as B
@@ -104,17 +105,33 @@ def newest(table: BatchTable, keys: Sequence[str]) -> DataFrame:
 # --- incremental scoring ------------------------------------------------------
 
 
-def new_day_scores(spark: SparkSession, out: str, score: Callable[[DataFrame], DataFrame]) -> Start:
-    """Score only days not scored before; each day is one idempotent partition of the sink."""
+def new_day_scores(spark: SparkSession, out: str, score: Callable[[DataFrame], DataFrame], keys: Sequence[str]) -> Start:
+    """Score the days of each batch from all their rows so far; each day is one idempotent partition of the sink.
+
+    Rows are kept by batch and day. ``keys`` tell the rows of a day apart: a row that arrives again counts once,
+    and a day without new rows is not written again.
+    """
     checkpoint = new_path(spark, "checkpoint")
+    path = new_path(spark, "day-rows")
 
     def each(df: DataFrame, batch: int) -> None:
-        fresh = df
+        fresh = df.dropDuplicates(["date", *keys])
+        earlier = None
         if batch > 0:
-            done = spark.read.parquet(out).select(F.date_format("date", "yyyy-MM-dd").alias("date")).distinct()
-            fresh = df.join(done, "date", "left_anti")
+            earlier = spark.read.schema(StructType([*df.schema.fields, StructField("batch", IntegerType())])).parquet(path).where(F.col("batch") < batch).drop("batch")
+            same = F.lit(True)
+            for c in ("date", *keys):
+                same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+            fresh = fresh.alias("a").join(earlier.select("date", *keys).alias("b"), same, "left_anti")
+        fresh.write.mode("overwrite").partitionBy("date").parquet(f"{path}/batch={batch}")
+        rows = spark.read.schema(df.schema).parquet(f"{path}/batch={batch}")
+        if rows.isEmpty():
+            return
+        if earlier is not None:
+            days = F.broadcast(rows.select(F.col("date").alias("day")).distinct())
+            rows = rows.unionByName(earlier.join(days, F.col("date").eqNullSafe(F.col("day")), "left_semi").select(*rows.columns))
         (
-            score(fresh).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            score(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("date").parquet(out)
         )
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from flowmill.operators import checks as C, panel as P, splits as S, xsection as X
 from flowmill.session import new_path, shared_dir
 from flowmill.sources import io
+from flowmill.streaming import streams as L
 
 
 def cross(spark, days=4, names=25, seed=0, perfect=False):
@@ -235,6 +236,17 @@ def fake_session(master, **conf):
     return SimpleNamespace(conf=SimpleNamespace(get=lambda k, default=None: conf.get(k, default)), sparkContext=context)
 
 
+def test_a_day_split_over_batches_is_scored_from_all_rows(spark):
+    rows = [(i, f"2024-01-0{1 + i // 4}", "a", float(i)) for i in range(12)]
+    parts = [rows[:6], rows[6:], rows[4:6]]  # the second day is split, and a part of it arrives again
+    arrivals = [spark.createDataFrame(x, "event_id long, date string, symbol string, value double") for x in parts]
+    out = new_path(spark, "split-day")
+    score = lambda df: df.groupBy("date", "symbol").agg(F.sum("value").alias("score"), F.count(F.lit(1)).alias("n"))
+    L.replay(spark, arrivals, L.new_day_scores(spark, out, score, ["event_id"]))
+    got = {str(r["date"]): (r["score"], r["n"]) for r in spark.read.parquet(out).collect()}
+    assert got == {"2024-01-01": (6.0, 4), "2024-01-02": (22.0, 4), "2024-01-03": (38.0, 4)}
+
+
 def test_shared_folder_comes_from_the_session():
     named = fake_session("spark://host", **{"spark.checkpoint.dir": "s3a://shared/ckpt"})
     assert shared_dir(named) == "s3a://shared/ckpt" and new_path(named, "x").startswith("s3a://shared/ckpt/flowmill/app-spark://host/x-")
