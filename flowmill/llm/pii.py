@@ -33,7 +33,7 @@ ADDED = {
     "ssn": r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![0-9A-Za-z])",
     "local_phone": r"(?<![0-9A-Za-z+).-])(?<!\+[0-9]{1,3}[ .-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z-])",
-    "secret": r"(?i)(?<![a-z])(?:password|passwd|token|secret|api_?key)\x20{0,2}[=:]\x20{0,2}\"?[a-z0-9_/+-]{8,128}+\"?",
+    "secret": r"(?i)(?<![a-z])(?:password|passwd|token|secret|api_?key)\x20{0,2}[=:]\x20{0,2}\"?[a-z0-9_/+-]{8,}+\"?",
     "person": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señora|Señor|Monsieur|Madame)\.? \p{Lu}\p{Ll}{1,30}(?: \p{Lu}\p{Ll}{1,30})?",
 }
 # What a text must hold for the kind to be searched at all.

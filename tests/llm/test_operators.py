@@ -223,6 +223,12 @@ def test_personal_data_odd_texts(spark):
         assert r["base"] == ",".join(base_spans(texts[r["id"]], patterns))
 
 
+def test_a_secret_is_covered_to_its_end(spark):
+    texts = [f"set token={'a1' * n} now" for n in (4, 64, 65, 100, 5000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", F.regexp_extract("text", pii.ADDED["secret"], 0).alias("s")).collect()
+    assert all(r["s"] == r["text"][4:-4] for r in rows)
+
+
 def test_reliabilities_find_the_good_labelers():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.6
