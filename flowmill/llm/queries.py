@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from flowmill.llm import audio, bpe, fingerprints, licenses, mixing, neardup, pii, substrings, suffix_lm, toxicity
+from flowmill.llm import (
+    audio, bpe, divergence, fingerprints, licenses, mixing, neardup, periods, pieces, pii, substrings, suffix_lm, toxicity,
+)
 from flowmill.session import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -246,3 +248,75 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         "near_edited", "near_next", "n_marks",
     )
+
+
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+ORACLES["op11_source_divergence"] = r"""
+WITH docs AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+kept AS (
+  SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM docs) GROUP BY lang, term HAVING count(*) >= 30),
+counts AS (
+  SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM docs) JOIN kept USING (lang, term) GROUP BY ALL),
+sizes AS (SELECT g.lang, count(k.term) AS v FROM (SELECT DISTINCT lang FROM groups) g LEFT JOIN kept k USING (lang) GROUP BY g.lang),
+totals AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM groups g LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+shares AS (
+  SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n,
+         1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (t.total + 5 * s.v) AS p
+  FROM totals t JOIN sizes s USING (lang) JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term),
+lang_totals AS (SELECT lang, sum(total) AS total FROM totals GROUP BY lang),
+lang_shares AS (
+  SELECT c.lang, c.term, 1 + 1000000000::HUGEINT * (sum(c.n) + 5) // (any_value(t.total) + 5 * any_value(s.v)) AS q
+  FROM counts c JOIN lang_totals t ON t.lang = c.lang JOIN sizes s ON s.lang = c.lang GROUP BY c.lang, c.term),
+rows AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+         coalesce((SELECT sum(abs(x.p - y.p)) FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term
+                   WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  UNION ALL
+  SELECT s.lang, s.source, 'term', s.term, (s.p - l.q)::BIGINT
+  FROM shares s JOIN lang_shares l ON l.lang = s.lang AND l.term = s.term WHERE s.n > 0 AND s.p > l.q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM rows)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
+def tail_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every tenth document by its id's checksum ends in a repetition: from word a on, p words of it come again."""
+    h = F.crc32(F.col(id_col).cast("string"))
+    words = F.filter(F.split(text_col, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    made = docs.withColumn("__w", F.when(h % 10 == 0, words)).withColumn("__n", F.size("__w"))
+    g = F.floor(h / 10)
+    made = made.withColumn("__a", F.when(F.col("__n") > 0, g % F.col("__n")))
+    made = made.withColumn("__p", 1 + F.floor((F.col("__n") - F.col("__a")) / (3 + g % 8)))
+    from_word = F.expr("transform(sequence(0, __n - 1), i -> __w[cast(if(i < __a, i, __a + (i - __a) % __p) as int)])")
+    text = F.when(F.col("__n") > 0, F.array_join(from_word, " ")).otherwise(F.col(text_col))
+    return made.withColumn(text_col, text).drop("__w", "__n", "__a", "__p")
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(tail_repeated(documents(spark, sf_dir).select("doc_id", "text")))
+    best = F.expr("aggregate(runs, runs[0], (m, r) -> if(r.length * m.period > m.length * r.period, r, m))")
+    line = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return found.withColumn("best", F.when(F.size("runs") > 0, best)).select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        "collapsed_sha256", "n_words", "n_dropped",
+    )
+
+
+@query
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("n_tokens", "ids_sha256", "decoded_sha256")
+    model = pieces.Model(vocabulary_path("piece_bpe_32k.model"))
+    return pieces.encode_texts(documents(spark, sf_dir), model, columns=columns).withColumnRenamed("id", "doc_id")
