@@ -4,8 +4,9 @@ A text's characters are its first symbols. Every pair of neighbouring symbols wh
 waits on an agenda ordered by score, the leftmost first among equals; the best pair is merged and the two pairs
 it makes with its neighbours join the agenda, until none is left. Symbols that are no piece become byte pieces.
 
-No merge crosses two characters that stand side by side inside no piece, so the text is cut there and each
-fragment has an agenda of its own; equal fragments of a task share one result. The model file is read by the
+No merge crosses two characters that stand side by side inside no piece, so a text is cut into words (where the
+model has no piece across them), long words into fragments, and each has an agenda of its own; equal words of a task
+share one result. The model file is read by the
 driver and its size does not depend on the data. ``disagreements`` compares with the sentencepiece library,
 Arrow batch by Arrow batch.
 """
@@ -25,6 +26,7 @@ from flowmill.llm.words import map_texts
 
 SPACE = "▁"
 CACHED = 300_000  # a task's memory of encoded fragments; cleared when full, so it only saves time
+SHORT, NEVER = 40, float("inf")  # fragments of up to so many symbols have a flat agenda
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 
@@ -91,30 +93,49 @@ class Model:
 
 def merged(text: str, cost: dict[str, float]) -> list[str]:
     """The text's symbols after all merges: the best score first, the leftmost among equals."""
+    return _merged_long(text, cost) if len(text) > SHORT else _merged_short(text, cost)
+
+
+def _merged_short(text: str, cost: dict[str, float]) -> list[str]:
+    """The agenda as a flat list in text order: its least cost is found by scanning, the leftmost first."""
+    parts, known, never = list(text), cost.get, NEVER
+    agenda = [known(a + b, never) for a, b in zip(text, text[1:], strict=False)]
+    while agenda:
+        best = min(agenda)
+        if best == never:
+            break
+        i = agenda.index(best)
+        del agenda[i]
+        pair = parts[i] = parts[i] + parts.pop(i + 1)
+        if i < len(agenda):
+            agenda[i] = known(pair + parts[i + 1], never)
+        if i:
+            agenda[i - 1] = known(parts[i - 1] + pair, never)
+    return parts
+
+
+def _merged_long(text: str, cost: dict[str, float]) -> list[str]:
+    """The agenda as a heap over linked symbols, for fragments of any length."""
     parts: list[str | None] = list(text)
     n = len(parts)
     agenda = [(c, i, p) for i in range(n - 1) if (c := cost.get(p := parts[i] + parts[i + 1])) is not None]
-    if not agenda:
-        return parts
     heapq.heapify(agenda)
     after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-    pop, push, known = heapq.heappop, heapq.heappush, cost.get
-    sizes = [1] * n
     while agenda:
-        _, i, pair = pop(agenda)
+        _, i, pair = heapq.heappop(agenda)
         j = after[i]
         # an entry is stale if one of its symbols has been merged meanwhile
-        if parts[i] is None or j < 0 or sizes[i] + sizes[j] != len(pair):
+        if parts[i] is None or j < 0 or len(parts[i]) + len(parts[j]) != len(pair):
             continue
-        parts[i], parts[j], sizes[i] = pair, None, len(pair)
+        parts[i], parts[j] = pair, None
         k = after[i] = after[j]
         if k >= 0:
             before[k] = i
-            if (c := known(new := pair + parts[k])) is not None:
-                push(agenda, (c, i, new))
+            if (c := cost.get(new := pair + parts[k])) is not None:
+                heapq.heappush(agenda, (c, i, new))
         h = before[i]
-        if h >= 0 and (c := known(new := parts[h] + pair)) is not None:
-            push(agenda, (c, h, new))
+        if h >= 0 and (c := cost.get(new := parts[h] + pair)) is not None:
+            heapq.heappush(agenda, (c, h, new))
     return [p for p in parts if p is not None]
 
 
@@ -154,8 +175,8 @@ class Codec:
 
     def ids_of(self, part: str) -> list[int]:
         out, ids = [], self.m.ids
-        for fragment in self.cuts(part):
-            for symbol in merged(fragment, self.m.cost) if len(fragment) > 1 else (fragment,):
+        for fragment in self.cuts(part) if len(part) > SHORT else (part,):
+            for symbol in merged(fragment, self.m.cost):
                 i = ids.get(symbol)
                 if i is not None:
                     out.append(i)

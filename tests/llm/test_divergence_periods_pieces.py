@@ -221,6 +221,13 @@ def test_agenda_takes_the_best_score_and_then_the_leftmost():
     assert pieces.merged("abc", cost) == ["a", "bc"] and pieces.merged("aaaa", cost) == ["aa", "aa"] and pieces.merged("aaa", cost) == ["aaa"]
 
 
+@settings(max_examples=300, deadline=None)
+@given(text=st.text("▁aeinth ", min_size=1, max_size=60))
+def test_flat_agenda_equals_heap(both, text):
+    cost = both[0].m.cost
+    assert pieces._merged_short(text, cost) == pieces._merged_long(text, cost)
+
+
 def test_pieces_awkward(awkward, both):
     codec, library = both
     rows = pieces.encode_texts(awkward, codec.m, columns=tuple(pieces.COLUMNS)).collect()
