@@ -93,7 +93,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxic_model(spark, sf_dir, remainder(5) != 0)
     scored = toxicity.score(documents(spark, sf_dir), model).withColumnRenamed("id", "doc_id")
     return scored.select(
-        "doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
         F.size("offending").cast("long").alias("n_offending"),
     )
 
