@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from flowmill.functions.scalars import all_of, finite_or_null, is_finite, safe_ratio
 from flowmill.operators import blocks as B
 from flowmill.operators.joins import finite_rows
+from flowmill.session import staged
 
 # Sharpe annualisation, minimum sample for it, Euler-Mascheroni constant.
 TRADING_DAYS = 244
@@ -27,15 +28,32 @@ def pearson(a: str | Column, b: str | Column) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
+def rank_correlation(a: str, b: str) -> Column:
+    """Pearson correlation of two integer columns, as Spearman's is one of doubled ranks: sums and differences are exact,
+    so that the result does not depend on the order of the rows; null when one side does not vary."""
+    exact = lambda c: F.sum(c.cast("decimal(20,0)"))
+    x, y, n = F.col(a), F.col(b), F.count(F.lit(1)).cast("decimal(20,0)")
+    spread = lambda u, v: n * exact(u * v) - exact(u) * exact(v)
+    both, own = spread(x, y), [spread(x, x), spread(y, y)]
+    scale = F.sqrt(own[0].cast("double")) * F.sqrt(own[1].cast("double"))
+    return F.when((own[0] > 0) & (own[1] > 0), both.cast("double") / scale)
+
+
 def rank_ic(df: DataFrame, score: str = "score", ret: str = "fwd_ret", day: str = "date") -> DataFrame:
-    """Daily Spearman correlation of score and return; null below three names or without variance."""
+    """Daily Spearman correlation of score and return; null below three names or without variance.
+
+    Both columns are ranked in one layout; ranks are doubled, so that the mean rank of ties is an integer.
+    """
     if "eligible_at_signal" in df.columns:
         df = df.where(F.coalesce(F.col("eligible_at_signal"), F.lit(False)))
-    df = finite_rows(df, [score, ret]).select(day, score, ret)
-    df = B.average_rank(df, [day], score, "__a")
-    df = B.average_rank(df, [day], ret, "__b")
-    corr = F.when(F.count(F.lit(1)) >= 3, pearson("__a", "__b"))
-    return df.groupBy(day).agg(finite_or_null(corr).alias("ic"), F.count(F.lit(1)).alias("n_names"))
+    df = finite_rows(df, [score, ret]).select(day, F.col(score).cast("double").alias("__x"), F.col(ret).cast("double").alias("__y"))
+    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("v")) for i, c in enumerate(("__x", "__y"))]))
+    ranks = staged(B.value_ranks(df.select(day, sides.alias("s")).select(day, "s.side", "s.v"), [day, "side"], "v"), "ranks")
+    for i, (c, out) in enumerate((("__x", "__a"), ("__y", "__b"))):
+        own = ranks.where(F.col("side") == i).select(day, F.col("v").alias(c), (2 * F.col("lo") + F.col("ties") + 1).alias(out))
+        df = df.join(own, [day, c])
+    corr = F.when(F.count(F.lit(1)) >= 3, rank_correlation("__a", "__b"))
+    return df.groupBy(day).agg(corr.alias("ic"), F.count(F.lit(1)).alias("n_names"))
 
 
 def ic_statistics(ics: DataFrame, hac_lags: int | None = None) -> DataFrame:

@@ -302,12 +302,17 @@ def daily_z_scores(spark, d):
 
 # --- rank correlation ---------------------------------------------------------
 
+# doubled ranks are integers: the sums are exact in any order
+_RANK_CORR = """CASE WHEN count(*) >= 3 AND count(DISTINCT {a}) > 1 AND count(DISTINCT {b}) > 1 THEN
+    (count(*)::HUGEINT * sum({a}::HUGEINT * {b}) - sum({a})::HUGEINT * sum({b}))::DOUBLE
+    / (sqrt((count(*)::HUGEINT * sum({a}::HUGEINT * {a}) - sum({a})::HUGEINT * sum({a}))::DOUBLE)
+     * sqrt((count(*)::HUGEINT * sum({b}::HUGEINT * {b}) - sum({b})::HUGEINT * sum({b}))::DOUBLE)) END"""
+
 _RANKED = f"""{FWD},
 ok AS (SELECT * FROM fwd WHERE eligible AND fwd_ret IS NOT NULL AND isfinite(fwd_ret)),
-rk AS (SELECT *, rank() OVER (PARTITION BY date ORDER BY score) + (count(*) OVER (PARTITION BY date, score) - 1) / 2.0 AS ra,
-         rank() OVER (PARTITION BY date ORDER BY fwd_ret) + (count(*) OVER (PARTITION BY date, fwd_ret) - 1) / 2.0 AS rb FROM ok),
-ics AS (SELECT date, CASE WHEN count(*) >= 3 AND stddev_pop(ra) > 0 AND stddev_pop(rb) > 0 THEN corr(ra, rb) END AS ic,
-          count(*) AS n_names FROM rk GROUP BY date)"""
+rk AS (SELECT *, 2 * rank() OVER (PARTITION BY date ORDER BY score) + count(*) OVER (PARTITION BY date, score) - 1 AS ra,
+         2 * rank() OVER (PARTITION BY date ORDER BY fwd_ret) + count(*) OVER (PARTITION BY date, fwd_ret) - 1 AS rb FROM ok),
+ics AS (SELECT date, {_RANK_CORR.format(a="ra", b="rb")} AS ic, count(*) AS n_names FROM rk GROUP BY date)"""
 
 
 @query("daily_rank_ic", f"WITH {_RANKED} SELECT date, {sql_round('ic')} AS ic, n_names FROM ics")
@@ -669,9 +674,9 @@ def score_key_coverage(spark, d):
     f"""WITH {LINE_DAYS}, f AS (SELECT d.date, d.score, CASE WHEN d.vwap > 0 THEN n.vwap / d.vwap - 1.0::DOUBLE END AS y
              FROM lines d JOIN lcal c USING (date) JOIN lcal nc ON nc.calendar_index = c.calendar_index + 1
              JOIN lines n ON n.symbol = d.symbol AND n.date = nc.date),
-         r AS (SELECT date, rank() OVER (PARTITION BY date ORDER BY score) + (count(*) OVER (PARTITION BY date, score) - 1) / 2.0 AS a,
-                 rank() OVER (PARTITION BY date ORDER BY y) + (count(*) OVER (PARTITION BY date, y) - 1) / 2.0 AS b FROM f)
-        SELECT date, {sql_round("CASE WHEN count(*) >= 3 AND stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN corr(a, b) END", 7)} AS ic,
+         r AS (SELECT date, 2 * rank() OVER (PARTITION BY date ORDER BY score) + count(*) OVER (PARTITION BY date, score) - 1 AS a,
+                 2 * rank() OVER (PARTITION BY date ORDER BY y) + count(*) OVER (PARTITION BY date, y) - 1 AS b FROM f)
+        SELECT date, {sql_round(_RANK_CORR.format(a="a", b="b"), 7)} AS ic,
                count(*) AS n_names FROM r GROUP BY date""",
 )
 def supplier_rank_ic(spark, d):

@@ -30,6 +30,21 @@ def test_perfect_score_has_ic_one(spark):
     assert {r["ndcg"] for r in X.head_metrics(df, [5]).withColumn("ndcg", F.round("ndcg", 9)).collect()} == {1.0}
 
 
+def test_rank_correlation_is_exact(spark):
+    """A correlation of zero is zero in any layout; others equal the fraction of integer sums."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 40, 500) / 7.0
+    y = np.where(rng.random(500) < 0.5, x, rng.normal(size=500))
+    rows = [("even", float(i), float(abs(i))) for i in range(-6, 7)] + [("mixed", float(a), float(b)) for a, b in zip(x, y, strict=True)]
+    df = spark.createDataFrame(rows, "date string, score double, fwd_ret double")
+    ranks = [np.array([2 * (v < u).sum() + (v == u).sum() + 1 for u in v], dtype=object) for v in (x, y)]
+    n, (a, b) = len(x), ranks
+    want = float(n * (a @ b) - a.sum() * b.sum()) / (float(n * (a @ a) - a.sum() ** 2) ** 0.5 * float(n * (b @ b) - b.sum() ** 2) ** 0.5)
+    for parts in (1, 3, 11):
+        got = {r["date"]: r["ic"] for r in X.rank_ic(df.repartition(parts)).collect()}
+        assert got == {"even": 0.0, "mixed": pytest.approx(want, rel=1e-14)}
+
+
 def test_ic_is_null_for_thin_or_constant_days(spark):
     df = spark.createDataFrame([("a", 1.0, 1.0), ("a", 2.0, 2.0), ("b", 1.0, 1.0), ("b", 1.0, 2.0), ("b", 1.0, 3.0), ("c", float("nan"), 1.0)], "date string, score double, fwd_ret double")
     assert {r["date"]: r["ic"] for r in X.rank_ic(df).collect()} == {"a": None, "b": None}
