@@ -230,6 +230,7 @@ def ew_vwap(
     out: str = "mid",
     width: int | None = None,
     sorted_clock: bool = False,
+    weight: str | None = None,
 ) -> DataFrame:
     """Exponentially weighted trade price with a time half-life, in event order.
 
@@ -241,7 +242,8 @@ def ew_vwap(
 
     A step back from one trade to the next counts as no time: the decay runs on the total of the
     forward steps. ``sorted_clock`` spares the passes that add them up, where the order of the
-    rows is that of the clock anyway.
+    rows is that of the clock anyway. ``weight`` names a column for the decayed quantity behind a row's value: a later
+    stretch of events goes on from a trade of that quantity and price (null where no trade has been in reach).
     """
     if half_life_ms <= 0 or not math.isfinite(half_life_ms):
         raise ValueError("the half-life has to be a positive number of milliseconds")
@@ -261,8 +263,9 @@ def ew_vwap(
         work = work.withColumn("__clock", F.coalesce("__clock", F.lit(0)))
     clock = F.col("__clock")
     work = work.withColumn("__era", F.floor(clock / span).cast("long"))
-    weight = F.when(trade, q * F.pow(F.lit(2.0), (clock - F.col("__era") * span) / half_life_ms))
-    work = work.withColumns({"__w": weight, "__wp": weight * p})
+    gained = (clock - F.col("__era") * span) / half_life_ms
+    own = F.when(trade, q * F.pow(F.lit(2.0), gained))
+    work = work.withColumns({"__w": own, "__wp": own * p})
     at = F.struct(*[F.col(c) for c in order])
 
     eras = work.groupBy(*keys, "__era").agg(F.sum("__w").alias("__den"), F.sum("__wp").alias("__num"))
@@ -292,6 +295,8 @@ def ew_vwap(
     else:
         seed = F.when(at >= F.col("__seed")["at"], F.col("__seed")["p"])
     mid = F.coalesce(ratio, F.col("__open"), seed)
+    if weight:
+        work = work.withColumn(weight, F.when(F.col("__d") > 0, (F.col("__d") + F.col("__den_in")) * F.pow(F.lit(2.0), -gained)))
     return work.withColumn(out, mid).drop(
         "__clock", "__era", "__w", "__wp", "__d", "__n", "__den_in", "__num_in", "__open", "__seed"
     )

@@ -9,6 +9,7 @@ from flowmill.plans.base import table
 from flowmill.plans.registry import query, rounded, sql_round
 from flowmill.session import new_path
 from flowmill.streaming import streams as L
+from flowmill.streaming.store import StreamStore
 
 _ENDS = (11, 21, 32)
 
@@ -43,9 +44,9 @@ _SYM = "CASE WHEN length(user_id::VARCHAR) < 6 THEN lpad(user_id::VARCHAR, 6, '0
         FROM t GROUP BY ALL""",
 )
 def stream_clock_windows(spark, d):
-    out = L.BatchTable(spark, "clock")
-    L.replay(spark, _by_day(spark, d), L.clock_windows(spark, out))
-    return L.newest(out, ["date", "symbol", "clock_interval"])
+    out = StreamStore(spark, name="clock")
+    L.replay(spark, _by_day(spark, d), L.clock_windows(out))
+    return L.newest(out.log(), ["date", "symbol", "clock_interval"])
 
 
 @query(
@@ -54,9 +55,9 @@ def stream_clock_windows(spark, d):
        SELECT strftime(s, '%Y-%m-%d %H:%M') AS start, event_type AS kind, count(*) AS n_events, sum(event_id % 50 + 1)::DOUBLE AS qty FROM w GROUP BY ALL""",
 )
 def stream_sliding_windows(spark, d):
-    out = L.BatchTable(spark, "sliding")
-    L.replay(spark, _by_day(spark, d), L.sliding_windows(spark, out, "12 hours", "6 hours"))
-    return L.newest(out, ["start", "kind"])
+    out = StreamStore(spark, name="sliding")
+    L.replay(spark, _by_day(spark, d), L.sliding_windows(out, "12 hours", "6 hours"))
+    return L.newest(out.log(), ["start", "kind"])
 
 
 @query(
@@ -76,7 +77,7 @@ def stream_new_day_scores(spark, d):
     group = F.when(day < _ENDS[0], 0).when(day < _ENDS[1], 1).otherwise(2)
     arrivals = _arrivals(_feed(spark, d).withColumn("date", day_text("ts")), group)
     # The first group arrives twice: its rows count once.
-    L.replay(spark, [*arrivals, arrivals[0]], L.new_day_scores(spark, path, score, ["event_id"]))
+    L.replay(spark, [*arrivals, arrivals[0]], L.new_day_scores(StreamStore(spark, name="days"), path, score, ["event_id"]))
     out = spark.read.parquet(path)
     return out.select(F.date_format("date", "yyyy-MM-dd").alias("date"), zero_fill("symbol").alias("symbol"), rounded("score").alias("score"))
 
@@ -88,9 +89,26 @@ def stream_new_day_scores(spark, d):
         SELECT symbol, {sql_round("sum(p * q * pow(2.0::DOUBLE, (t - last) / 86400.0::DOUBLE)) / sum(q * pow(2.0::DOUBLE, (t - last) / 86400.0::DOUBLE))", 7)} AS mid FROM m GROUP BY symbol""",
 )
 def stream_running_vwap(spark, d):
-    state = L.BatchTable(spark, "vwap")
-    L.replay(spark, _by_day(spark, d), L.running_vwap(spark, state, 86_400.0))
-    return state.latest().select("symbol", rounded("mid", 7).alias("mid"))
+    store = StreamStore(spark, name="vwap")
+    L.replay(spark, _by_day(spark, d), L.running_vwap(store, 86_400.0))
+    return store.state().latest().select("symbol", rounded("mid", 7).alias("mid"))
+
+
+@query(
+    "stream_event_vwap",
+    f"""WITH e AS (SELECT event_id, {_SYM} AS symbol, value AS p, event_id % 50 + 1 AS q, epoch_us(ts) / 1000::DOUBLE AS t, event_type = 'purchase' AND value > 0 AS trade FROM events),
+          w AS (SELECT x.event_id, sum(y.p * y.q * pow(2.0::DOUBLE, (y.t - x.t) / 43200000.0::DOUBLE)) / sum(y.q * pow(2.0::DOUBLE, (y.t - x.t) / 43200000.0::DOUBLE)) AS mid
+                FROM e x JOIN e y ON y.symbol = x.symbol AND y.event_id <= x.event_id AND y.trade GROUP BY x.event_id)
+        SELECT event_id, symbol, {sql_round("coalesce(w.mid, first_value(CASE WHEN p > 0 THEN p END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY event_id))", 7)} AS mid
+        FROM e LEFT JOIN w USING (event_id)""",
+)
+def stream_event_vwap(spark, d):
+    store = StreamStore(spark, name="event-vwap")
+    feed = _feed(spark, d).withColumn("ms", F.unix_micros("ts") / 1000.0)
+    day = F.dayofmonth("ts")
+    arrivals = _arrivals(feed, F.when(day < _ENDS[0], 0).when(day < _ENDS[1], 1).otherwise(2))
+    L.replay(spark, arrivals, L.event_vwap(store, ["symbol"], "event_id", "price", "qty", F.col("kind") == "purchase", "ms", 43_200_000.0))
+    return store.log("events").all().select("event_id", "symbol", rounded("mid", 7).alias("mid"))
 
 
 @query(
@@ -100,10 +118,10 @@ def stream_running_vwap(spark, d):
         SELECT label, dim::INT AS dim, count(*) AS n, {sql_round("avg(x)", 7)} AS mean, {sql_round("avg(x) FILTER (r <= 4)", 7)} AS last_k_mean FROM e GROUP BY label, dim""",
 )
 def stream_running_pool(spark, d):
-    state = L.BatchTable(spark, "pool")
+    store = StreamStore(spark, name="pool")
     arrivals = _arrivals(table(spark, d, "embeddings"), F.when(F.col("vec_id") % 5 < 2, 0).when(F.col("vec_id") % 5 < 4, 1).otherwise(2).cast("int"))
-    L.replay(spark, arrivals, L.running_pool(spark, state, "label", "vec_id", "embedding", 4))
-    out = L.pooled_from_state(state.latest(), "label")
+    L.replay(spark, arrivals, L.running_pool(store, "label", "vec_id", "embedding", 4))
+    out = L.pooled_from_state(store.state().latest(), "label")
     out = out.select("label", "n", F.posexplode(F.arrays_zip("mean", "last_k_mean")).alias("dim", "v"))
     return out.select("label", "dim", "n", rounded(F.col("v.mean"), 7).alias("mean"), rounded(F.col("v.last_k_mean"), 7).alias("last_k_mean"))
 
@@ -116,8 +134,8 @@ def stream_running_pool(spark, d):
        FROM a JOIN h USING (g) GROUP BY ALL""",
 )
 def stream_late_rows(spark, d):
-    marks, side = L.BatchTable(spark, "marks"), L.BatchTable(spark, "late")
+    store = StreamStore(spark, name="late")
     day = F.dayofmonth("ts")
     group = F.when(F.col("event_id") % 50 == 7, 2).when(day < _ENDS[0], 0).when(day < _ENDS[1], 1).otherwise(2)
-    L.replay(spark, _arrivals(_feed(spark, d), group), L.late_rows(spark, marks, side, 21_600))
-    return side.all()
+    L.replay(spark, _arrivals(_feed(spark, d), group), L.late_rows(store, 21_600))
+    return store.log().all()

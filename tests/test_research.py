@@ -10,6 +10,7 @@ from flowmill.operators import checks as C, panel as P, splits as S, xsection as
 from flowmill.session import new_path, shared_dir
 from flowmill.sources import io
 from flowmill.streaming import streams as L
+from flowmill.streaming.store import StreamStore
 
 
 def cross(spark, days=4, names=25, seed=0, perfect=False):
@@ -257,7 +258,7 @@ def test_a_day_split_over_batches_is_scored_from_all_rows(spark):
     arrivals = [spark.createDataFrame(x, "event_id long, date string, symbol string, value double") for x in parts]
     out = new_path(spark, "split-day")
     score = lambda df: df.groupBy("date", "symbol").agg(F.sum("value").alias("score"), F.count(F.lit(1)).alias("n"))
-    L.replay(spark, arrivals, L.new_day_scores(spark, out, score, ["event_id"]))
+    L.replay(spark, arrivals, L.new_day_scores(StreamStore(spark), out, score, ["event_id"]))
     got = {str(r["date"]): (r["score"], r["n"]) for r in spark.read.parquet(out).collect()}
     assert got == {"2024-01-01": (6.0, 4), "2024-01-02": (22.0, 4), "2024-01-03": (38.0, 4)}
 
