@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowmill.functions import market as M
@@ -10,7 +12,7 @@ from flowmill.operators import events as E
 from flowmill.plans.base import BOARD_SQL, CANON, MS_SQL, RAW, STREAM, raw_rows, table
 from flowmill.plans.registry import query, rounded, sql_round
 from flowmill.session import new_path, staged
-from flowmill.sources import io
+from flowmill.sources import inventory, io
 
 
 def stream(spark: SparkSession, d: str) -> DataFrame:
@@ -89,16 +91,62 @@ def file_row_counts(spark, d):
     return io.union_relaxed(parts).select(name.alias("file"), "n_rows")
 
 
-@query("file_inventory")
+# Every column of every given table: plain text, n(umber to 4 places), t(ime), v(ector to 6 places).
+_CONTENT = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey",
+    "customer": "c_custkey c_name c_nationkey c_acctbal:n c_mktsegment", "supplier": "s_suppkey s_name s_nationkey s_acctbal:n",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice:n",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice:n o_orderdate:t o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity:n l_extendedprice:n l_discount:n l_tax:n l_returnflag l_linestatus l_shipdate:t",
+    "events": "event_id ts:t user_id event_type value:n props", "embeddings": "vec_id embedding:v label",
+    "documents": "doc_id text lang source n_chars", "pages": "page_id url html", "benchmark": "item_id text",
+    "labels": "doc_id quality toxic", "conversations": "conv_id turn role text",
+}
+
+
+def _content_columns(spec):
+    texts = {
+        "": lambda c: c, "n": lambda c: F.round(c * 10000).cast("long"), "t": lambda c: F.unix_micros(c.cast("timestamp")),
+        "v": lambda c: F.array_join(F.transform(c, lambda x: F.round(x.cast("double") * 1000000).cast("long").cast("string")), ","),
+    }
+    return [texts[kind](F.col(name)) for name, _, kind in (c.partition(":") for c in spec.split())]
+
+
+def _content_sql():
+    texts = {
+        "": "{0}::VARCHAR", "n": "round({0} * 10000)::BIGINT::VARCHAR", "t": "epoch_us({0})::VARCHAR",
+        "v": "array_to_string(list_transform({0}, lambda x: round(x::DOUBLE * 1000000)::BIGINT::VARCHAR), ',')",
+    }
+    rows = []
+    for name, spec in _CONTENT.items():
+        columns = [texts[kind].format(c) for c, _, kind in (x.partition(":") for x in spec.split())]
+        joined = ", ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE length({c}) || ':' || {c} END" for c in columns)
+        rows.append(f"SELECT '{name}' AS node, sha256(concat({joined})) AS d FROM {name}")
+    lanes = ", ".join(f"sum(('0x' || substr(d, {1 + 15 * i}, 15))::BIGINT::HUGEINT) AS l{i}" for i in range(4))
+    digest = "sha256(concat_ws('|', node, n_rows, l0, l1, l2, l3))"
+    return f"""WITH content AS ({" UNION ALL ".join(rows)}),
+files AS (SELECT *, {digest} AS digest FROM (SELECT node, count(*) AS n_rows, {lanes} FROM content GROUP BY node)),
+folders AS (SELECT *, {digest} AS d FROM (
+  SELECT substr(sha256(node), 1, 1) AS node, sum(n_rows)::BIGINT AS n_rows, count(*) AS n_files, {lanes.replace("(d,", "(digest,")} FROM files GROUP BY 1)),
+root AS (SELECT *, {digest} AS digest FROM (SELECT '' AS node, sum(n_rows)::BIGINT AS n_rows, sum(n_files)::BIGINT AS n_files, {lanes} FROM folders))"""
+
+
+def _inventory(spark, d):
+    file = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.parquet", 1)
+    parts = [inventory.leaves(table(spark, d, t), file, _content_columns(spec)) for t, spec in _CONTENT.items()]
+    return inventory.tree(staged(reduce(DataFrame.unionByName, parts), "leaves"))
+
+
+@query("file_inventory", f"{_content_sql()} SELECT node AS file, n_rows, digest FROM files")
 def file_inventory(spark, d):
-    files = io.file_digests(spark, d)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "n_bytes", "sha256")
+    """Rows and digest of every table's content, whatever the order of its rows and its division into files."""
+    return _inventory(spark, d).where(F.col("level") == inventory.FILE).select(F.col("node").alias("file"), "n_rows", "digest")
 
 
-@query("inventory_set_digest")
+@query("inventory_set_digest", f"{_content_sql()} SELECT n_files, n_rows, digest FROM root")
 def inventory_set_digest(spark, d):
-    files = io.file_digests(spark, d).withColumn("path", F.element_at(F.split("path", "/"), -1))
-    return io.inventory_digest(files)
+    """One digest over all tables, from which differences can be traced down."""
+    return _inventory(spark, d).where(F.col("level") == inventory.ROOT).select("n_files", "n_rows", "digest")
 
 
 @query(

@@ -12,7 +12,7 @@ from flowmill.plans.matching import ATOMIC, atomic_table
 from flowmill.plans.panels import EXEC, FWD, calendar, execution, forward
 from flowmill.plans.registry import query, rounded, sql_round
 from flowmill.session import new_path, staged
-from flowmill.sources import io
+from flowmill.sources import inventory, io
 
 # --- vectors ------------------------------------------------------------------
 
@@ -580,15 +580,28 @@ def manifest_contract(spark, d):
     return both.select("date", "n_rows", status.alias("status"), "split")
 
 
-@query("archive_inventory")
+@query(
+    "archive_inventory",
+    f"""WITH {DAYS} SELECT date, count(*) AS n_rows, CASE WHEN day(date::DATE) % 10 = 3 THEN 'changed' WHEN day(date::DATE) % 10 = 7 THEN 'removed' ELSE 'ok' END AS status
+        FROM days GROUP BY date""",
+)
 def archive_inventory(spark, d):
-    """Per-day files with their digests, joined to the row counts (file digests have no SQL form)."""
-    path = _written_days(spark, d)
-    rows = io.file_rows(spark, path)
-    name = lambda c: F.regexp_replace(c, r"^file:/*", "/")
-    digests = io.file_digests(spark, path).withColumn("path", name("path"))
-    both = rows.withColumn("path", name("path")).join(digests, "path")
-    return both.select(F.regexp_extract("path", r"date=([0-9-]+)", 1).alias("date"), "n_rows", "n_bytes", F.length("sha256").alias("digest_length"))
+    """A daily archive against its stored inventory, after some days were altered and others lost."""
+    columns = ["date", "symbol", F.round(F.col("close") * 10000).cast("long"), "n_events"]
+
+    def taken(path):
+        rows = spark.read.parquet(path)
+        parts = staged(inventory.leaves(rows, F.col("date").cast("string"), columns), "leaves")
+        return inventory.write(inventory.tree(parts), new_path(spark, "inventory"))
+
+    path, later = _written_days(spark, d), new_path(spark, "archive")
+    stored = taken(path)
+    day = F.dayofmonth("date")
+    rows = spark.read.parquet(path).where(day % 10 != 7)
+    io.write_partitioned(rows.withColumn("n_events", F.col("n_events") + F.when(day % 10 == 3, 1).otherwise(0)), later, ["date"], ["symbol"])
+    found = inventory.differences(stored, taken(later)).where(F.col("level") == inventory.FILE).select("node", "status")
+    files = stored.where(F.col("level") == inventory.FILE).select("node", "n_rows").join(found, "node", "left")
+    return files.select(F.col("node").alias("date"), "n_rows", F.coalesce("status", F.lit("ok")).alias("status"))
 
 
 @query(

@@ -141,25 +141,6 @@ def file_rows(spark: SparkSession, root: str, pattern: str = "*.parquet") -> Dat
     return df.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def file_digests(spark: SparkSession, root: str, pattern: str = "*.parquet") -> DataFrame:
-    """Name, size and SHA-256 per file (files below 2 GB, the binary reader's limit)."""
-    df = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern)
-        .load(root)
-    )
-    return df.select("path", F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
-
-
-def inventory_digest(files: DataFrame, name: str = "path", digest: str = "sha256") -> DataFrame:
-    """Order-independent digest of a file set: xor of 60-bit slices, plus the count."""
-    slices = F.conv(F.substring(F.sha2(F.concat_ws("|", F.col(name), F.col(digest)), 256), 1, 15), 16, 10)
-    return files.agg(
-        F.count(F.lit(1)).alias("n_files"), F.bit_xor(slices.cast("long")).alias("set_digest")
-    )
-
-
 def key_set_digest(df: DataFrame, keys: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
     """Digest of the distinct key set per group that needs no sorted list in one place."""
     joined = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
