@@ -25,7 +25,7 @@ from flowmill.session import staged
 
 CELLS = 20
 SAMPLE, FOLDS = 20_000, 4
-LEAST_DOCUMENTS, LEAST_DEVIATIONS = 4, 3.0
+LEAST_DOCUMENTS, LEAST_DEVIATIONS = 4, 3.5
 SPARED = 0.98  # least share of the clean documents that must stay below the cut
 STEMS = (5, 6, 7)  # beginnings of longer words, in bytes, that count as words of their own
 
@@ -143,10 +143,11 @@ def parting(label: np.ndarray, odds: np.ndarray) -> float:
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """(key, label, text) of at most ``sample`` labelled rows, the first by hash; a repeated row of an id counts once."""
+    """(key, label, text) of at most ``sample`` labelled texts, the first by hash; a text counts once, however many rows
+    have it, so that copies do not make their words stand out (its label is 1 if any is)."""
     known = labels.groupBy("id").agg(F.max("label").alias("label")).where("id is not null and label is not null")
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
-    own = docs.join(F.broadcast(chosen), "id").withColumn("key", F.xxhash64("id", "text"))  # 16 bytes a row, at most ``sample`` rows
+    own = docs.join(F.broadcast(chosen), "id").withColumn("key", F.xxhash64("text"))  # 16 bytes a row, at most ``sample`` rows
     keys = own.select("key").distinct().orderBy("key").limit(sample)
     return own.join(F.broadcast(keys), "key").groupBy("key").agg(F.max("label").alias("label"), F.min("text").alias("text"))
 
@@ -180,7 +181,7 @@ _COUNTS = [f"{kind}_{k}" for k in range(FOLDS) for kind in ("clean", "toxic")]
 
 
 def _stands_out(left_out: int | None, totals: dict[str, int]) -> Column:
-    """Whether a word's share differs between the classes, outside the fold ``left_out``; false if a class is empty."""
+    """Whether a word's share is greater among toxic texts, outside the fold ``left_out``; false if a class is empty."""
     names = {kind: [f"{kind}_{k}" for k in range(FOLDS) if k != left_out] for kind in ("clean", "toxic")}
     n = {kind: float(sum(totals[c] for c in cs)) for kind, cs in names.items()}
     if not n["clean"] or not n["toxic"]:
@@ -188,7 +189,7 @@ def _stands_out(left_out: int | None, totals: dict[str, int]) -> Column:
     clean, toxic = (sum((F.col(c) for c in names[kind]), F.lit(0)) for kind in ("clean", "toxic"))
     both = (clean + toxic) / (n["clean"] + n["toxic"])
     z = (toxic / n["toxic"] - clean / n["clean"]) / F.sqrt(both * (1 - both) * (1 / n["clean"] + 1 / n["toxic"]) + 1e-12)
-    return (clean + toxic >= LEAST_DOCUMENTS) & (F.abs(z) >= LEAST_DEVIATIONS)
+    return (clean + toxic >= LEAST_DOCUMENTS) & (z >= LEAST_DEVIATIONS)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:

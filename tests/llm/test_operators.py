@@ -177,7 +177,7 @@ def test_the_cut_spares_clean_documents():
 def test_one_id_with_many_texts_stays_within_the_sample(spark):
     docs = spark.createDataFrame([(1, f"You stupid thing {i}.") for i in range(50)] + [(i, "A fine day.") for i in range(2, 30)] + [(31, None)], "id bigint, text string")
     labels = docs.select("id", (F.col("id") == 1).cast("int").alias("label")).distinct()
-    assert toxicity._sampled(docs, labels, 10).count() == 10 and toxicity._sampled(docs, labels, 1000).count() == 79
+    assert toxicity._sampled(docs, labels, 10).count() == 10 and toxicity._sampled(docs, labels, 1000).count() == 52  # 50 texts, one of 28 rows, a null
     model = toxicity.fit(docs, labels)
     scores = {r["id"]: r["score"] for r in toxicity.score(docs, model, "id").collect()}
     assert scores[1] > 0.5 > scores[2] and scores[31] == 0
