@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowmill.functions.scalars import clip, is_finite, key_digest
 from flowmill.operators import blocks as B
+from flowmill.operators.dictionary import encode, numbered
 from flowmill.session import staged
 
 # Reserved token ids of the second vocabulary version.
@@ -522,10 +523,10 @@ def field_report(preds: DataFrame, reference_counts: DataFrame | None = None) ->
 
 
 def category_codes(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Code of a category by sorted order of the distinct values (a small table); null becomes -1."""
-    codes = df.select(column).where(F.col(column).isNotNull()).distinct()
-    codes = codes.withColumn(out, (F.row_number().over(Window.orderBy(column)) - 1).cast("int"))
-    return df.join(codes, column, "left").withColumn(out, F.coalesce(F.col(out), F.lit(-1)))
+    """Code of a category by sorted order of the distinct values; null becomes -1."""
+    values = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    codes = staged(numbered(values.withColumnsRenamed({column: "key"}), "key", "id").select(F.col("key").cast("string").alias("value"), "id", "n"), "codes")
+    return encode(df, column, codes, out, unknown=-1, missing=-1).withColumn(out, F.col(out).cast("int"))
 
 
 def quantile_codes(df: DataFrame, column: str, bins: int, out: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowmill.functions.scalars import day_text
-from flowmill.operators import checks as C, events as E, vocab as V
+from flowmill.operators import checks as C, dictionary as D, events as E, vocab as V
 from flowmill.plans.base import table
 from flowmill.plans.feed import canon
 from flowmill.plans.registry import query, rounded, sql_round
@@ -376,6 +376,42 @@ def category_codes(spark, d):
     return V.category_codes(table(spark, d, "events").select("event_id", "event_type"), "event_type", "code").drop("event_type")
 
 
+_PERIODS = ("l_shipdate < TIMESTAMP '1995-01-01'", "l_shipdate >= TIMESTAMP '1995-01-01' AND l_shipdate < TIMESTAMP '1997-06-01'")
+
+
+def _grown(spark, d):
+    """Line keys as categories, known in two periods; what ships later is only encoded."""
+    li = table(spark, d, "lineitem").withColumn("pair", F.when(F.col("l_partkey") % 50 != 7, F.concat_ws("/", "l_partkey", "l_suppkey")))
+    dictionary = D.Dictionary(spark, new_path(spark, "parts"))
+    for period in _PERIODS:
+        dictionary.grow(li.where(period), "pair")
+    return li, dictionary
+
+
+_DICTIONARY = f"""li AS (SELECT *, CASE WHEN l_partkey % 50 <> 7 THEN l_partkey || '/' || l_suppkey END AS pair FROM lineitem),
+seen AS (SELECT pair AS value, count(*) AS n, CASE WHEN bool_or({_PERIODS[0]}) THEN 0 ELSE 1 END AS since
+         FROM li WHERE pair IS NOT NULL AND (({_PERIODS[0]}) OR ({_PERIODS[1]})) GROUP BY pair),
+dict AS (SELECT value, n, since::BIGINT AS since, row_number() OVER (ORDER BY since, value) - 1 AS id FROM seen)"""
+
+
+@query("category_dictionary", f"WITH {_DICTIONARY} SELECT * FROM dict")
+def category_dictionary(spark, d):
+    """Categories with dense ids, grown by a second period that leaves the first one's ids as they are."""
+    return _grown(spark, d)[1].table()
+
+
+@query(
+    "dictionary_tokens",
+    f"""WITH {_DICTIONARY} SELECT l_orderkey, l_linenumber, CASE WHEN pair IS NULL THEN {V.SPECIAL_IDS["NA"]} ELSE coalesce(id + {V.N_SPECIAL}, {V.SPECIAL_IDS["UNK"]}) END AS token
+        FROM li LEFT JOIN dict ON pair = value""",
+)
+def dictionary_tokens(spark, d):
+    """Tokens of all rows by the grown dictionary: missing, unknown or the value's id."""
+    li, dictionary = _grown(spark, d)
+    rows = li.select("l_orderkey", "l_linenumber", "pair")
+    return D.encode(rows, "pair", dictionary.table(), "token", V.SPECIAL_IDS["UNK"], V.SPECIAL_IDS["NA"], V.N_SPECIAL).drop("pair")
+
+
 @query(
     "quantile_codes",
     """WITH e AS (SELECT round(quantile_cont(value, 0.01), 8) AS lo, round(quantile_cont(value, 0.99), 8) AS hi FROM events),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowmill.functions.scalars import day_text, zero_fill
-from flowmill.operators import book as K, events as E, joins as J
+from flowmill.operators import agreement as A, book as K, events as E, joins as J
 from flowmill.plans.base import MS_SQL, RAW, STREAM, raw_rows, table
 from flowmill.plans.registry import query, rounded, sql_round
 from flowmill.session import staged
@@ -144,6 +144,57 @@ def trade_multiset_difference(spark, d):
     return J.multiset_difference(real, _sim_trades(spark, d), real.columns)
 
 
+_CUT, _TICKS = 145_700_000, 500
+
+
+def _drifted_trades(spark, d):
+    """Trades of a replay that ran to the day's end: some lost, some repeated, prices off by up to one tick over the tolerance."""
+    sim = _sim_trades(spark, d).drop("buy_id", "sell_id")
+    kind = F.col("trade_id") % 11
+    drift = F.when(kind == 2, 1).when(kind == 4, _TICKS).when(kind == 7, -_TICKS).when(kind == 9, _TICKS + 1).otherwise(0)
+    raw = _real_trades(spark, d).select(F.col("serial").alias("trade_id"), "date", "market")
+    return sim.join(raw, "trade_id").withColumn("price", F.col("price") + drift)
+
+
+_PRICES = f"""{_SIM},
+drifted AS (
+  SELECT r.date, r.market, s.price + CASE s.trade_id % 11 WHEN 2 THEN 1 WHEN 4 THEN {_TICKS} WHEN 7 THEN -{_TICKS} WHEN 9 THEN {_TICKS + 1} ELSE 0 END AS price
+  FROM sim s JOIN real r ON r.serial = s.trade_id),
+ra AS (SELECT date, market, trade_price AS rv, count(*) AS nr FROM real WHERE int_time < {_CUT} GROUP BY ALL),
+sa AS (SELECT date, market, price AS sv, count(*) AS ns FROM drifted GROUP BY ALL),
+step AS (
+  SELECT date, market, rv, sv, nr::BIGINT AS nr, ns::BIGINT AS ns, 0::BIGINT AS n FROM ra JOIN sa USING (date, market) WHERE abs(rv - sv) <= {_TICKS}
+  UNION ALL
+  SELECT date, market, rv, sv, nr - max(n) OVER r, ns - max(n) OVER s, n FROM (
+    SELECT * EXCLUDE (a, b), CASE WHEN a = 1 AND b = 1 THEN least(nr, ns) ELSE 0 END AS n FROM (
+      SELECT date, market, rv, sv, nr, ns, row_number() OVER (PARTITION BY date, market, rv ORDER BY abs(rv - sv), sv) AS a,
+             row_number() OVER (PARTITION BY date, market, sv ORDER BY abs(rv - sv), rv) AS b
+      FROM step WHERE nr > 0 AND ns > 0))
+  WINDOW r AS (PARTITION BY date, market, rv), s AS (PARTITION BY date, market, sv)),
+pairs AS (SELECT date, market, rv, sv, sum(n)::BIGINT AS n FROM step GROUP BY ALL HAVING sum(n) > 0),
+found AS (
+  SELECT date, market, 'matched' AS status, n, abs(rv - sv) AS off FROM pairs
+  UNION ALL SELECT date, market, 'missing', nr - coalesce(m, 0), 0 FROM ra LEFT JOIN (SELECT date, market, rv, sum(n) AS m FROM pairs GROUP BY ALL) USING (date, market, rv)
+  UNION ALL SELECT date, market, 'extra', ns - coalesce(m, 0), 0 FROM sa LEFT JOIN (SELECT date, market, sv, sum(n) AS m FROM pairs GROUP BY ALL) USING (date, market, sv))"""
+
+
+@query(
+    "trade_price_reconciliation",
+    f"""WITH RECURSIVE {_PRICES} SELECT date, market, status, sum(n)::BIGINT AS n_rows, coalesce(sum(n) FILTER (off = 0), 0)::BIGINT AS n_exact,
+          sum(n * off)::BIGINT AS total_off, max(off)::BIGINT AS largest_off FROM found WHERE n > 0 GROUP BY ALL""",
+)
+def trade_price_reconciliation(spark, d):
+    """Trades before the cut against a replay, one to one by the closest price within the tolerance."""
+    real = A.before_cut(_real_trades(spark, d), "int_time", _CUT).withColumnRenamed("trade_price", "price")
+    found = A.match_within(real, _drifted_trades(spark, d), ["date", "market"], "price", _TICKS)
+    off = F.coalesce(F.abs(F.col("real_value") - F.col("sim_value")), F.lit(0).cast("long"))
+    n = F.col("n")
+    return found.groupBy("date", "market", "status").agg(
+        F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(off == 0, n)), F.lit(0)).alias("n_exact"),
+        F.sum(n * off).alias("total_off"), F.max(off).alias("largest_off"),
+    )
+
+
 def _cancel_sides(spark, d):
     real = raw_rows(spark, d).where((F.col("type") == "O") & (F.col("order_type") == "D")).select(
         (F.col("serial") % 1500).alias("order_id"), F.col("int_time").alias("cancel_time")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowmill.functions.scalars import is_finite
-from flowmill.operators import joins as J, panel as P, xsection as X
+from flowmill.operators import agreement as A, joins as J, panel as P, xsection as X
 from flowmill.plans.base import DAYS, LINE_DAYS, event_days, line_days, raw_rows, staged_days
 from flowmill.plans.registry import query, rounded, sql_round
 from flowmill.session import staged
@@ -168,6 +168,94 @@ def horizon_preflight(spark, d):
     return out.select("date", "n_names", "entry_date", "exit_date", F.col("exit_date").isNotNull().alias("complete"))
 
 
+_KEY_SETS = """universe AS (SELECT date, symbol FROM days),
+embedding AS (SELECT date, symbol FROM days WHERE n_events > 1 OR symbol::BIGINT % 3 = 0 UNION ALL
+  SELECT date, symbol FROM days WHERE symbol::BIGINT % 97 = 1 AND (date, symbol) NOT IN (SELECT (date, symbol) FROM raw WHERE type = 'T')),
+receipt AS (SELECT DISTINCT date, symbol FROM raw WHERE type = 'T'),
+manifest AS (SELECT DISTINCT date, symbol FROM raw WHERE type = 'T' AND trade_type <> 'C' UNION ALL SELECT date, 'X' || symbol FROM days WHERE symbol::BIGINT % 89 = 2),
+horizon AS (SELECT date, symbol FROM days JOIN cal USING (date) WHERE calendar_index + 2 <= (SELECT max(calendar_index) FROM cal))"""
+
+
+def _key_sets(spark, d, days):
+    """Five sides that should know the same keys, with planted gaps, repeats and strangers."""
+    trades = raw_rows(spark, d).where(F.col("type") == "T").select("date", "symbol", "trade_type")
+    number = F.col("symbol").cast("long")
+    keys = days.select("date", "symbol")
+    embedded = days.where((F.col("n_events") > 1) | (number % 3 == 0)).select("date", "symbol")
+    strangers = keys.where(number % 89 == 2).withColumn("symbol", F.concat(F.lit("X"), "symbol"))
+    return {
+        "universe": keys,
+        "embedding": embedded.unionByName(keys.where(number % 97 == 1).join(trades, ["date", "symbol"], "left_anti")),
+        "receipt": trades.select("date", "symbol").distinct(),
+        "manifest": trades.where(F.col("trade_type") != "C").select("date", "symbol").distinct().unionByName(strangers),
+        "horizon": keys.join(F.broadcast(A.exact_horizon(days, calendar(days), 2)), "date", "left_semi"),
+    }
+
+
+_RULES = (
+    A.Rule("whole", ["universe", "embedding", "receipt", "manifest", "horizon"], passes=True),
+    A.Rule("behind_calendar", ["universe"], ["horizon"]),
+    A.Rule("stranger", absent=["universe"]),
+    A.Rule("not_embedded", ["universe"], ["embedding"]),
+    A.Rule("not_listed", ["receipt"], ["manifest"]),
+    A.Rule("quiet", ["universe", "embedding"], ["receipt", "manifest"], passes=True),
+)
+
+
+@query(
+    "key_agreement",
+    f"""WITH {DAYS}, {_KEY_SETS},
+        u AS (SELECT date, symbol, 0 AS i FROM universe UNION ALL SELECT date, symbol, 1 FROM embedding UNION ALL SELECT date, symbol, 2 FROM receipt
+              UNION ALL SELECT date, symbol, 3 FROM manifest UNION ALL SELECT date, symbol, 4 FROM horizon),
+        k AS (SELECT date, symbol, count(*) FILTER (i = 0) AS a, count(*) FILTER (i = 1) AS b, count(*) FILTER (i = 2) AS c,
+                     count(*) FILTER (i = 3) AS d, count(*) FILTER (i = 4) AS e FROM u GROUP BY date, symbol),
+        g AS (SELECT a > 0 AS a, b > 0 AS b, c > 0 AS c, d > 0 AS d, e > 0 AS e, count(*) AS n_keys,
+                     count(*) FILTER (greatest(a, b, c, d, e) > 1) AS n_repeated FROM k GROUP BY ALL),
+        s AS (SELECT *, CASE WHEN a AND b AND c AND d AND e THEN 'whole' WHEN a AND NOT e THEN 'behind_calendar' WHEN NOT a THEN 'stranger'
+                WHEN NOT b THEN 'not_embedded' WHEN c AND NOT d THEN 'not_listed' WHEN NOT c AND NOT d THEN 'quiet' ELSE 'unruled' END AS status FROM g)
+        SELECT (a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT)::BIGINT AS mask,
+               concat_ws(',', CASE WHEN a THEN 'universe' END, CASE WHEN b THEN 'embedding' END, CASE WHEN c THEN 'receipt' END,
+                         CASE WHEN d THEN 'manifest' END, CASE WHEN e THEN 'horizon' END) AS present,
+               n_keys, n_repeated, status, CASE WHEN status IN ('whole', 'quiet') AND n_repeated = 0 THEN 'pass' ELSE 'fail' END AS verdict FROM s""",
+)
+def key_agreement(spark, d):
+    """Universe, embeddings, receipt, manifest and exact horizon: which keys each combination of them knows."""
+    return A.key_agreement(_key_sets(spark, d, staged_days(spark, d)), ["date", "symbol"], _RULES)
+
+
+_PERIODS = (("train", "date <= '2024-01-20'", 1), ("scoring", "date > '2024-01-20'", 100))
+
+
+def _preflight_sql(name, where, least):
+    return f"""SELECT '{name}' AS period, unnest([
+        {{'check_id': 'repeated_keys', 'bad': rep, 'worst': NULL::BIGINT}}, {{'check_id': 'lost_days', 'bad': lost, 'worst': NULL}},
+        {{'check_id': 'narrow_days', 'bad': narrow, 'worst': fewest}}, {{'check_id': 'off_calendar', 'bad': 0, 'worst': NULL}},
+        {{'check_id': 'cut_horizon', 'bad': cut, 'worst': NULL}}, {{'check_id': 'no_days', 'bad': CASE WHEN n = 0 THEN 1 ELSE 0 END, 'worst': NULL}}], recursive := true)
+      FROM (SELECT (SELECT count(*) FROM (SELECT 1 FROM embedding WHERE {where} GROUP BY date, symbol HAVING count(*) > 1)) AS rep,
+                   count(*) FILTER (kept = 0) AS lost, count(*) FILTER (kept < {least}) AS narrow, min(kept) AS fewest, count(*) AS n,
+                   count(*) FILTER (calendar_index + 2 > (SELECT max(calendar_index) FROM cal)) AS cut
+            FROM (SELECT e.date, count(DISTINCT u.symbol) AS kept FROM embedding e LEFT JOIN universe u ON e.date = u.date AND e.symbol = u.symbol AND NOT u.is_st
+                  WHERE e.{where} GROUP BY e.date) JOIN cal USING (date))"""
+
+
+@query(
+    "period_preflight",
+    f"""WITH {DAYS}, {_KEY_SETS.replace("universe AS (SELECT date, symbol FROM days)", "universe AS (SELECT date, symbol, is_st FROM days)")},
+        p AS ({" UNION ALL ".join(_preflight_sql(*p) for p in _PERIODS)})
+        SELECT period, check_id, bad::BIGINT AS bad, worst, CASE WHEN bad > 0 THEN 'fail' ELSE 'pass' END AS status FROM p""",
+)
+def period_preflight(spark, d):
+    """Preflight of a training and a scoring period; the scoring period runs into the end of the calendar."""
+    days = staged_days(spark, d)
+    embedded, members, cal = _key_sets(spark, d, days)["embedding"], days.where(~F.col("is_st")), calendar(days)
+    out = None
+    for name, where, least in _PERIODS:
+        checks = A.period_preflight(embedded.where(where), members.where(where), cal, ["date", "symbol"], 2, least)
+        checks = checks.withColumn("period", F.lit(name))
+        out = checks if out is None else out.unionByName(checks)
+    return out
+
+
 # --- factors, eligibility, labels ----------------------------------------------
 
 
