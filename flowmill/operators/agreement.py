@@ -161,10 +161,8 @@ def key_agreement(sets: Mapping[str, DataFrame], keys: Sequence[str], rules: Seq
 
 def exact_horizon(days: DataFrame, calendar: DataFrame, exit_lag: int, day: str = "date") -> DataFrame:
     """The given days whose exit day, ``exit_lag`` trading days later, is on the calendar; each once."""
-    last = F.max("calendar_index")
-    whole = calendar.join(F.broadcast(calendar.agg(last.alias("__last")).withColumn("__k", F.lit(1))), F.lit(1) == F.col("__k"))
-    whole = whole.where(F.col("calendar_index") + exit_lag <= F.col("__last")).select(day)
-    return days.select(day).distinct().join(whole, day, "left_semi")
+    later = calendar.select((F.col("calendar_index") - exit_lag).alias("calendar_index"))
+    return days.select(day).distinct().join(calendar.join(later, "calendar_index", "left_semi").select(day), day, "left_semi")
 
 
 def period_preflight(

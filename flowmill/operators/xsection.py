@@ -267,6 +267,54 @@ def topk_daily(
     )
 
 
+def policy_grid(
+    df: DataFrame, ks: Sequence[int], intervals: Sequence[int], smoothing: Sequence[int], cost_bps: Sequence[float] = (15.0,),
+    score: str = "score", ret: str = "fwd_ret", day: str = "date",
+) -> DataFrame:
+    """Daily return and turnover of equal-weighted top-k holdings for every policy of the grid, from one ranking.
+
+    ``smoothing`` w ranks by a name's mean score over its rows of the last w trading days (this one included; rows
+    without a score do not count, a name without any is not ranked), ties by ``symbol``. ``interval`` h chooses anew on
+    every h-th day from the first on and holds in between. A held name without a return on a day earns 0 there.
+    Turnover is paid on the days of choice: names that changed over twice ``top_k``; entering counts.
+
+    All windows share one sort per name. The ranking is cut at the largest k before it is shuffled, and each day's
+    members are dealt to the intervals that choose on that day, so nothing is ranked twice.
+    """
+    if min([*ks, *intervals, *smoothing]) < 1:
+        raise ValueError("ranks, intervals and windows start at 1")
+    df = df.select(day, "symbol", score, ret)
+    days = day_index(df, day)
+    rows = df.join(F.broadcast(days), day)
+    past = Window.partitionBy("symbol").orderBy("d")
+    mean = lambda w: F.sum(score).over(past.rangeBetween(1 - w, 0)) / F.count(score).over(past.rangeBetween(1 - w, 0))
+    guarded = lambda w: F.when(F.count(score).over(past.rangeBetween(1 - w, 0)) > 0, mean(w))
+    rows = rows.withColumns({f"__m{w}": guarded(w) for w in smoothing})
+    views = F.array(*[F.struct(F.lit(w).alias("smoothing"), F.col(f"__m{w}").alias("__mean")) for w in sorted(set(smoothing))])
+    ranked = rows.select("d", "symbol", F.inline(views)).where("__mean is not null")
+    place = F.row_number().over(Window.partitionBy("smoothing", "d").orderBy(F.desc("__mean"), "symbol"))
+    top = ranked.withColumn("rank", place).where(F.col("rank") <= max(ks))
+    top = top.withColumn("interval", F.explode(F.filter(F.array(*[F.lit(h) for h in sorted(set(intervals))]), lambda h: F.col("d") % h == 0)))
+    top = top.withColumn("top_k", F.explode(F.filter(F.array(*[F.lit(k) for k in sorted(set(ks))]), lambda k: k >= F.col("rank"))))
+    policy = ["top_k", "interval", "smoothing"]
+    chosen = staged(top.select(*policy, "d", "symbol"), "chosen")
+
+    held = chosen.withColumn("d", F.explode(F.sequence(F.col("d"), F.col("d") + F.col("interval") - 1)))
+    returns = df.join(F.broadcast(days), day).select("d", "symbol", F.col(ret).alias("__ret"))
+    gross = held.join(days.select("d"), "d", "left_semi").join(returns, ["d", "symbol"], "left").groupBy(*policy, "d").agg(
+        (F.sum(F.coalesce(F.col("__ret"), F.lit(0.0))) / F.count(F.lit(1))).alias("gross")
+    )
+    now = chosen.withColumn("__now", F.lit(1))
+    before = chosen.withColumn("d", F.col("d") + F.col("interval")).withColumn("__was", F.lit(1))
+    moved = now.join(before, [*policy, "d", "symbol"], "full_outer").groupBy(*policy, "d").agg(
+        F.count_if(F.col("__now").isNull() | F.col("__was").isNull()).alias("__changed")
+    )
+    turnover = F.coalesce(F.col("__changed") / (2 * F.col("top_k")), F.lit(0.0))
+    out = gross.join(moved, [*policy, "d"], "left").join(F.broadcast(days), "d")
+    out = out.withColumn("cost_bps", F.explode(F.array(*[F.lit(float(c)) for c in cost_bps]))).withColumn("turnover", turnover)
+    return out.select(*policy, "cost_bps", day, "d", "gross", "turnover", (F.col("gross") - F.col("turnover") * F.col("cost_bps") / 1e4).alias("ret"))
+
+
 def equity_curve(daily: DataFrame, keys: Sequence[str], value: str = "ret", day: str = "date") -> DataFrame:
     """Cumulative product, running peak and drawdown of daily series (calendar-sized per key)."""
     w = Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, 0)

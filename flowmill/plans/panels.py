@@ -587,6 +587,42 @@ def topk_grid(spark, d):
     return _summary_out(X.return_summary(daily, ["top_k", "cost_bps"], min_days=20).join(turn, ["top_k", "cost_bps"]))
 
 
+_GRID = f"""{FWD},
+di AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS d FROM (SELECT DISTINCT date FROM fwd)),
+pts AS (SELECT d, symbol, round(score * 1000000)::BIGINT AS score, fwd_ret FROM fwd JOIN di USING (date)),
+sw AS (SELECT w AS smoothing, a.d, a.symbol, (SELECT sum(b.score)::DOUBLE / count(b.score) FROM pts b WHERE b.symbol = a.symbol AND b.d BETWEEN a.d - w + 1 AND a.d) AS m
+       FROM pts a, (VALUES (1), (3), (5)) v(w)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY smoothing, d ORDER BY m DESC, symbol) AS rank FROM sw WHERE m IS NOT NULL),
+policy AS (SELECT k, h FROM (VALUES (5), (10), (20)) a(k), (VALUES (1), (2), (5)) b(h)),
+held AS (SELECT k, h, smoothing, x.d, symbol FROM policy, di x, rk WHERE rk.d = x.d // h * h AND rank <= k),
+gr AS (SELECT k, h, smoothing, d, sum(coalesce(fwd_ret, 0)) / count(*) AS gross FROM held LEFT JOIN pts USING (d, symbol) GROUP BY ALL),
+mv AS (SELECT k, h, smoothing, d, count(*) FILTER (a OR b) AS changed FROM (
+         SELECT coalesce(n.k, p.k) AS k, coalesce(n.h, p.h) AS h, coalesce(n.smoothing, p.smoothing) AS smoothing, coalesce(n.d, p.d) AS d, p.symbol IS NULL AS a, n.symbol IS NULL AS b
+         FROM (SELECT * FROM held WHERE d % h = 0) n FULL JOIN (SELECT k, h, smoothing, d + h AS d, symbol FROM held WHERE d % h = 0) p
+           ON n.k = p.k AND n.h = p.h AND n.smoothing = p.smoothing AND n.d = p.d AND n.symbol = p.symbol) GROUP BY ALL),
+pd AS (SELECT k, h, smoothing, d, cost, coalesce(changed / (2.0 * k), 0)::DOUBLE AS turnover, gross - coalesce(changed / (2.0 * k), 0)::DOUBLE * cost / 10000 AS ret
+       FROM gr LEFT JOIN mv USING (k, h, smoothing, d), (VALUES (0.0::DOUBLE), (15.0::DOUBLE)) c(cost))"""
+
+
+@query(
+    "policy_grid",
+    f"""WITH {_GRID} SELECT k::INT AS top_k, h::INT AS interval, smoothing::INT AS smoothing, cost AS cost_bps, count(*) AS n_days, {sql_round("avg(turnover)")} AS mean_turnover,
+          {sql_round("avg(ret)")} AS mean_daily_return, {sql_round("stddev_samp(ret)")} AS daily_vol, {sql_round("product(1 + ret) - 1", 6)} AS cum_return
+        FROM pd GROUP BY k, h, smoothing, cost""",
+)
+def policy_grid(spark, d):
+    """Three ranks, three rebalance intervals, three smoothing windows and two costs."""
+    rows = staged_forward(spark, d).withColumn("score", F.round(F.col("score") * 1_000_000).cast("long"))
+    keys = ["top_k", "interval", "smoothing", "cost_bps"]
+    daily = staged(X.policy_grid(rows, [5, 10, 20], [1, 2, 5], [1, 3, 5], [0.0, 15.0]), "grid")
+    turn = daily.groupBy(*keys).agg(F.avg("turnover").alias("mean_turnover"))
+    out = X.return_summary(daily, keys, min_days=20).join(turn, keys)
+    return out.select(
+        *keys, "n_days", rounded("mean_turnover").alias("mean_turnover"), rounded("mean_daily_return").alias("mean_daily_return"),
+        rounded("daily_vol").alias("daily_vol"), rounded("cum_return", 6).alias("cum_return"),
+    )
+
+
 @query(
     "equity_curve",
     f"""WITH {_topk_sql([10], [15])} SELECT date, {sql_round("equity", 6)} AS equity, {sql_round("peak", 6)} AS peak,

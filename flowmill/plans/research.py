@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from flowmill.functions import market as M
 from flowmill.functions.scalars import day_text, is_finite, is_iso_date
-from flowmill.operators import checks as C, joins as J, splits as S, vectors as W
+from flowmill.operators import checks as C, joins as J, receipts as R, splits as S, vectors as W
 from flowmill.plans.base import DAYS, LINE_DAYS, MS_SQL, RAW, event_days, line_days, raw_rows, staged_days, table
 from flowmill.plans.matching import ATOMIC, atomic_table
 from flowmill.plans.panels import EXEC, FWD, calendar, execution, forward
@@ -536,6 +536,54 @@ def coverage_receipt(spark, d):
     return cov.select("date", F.col("expected_rows").alias("expected"), F.col("matched_rows").alias("materialized"), F.col("missing_rows").alias("empty"))
 
 
+_EVENTS = ("written", "written", "failed", "retried", "verified", "empty", "retried", "verified", "lost")
+
+
+def _receipts(spark, d):
+    """The feed as a log of deliveries per instrument and day: what happened follows from the message number."""
+    kind = F.element_at(F.array(*[F.lit(e) for e in _EVENTS]), (F.col("serial") % 9 + 1).cast("int"))
+    log = raw_rows(spark, d).select("date", "symbol", F.col("serial").alias("at"), kind.alias("event"))
+    return R.fold_log(log, ["date", "symbol"], ["at"], "event")
+
+
+_RECEIPTS = f"""{RAW},
+log AS (SELECT date, symbol, [{", ".join(repr(e) for e in _EVENTS)}][(serial % 9 + 1)::INT] AS event, row_number() OVER (PARTITION BY date, symbol ORDER BY serial) AS i FROM raw),
+legal(state, event) AS (VALUES {", ".join(f"('{s}', '{e}')" for s, after in R.LEGAL.items() for e in after)}),
+fold AS (
+  SELECT date, symbol, 0::BIGINT AS i, 'none' AS state, 0::BIGINT AS bad FROM log WHERE i = 1
+  UNION ALL
+  SELECT f.date, f.symbol, l.i, CASE WHEN a.event IS NULL THEN f.state ELSE l.event END, f.bad + CASE WHEN a.event IS NULL THEN 1 ELSE 0 END
+  FROM fold f JOIN log l ON l.date = f.date AND l.symbol = f.symbol AND l.i = f.i + 1
+  LEFT JOIN legal a ON a.state = f.state AND a.event = l.event),
+receipts AS (SELECT date, symbol, arg_max(state, i) AS state, max(i) AS n_events, max(bad) AS n_illegal FROM fold GROUP BY date, symbol)"""
+
+
+@query(
+    "receipt_states",
+    f"""WITH RECURSIVE {_RECEIPTS} SELECT r.*, u.n_unknown FROM receipts r
+        JOIN (SELECT date, symbol, count(*) FILTER (event = 'lost') AS n_unknown FROM log GROUP BY ALL) u USING (date, symbol)""",
+)
+def receipt_states(spark, d):
+    """Last valid state of every instrument's deliveries of a day, with the events that may not follow the state before."""
+    return _receipts(spark, d)
+
+
+@query(
+    "receipt_gaps",
+    f"""WITH RECURSIVE {_RECEIPTS}, expected AS (SELECT date, symbol FROM receipts WHERE symbol::BIGINT % 7 <> 3 UNION ALL SELECT date, 'X' || symbol FROM receipts WHERE symbol::BIGINT % 5 = 2)
+        SELECT CASE WHEN e.symbol IS NULL THEN 'unexpected' WHEN r.symbol IS NULL THEN 'unwritten' WHEN state <> 'verified' THEN 'open'
+                    WHEN n_illegal > 0 THEN 'damaged' ELSE 'complete' END AS status, count(*) AS n_keys
+        FROM expected e FULL JOIN receipts r ON e.date = r.date AND e.symbol = r.symbol GROUP BY 1""",
+)
+def receipt_gaps(spark, d):
+    """Expected deliveries against their receipts, with strangers and gaps planted on both sides."""
+    receipts = staged(_receipts(spark, d), "receipts")
+    number = F.col("symbol").cast("long")
+    listed = receipts.where(number % 7 != 3).select("date", "symbol")
+    never = receipts.where(number % 5 == 2).select("date", F.concat(F.lit("X"), "symbol").alias("symbol"))
+    return R.receipt_gaps(listed.unionByName(never), receipts, ["date", "symbol"])
+
+
 @query(
     "receipt_manifest_agreement",
     f"""WITH {RAW}, r AS (SELECT DISTINCT date, symbol FROM raw WHERE type = 'T'), m AS (SELECT DISTINCT date, symbol FROM raw WHERE trade_type <> 'C' AND type = 'T')
