@@ -294,7 +294,7 @@ def policy_grid(
     ranked = rows.select("d", "symbol", F.inline(views)).where("__mean is not null")
     place = F.row_number().over(Window.partitionBy("smoothing", "d").orderBy(F.desc("__mean"), "symbol"))
     top = ranked.withColumn("rank", place).where(F.col("rank") <= max(ks))
-    top = top.withColumn("interval", F.explode(F.filter(F.array(*[F.lit(h) for h in sorted(set(intervals))]), lambda h: F.col("d") % h == 0)))
+    top = top.withColumn("interval", F.explode(F.filter(F.array(*[F.lit(h) for h in sorted(set(intervals))]), lambda h: (F.col("d") - 1) % h == 0)))
     top = top.withColumn("top_k", F.explode(F.filter(F.array(*[F.lit(k) for k in sorted(set(ks))]), lambda k: k >= F.col("rank"))))
     policy = ["top_k", "interval", "smoothing"]
     chosen = staged(top.select(*policy, "d", "symbol"), "chosen")
