@@ -17,6 +17,9 @@ SESSIONS = (
 EVENT_SOURCES = ("ORDER", "TRADE", "SNAPSHOT", "QUEUE", "DERIVED")
 ORDER_TYPES = ("LIMIT", "MARKET", "BEST", "CANCEL", "UNKNOWN")
 BOARDS = ("MAIN", "STAR", "CHINEXT", "SME", "BSE", "UNKNOWN")
+DOMAINS = {
+    "evt_type": EVENT_TYPES, "side": SIDES, "session": SESSIONS, "event_source": EVENT_SOURCES, "order_type": ORDER_TYPES, "board": BOARDS,
+}
 EVENT_TYPE_MAP = {"ADD": "ADD", "CANCEL": "CANCEL", "TRADE": "EXEC"}
 SIDE_MAP = {"BUY": "B", "SELL": "S", "UNKNOWN": "N"}
 SESSION_MAP = {

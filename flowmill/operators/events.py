@@ -366,3 +366,13 @@ def signed_flow(df: DataFrame, keys: Sequence[str], side: str, buy: object, sell
     return df.groupBy(*keys).agg(
         (F.sum(sign) / F.count(F.lit(1))).alias("factor_ofi"), F.count(F.lit(1)).alias("ofi_n_events")
     )
+
+
+def domain_violations(events: DataFrame, columns: Sequence[str] = tuple(M.DOMAINS)) -> DataFrame:
+    """``(column, value, n)``: values of canonical columns that the published schema does not know; null counts as one."""
+    pairs = F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), F.coalesce(F.col(c).isin(*M.DOMAINS[c]), F.lit(False)).alias("known"))
+        for c in columns
+    ])
+    strange = events.select(F.explode(F.filter(pairs, lambda x: ~x["known"])).alias("x"))
+    return strange.groupBy(F.col("x.column").alias("column"), F.col("x.value").alias("value")).agg(F.count(F.lit(1)).alias("n"))

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from flowmill.functions.scalars import all_of, finite_or_null, is_finite, safe_ratio
+from flowmill.functions.scalars import finite_or_null, is_finite, safe_ratio
 from flowmill.operators import blocks as B
 from flowmill.operators.joins import finite_rows
 from flowmill.session import staged
@@ -530,7 +530,3 @@ def full_coverage(scores: DataFrame, panel: DataFrame, keys: Sequence[str] = ("d
         F.count(F.lit(1)).alias("n_scores"), F.count("__p").alias("n_covered"),
         (F.count("__p") == F.count(F.lit(1))).alias("complete"),
     )
-
-
-def all_finite(columns: Sequence[str]) -> Column:
-    return all_of([is_finite(c) for c in columns])

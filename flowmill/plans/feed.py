@@ -293,6 +293,21 @@ def canonical_events(spark, d):
     return canon(spark, d).withColumn("amount", F.round("amount", 6))
 
 
+@query(
+    "canonical_domains",
+    f"""WITH {CANON}, planted AS (SELECT CASE WHEN source_seqnum % 101 = 5 THEN 'TRADE' ELSE evt_type END AS evt_type, CASE WHEN source_seqnum % 103 = 7 THEN NULL ELSE side END AS side FROM canon)
+        SELECT 'evt_type' AS "column", evt_type AS value, count(*) AS n FROM planted WHERE evt_type = 'TRADE' GROUP BY ALL
+        UNION ALL SELECT 'side', side, count(*) FROM planted WHERE side IS NULL GROUP BY ALL""",
+)
+def canonical_domains(spark, d):
+    """Values outside the published domains: none in canonical events but the planted ones."""
+    number = F.col("source_seqnum")
+    planted = canon(spark, d).withColumns({
+        "evt_type": F.when(number % 101 == 5, "TRADE").otherwise(F.col("evt_type")), "side": F.when(number % 103 != 7, F.col("side")),
+    })
+    return E.domain_violations(planted)
+
+
 @query(
     "canonical_sink",
     f"""WITH {CANON} SELECT date, exchange, count(*) AS n_rows, sum(event_idx)::BIGINT AS s_idx,

@@ -538,13 +538,14 @@ _SUM_OUT = f"""top_k, cost_bps, n_days, {sql_round("mean_daily_return")} AS mean
   {sql_round("hit_rate")} AS hit_rate, {sql_round("max_drawdown")} AS max_drawdown, {sql_round("mean_turnover")} AS mean_turnover,
   {sql_round("CASE WHEN daily_vol > 0 THEN mean_daily_return / daily_vol ELSE 0 END")} AS sharpe_daily,
   round(e - 1, 6) AS cum_return, n_days >= 20 AS reliable,
-  {sql_round("CASE WHEN n_days >= 20 AND daily_vol > 0 THEN mean_daily_return / daily_vol * sqrt(244.0) END", 6)} AS sharpe"""
+  {sql_round("CASE WHEN n_days >= 20 AND daily_vol > 0 THEN mean_daily_return / daily_vol * sqrt(244.0) END", 6)} AS sharpe,
+  {sql_round("CASE WHEN n_days >= 20 AND daily_vol > 0 THEN pow(e, 244.0 / n_days) - 1 END", 6)} AS ann_return"""
 
 
 def _summary_out(df):
-    return df.drop("ann_return").withColumns({
+    return df.withColumns({
         **{c: rounded(c) for c in ("mean_daily_return", "daily_vol", "hit_rate", "max_drawdown", "mean_turnover", "sharpe_daily")},
-        "cum_return": rounded("cum_return", 6), "sharpe": rounded("sharpe", 6),
+        "cum_return": rounded("cum_return", 6), "sharpe": rounded("sharpe", 6), "ann_return": rounded("ann_return", 6),
     })
 
 

@@ -133,12 +133,15 @@ def clock_aligned_panel(spark, d):
 
 @query(
     "wide_vector_roundtrip",
-    f"""SELECT vec_id, label, {sql_round("embedding[1]::DOUBLE", 7)} AS emb_0, {sql_round("embedding[64]::DOUBLE", 7)} AS emb_63, 64::INT AS width FROM embeddings""",
+    f"""SELECT vec_id, label, {sql_round("embedding[1]::DOUBLE", 7)} AS emb_0, {sql_round("embedding[64]::DOUBLE", 7)} AS emb_63, 64::INT AS width,
+         array_to_string(list_transform(embedding, lambda x: round(x::DOUBLE * 10000000)::BIGINT), ',') AS vector FROM embeddings""",
 )
 def wide_vector_roundtrip(spark, d):
+    """Vectors as columns and back; the text of all entries makes every column be read."""
     wide = W.to_wide(table(spark, d, "embeddings"), "embedding", 64)
     back = W.to_array(wide, "vec")
-    return back.select("vec_id", "label", rounded(F.col("vec")[0], 7).alias("emb_0"), rounded(F.col("vec")[63], 7).alias("emb_63"), F.size("vec").alias("width"))
+    return back.select("vec_id", "label", rounded(F.col("vec")[0], 7).alias("emb_0"), rounded(F.col("vec")[63], 7).alias("emb_63"), F.size("vec").alias("width"),
+                       F.concat_ws(",", F.transform("vec", lambda x: F.round(x.cast("double") * 10_000_000).cast("long").cast("string"))).alias("vector"))
 
 
 @query(
