@@ -202,6 +202,17 @@ def value_ranks(
     return out.select(*keys, value, (F.col("__upto") - F.col("ties")).alias("lo"), "ties", "n")
 
 
+def ranks_of_counts(counts: DataFrame, keys: Sequence[str], value: str, blocks: int | None = None) -> DataFrame:
+    """``value_ranks`` of a table that holds each distinct ``(keys, value)`` once with its number of rows ``ties``.
+
+    ``counts`` is read several times: write it first.
+    """
+    keys = list(keys)
+    upto = running(counts.select(*keys, value, "ties"), keys, [value], {"__upto": total(F.col("ties"))}, blocks)
+    sizes = counts.groupBy(*keys).agg(F.sum("ties").alias("n"))
+    return upto.join(sizes, keys, "inner").select(*keys, value, (F.col("__upto") - F.col("ties")).alias("lo"), "ties", "n")
+
+
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str, size: str | None = None) -> DataFrame:
     """Add the 1-based average rank of ``value`` inside its group (ties share the mean)."""
     ranks = value_ranks(df, keys, value).select(
@@ -239,6 +250,21 @@ def quantiles_of(
     ranks: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], method: str = "linear"
 ) -> DataFrame:
     """Quantiles from an existing result of ``value_ranks``."""
+    ends = order_statistics(ranks, keys, value, probs, method)
+    quantile = F.col("low")
+    if method == "linear":
+        quantile = F.col("low") + (F.col("high") - F.col("low")) * F.col("frac")
+    return ends.select(*keys, "p_index", "p", quantile.cast("double").alias("quantile"))
+
+
+def order_statistics(
+    ranks: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], method: str = "linear"
+) -> DataFrame:
+    """The two values a quantile lies between, as rows ``(keys, p_index, p, frac, low, high)``.
+
+    A monotone change of the values (clipping) changes ``low`` and ``high`` alike, so the quantiles of changed
+    values need no second ranking.
+    """
     keys = list(keys)
     wanted = F.array(*[
         F.struct(F.lit(i).alias("p_index"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)
@@ -257,17 +283,12 @@ def quantiles_of(
     ).transform(ranks).where(F.col("__ib") > F.col("__ia"))
     hits = ranks.withColumn("__p", F.explode(F.filter(wanted, lambda s: inside(lower(s)) | inside(upper(s)))))
     s = F.col("__p")
-    ends = hits.groupBy(*keys, s["p_index"].alias("p_index")).agg(
+    return hits.groupBy(*keys, s["p_index"].alias("p_index")).agg(
         F.first(s["p"]).alias("p"),
-        F.first(pos(s) - F.floor(pos(s))).alias("__frac"),
-        F.max(F.when(inside(lower(s)), F.col(value))).alias("__lo"),
-        F.max(F.when(inside(upper(s)), F.col(value))).alias("__hi"),
+        F.first(pos(s) - F.floor(pos(s))).alias("frac"),
+        F.max(F.when(inside(lower(s)), F.col(value))).alias("low"),
+        F.max(F.when(inside(upper(s)), F.col(value))).alias("high"),
     )
-    if method == "linear":
-        quantile = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__frac")
-    else:
-        quantile = F.col("__lo")
-    return ends.select(*keys, "p_index", "p", quantile.cast("double").alias("quantile"))
 
 
 def with_group_stats(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:

@@ -52,6 +52,10 @@ class FieldSpec:
     def binned(self) -> bool:
         return self.numeric and self.n_bins is not None
 
+    @property
+    def two_sided(self) -> bool:
+        return any(m in self.source for m in TWO_SIDED)
+
     def applies(self) -> Column:
         return F.col("evt_type").isin(*self.applicable) if self.applicable else F.lit(True)
 
@@ -200,22 +204,43 @@ def edges_of(df: DataFrame, wanted: Mapping[str, tuple[Column, int, bool]]) -> d
         return {}
     pairs = F.array(*[F.struct(F.lit(n).alias("field"), v.cast("double").alias("x")) for n, (v, _, _) in wanted.items()])
     long = df.select(F.explode(pairs).alias("p")).select("p.field", "p.x").where(F.col("x").isNotNull())
-    long = staged(long, "edges")
-    ends = _winsorised(long, {n: w[2] for n, w in wanted.items()})
+    counts = staged(long.groupBy("field", "x").agg(F.count(F.lit(1)).alias("ties")), "counts")
+    return edges_of_counts(counts, {n: (bins, two) for n, (_, bins, two) in wanted.items()})
+
+
+def edges_of_counts(counts: DataFrame, wanted: Mapping[str, tuple[int, bool]]) -> dict[str, list[float]]:
+    """``edges_of`` for fields ``name -> (bins, two_sided)`` from ``(field, x, ties)``, each value once; written before.
+
+    The values are ranked once: clipping is monotone, so the quantiles of clipped values come from the order
+    statistics of the values as they are.
+    """
+    wanted = {n: w for n, w in wanted.items() if w[0] > 1}
+    if not wanted:
+        return {}
+    probs = sorted({0.0, 0.01, 0.99} | {p for bins, _ in wanted.values() for p in _inner(bins)})
+    mine = counts.where(F.col("field").isin(*wanted))
+    rows = B.order_statistics(B.ranks_of_counts(mine, ["field"], "x"), ["field"], "x", probs).collect()
+    stats = {(r["field"], probs[r["p_index"]]): (r["low"], r["high"], r["frac"]) for r in rows}
+
+    def at(name: str, p: float, lo: float = -math.inf, hi: float = math.inf) -> float:
+        low, high, frac = stats[name, p]
+        low, high = min(max(low, lo), hi), min(max(high, lo), hi)
+        return low + (high - low) * frac
+
+    ends = {n: (at(n, 0.01 if two else 0.0), at(n, 0.99)) for n, (_, two) in wanted.items() if (n, 0.99) in stats}
     ends = {n: e for n, e in ends.items() if e[1] > e[0]}
-    if not ends:
-        return {n: [] for n in wanted}
-    clipped = _clipped(long, ends)
-    x = F.col("x")
-    near = clipped.groupBy("field").agg(
-        F.min(F.when(x > F.col("lo"), x)).alias("after"), F.max(F.when(x < F.col("hi"), x)).alias("before")
-    )
-    near = {r["field"]: (r["after"], r["before"]) for r in near.collect()}
-    probs = sorted({p for n in ends for p in _inner(wanted[n][1])})
-    cuts = {(r["field"], probs[r["p_index"]]): r["quantile"] for r in B.quantiles(clipped.select("field", "x"), ["field"], "x", probs).collect()}
-    return {
-        n: _repair(*ends[n], *near[n], [cuts[n, p] for p in _inner(wanted[n][1])]) if n in ends else [] for n in wanted
-    }
+    cuts = {n: [at(n, p, *e) for p in _inner(wanted[n][0])] for n, e in ends.items()}
+    atop = {n: e for n, e in ends.items() if min(cuts[n]) <= e[0] or max(cuts[n]) >= e[1]}
+    near = {}
+    if atop:
+        clipped = _clipped(mine.select("field", "x"), atop)
+        x = F.col("x")
+        sides = clipped.groupBy("field").agg(
+            F.min(F.when(x > F.col("lo"), x)).alias("after"), F.max(F.when(x < F.col("hi"), x)).alias("before")
+        )
+        near = {r["field"]: (r["after"], r["before"]) for r in sides.collect()}
+    inside = (math.nan, math.nan)  # no cut lies on an end value, so no neighbour is asked for
+    return {n: _repair(*ends[n], *near.get(n, inside), cuts[n]) if n in ends else [] for n in wanted}
 
 
 def quantile_edges(sample: DataFrame, value: str, n_bins: int, two_sided: bool = False) -> list[float]:
@@ -316,11 +341,9 @@ def fit_vocab(train: DataFrame, specs: Sequence[FieldSpec], day: str = "date", n
     """Fit on all training rows at every size: statistics, exact distributed edges, occupancy."""
     has_numeric = any(s.numeric for s in specs)
     stats = {r["field"]: r for r in field_stats(train, specs).collect()} if has_numeric else {}
-    numeric = {}
     edges: dict[str, list[float]] = {s.name: [] for s in specs if s.numeric}
-    two_sided = lambda s: any(m in s.source for m in TWO_SIDED)
     whole = {
-        s.name: (F.when(usable(s), F.col(s.source).cast("double")), s.n_bins, two_sided(s)) for s in specs if s.binned
+        s.name: (F.when(usable(s), F.col(s.source).cast("double")), s.n_bins, s.two_sided) for s in specs if s.binned
     }
     edges.update(edges_of(train, whole))
     by_bin: dict[str, dict[int, int]] = {n: {} for n in edges}
@@ -328,6 +351,18 @@ def fit_vocab(train: DataFrame, specs: Sequence[FieldSpec], day: str = "date", n
     if fields:
         for r in occupancy(train, {f"o_{n}": f for n, f in fields.items()}).collect():
             by_bin[r["field"][2:]][r["bin"]] = r["n"]
+    return assembled(
+        specs, stats, edges, by_bin, category_counts(train, specs).collect() if any(not s.numeric for s in specs) else [],
+        [r[0] for r in train.select(day).distinct().collect()], normaliser_clip,
+    )
+
+
+def assembled(
+    specs: Sequence[FieldSpec], stats: Mapping[str, Mapping], edges: Mapping[str, list[float]], by_bin: Mapping[str, Mapping[int, int]],
+    categories: Sequence[Mapping], dates: Sequence[str], normaliser_clip: float,
+) -> Vocab:
+    """The vocabulary of collected statistics, edges, rows per bin and ``(field, value, n)`` of the categories."""
+    numeric = {}
     for s in specs:
         if s.numeric:
             r, e = stats[s.name], edges[s.name]
@@ -337,15 +372,13 @@ def fit_vocab(train: DataFrame, specs: Sequence[FieldSpec], day: str = "date", n
             )
     seen: dict[str, dict[str, int]] = {s.name: {} for s in specs if not s.numeric}
     gone = dict.fromkeys(seen, 0)
-    if seen:
-        for r in category_counts(train, specs).collect():
-            if r["value"] is None:
-                gone[r["field"]] = r["n"]
-            else:
-                seen[r["field"]][r["value"]] = r["n"]
-    dates = tuple(sorted(r[0] for r in train.select(day).distinct().collect()))
+    for r in categories:
+        if r["value"] is None:
+            gone[r["field"]] = r["n"]
+        else:
+            seen[r["field"]][r["value"]] = r["n"]
     return Vocab(
-        tuple(specs), numeric, {k: tuple(sorted(v)) for k, v in seen.items()}, seen, gone, dates, normaliser_clip
+        tuple(specs), numeric, {k: tuple(sorted(v)) for k, v in seen.items()}, seen, gone, tuple(sorted(dates)), normaliser_clip
     )
 
 
