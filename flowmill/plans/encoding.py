@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowmill.functions.scalars import day_text
-from flowmill.operators import checks as C, dictionary as D, events as E, vocab as V
+from flowmill.operators import checks as C, dictionary as D, events as E, increments as I, vocab as V
 from flowmill.plans.base import table
 from flowmill.plans.feed import canon
-from flowmill.plans.registry import query, rounded, sql_round
+from flowmill.plans.registry import ORACLES, query, rounded, sql_round
 from flowmill.session import new_path, staged
+from flowmill.sources import encoded as S
 
 _ID = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 _STRATA = ["l_returnflag", "l_linestatus"]
@@ -321,6 +322,94 @@ def vocab_self_check(spark, d):
     return C.vocab_checks(spark, fields)
 
 
+# --- fitted by periods, stored with a contract --------------------------------
+
+
+def _month_counts(spark, d):
+    """Counts by month in three deliveries; the first brings half of the early rows, the second brings those months whole."""
+    rows = items(spark, d).withColumn("month", F.substring("date", 1, 7))
+    store = I.DayCounts(spark, new_path(spark, "months"), SPECS)
+    early = F.col("month") < "1995-01"
+    store.add(rows.where(early & (F.col("l_orderkey") % 2 == 0)), "month")
+    store.add(rows.where(early), "month")
+    store.add(rows.where(~early), "month")
+    return store
+
+
+_EARLY = EDGES.replace("FROM lineitem)", "FROM lineitem WHERE l_shipdate < DATE '1996-07-01')", 1)
+
+
+@query("incremental_edges", ORACLES["quantile_edges"].replace(EDGES, _EARLY, 1))
+def incremental_edges(spark, d):
+    vocab = _month_counts(spark, d).fit(last="1996-06")
+    rows = [(s.name, i, round(e, 8)) for s in SPECS if s.binned for i, e in enumerate(vocab.numeric[s.name].edges)]
+    return spark.createDataFrame(rows, "field string, i long, edge double")
+
+
+@query(
+    "month_moments",
+    f"""WITH {ITEMS}, l AS (SELECT 'price' AS field, date, l_extendedprice AS v FROM it
+          UNION ALL SELECT 'imbalance', date, imbalance FROM it WHERE l_returnflag IN ('A', 'R')
+          UNION ALL SELECT 'discount', date, l_discount FROM it UNION ALL SELECT 'qty', date, l_quantity FROM it)
+        SELECT substr(date, 1, 7) AS month, field, count(v) AS n_observed, count(*) - count(v) AS n_missing, {sql_round("sum(v)", 2)} AS total,
+               {sql_round("stddev_pop(v)", 6)} AS std, round(min(v), 6) AS min_value, round(max(v), 6) AS max_value FROM l GROUP BY 1, 2""",
+)
+def month_moments(spark, d):
+    out = _month_counts(spark, d).moments()
+    out = out.withColumns({"total": F.col("mean") * F.col("n_observed"), "std": F.sqrt(F.try_divide("m2", "n_observed"))})
+    return out.select(
+        F.col("day").alias("month"), "field", "n_observed", "n_missing", rounded("total", 2).alias("total"),
+        *[rounded(c, 6).alias(c) for c in ("std", "min_value", "max_value")],
+    )
+
+
+@query("incremental_token_table", ORACLES["token_table"])
+def incremental_token_table(spark, d):
+    """Tokens by a vocabulary merged from months, saved, and read back."""
+    path = new_path(spark, "vocabulary")
+    I.save_vocab(spark, _month_counts(spark, d).fit(), path)
+    out = V.tokenize(items(spark, d), I.load_vocab(spark, path), _ID).drop("val_discount")
+    return out.withColumns({c: rounded(c, 4) for c in ("val_price", "val_qty", "val_imbalance")})
+
+
+def _encoded(spark, d):
+    vocab, path = fitted(spark, d), new_path(spark, "encoded")
+    S.write_tokens(V.tokenize(items(spark, d), vocab, _ID), vocab, path)
+    return vocab, path
+
+
+@query(
+    "encoded_tokens",
+    f"""WITH {_TOKENS} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, tok_price_bin,
+          round_even(val_price::FLOAT::DOUBLE * (32767 / 5.0::DOUBLE), 0)::BIGINT AS price_code FROM tk WHERE tok_flag = 6""",
+)
+def encoded_tokens(spark, d):
+    vocab, path = _encoded(spark, d)
+    out = S.read_tokens(spark, path, [*_ID, "tok_price_bin", "val_price"], vocab, where="tok_flag = 6")
+    return out.select(*_ID, "tok_price_bin", F.rint(F.col("val_price") * (V.QUANT_MAX / vocab.clip)).cast("long").alias("price_code"))
+
+
+@query(
+    "encoding_audit",
+    """WITH c AS (SELECT count(*) AS n, count(*) FILTER (l_orderkey % 7 = 0) AS wrong, count(*) FILTER (l_orderkey % 11 = 0) AS gone,
+             count(*) FILTER (l_partkey % 5 = 0) AS low FROM lineitem),
+         r AS (SELECT unnest(['tok_flag', 'tok_status', 'tok_price_bin', 'tok_imbalance_bin', 'tok_discount_bin', 'val_price', 'val_imbalance',
+             'val_discount', 'val_qty']) AS "column", n, wrong, gone, low FROM c),
+         f AS (SELECT "column", n AS n_rows, CASE "column" WHEN 'tok_price_bin' THEN gone ELSE 0 END AS nulls,
+             CASE "column" WHEN 'tok_flag' THEN wrong WHEN 'val_qty' THEN low ELSE 0 END AS outside FROM r)
+       SELECT *, CASE WHEN nulls = 0 AND outside = 0 THEN 'pass' ELSE 'fail' END AS status FROM f""",
+)
+def encoding_audit(spark, d):
+    """The audit of stored rows into which wrong ids, nulls and a code below the symmetric range were put."""
+    _, path = _encoded(spark, d)
+    rows = spark.read.parquet(f"{path}/rows").withColumns({
+        "tok_flag": F.when(F.col("l_orderkey") % 7 == 0, F.lit(255)).otherwise(F.col("tok_flag")),
+        "tok_price_bin": F.when(F.col("l_orderkey") % 11 != 0, F.col("tok_price_bin")),
+        "val_qty": F.when(F.col("l_partkey") % 5 == 0, F.lit(-32768)).otherwise(F.col("val_qty")),
+    })
+    return S.audit(rows, S.read_contract(spark, path))
+
+
 # --- distributions ------------------------------------------------------------
 
 
