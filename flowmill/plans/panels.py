@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowmill.functions.scalars import is_finite
-from flowmill.operators import agreement as A, joins as J, panel as P, xsection as X
+from flowmill.operators import agreement as A, gates as G, joins as J, panel as P, xsection as X
 from flowmill.plans.base import DAYS, LINE_DAYS, event_days, line_days, raw_rows, staged_days
 from flowmill.plans.registry import query, rounded, sql_round
 from flowmill.session import staged
@@ -933,6 +933,67 @@ def regime_universe_features(spark, d):
     )
 
 
+@query(
+    "quote_rejections",
+    f"""WITH {DAYS}, k AS (SELECT CASE WHEN symbol::BIGINT % 23 <> 7 THEN symbol END AS symbol, date,
+             CASE WHEN symbol::BIGINT % 19 = 1 THEN 'BJ' ELSE market END AS market, symbol::BIGINT % 17 = 2 AS twice FROM days),
+          p AS (SELECT symbol, date, market FROM k UNION ALL SELECT symbol, date, market FROM k WHERE twice),
+          c AS (SELECT *, count(*) OVER (PARTITION BY date, symbol) AS n FROM p),
+          r AS (SELECT unnest(['missing_key', 'duplicate_key', 'foreign_market', 'off_calendar']) AS "check", unnest([
+             count(*) FILTER (symbol IS NULL), count(*) FILTER (symbol IS NOT NULL AND n > 1), count(*) FILTER (market = 'BJ'),
+             count(*) FILTER (day(date::DATE) % 10 = 5)]) AS bad_rows FROM c)
+        SELECT *, CASE WHEN bad_rows = 0 THEN 'pass' ELSE 'fail' END AS status FROM r""",
+)
+def quote_rejections(spark, d):
+    """Quotes into which lost symbols, repeated rows and a foreign market were put, against a calendar that lacks days."""
+    days = staged_days(spark, d).select("date", "symbol", "market")
+    number = F.col("symbol").cast("long")
+    odd = days.withColumns({
+        "symbol": F.when(number % 23 != 7, F.col("symbol")), "market": F.when(number % 19 == 1, "BJ").otherwise(F.col("market")),
+        "__copies": F.when(number % 17 == 2, 2).otherwise(1),
+    })
+    odd = odd.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return G.quote_rejections(odd, calendar(days).where(F.dayofmonth(F.to_date("date")) % 10 != 5))
+
+
+_GATED = (*_MF, "market_breadth", "board_relative_strength_20d", "stock_depth_l5_log", "stock_ofi_l1")
+_GATES = f"""{_REGIME_UNIVERSE},
+g AS (SELECT a.date, a.symbol, uq.date IS NULL AS unlisted, coalesce(uq.has_quote, false) AS quoted, mf.market_return_20d IS NOT NULL AS history,
+    coalesce(st.return_coverage >= 0.6 AND st.amount_coverage >= 0.6, false) AS covered, coalesce(book_valid_ratio >= 0.003, false) AS valid,
+    {" AND ".join(f"{'st' if c == 'market_breadth' else 'mf' if c in _MF else 'bst' if c.startswith('board') else 'a'}.{c} IS NOT NULL" for c in _GATED)} AS whole,
+    coalesce(uq.has_quote, false) AND a.symbol::BIGINT % 37 = 5 AND uq.board <> 'BSE' AS strange
+  FROM atomic a LEFT JOIN uq ON a.date = uq.date AND a.symbol = uq.symbol LEFT JOIN st ON st.date = a.date
+    LEFT JOIN mf ON mf.date = a.date LEFT JOIN bst ON bst.date = a.date AND bst.board = uq.board),
+gc AS (SELECT unnest(['in_universe', 'has_quote', 'has_history', 'coverage', 'features', 'book_valid_ratio', 'duplicate_key', 'identity']) AS "check",
+    unnest([count(*) FILTER (unlisted), count(*) FILTER (NOT quoted), count(*) FILTER (NOT history), count(*) FILTER (NOT covered),
+      count(*) FILTER (NOT whole), count(*) FILTER (NOT valid), 0, count(*) FILTER (strange)]) AS bad_rows FROM g),
+gr AS (SELECT *, CASE WHEN bad_rows = 0 THEN 'pass' ELSE 'fail' END AS status FROM gc)"""
+
+
+def _gates(spark, d):
+    q, atomic = regime_eod(spark, d), staged(atomic_table(spark, d), "atomic")
+    quotes = q.where(F.col("symbol").cast("long") % 11 != 3)
+    odd = F.when(F.col("symbol").cast("long") % 37 == 5, "BSE").otherwise(F.col("board"))
+    stated = atomic.select("date", "symbol").join(q, ["date", "symbol"]).select("date", "symbol", "market", odd.alias("board"))
+    return G.regime_gates(P.regime_features(atomic, quotes, q, calendar(q)), stated, quotes, _GATED, 0.6, 0.003)
+
+
+@query("regime_gates", f"WITH {_GATES} SELECT * FROM gr")
+def regime_gates(spark, d):
+    """Every gate of the regime set; names without a quote and rows with another board were put in."""
+    return _gates(spark, d)
+
+
+@query(
+    "regime_verdict",
+    f"""WITH {_GATES} SELECT count(*) AS n_checks, count(*) FILTER (status <> 'pass') AS n_failed,
+          CASE WHEN bool_and(status = 'pass') THEN 'ready' ELSE 'refused' END AS verdict,
+          coalesce(string_agg("check", ',' ORDER BY "check") FILTER (status <> 'pass'), '') AS failed FROM gr""",
+)
+def regime_verdict(spark, d):
+    return G.verdict(_gates(spark, d))
+
+
 @query(
     "identity_conflicts",
     f"""WITH {REGIME}, a AS (SELECT date, symbol, market, CASE WHEN symbol::BIGINT % 37 = 5 THEN 'BSE' ELSE board END AS board FROM rq)

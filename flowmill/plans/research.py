@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from flowmill.functions import market as M
 from flowmill.functions.scalars import day_text, is_finite, is_iso_date
-from flowmill.operators import checks as C, joins as J, receipts as R, splits as S, vectors as W
+from flowmill.operators import checks as C, gates as G, joins as J, receipts as R, splits as S, vectors as W
 from flowmill.plans.base import DAYS, LINE_DAYS, MS_SQL, RAW, event_days, line_days, raw_rows, staged_days, table
 from flowmill.plans.matching import ATOMIC, atomic_table
 from flowmill.plans.panels import EXEC, FWD, calendar, execution, forward
@@ -631,6 +631,54 @@ def manifest_contract(spark, d):
     return both.select("date", "n_rows", status.alias("status"), "split")
 
 
+_SHARD_KEYS, _VOCABULARY = ["market", "date"], "f" * 64
+
+
+def _manifest_against_files(spark, d):
+    """A manifest and an archive with one fault each on some days; what is wrong follows from the day of the month."""
+    rows = event_days(spark, d).select("market", "date", "symbol", F.round(F.col("close") * 10000).cast("long").alias("price"), "n_events")
+    rows, path, later = staged(rows, "shards"), new_path(spark, "archive"), new_path(spark, "archive")
+    day = F.right(F.col("date"), F.lit(1)).try_cast("int")
+    stored = "symbol string, price long, n_events long, market string, date string"
+    digested = ["symbol", "price", "n_events"]
+    io.write_partitioned(rows, path, _SHARD_KEYS, ["symbol"])
+    altered = rows.where(day != 7).withColumn("n_events", F.col("n_events") + F.when(day == 5, 1).otherwise(0))
+    io.write_partitioned(altered, later, _SHARD_KEYS)
+    manifest = G.live_shards(spark.read.schema(stored).parquet(path), _SHARD_KEYS, digested).withColumns({
+        k: F.regexp_extract("path", f"{k}=([^/]*)", 1) for k in _SHARD_KEYS
+    })
+    manifest = staged(manifest.where(~((day == 4) & (F.col("market") == "SZ"))), "manifest").withColumns({
+        "n_rows": F.col("n_rows") + F.when(day == 3, 1).otherwise(0), "vocab_sha256": F.when(day != 9, F.lit(_VOCABULARY)),
+        "path": F.when((day == 1) & (F.col("market") == "SH"), F.lit("elsewhere")).otherwise(F.col("path")),
+    })
+    manifest = manifest.unionByName(manifest.where(day == 2))
+    live = G.live_shards(spark.read.schema(stored).parquet(later), _SHARD_KEYS, digested)
+    return G.manifest_status(manifest, live, _SHARD_KEYS, _VOCABULARY)
+
+
+_SHARDS = f"""{DAYS}, sh AS (SELECT market, date, day(date::DATE) % 10 AS k, 'market=' || market || '/date=' || date AS own, count(*) AS n FROM days GROUP BY ALL),
+ms AS (SELECT market, date, CASE WHEN k = 1 AND market = 'SH' THEN 'elsewhere' ELSE own END AS path,
+    CASE WHEN k <> 7 AND NOT (k = 1 AND market = 'SH') THEN n END AS n_live,
+    CASE WHEN k = 2 THEN 'listed_twice' WHEN k = 1 AND market = 'SH' THEN 'path_wrong' WHEN k = 9 THEN 'other_vocabulary' WHEN k = 7 THEN 'file_missing'
+         WHEN k = 3 THEN 'rows_differ' WHEN k = 5 THEN 'content_differs' ELSE 'ok' END AS status FROM sh WHERE NOT (k = 4 AND market = 'SZ')
+  UNION ALL SELECT NULL, NULL, own, n, 'not_listed' FROM sh WHERE (k = 1 AND market = 'SH') OR (k = 4 AND market = 'SZ'))"""
+
+
+@query("manifest_shards", f"WITH {_SHARDS} SELECT * FROM ms")
+def manifest_shards(spark, d):
+    """Every shard of the manifest and of the archive: its folder, vocabulary, rows and content against the live files."""
+    return _manifest_against_files(spark, d)
+
+
+@query(
+    "manifest_report",
+    f"""WITH {_SHARDS}, kinds AS (SELECT unnest(['not_listed', 'listed_twice', 'path_wrong', 'other_vocabulary', 'file_missing', 'rows_differ', 'content_differs']) AS "check")
+        SELECT "check", count(status) AS bad_rows, CASE WHEN count(status) = 0 THEN 'pass' ELSE 'fail' END AS status FROM kinds LEFT JOIN ms ON ms.status = "check" GROUP BY 1""",
+)
+def manifest_report(spark, d):
+    return G.manifest_report(_manifest_against_files(spark, d))
+
+
 @query(
     "archive_inventory",
     f"""WITH {DAYS} SELECT date, count(*) AS n_rows, CASE WHEN day(date::DATE) % 10 = 3 THEN 'changed' WHEN day(date::DATE) % 10 = 7 THEN 'removed' ELSE 'ok' END AS status
