@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowmill.functions.scalars import is_finite
-from flowmill.operators import agreement as A, gates as G, joins as J, panel as P, xsection as X
+from flowmill.operators import agreement as A, evaluation as EV, gates as G, joins as J, panel as P, xsection as X
 from flowmill.plans.base import DAYS, LINE_DAYS, event_days, line_days, raw_rows, staged_days
 from flowmill.plans.registry import query, rounded, sql_round
-from flowmill.session import staged
+from flowmill.session import new_path, staged
 from flowmill.sources import io
 
 
@@ -810,6 +810,79 @@ def supplier_rank_ic(spark, d):
     return X.rank_ic(df).withColumn("ic", rounded("ic", 7))
 
 
+# --- the evaluation set -------------------------------------------------------
+
+_EVALUATED = f"""{_topk_sql([5, 10, 20], [0, 15, 30])}{_RANKED[len(FWD):]},
+sm AS ({_SUMMARY}),
+qo AS (SELECT date, fwd_ret, row_number() OVER (PARTITION BY date ORDER BY score, symbol::BIGINT) AS r, count(*) OVER (PARTITION BY date) AS n
+       FROM fwd WHERE eligible AND fwd_ret IS NOT NULL),
+qr AS (SELECT date, least((r - 1) * 5 // n, 4) AS g, avg(fwd_ret) AS m FROM qo GROUP BY ALL),
+hg AS (SELECT date, symbol, score, fwd_ret, pow(greatest(((rank() OVER (PARTITION BY date ORDER BY fwd_ret) + (count(*) OVER (PARTITION BY date, fwd_ret) - 1) / 2.0
+         - 1) / greatest(count(*) OVER (PARTITION BY date) - 1, 1) - 0.5) / 0.5, 0), 2) AS gain FROM fwd WHERE eligible AND fwd_ret IS NOT NULL),
+hr AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, symbol) AS a, row_number() OVER (PARTITION BY date ORDER BY gain DESC, symbol) AS b FROM hg),
+hm AS (SELECT date, cutoff, sum(gain / log2(a + 1)) FILTER (a <= cutoff) AS dcg, sum(gain / log2(b + 1)) FILTER (b <= cutoff) AS idcg,
+         avg(fwd_ret) FILTER (a <= cutoff) - avg(fwd_ret) AS excess FROM hr, (SELECT unnest([10, 30]) AS cutoff) GROUP BY ALL),
+hd AS (SELECT cutoff, CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END AS ndcg, excess * 1e4 AS bps FROM hm),
+bm AS (SELECT date, avg(fwd_ret) AS b FROM fwd WHERE eligible AND fwd_ret IS NOT NULL GROUP BY date),
+pd AS (SELECT td.*, b, ret - b AS active FROM td LEFT JOIN bm USING (date) WHERE top_k = 10 AND cost_bps = 15),
+ho AS (SELECT date, d, symbol, 1.0::DOUBLE / count(*) OVER (PARTITION BY date) AS w FROM mem WHERE top_k = 10),
+tr AS (SELECT coalesce(x.w, 0) - coalesce(y.w, 0) AS change FROM ho x FULL JOIN (SELECT d + 1 AS d, symbol, w FROM ho) y ON x.d = y.d AND x.symbol = y.symbol
+       WHERE coalesce(x.w, 0) <> coalesce(y.w, 0) AND coalesce(x.d, y.d) <= (SELECT max(d) FROM ho))"""
+
+
+def _evaluation(spark, d):
+    path = new_path(spark, "evaluation")
+    df = staged_forward(spark, d)
+    EV.write_evaluation(df, path, [5, 10, 20], groups=5)
+    return EV.read_evaluation(spark, path)
+
+
+@query(
+    "evaluation_contents",
+    f"""WITH {_EVALUATED}, t AS (
+          SELECT 'daily_ic' AS name, count(*) AS n_rows, sum(ic) AS total FROM ics UNION ALL SELECT 'quantile_returns', count(*), sum(m) FROM qr
+          UNION ALL SELECT 'daily_head_metrics', count(*), sum(ndcg) FROM hd UNION ALL SELECT 'topk_grid', count(*), sum(mean_daily_return) FROM sm
+          UNION ALL SELECT 'benchmark_daily', count(*), sum(b) FROM bm UNION ALL SELECT 'portfolio_daily', count(*), sum(active) FROM pd
+          UNION ALL SELECT 'holdings', count(*), sum(w) FROM ho UNION ALL SELECT 'trades', count(*), sum(abs(change)) FROM tr)
+        SELECT name, n_rows, {sql_round("total", 6)} AS total FROM t""",
+)
+def evaluation_contents(spark, d):
+    """Rows of each table of the written evaluation, and the sum of a column of it."""
+    back = _evaluation(spark, d)
+    sums = {
+        "daily_ic": F.col("ic"), "quantile_returns": F.col("mean_return"), "daily_head_metrics": F.col("ndcg"), "topk_grid": F.col("mean_daily_return"),
+        "benchmark_daily": F.col("benchmark_return"), "portfolio_daily": F.col("active_return"), "holdings": F.col("weight"), "trades": F.abs("change"),
+    }
+    parts = [back[n].agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n_rows"), rounded(F.sum(c), 6).alias("total")) for n, c in sums.items()]
+    return io.union_relaxed(parts)
+
+
+def _series_sql(section, column, table):
+    values = {"n_days": f"count({column})::DOUBLE", "mean_daily_return": f"avg({column})", "daily_vol": f"stddev_samp({column})", "hit_rate": f"avg(({column} > 0)::INT)"}
+    return " UNION ALL ".join(f"SELECT '{section}' AS section, '{m}' AS metric, {e} AS value FROM {table}" for m, e in values.items())
+
+
+@query(
+    "evaluation_metrics",
+    f"""WITH {_EVALUATED}, v AS ({_series_sql("benchmark", "b", "bm")} UNION ALL {_series_sql("portfolio", "ret", "pd")}
+          UNION ALL SELECT 'portfolio', 'mean_turnover', avg(turnover) FROM pd
+          UNION ALL SELECT 'active', 'mean_daily_return', avg(active) FROM pd UNION ALL SELECT 'active', 'tracking_error', stddev_samp(active) FROM pd
+          UNION ALL SELECT 'active', 'information_ratio', avg(active) / stddev_samp(active) * sqrt(244.0) FROM pd
+          UNION ALL SELECT 'head_ranking', 'ndcg_' || cutoff, avg(ndcg) FROM hd GROUP BY cutoff
+          UNION ALL SELECT 'head_ranking', 'top_excess_bps_' || cutoff, avg(bps) FROM hd GROUP BY cutoff
+          UNION ALL SELECT 'ic', 'n_periods', count(ic) FROM ics UNION ALL SELECT 'ic', 'mean_ic', avg(ic) FROM ics
+          UNION ALL SELECT 'coverage', 'score_rows', count(*) FROM fwd UNION ALL SELECT 'coverage', 'signal_days', count(DISTINCT date) FROM fwd
+          UNION ALL SELECT 'coverage', 'eligible_rows', count(*) FILTER (eligible) FROM fwd
+          UNION ALL SELECT 'coverage', 'label_rows', count(fwd_ret) FILTER (eligible) FROM fwd
+          UNION ALL SELECT 'coverage', 'label_coverage', count(fwd_ret) FILTER (eligible)::DOUBLE / count(*) FILTER (eligible) FROM fwd)
+        SELECT section, metric, {sql_round("value", 6)} AS value FROM v""",
+)
+def evaluation_metrics(spark, d):
+    """The metrics of the written evaluation; the spread of the IC has its own query."""
+    out = _evaluation(spark, d)["metrics"].where("section <> 'ic' or metric in ('n_periods', 'mean_ic')")
+    return out.withColumn("value", rounded("value", 6))
+
+
 # --- regime set ---------------------------------------------------------------
 
 
