@@ -15,7 +15,7 @@ from flowmill.sources import inventory
 MARKETS = ("SH", "SZ")
 
 
-def _report(counts: DataFrame, checks: Sequence[str]) -> DataFrame:
+def report(counts: DataFrame, checks: Sequence[str]) -> DataFrame:
     """``(check, bad_rows, status)`` of a one-row table with a count per check."""
     status = lambda c: F.when(F.col(c) == 0, "pass").otherwise("fail")
     cells = [F.struct(F.lit(c).alias("check"), F.col(c).cast("long").alias("bad_rows"), status(c).alias("status")) for c in checks]
@@ -58,7 +58,7 @@ def quote_rejections(quotes: DataFrame, calendar: DataFrame, markets: Sequence[s
         F.coalesce(F.sum("__foreign"), F.lit(0)).alias("foreign_market"),
         total(F.col("date").isNotNull() & F.col("__on").isNull()).alias("off_calendar"),
     )
-    return _report(counts, ["missing_key", "duplicate_key", "foreign_market", "off_calendar"])
+    return report(counts, ["missing_key", "duplicate_key", "foreign_market", "off_calendar"])
 
 
 def regime_gates(
@@ -83,7 +83,7 @@ def regime_gates(
     twice = F.coalesce(F.sum(F.when(F.col("__n") > 1, F.col("__n"))), F.lit(0))
     counts = keys.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in bad], twice.alias("duplicate_key"))
     odd = identity_conflicts(atomic, quotes).where("q_market is not null or q_board is not null").agg(F.count(F.lit(1)).alias("identity"))
-    return _report(counts, [*bad, "duplicate_key"]).unionByName(_report(odd, ["identity"]))
+    return report(counts, [*bad, "duplicate_key"]).unionByName(report(odd, ["identity"]))
 
 
 # --- a manifest against the files that are there ------------------------------
@@ -133,4 +133,4 @@ def manifest_status(manifest: DataFrame, live: DataFrame, keys: Sequence[str], v
 def manifest_report(status: DataFrame) -> DataFrame:
     """``manifest_status`` as a report: one row per kind of fault."""
     kinds = ["not_listed", "listed_twice", "path_wrong", "other_vocabulary", "file_missing", "rows_differ", "content_differs"]
-    return _report(status.agg(*[F.count_if(F.col("status") == k).alias(k) for k in kinds]), kinds)
+    return report(status.agg(*[F.count_if(F.col("status") == k).alias(k) for k in kinds]), kinds)

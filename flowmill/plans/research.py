@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from flowmill.functions import market as M
 from flowmill.functions.scalars import day_text, is_finite, is_iso_date
-from flowmill.operators import checks as C, gates as G, joins as J, receipts as R, splits as S, vectors as W
+from flowmill.operators import checks as C, delivery as DL, gates as G, joins as J, receipts as R, splits as S, vectors as W
 from flowmill.plans.base import DAYS, LINE_DAYS, MS_SQL, RAW, event_days, line_days, raw_rows, staged_days, table
 from flowmill.plans.matching import ATOMIC, atomic_table
 from flowmill.plans.panels import EXEC, FWD, calendar, execution, forward
@@ -722,6 +722,39 @@ def score_manifest(spark, d):
     return facts.withColumn("__k", F.lit(1)).join(digest.withColumn("__k", F.lit(1)), "__k").drop("__k")
 
 
+_LOST, _ALTERED, _REPEATED = "symbol::BIGINT % 7 = 3 AND date < '1994-01-01'", "symbol::BIGINT % 5 = 1", "symbol::BIGINT % 3 = 2"
+
+
+@query(
+    "score_delivery",
+    f"""WITH {LINE_DAYS}, n AS (SELECT count(*) FILTER ({_LOST}) AS lost, count(*) FILTER ({_ALTERED}) AS altered, count(*) FILTER ({_REPEATED}) AS repeated,
+             abs(count(DISTINCT date) - count(DISTINCT CASE WHEN NOT ({_LOST}) THEN date END)) AS days,
+             (min(date) <> min(date) FILTER (NOT ({_LOST})))::INT + (min(score) <> min(score) FILTER (NOT ({_LOST})))::INT
+               + (max(score) <> max(score) FILTER (NOT ({_LOST})))::INT AS ends,
+             (min(score) <> min(score) FILTER (NOT ({_ALTERED})))::INT + (max(score) <> max(score) FILTER (NOT ({_ALTERED})))::INT AS inner_ends FROM lines),
+          r AS (SELECT delivery, "check", CASE
+               WHEN delivery = 'short' THEN CASE "check" WHEN 'rows' THEN lost WHEN 'days' THEN days WHEN 'range' THEN ends WHEN 'keys' THEN (lost > 0)::INT WHEN 'content' THEN (lost > 0)::INT ELSE 0 END
+               WHEN delivery = 'altered' THEN CASE "check" WHEN 'content' THEN (altered > 0)::INT WHEN 'not_finite' THEN altered WHEN 'range' THEN inner_ends ELSE 0 END
+               WHEN delivery = 'repeated' THEN CASE "check" WHEN 'rows' THEN repeated WHEN 'keys' THEN (repeated > 0)::INT WHEN 'content' THEN (repeated > 0)::INT
+                 WHEN 'duplicate_key' THEN 2 * repeated ELSE 0 END
+               ELSE 0 END::BIGINT AS bad_rows
+             FROM n, (SELECT unnest(['whole', 'short', 'altered', 'repeated']) AS delivery),
+               (SELECT unnest(['rows', 'days', 'range', 'keys', 'content', 'duplicate_key', 'not_finite']) AS "check"))
+        SELECT *, CASE WHEN bad_rows = 0 THEN 'pass' ELSE 'fail' END AS status FROM r""",
+)
+def score_delivery(spark, d):
+    """Four copies of a delivery against its manifest: whole, with rows lost, with scores lost, with rows repeated."""
+    path, number = new_path(spark, "delivery"), F.col("symbol").cast("long")
+    DL.deliver(_scores(spark, d), path)
+    rows = spark.read.parquet(f"{path}/scores")
+    copies = {
+        "whole": rows, "short": rows.where(~((number % 7 == 3) & (F.col("date") < "1994-01-01"))),
+        "altered": rows.withColumn("score", F.when(number % 5 != 1, F.col("score"))), "repeated": rows.unionByName(rows.where(number % 3 == 2)),
+    }
+    reports = [DL.verify(spark, path, rows=copy).withColumn("delivery", F.lit(name)) for name, copy in copies.items()]
+    return io.union_relaxed(reports)
+
+
 @query(
     "contract_documents",
     """SELECT user_id, count(*) AS n_events, min(('0' || regexp_extract(props, '"k": ([0-9]+)', 1))::BIGINT) AS k_min,
