@@ -442,6 +442,23 @@ def ledger(
     return out.withColumn("nav", F.product(1.0 + F.col("net_return")).over(w)).drop("d", "__w")
 
 
+def ledger_summary(daily: DataFrame) -> DataFrame:
+    """One row over a ``ledger``: days, return, spread, yearly Sharpe ratio, drawdown, mean turnover and total cost.
+
+    The drawdown is against the highest value of a day so far; without days everything is 0.
+    """
+    peak = F.max("nav").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
+    rows = daily.withColumn("__drawdown", F.col("nav") / peak - 1.0)
+    out = rows.agg(
+        F.count(F.lit(1)).alias("n_days"), (F.max_by("nav", "date") - 1.0).alias("cum_return"), F.avg("net_return").alias("mean_daily_return"),
+        F.stddev_samp("net_return").alias("daily_vol"), F.min("__drawdown").alias("max_drawdown"), F.avg("turnover").alias("mean_turnover"),
+        F.sum("cost").alias("total_cost"),
+    )
+    out = out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in out.columns[1:]})
+    sharpe = safe_ratio(F.col("mean_daily_return"), F.col("daily_vol")) * math.sqrt(TRADING_DAYS)
+    return out.withColumn("sharpe", F.when(F.col("daily_vol") > 0, sharpe).otherwise(0.0))
+
+
 # --- exposures and neutralisation ---------------------------------------------
 
 

@@ -8,7 +8,8 @@ from flowmill.functions.scalars import day_text, zero_fill
 from flowmill.operators import agreement as A, book as K, events as E, joins as J
 from flowmill.plans.base import MS_SQL, RAW, STREAM, raw_rows, table
 from flowmill.plans.registry import query, rounded, sql_round
-from flowmill.session import staged
+from flowmill.session import new_path, staged
+from flowmill.sources import io
 
 # --- as-of joins --------------------------------------------------------------
 
@@ -299,6 +300,35 @@ def normalised_keys(spark, d):
 # --- order life cycle and book ------------------------------------------------
 
 
+@query(
+    "record_exports",
+    """WITH c AS (SELECT o_orderkey + CASE WHEN o_orderkey % 10 = 4 THEN 100000000 ELSE 0 END AS order_id, strftime(o_orderdate, '%Y-%m-%d') AS cancel_time FROM orders WHERE o_orderkey % 2 = 0),
+         o AS (SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 4 = 0 THEN 'B' ELSE 'S' END AS side, CAST(round(o_totalprice * 100) AS BIGINT) AS price FROM orders),
+         j AS (SELECT c.order_id, side, price, cancel_time FROM c LEFT JOIN o USING (order_id))
+       SELECT 'trades' AS record, 'T' AS side, count(*) AS n_rows, sum(CAST(round(l_extendedprice * 100) AS BIGINT))::BIGINT AS price_sum, count(DISTINCT l_shipdate) AS n_days FROM lineitem
+       UNION ALL SELECT 'cancels', coalesce(side, '-'), count(*), coalesce(sum(price), 0)::BIGINT, count(DISTINCT cancel_time) FROM j GROUP BY side""",
+)
+def record_exports(spark, d):
+    """Trades and cancels written as CSV and read back; some cancels name an order that does not exist."""
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    key, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    price = lambda c: F.round(F.col(c) * 100).cast("long").alias("price")
+    orders = o.select(
+        key.alias("order_id"), F.when(key % 4 == 0, "B").otherwise("S").alias("side"), price("o_totalprice"),
+        (key % 150 + 50).alias("quantity"), day.alias("order_time"),
+    )
+    cancels = o.where(key % 2 == 0).select((key + F.when(key % 10 == 4, 100000000).otherwise(0)).alias("order_id"), day.alias("cancel_time"))
+    trades = li.select("l_orderkey", "l_partkey", price("l_extendedprice"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"))
+    path = new_path(spark, "records")
+    io.export_records(trades, cancels, orders, path)
+    back = io.read_tree(spark, f"{path}/trades", "*.csv", trades.schema)
+    gone = io.read_tree(spark, f"{path}/cancels", "*.csv", "order_id long, side string, price long, quantity long, order_time string, cancel_time string")
+    facts = lambda c: (F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum("price"), F.lit(0)).alias("price_sum"), F.count_distinct(c).alias("n_days"))
+    sold = back.agg(*facts("day")).select(F.lit("trades").alias("record"), F.lit("T").alias("side"), "n_rows", "price_sum", "n_days")
+    lost = gone.groupBy(F.coalesce("side", F.lit("-")).alias("side")).agg(*facts("cancel_time"))
+    return sold.unionByName(lost.withColumn("record", F.lit("cancels")))
+
+
 @query(
     "order_lifecycle",
     """WITH t AS (SELECT l_orderkey AS b, l_partkey AS s, CAST(round(l_extendedprice * 100) AS BIGINT) AS price,

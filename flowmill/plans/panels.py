@@ -703,16 +703,19 @@ _HOLD = f"""{FWD}, hold AS (SELECT date, symbol, 0.1::DOUBLE AS weight, fwd_ret
   QUALIFY row_number() OVER (PARTITION BY date ORDER BY score DESC, symbol) <= 10)"""
 
 
-@query(
-    "holdings_ledger",
-    f"""WITH {_HOLD}, dd AS (SELECT date, row_number() OVER (ORDER BY date) AS d FROM (SELECT DISTINCT date FROM hold)),
+_LEDGER = f"""{_HOLD}, dd AS (SELECT date, row_number() OVER (ORDER BY date) AS d FROM (SELECT DISTINCT date FROM hold)),
          h AS (SELECT * FROM hold JOIN dd USING (date)),
          f AS (SELECT d, weight, old, fwd_ret, a, b FROM (SELECT *, 1 AS a FROM h) x
                FULL JOIN (SELECT d + 1 AS d, symbol, weight AS old, 1 AS b FROM h) y USING (d, symbol) WHERE d IN (SELECT d FROM dd)),
          g AS (SELECT d, coalesce(sum(weight * coalesce(fwd_ret, 0)), 0) AS gross, count(a) AS n,
                  coalesce(sum(weight) FILTER (b IS NULL), 0) AS bn, coalesce(sum(old) FILTER (a IS NULL), 0) AS sn, coalesce(sum(weight), 0) AS w
                FROM f GROUP BY d),
-         c AS (SELECT *, (bn * 10 + sn * 15) / 1e4 AS cost FROM g)
+         c AS (SELECT *, (bn * 10 + sn * 15) / 1e4 AS cost FROM g)"""
+
+
+@query(
+    "holdings_ledger",
+    f"""WITH {_LEDGER}
         SELECT date, n AS n_holdings, {sql_round("gross")} AS gross_return, {sql_round("bn")} AS buy_notional, {sql_round("sn")} AS sell_notional,
                {sql_round("cost")} AS cost, {sql_round("gross - cost")} AS net_return, {sql_round("0.5 * (bn + sn)")} AS turnover,
                {sql_round("greatest(1 - w, 0)")} AS cash_weight,
@@ -724,6 +727,20 @@ def holdings_ledger(spark, d):
     return out.withColumns({**{c: rounded(c) for c in cols}, "nav": rounded("nav", 6)})
 
 
+@query(
+    "ledger_summary",
+    f"""WITH {_LEDGER}, v AS (SELECT d, gross - cost AS r, cost, 0.5 * (bn + sn) AS turn, product(1 + gross - cost) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING) AS nav FROM c),
+          k AS (SELECT *, nav / max(nav) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING) - 1 AS dr FROM v)
+        SELECT count(*) AS n_days, {sql_round("arg_max(nav, d) - 1", 6)} AS cum_return, {sql_round("avg(r)")} AS mean_daily_return, {sql_round("stddev_samp(r)")} AS daily_vol,
+               {sql_round("min(dr)", 6)} AS max_drawdown, {sql_round("avg(turn)")} AS mean_turnover, {sql_round("sum(cost)", 6)} AS total_cost,
+               {sql_round("avg(r) / stddev_samp(r) * sqrt(244.0)", 6)} AS sharpe FROM k""",
+)
+def ledger_summary(spark, d):
+    daily = X.ledger(staged(_holdings(spark, d), "hold"), 10.0, 10.0, 5.0)
+    digits = {"cum_return": 6, "mean_daily_return": 8, "daily_vol": 8, "max_drawdown": 6, "mean_turnover": 8, "total_cost": 6, "sharpe": 6}
+    return X.ledger_summary(daily).withColumns({c: rounded(c, n) for c, n in digits.items()})
+
+
 @query(
     "portfolio_exposures",
     f"""WITH {_HOLD} SELECT h.date, {sql_round("sum(d.close * weight) / sum(CASE WHEN d.close IS NOT NULL THEN weight ELSE 0 END)", 6)} AS close,

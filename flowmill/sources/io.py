@@ -135,6 +135,17 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", "true").csv(path)
 
 
+def export_records(trades: DataFrame, cancels: DataFrame, orders: DataFrame, root: str) -> None:
+    """All records as CSV: ``trades`` as they are, ``cancels`` (order_id, cancel_time) with what their order says.
+
+    ``orders`` holds each order_id once with side, price, quantity and order_time; a cancel without an order keeps
+    empty fields. Both exports are folders of files with a header each.
+    """
+    told = cancels.join(orders.select("order_id", "side", "price", "quantity", "order_time"), "order_id", "left")
+    write_csv(trades, f"{root}/trades")
+    write_csv(told.select("order_id", "side", "price", "quantity", "order_time", "cancel_time"), f"{root}/cancels")
+
+
 def file_rows(spark: SparkSession, root: str, pattern: str = "*.parquet") -> DataFrame:
     """Row count per file. Only file metadata is read when no column is needed."""
     df = read_tree(spark, root, pattern)

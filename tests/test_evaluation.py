@@ -4,8 +4,9 @@ import math
 
 import pytest
 
-from flowmill.operators import evaluation as E
+from flowmill.operators import evaluation as E, xsection as X
 from flowmill.session import new_path
+from flowmill.sources import io
 
 
 def panel(spark, rows):
@@ -57,3 +58,27 @@ def test_no_rows(spark):
     E.write_evaluation(days(spark).where("false"), path, [2], cutoffs=(3,), top_k=2)
     m = {(r["section"], r["metric"]): r["value"] for r in E.read_evaluation(spark, path)["metrics"].collect()}
     assert m["coverage", "score_rows"] == 0 and m["active", "information_ratio"] is None and m["ic", "mean_ic"] is None
+
+
+def test_ledger_summary(spark):
+    rows = [("a", "x", 1.0, 0.1), ("b", "x", 1.0, -0.2), ("c", "y", 0.5, 0.3)]
+    hold = spark.createDataFrame(rows, "date string, symbol string, weight double, fwd_ret double")
+    daily = X.ledger(hold, 10.0, 20.0)
+    one = X.ledger_summary(daily).first()
+    day = daily.orderBy("date").toPandas()
+    assert one["n_days"] == 3 and one["cum_return"] == pytest.approx(day.nav.iloc[-1] - 1) and one["total_cost"] == pytest.approx(0.001 + 0.0005 + 0.002)
+    assert one["max_drawdown"] == pytest.approx((day.nav / day.nav.cummax() - 1).min())
+    assert one["sharpe"] == pytest.approx(day.net_return.mean() / day.net_return.std() * math.sqrt(X.TRADING_DAYS))
+    none = X.ledger_summary(daily.where("false")).first()
+    assert set(none.asDict().values()) == {0}
+
+
+def test_exported_cancels_keep_unknown_orders(spark):
+    trades = spark.createDataFrame([(1, 'a "b", c')], "id long, note string")
+    orders = spark.createDataFrame([(7, "B", 10, 5, "t0")], "order_id long, side string, price long, quantity long, order_time string")
+    cancels = spark.createDataFrame([(7, "t1"), (8, "t2")], "order_id long, cancel_time string")
+    path = new_path(spark, "records")
+    io.export_records(trades, cancels, orders, path)
+    back = io.read_tree(spark, f"{path}/cancels", "*.csv", "order_id long, side string, price long, quantity long, order_time string, cancel_time string")
+    assert sorted(map(tuple, back.collect())) == [(7, "B", 10, 5, "t0", "t1"), (8, None, None, None, None, "t2")]
+    assert io.read_tree(spark, f"{path}/trades", "*.csv", trades.schema).first()["id"] == 1
