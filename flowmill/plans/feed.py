@@ -71,7 +71,7 @@ def diagonal_union(spark, d):
 
 @query("prefix_scan", "SELECT event_type, count(*) AS n_rows FROM events GROUP BY 1")
 def prefix_scan(spark, d):
-    return io.read_tree(spark, d, "events*.parquet").groupBy("event_type").agg(F.count(F.lit(1)).alias("n_rows"))
+    return io.read_named(spark, d, "events*.parquet").groupBy("event_type").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 _TABLES = (
@@ -86,9 +86,7 @@ _TABLES = (
 )
 def file_row_counts(spark, d):
     # One scan per schema family: the given tables have different schemas.
-    parts = [io.file_rows(spark, d, f"{t}.parquet") for t in _TABLES]
-    name = F.element_at(F.split("path", "/"), -1)
-    return io.union_relaxed(parts).select(name.alias("file"), "n_rows")
+    return io.union_relaxed([io.table_rows(spark, d, f"{t}.parquet") for t in _TABLES])
 
 
 # Every column of every given table: plain text, n(umber to 4 places), t(ime), v(ector to 6 places).

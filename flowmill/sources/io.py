@@ -86,6 +86,11 @@ def read_tree(spark: SparkSession, root: str, pattern: str = "*.parquet", schema
     return reader.parquet(root)
 
 
+def read_named(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """Read what matches by name directly below a folder; a table may be one file or a folder of parts with any names."""
+    return spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/{pattern}")
+
+
 def read_calendar(spark: SparkSession, path: str) -> DataFrame:
     """Trading calendar from text, one day per line, blank lines and ``#`` comments skipped.
 
@@ -148,10 +153,19 @@ def export_records(trades: DataFrame, cancels: DataFrame, orders: DataFrame, roo
 
 def file_rows(spark: SparkSession, root: str, pattern: str = "*.parquet") -> DataFrame:
     """Row count per file. Only file metadata is read when no column is needed."""
-    df = read_tree(spark, root, pattern)
+    return _rows_by_path(read_tree(spark, root, pattern))
+
+
+def _rows_by_path(df: DataFrame) -> DataFrame:
     return df.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def table_rows(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """One row: ``file`` (the table's name) and its rows over all parts; a table without rows counts 0."""
+    parts = _rows_by_path(read_named(spark, root, name))
+    return parts.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows")).select(F.lit(name).alias("file"), "n_rows")
+
+
 def key_set_digest(df: DataFrame, keys: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
     """Digest of the distinct key set per group that needs no sorted list in one place."""
     joined = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])

@@ -62,3 +62,17 @@ def test_added_removed_and_repeated_rows(spark, rows):
     found = I.differences(nodes(rows), nodes(moved)).where(f"level = {I.FILE}").collect()
     assert {(r["node"], r["status"], r["n_before"], r["n_after"]) for r in found} == {("f3", "removed", 125, None), ("new", "added", None, 125)}
     assert nodes(rows.limit(0)).count() == 0 and I.differences(nodes(rows.limit(0)), nodes(rows)).where("status = 'added'").count() > 40
+
+
+def test_rows_and_names_of_tables_that_are_folders(spark, tmp_path):
+    from flowmill.sources import io
+
+    spark.range(12).repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(5).selectExpr("cast(id as string) other").coalesce(1).write.parquet(f"{tmp_path}/notes.parquet")
+    spark.range(5).where("id < 0").write.parquet(f"{tmp_path}/empty.parquet")
+    single = next((tmp_path / "notes.parquet").glob("part-*.parquet"))
+    (tmp_path / "labels.parquet").write_bytes(single.read_bytes())
+    tables = ["events.parquet", "notes.parquet", "empty.parquet", "labels.parquet"]
+    got = io.union_relaxed([io.table_rows(spark, str(tmp_path), t) for t in tables])
+    assert [tuple(r) for r in got.collect()] == [("events.parquet", 12), ("notes.parquet", 5), ("empty.parquet", 0), ("labels.parquet", 5)]
+    assert io.read_named(spark, str(tmp_path), "events*.parquet").count() == 12
