@@ -170,14 +170,24 @@ def execution_panel(daily: DataFrame, calendar: DataFrame, spec: ReturnSpec) ->
 # --- coverage -----------------------------------------------------------------
 
 
+def _key_sides(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each key of two sets once, with ``__a`` and ``__b`` for the sets that hold it.
+
+    One grouping of both sets: nothing is sorted, and a row is only its key and two flags. Tasks are dealt by the number
+    of input splits, as the size of a shuffle says little of packed keys: a task's memory does not grow with the input.
+    A key with a null matches nothing on the other side, so it is grouped by side.
+    """
+    side = lambda df, own: df.select(*keys, F.lit(own).alias("__a"), F.lit(not own).alias("__b"))
+    whole = F.when(all_of([F.col(k).isNotNull() for k in keys]), F.lit(None)).otherwise(F.col("__a"))
+    both = side(a, True).unionByName(side(b, False)).withColumn("__own", whole)
+    both = both.repartition(4 * both.rdd.getNumPartitions(), *keys)
+    return both.groupBy(*keys, "__own").agg(F.bool_or("__a").alias("__a"), F.bool_or("__b").alias("__b")).drop("__own")
+
+
 def daily_coverage(expected: DataFrame, actual: DataFrame, keys: Sequence[str], day: str = "date") -> DataFrame:
-    """Expected, matched, missing and extra keys per day, from one full outer join of distinct keys."""
-    keys = list(keys)
-    a = expected.select(*keys).distinct().withColumn("__e", F.lit(1))
-    b = actual.select(*keys).distinct().withColumn("__a", F.lit(1))
-    both = a.join(b, keys, "full_outer")
-    e, x = F.col("__e").isNotNull(), F.col("__a").isNotNull()
-    return both.groupBy(day).agg(
+    """Expected, matched, missing and extra keys per day, from one grouping of both key sets."""
+    e, x = F.col("__a"), F.col("__b")
+    return _key_sides(expected, actual, keys).groupBy(day).agg(
         F.count_if(e).alias("expected_rows"),
         F.count_if(e & x).alias("matched_rows"),
         F.count_if(e & ~x).alias("missing_rows"),
@@ -188,13 +198,8 @@ def daily_coverage(expected: DataFrame, actual: DataFrame, keys: Sequence[str],
 
 def key_overlap(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Distinct key counts of two sets and of their intersection."""
-    keys = list(keys)
-    left = a.select(*keys).distinct().withColumn("__a", F.lit(1))
-    right = b.select(*keys).distinct().withColumn("__b", F.lit(1))
-    both = left.join(right, keys, "full_outer")
-    return both.agg(
-        F.count("__a").alias("n_left"), F.count("__b").alias("n_right"),
-        F.count_if(F.col("__a").isNotNull() & F.col("__b").isNotNull()).alias("n_common"),
+    return _key_sides(a, b, keys).agg(
+        F.count_if("__a").alias("n_left"), F.count_if("__b").alias("n_right"), F.count_if(F.col("__a") & F.col("__b")).alias("n_common"),
     )
 
 

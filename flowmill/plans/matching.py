@@ -240,8 +240,8 @@ def cancel_time_mismatch(spark, d):
 # --- coverage -----------------------------------------------------------------
 
 
-def _keys(spark, d, name, when, key):
-    return table(spark, d, name).select(day_text(when).alias("date"), F.col(key).alias("key"))
+def _keys(rows, when, key):
+    return rows.select(F.to_date(when).alias("date"), F.col(key).alias("key"))
 
 
 @query(
@@ -257,12 +257,12 @@ def _keys(spark, d, name, when, key):
        FROM f GROUP BY date""",
 )
 def daily_key_coverage(spark, d):
-    expected = _keys(spark, d, "orders", "o_orderdate", "o_orderkey")
-    scored = table(spark, d, "orders").where(F.col("o_orderstatus") != "P").select(
-        day_text("o_orderdate").alias("date"), F.col("o_orderkey").alias("key")
+    orders = table(spark, d, "orders")
+    actual = _keys(table(spark, d, "lineitem"), "l_shipdate", "l_orderkey").unionByName(
+        _keys(orders.where(F.col("o_orderstatus") != "P"), "o_orderdate", "o_orderkey")
     )
-    actual = _keys(spark, d, "lineitem", "l_shipdate", "l_orderkey").unionByName(scored)
-    return J.daily_coverage(expected, actual, ["date", "key"])
+    out = J.daily_coverage(_keys(orders, "o_orderdate", "o_orderkey"), actual, ["date", "key"])
+    return out.withColumn("date", day_text("date"))
 
 
 @query(

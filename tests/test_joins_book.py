@@ -142,3 +142,14 @@ def test_level_arrays_keep_every_level_and_leave_other_columns(spark):
     names = [f"ap{i}" for i in range(1, 13)] + ["avg_price", "av_1"]
     out = K.level_arrays(spark.createDataFrame([tuple(range(1, 15))], names)).first()
     assert out["ask_px"] == [float(i) for i in range(1, 13)] and out["ask_qty"] == [14.0] and out["avg_price"] == 13
+
+
+def test_coverage_groups_both_sets_once(spark):
+    a = spark.createDataFrame([("d1", 1), ("d1", 1), ("d1", 2), (None, 3), ("d2", None)], "date string, key long")
+    b = spark.createDataFrame([("d1", 1), ("d1", 9), (None, 3), ("d2", None), ("d2", None)], "date string, key long")
+    out = J.daily_coverage(a, b, ["date", "key"])
+    assert {r["date"]: tuple(r)[1:] for r in out.collect()} == {"d1": (2, 1, 1, 1, 0.5), "d2": (1, 0, 1, 1, 0.0), None: (1, 0, 1, 1, 0.0)}
+    assert tuple(J.key_overlap(a, b, ["date", "key"]).first()) == (4, 4, 1)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # no side is sorted or joined, and the number of tasks goes with the input's splits
+    assert "Join" not in plan and "Sort" not in plan and "REPARTITION_BY_NUM" in plan
