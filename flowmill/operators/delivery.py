@@ -5,65 +5,120 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowmill.functions.scalars import is_finite
 from flowmill.operators.gates import report
-from flowmill.session import staged
 from flowmill.sources import inventory
 
 CHECKS = ("rows", "days", "range", "keys", "content", "duplicate_key", "not_finite")
 
 
-def content_digest(rows: DataFrame, columns: Sequence[str], out: str) -> DataFrame:
-    """One row with the additive digest of all rows: their order does not matter, a repeated row counts each time."""
-    parts = staged(inventory.leaves(rows, F.lit("table"), columns), "leaves")
-    nodes = inventory.tree(parts).where(F.col("level") == inventory.FILE)
-    return nodes.agg(F.coalesce(F.max("digest"), F.lit("empty")).alias(out))
+_HALF = 30  # a lane has two halves of so many bits, whose sums over a group of rows are longs
 
 
-def facts(scores: DataFrame, keys: Sequence[str] = ("date", "symbol"), value: str = "score") -> DataFrame:
-    """One row that describes a delivery; ``keys[0]`` is its day."""
-    day = keys[0]
-    one = scores.agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_distinct(day).alias("n_days"), F.min(day).alias("day_min"), F.max(day).alias("day_max"),
-        F.min(value).alias("value_min"), F.max(value).alias("value_max"),
+def _halves(name: str, lane: Column) -> dict[str, Column]:
+    return {f"{name}h": F.shiftright(lane, _HALF), f"{name}l": lane.bitwiseAND(F.lit((1 << _HALF) - 1))}
+
+
+def _digest(n: Column, sums: Sequence[Column]) -> Column:
+    """SHA-256 of the number of rows and the exact sums of the halves."""
+    wide = [F.coalesce(F.sum(s.cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)").cast("string") for s in sums]
+    return F.sha2(F.concat_ws("|", F.coalesce(F.sum(n), F.lit(0)).cast("string"), *wide), 256)
+
+
+def _contents(rows: DataFrame, copy: str, keys: Sequence[str], value: str) -> DataFrame:
+    """By copy: rows, days, ends, and the digest of all rows from four seeded hashes of keys and value's text."""
+    day, text = keys[0], F.col(value).cast("string")
+    told = [x for c in (*[F.col(k) for k in keys], text) for x in (c.isNull(), c)]
+    lanes = {f"__c{i}": F.shiftrightunsigned(F.xxhash64(F.lit(i), *told), 64 - 2 * _HALF) for i in range(inventory.LANES)}
+    laned = rows.select(copy, day, value, *[x.alias(c) for c, x in lanes.items()])
+    halves = {k: x for c in lanes for k, x in _halves(c, F.col(c)).items()}
+    days = laned.groupBy(copy, day).agg(
+        F.count(F.lit(1)).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), *[F.sum(x).alias(k) for k, x in halves.items()]
     )
-    k = F.lit(1)
-    for digest in (content_digest(scores, keys, "keys_sha256"), content_digest(scores, [*keys, value], "content_sha256")):
-        one = one.withColumn("__k", k).join(digest.withColumn("__k", k), "__k").drop("__k")
-    return one
+    return days.groupBy(copy).agg(
+        F.sum("n").alias("n_rows"), F.count(day).alias("n_days"), F.min(day).alias("day_min"), F.max(day).alias("day_max"),
+        F.min("least").alias("value_min"), F.max("most").alias("value_max"), _digest(F.col("n"), [F.col(k) for k in halves]).alias("content_sha256"),
+    )
+
+
+def _by_key(rows: DataFrame, copy: str, names: Sequence[str], keys: Sequence[str], value: str) -> DataFrame:
+    """By copy: digest of the keys from the SHA-256 of each, rows of repeated keys and of values that are not finite.
+
+    One group a key for all copies, so that a key is digested once; tasks go with the input's splits, so that their
+    memory does not grow with it.
+    """
+    odd = ~F.coalesce(is_finite(value), F.lit(False))
+    own = [F.col(copy) == n for n in names]
+    grouped = rows.repartition(16 * max(1, rows.rdd.getNumPartitions()), *keys).groupBy(*keys).agg(
+        *[F.count_if(c).alias(f"n{i}") for i, c in enumerate(own)], *[F.count_if(c & odd).alias(f"o{i}") for i, c in enumerate(own)]
+    )
+    counts = [c for i in range(len(own)) for c in (f"n{i}", f"o{i}")]
+    hexed = grouped.select(*counts, inventory.row_digest(keys).alias("__key"))
+    lanes = {f"__k{i}": F.conv(F.substring("__key", 1 + inventory.LANE_DIGITS * i, inventory.LANE_DIGITS), 16, 10).cast("long") for i in range(inventory.LANES)}
+    laned = hexed.select(*counts, F.substring("__key", 63, 2).alias("bucket"), *[x.alias(c) for c, x in lanes.items()])
+    halves = {k: x for c in lanes for k, x in _halves(c, F.col(c)).items()}
+    sums = []
+    for i in range(len(own)):
+        n = F.col(f"n{i}")
+        sums += [F.sum(n).alias(f"n{i}"), F.sum(f"o{i}").alias(f"o{i}"), F.sum(F.when(n > 1, n).otherwise(0)).alias(f"d{i}"), *[F.sum(x * n).alias(f"{k}{i}") for k, x in halves.items()]]
+    cells = [
+        F.struct(F.lit(name).alias(copy), _digest(F.col(f"n{i}"), [F.col(f"{k}{i}") for k in halves]).alias("keys_sha256"),
+                 F.coalesce(F.sum(f"d{i}"), F.lit(0)).alias("duplicate_key"), F.coalesce(F.sum(f"o{i}"), F.lit(0)).alias("not_finite"))
+        for i, name in enumerate(names)
+    ]
+    return laned.groupBy("bucket").agg(*sums).agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+
+
+def facts(rows: DataFrame, copy: str, names: Sequence[str], keys: Sequence[str] = ("date", "symbol"), value: str = "score") -> DataFrame:
+    """One row for each copy in ``names`` (told apart by column ``copy``), also without rows; ``keys[0]`` is the day.
+
+    The digests are sums over all rows: their order does not matter, a repeated row counts each time.
+    """
+    rows = rows.select(copy, *keys, value)
+    made = F.broadcast(_by_key(rows, copy, names, keys, value)).join(_contents(rows, copy, keys, value), copy, "left")
+    return made.fillna(0, ["n_rows", "n_days"]).fillna("none", ["content_sha256"])
 
 
 def deliver(scores: DataFrame, path: str, keys: Sequence[str] = ("date", "symbol"), value: str = "score") -> None:
     """Write ``keys`` and ``value``, then the manifest taken from the written rows; a delivery counts once it has one."""
     scores.select(*keys, value).write.option("compression", "zstd").parquet(f"{path}/scores")
-    facts(scores.sparkSession.read.parquet(f"{path}/scores"), keys, value).coalesce(1).write.parquet(f"{path}/manifest")
+    written = scores.sparkSession.read.parquet(f"{path}/scores").withColumn("__copy", F.lit(""))
+    facts(written, "__copy", [""], keys, value).drop("__copy", "duplicate_key", "not_finite").coalesce(1).write.parquet(f"{path}/manifest")
+
+
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    try:
+        return spark.read.parquet(f"{path}/manifest")
+    except AnalysisException as e:
+        raise ValueError(f"{path} has no manifest") from e
 
 
 def verify(spark: SparkSession, path: str, keys: Sequence[str] = ("date", "symbol"), value: str = "score", rows: DataFrame | None = None) -> DataFrame:
-    """Report of a delivered table (``rows``, or those below ``path``) against the manifest below ``path``.
+    """Report of a delivered table (``rows``, or those below ``path``) against the manifest below ``path``; see ``verify_copies``."""
+    if rows is None:
+        _manifest(spark, path)
+        rows = spark.read.parquet(f"{path}/scores")
+    return verify_copies(spark, path, rows.withColumn("__copy", F.lit("")), "__copy", [""], keys, value).drop("__copy")
+
+
+def verify_copies(
+    spark: SparkSession, path: str, rows: DataFrame, copy: str, names: Sequence[str], keys: Sequence[str] = ("date", "symbol"), value: str = "score"
+) -> DataFrame:
+    """Reports of the copies ``names`` of a delivery, told apart by column ``copy`` of ``rows``, against the manifest below ``path``.
 
     ``rows`` and ``days`` count how many more or fewer there are; ``range`` the ends of day and value that moved;
     ``keys`` and ``content`` are 1 where the digest is another one; ``duplicate_key`` and ``not_finite`` count rows.
+    A copy without rows is reported too. All copies are read in two scans.
     """
-    try:
-        said = spark.read.parquet(f"{path}/manifest")
-    except AnalysisException as e:
-        raise ValueError(f"{path} has no manifest") from e
-    rows = spark.read.parquet(f"{path}/scores") if rows is None else rows.select(*keys, value)
-    found = facts(rows, keys, value)
+    said = _manifest(spark, path)
+    both = facts(rows, copy, names, keys, value).join(F.broadcast(said.select([F.col(c).alias(f"said_{c}") for c in said.columns])), F.lit(True))
     ends = ("day_min", "day_max", "value_min", "value_max")
-    both = found.withColumn("__k", F.lit(1)).join(said.select(F.lit(1).alias("__k"), *[F.col(c).alias(f"said_{c}") for c in said.columns]), "__k")
     off = lambda c: (~F.col(c).eqNullSafe(F.col(f"said_{c}"))).cast("long")
     compared = both.select(
-        F.abs(F.col("n_rows") - F.col("said_n_rows")).alias("rows"), F.abs(F.col("n_days") - F.col("said_n_days")).alias("days"),
+        copy, F.abs(F.col("n_rows") - F.col("said_n_rows")).alias("rows"), F.abs(F.col("n_days") - F.col("said_n_days")).alias("days"),
         sum((off(c) for c in ends[1:]), off(ends[0])).alias("range"), off("keys_sha256").alias("keys"), off("content_sha256").alias("content"),
-        F.lit(1).alias("__k"),
-    )
-    by_key = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.count_if(~F.coalesce(is_finite(value), F.lit(False))).alias("__odd"))
-    counted = by_key.agg(
-        F.coalesce(F.sum(F.when(F.col("__n") > 1, F.col("__n"))), F.lit(0)).alias("duplicate_key"), F.coalesce(F.sum("__odd"), F.lit(0)).alias("not_finite"),
-        F.lit(1).alias("__k"),
+        "duplicate_key", "not_finite",
     )
-    return report(compared.join(counted, "__k"), CHECKS)
+    return report(compared, CHECKS, [copy])

@@ -15,11 +15,11 @@ from flowmill.sources import inventory
 MARKETS = ("SH", "SZ")
 
 
-def report(counts: DataFrame, checks: Sequence[str]) -> DataFrame:
-    """``(check, bad_rows, status)`` of a one-row table with a count per check."""
+def report(counts: DataFrame, checks: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``(check, bad_rows, status)`` of a table with a count per check: one row, or one per value of ``by``."""
     status = lambda c: F.when(F.col(c) == 0, "pass").otherwise("fail")
     cells = [F.struct(F.lit(c).alias("check"), F.col(c).cast("long").alias("bad_rows"), status(c).alias("status")) for c in checks]
-    return counts.select(F.inline(F.array(*cells)))
+    return counts.select(*by, F.inline(F.array(*cells)))
 
 
 def verdict(report: DataFrame) -> DataFrame:

@@ -180,7 +180,7 @@ def _key_sides(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     side = lambda df, own: df.select(*keys, F.lit(own).alias("__a"), F.lit(not own).alias("__b"))
     whole = F.when(all_of([F.col(k).isNotNull() for k in keys]), F.lit(None)).otherwise(F.col("__a"))
     both = side(a, True).unionByName(side(b, False)).withColumn("__own", whole)
-    both = both.repartition(4 * both.rdd.getNumPartitions(), *keys)
+    both = both.repartition(4 * max(1, both.rdd.getNumPartitions()), *keys)
     return both.groupBy(*keys, "__own").agg(F.bool_or("__a").alias("__a"), F.bool_or("__b").alias("__b")).drop("__own")
 
 

@@ -52,3 +52,23 @@ def test_an_empty_delivery(spark):
     path = new_path(spark, "delivery")
     D.deliver(spark.createDataFrame([], "date string, symbol string, score double"), path)
     assert bad(spark, path) == {}
+
+
+def test_copies_are_verified_together(spark, delivered):
+    rows = spark.read.parquet(f"{delivered}/scores")
+    zero = rows.withColumn("score", F.when(F.col("symbol") == "000000", F.lit(-0.0)).otherwise(F.col("score")))
+    parts = {"whole": rows, "short": rows.where("date < '2024-01-05'"), "none": rows.where("false"), "zero": zero}
+    copies = None
+    for name, part in parts.items():
+        own = part.withColumn("copy", F.lit(name))
+        copies = own if copies is None else copies.unionByName(own)
+    out = D.verify_copies(spark, delivered, copies, "copy", list(parts))
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["copy"], {})[r["check"]] = r["bad_rows"]
+    assert set(got) == set(parts) and all(set(v) == set(D.CHECKS) for v in got.values())
+    for name, part in parts.items():
+        assert {c: n for c, n in got[name].items() if n} == bad(spark, delivered, part)
+    # the copies' rows are read twice, however many copies there are
+    read = D.verify_copies(spark, delivered, rows.withColumn("copy", F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("c")))), "copy", ["a", "b", "c"])
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("Relation [date") <= 2

@@ -153,3 +153,9 @@ def test_coverage_groups_both_sets_once(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     # no side is sorted or joined, and the number of tasks goes with the input's splits
     assert "Join" not in plan and "Sort" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_coverage_of_nothing(spark):
+    none = spark.createDataFrame([], "date string, key long").where("false")
+    assert J.daily_coverage(none, none, ["date", "key"]).collect() == []
+    assert tuple(J.key_overlap(none, none, ["date", "key"]).first()) == (0, 0, 0)
