@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from flowmill.functions.scalars import is_finite
 from flowmill.operators.gates import report
@@ -27,58 +28,65 @@ def _digest(n: Column, sums: Sequence[Column]) -> Column:
     return F.sha2(F.concat_ws("|", F.coalesce(F.sum(n), F.lit(0)).cast("string"), *wide), 256)
 
 
-def _contents(rows: DataFrame, copy: str, keys: Sequence[str], value: str) -> DataFrame:
-    """By copy: rows, days, ends, and the digest of all rows from four seeded hashes of keys and value's text."""
-    day, text = keys[0], F.col(value).cast("string")
-    told = [x for c in (*[F.col(k) for k in keys], text) for x in (c.isNull(), c)]
-    lanes = {f"__c{i}": F.shiftrightunsigned(F.xxhash64(F.lit(i), *told), 64 - 2 * _HALF) for i in range(inventory.LANES)}
-    laned = rows.select(copy, day, value, *[x.alias(c) for c, x in lanes.items()])
-    halves = {k: x for c in lanes for k, x in _halves(c, F.col(c)).items()}
-    days = laned.groupBy(copy, day).agg(
-        F.count(F.lit(1)).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), *[F.sum(x).alias(k) for k, x in halves.items()]
-    )
-    return days.groupBy(copy).agg(
-        F.sum("n").alias("n_rows"), F.count(day).alias("n_days"), F.min(day).alias("day_min"), F.max(day).alias("day_max"),
-        F.min("least").alias("value_min"), F.max("most").alias("value_max"), _digest(F.col("n"), [F.col(k) for k in halves]).alias("content_sha256"),
-    )
+def _lanes(prefix: str, told: Sequence[Column]) -> dict[str, Column]:
+    """Halves of seeded hashes of columns, null told from every value."""
+    parts = [x for c in told for x in (c.isNull(), c)]
+    lanes = [F.shiftrightunsigned(F.xxhash64(F.lit(i), *parts), 64 - 2 * _HALF) for i in range(inventory.LANES)]
+    return {k: x for i, lane in enumerate(lanes) for k, x in _halves(f"{prefix}{i}", lane).items()}
 
 
-def _by_key(rows: DataFrame, copy: str, names: Sequence[str], keys: Sequence[str], value: str) -> DataFrame:
-    """By copy: digest of the keys from the SHA-256 of each, rows of repeated keys and of values that are not finite.
+def _contents(rows: DataFrame, copy: str, names: Sequence[str], keys: Sequence[str], value: str) -> DataFrame:
+    """By copy: rows, days, ends, values that are not finite, and the digests of all keys and of all rows from seeded hashes.
 
-    One group a key for all copies, so that a key is digested once; tasks go with the input's splits, so that their
-    memory does not grow with it.
+    A row is hashed once and counts for each copy as often as it is there.
     """
+    day, told = keys[0], [F.col(k) for k in keys]
+    of_keys, of_rows = _lanes("__k", told), _lanes("__c", [*told, F.col(value).cast("string")])
     odd = ~F.coalesce(is_finite(value), F.lit(False))
-    own = [F.col(copy) == n for n in names]
-    grouped = rows.repartition(16 * max(1, rows.rdd.getNumPartitions()), *keys).groupBy(*keys).agg(
-        *[F.count_if(c).alias(f"n{i}") for i, c in enumerate(own)], *[F.count_if(c & odd).alias(f"o{i}") for i, c in enumerate(own)]
-    )
-    counts = [c for i in range(len(own)) for c in (f"n{i}", f"o{i}")]
-    hexed = grouped.select(*counts, inventory.row_digest(keys).alias("__key"))
-    lanes = {f"__k{i}": F.conv(F.substring("__key", 1 + inventory.LANE_DIGITS * i, inventory.LANE_DIGITS), 16, 10).cast("long") for i in range(inventory.LANES)}
-    laned = hexed.select(*counts, F.substring("__key", 63, 2).alias("bucket"), *[x.alias(c) for c, x in lanes.items()])
-    halves = {k: x for c in lanes for k, x in _halves(c, F.col(c)).items()}
-    sums = []
-    for i in range(len(own)):
-        n = F.col(f"n{i}")
-        sums += [F.sum(n).alias(f"n{i}"), F.sum(f"o{i}").alias(f"o{i}"), F.sum(F.when(n > 1, n).otherwise(0)).alias(f"d{i}"), *[F.sum(x * n).alias(f"{k}{i}") for k, x in halves.items()]]
-    cells = [
-        F.struct(F.lit(name).alias(copy), _digest(F.col(f"n{i}"), [F.col(f"{k}{i}") for k in halves]).alias("keys_sha256"),
-                 F.coalesce(F.sum(f"d{i}"), F.lit(0)).alias("duplicate_key"), F.coalesce(F.sum(f"o{i}"), F.lit(0)).alias("not_finite"))
-        for i, name in enumerate(names)
-    ]
-    return laned.groupBy("bucket").agg(*sums).agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+    laned = rows.select(day, value, odd.alias("__odd"), *[f"__n{i}" for i in range(len(names))], *[x.alias(k) for k, x in (of_keys | of_rows).items()])
+    aggs = []
+    for i in range(len(names)):
+        n, there = F.col(f"__n{i}"), F.when(F.col(f"__n{i}") > 0, F.col(value))
+        aggs += [
+            F.sum(n).alias(f"n{i}"), F.min(there).alias(f"least{i}"), F.max(there).alias(f"most{i}"), F.sum(F.when(F.col("__odd"), n).otherwise(0)).alias(f"odd{i}"),
+            *[F.sum(F.col(k) * n).alias(f"{k}_{i}") for k in (*of_keys, *of_rows)],
+        ]
+    days = laned.groupBy(day).agg(*aggs)
+    cells = []
+    for i, name in enumerate(names):
+        n, own = F.col(f"n{i}"), F.when(F.col(f"n{i}") > 0, F.col(day))
+        whole = lambda of: _digest(n, [F.col(f"{k}_{i}") for k in of])  # noqa: B023, E731  used at once
+        cells.append(F.struct(
+            F.lit(name).alias(copy), F.coalesce(F.sum(n), F.lit(0)).alias("n_rows"), F.count(own).alias("n_days"), F.min(own).alias("day_min"), F.max(own).alias("day_max"),
+            F.min(f"least{i}").alias("value_min"), F.max(f"most{i}").alias("value_max"), F.coalesce(F.sum(f"odd{i}"), F.lit(0)).alias("not_finite"),
+            whole(of_keys).alias("keys_sha256"), whole(of_rows).alias("content_sha256"),
+        ))
+    return days.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+
+
+def _repeated(rows: DataFrame, copy: str, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """By copy: rows whose key is there more than once.
+
+    One group a key for all copies; tasks go with the input's splits, so that their memory does not grow with it.
+    """
+    times = [f"__n{i}" for i in range(len(names))]
+    dealt = rows.select(*keys, *times).repartition(16 * max(1, rows.rdd.getNumPartitions()), *keys)
+    grouped = dealt.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in times])
+    sums = grouped.agg(*[F.coalesce(F.sum(F.when(F.col(n) > 1, F.col(n))), F.lit(0)).alias(n) for n in times])
+    cells = [F.struct(F.lit(name).alias(copy), F.col(n).alias("duplicate_key")) for name, n in zip(names, times, strict=True)]
+    return sums.select(F.inline(F.array(*cells)))
 
 
 def facts(rows: DataFrame, copy: str, names: Sequence[str], keys: Sequence[str] = ("date", "symbol"), value: str = "score") -> DataFrame:
-    """One row for each copy in ``names`` (told apart by column ``copy``), also without rows; ``keys[0]`` is the day.
+    """One row for each copy in ``names``, also without rows; ``keys[0]`` is the day.
 
-    The digests are sums over all rows: their order does not matter, a repeated row counts each time.
+    Column ``copy`` names the copy of a row, or is a struct that has for each of ``names`` how often the row is in that
+    copy. The digests are sums over all rows: their order does not matter, a repeated row counts each time.
     """
-    rows = rows.select(copy, *keys, value)
-    made = F.broadcast(_by_key(rows, copy, names, keys, value)).join(_contents(rows, copy, keys, value), copy, "left")
-    return made.fillna(0, ["n_rows", "n_days"]).fillna("none", ["content_sha256"])
+    told = isinstance(rows.schema[copy].dataType, StructType)
+    often = [F.coalesce(F.col(copy)[n].cast("long"), F.lit(0)) if told else F.coalesce((F.col(copy) == n).cast("long"), F.lit(0)) for n in names]
+    rows = rows.select(*keys, value, *[n.cast("long").alias(f"__n{i}") for i, n in enumerate(often)])
+    return F.broadcast(_repeated(rows, copy, names, keys)).join(_contents(rows, copy, names, keys, value), copy)
 
 
 def deliver(scores: DataFrame, path: str, keys: Sequence[str] = ("date", "symbol"), value: str = "score") -> None:
@@ -106,7 +114,7 @@ def verify(spark: SparkSession, path: str, keys: Sequence[str] = ("date", "symbo
 def verify_copies(
     spark: SparkSession, path: str, rows: DataFrame, copy: str, names: Sequence[str], keys: Sequence[str] = ("date", "symbol"), value: str = "score"
 ) -> DataFrame:
-    """Reports of the copies ``names`` of a delivery, told apart by column ``copy`` of ``rows``, against the manifest below ``path``.
+    """Reports of the copies ``names`` of a delivery, in column ``copy`` of ``rows`` (see ``facts``), against the manifest below ``path``.
 
     ``rows`` and ``days`` count how many more or fewer there are; ``range`` the ends of day and value that moved;
     ``keys`` and ``content`` are 1 where the digest is another one; ``duplicate_key`` and ``not_finite`` count rows.

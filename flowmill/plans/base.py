@@ -221,14 +221,14 @@ def line_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     signed = F.when(F.col("l_returnflag") == "A", F.col("l_quantity")).when(
         F.col("l_returnflag") == "R", -F.col("l_quantity")
     ).otherwise(0.0)
-    sums = li.groupBy(day_text("l_shipdate").alias("date"), zero_fill("l_suppkey").alias("symbol")).agg(
+    sums = li.groupBy(F.to_date("l_shipdate").alias("day"), "l_suppkey").agg(
         F.sum("l_quantity").alias("qty"),
         F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"),
         F.sum(signed).alias("signed"),
         F.count(F.lit(1)).alias("n_lines"),
     )
     return sums.select(
-        "date", "symbol", "qty", "n_lines",
+        day_text("day").alias("date"), zero_fill("l_suppkey").alias("symbol"), "qty", "n_lines",
         (F.col("cents") / 100.0).alias("amount"),
         (F.col("cents") / F.col("qty") / 100.0).alias("vwap"),
         (F.col("signed") / F.col("qty")).alias("score"),

@@ -72,3 +72,18 @@ def test_copies_are_verified_together(spark, delivered):
     # the copies' rows are read twice, however many copies there are
     read = D.verify_copies(spark, delivered, rows.withColumn("copy", F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("c")))), "copy", ["a", "b", "c"])
     assert read._jdf.queryExecution().optimizedPlan().toString().count("Relation [date") <= 2
+
+
+def test_copies_told_by_counts_hash_a_row_once(spark, delivered):
+    rows = spark.read.parquet(f"{delivered}/scores")
+    hit = F.col("symbol") == "000002"
+    named = rows.withColumn("copy", F.lit("whole")).unionByName(rows.where(~hit).withColumn("copy", F.lit("short")))
+    named = named.unionByName(rows.withColumn("copy", F.lit("twice"))).unionByName(rows.where(hit).withColumn("copy", F.lit("twice")))
+    counts = F.struct(F.lit(1).alias("whole"), (~hit).cast("int").alias("short"), F.when(hit, 2).otherwise(1).alias("twice"), F.lit(None).cast("int").alias("none"))
+    names = ["whole", "short", "twice", "none"]
+    told = rows.withColumn("copy", counts)
+    reports = [{tuple(r) for r in D.verify_copies(spark, delivered, x, "copy", names).collect()} for x in (named, told)]
+    assert reports[0] == reports[1] and len(reports[0]) == len(names) * len(D.CHECKS)
+    # no row is dealt or hashed once for each copy, and no digest is parsed from text
+    plan = D.verify_copies(spark, delivered, told, "copy", names)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan and "conv(" not in plan
