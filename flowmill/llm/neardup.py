@@ -12,7 +12,8 @@
    class is first compared with the ``TRIED`` heads it meets most often. What is confirmed is contracted to
    components; a list that lies within one component is skipped, in the others all pairs of different
    components are merged and their collisions counted. A pair whose odd sketches (the parity of the shingles in
-   each of ``BITS`` cells) differ in more bits than two sets at the likeness wanted can falls out before that. For
+   each of ``BITS`` cells) differ in more bits than two sets at the likeness wanted can falls out before that, and a
+   pair comes out of one list only, however many it shares. For
    up to ``BITS`` shingles this loses nothing; larger sets are sketched from a sample, with a chance of 1e-5.
 5. The rest is confirmed on the full shingle sets. Components of confirmed links and copies are the result.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from flowmill.llm.graph import components
 from flowmill.llm.words import U64, Words, lists, map_texts, mixed, rolling, seeded
-from flowmill.session import staged
+from flowmill.session import discard, staged
 
 COORDINATES, MATCHES, COLLISIONS = 64, 36, 4
 PREFIX = COORDINATES - MATCHES + COLLISIONS
@@ -166,6 +167,11 @@ def _cells_of(ids: DataFrame) -> np.ndarray:
     return wanted
 
 
+def _tag(key: Column) -> Column:
+    """Half of a list's key; two different lists of a pair share it with a chance of 1e-7 or so."""
+    return F.shiftright(key, 32).cast("int")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (u, v) whose full shingle sets are alike enough."""
     cells = _cells_of(pairs.select(F.explode(F.array("u", "v")).alias("id")))
@@ -183,7 +189,9 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
         sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v"
     )
     common = F.size(F.array_intersect("a", "b"))
-    return both.where(100 * common >= percent * (F.size("a") + F.size("b") - common)).select("u", "v").distinct()
+    links = staged(both.where(100 * common >= percent * (F.size("a") + F.size("b") - common)).select("u", "v").distinct(), "links")
+    discard(sets)
+    return links
 
 
 def near_duplicates(
@@ -200,13 +208,17 @@ def near_duplicates(
     if percent < 80:
         raise ValueError("the signature's match threshold holds from 80 percent on")
     docs = docs.selectExpr(f"cast(`{id_col}` as bigint) id", f"cast(`{text_col}` as string) text")
-    rows = staged(_signatures(docs, shingle), "signatures")
-    full = rows.where("n_shingles > 0 and id is not null")
+    signed = staged(_signatures(docs, shingle), "signatures")
+    full = signed.where("n_shingles > 0 and id is not null")
     classes = staged(full.groupBy("digest").agg(
         F.min("id").alias("id"), F.first("n_shingles").alias("n"),
         *(F.first(c).alias(c) for c in ("coordinates", "level", "sketch", "next_sketch")),
     ), "classes")
+    copies = staged(full.join(classes.select("digest", F.col("id").alias("v")), "digest").select(F.col("id").alias("u"), "v"), "copies")
+    rows = staged(signed.select("id", "n_shingles"), "rows")
+    discard(signed)
     posts = staged(_posts(classes, _cell_counts(classes)), "posts")
+    discard(classes)
     alike = lambda n, m: (100 * F.col(n) >= percent * F.col(m)) & (100 * F.col(m) >= percent * F.col(n))
     fields = posts.select("id", "n", "level", "sketch", "next_sketch")
     side = lambda of: fields.select(F.col("id").alias(of), F.struct("n", "level", "sketch", "next_sketch").alias(f"{of}_"))
@@ -231,7 +243,7 @@ def near_duplicates(
     differ = F.aggregate(F.zip_with(at_level("u"), at_level("v"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, b: n + b)
     probed = stars.join(side("u"), "u").join(side("v"), "v").where(alike("u_.n", "v_.n"))
     probed = probed.where(_near_enough(differ, F.col("u_.n") + F.col("v_.n"), level, percent))
-    starred = staged(_confirmed(staged(probed.select("u", "v"), "stars"), docs, shingle, percent), "links")
+    starred = _confirmed(staged(probed.select("u", "v"), "stars"), docs, shingle, percent)
 
     label = components(starred).withColumnRenamed("component", "part")
     placed = staged(entries.select("id", "key").join(label, "id", "left").select("key", "id", F.coalesce("part", "id").alias("part")), "placed")
@@ -242,19 +254,24 @@ def near_duplicates(
     own = F.struct("level", F.lit(True).alias("own"), F.col("sketch").alias("bits"))
     above = F.struct((F.col("level") + 1).alias("level"), F.lit(False).alias("own"), F.col("next_sketch").alias("bits"))
     levels = F.filter(F.array(own, above), lambda x: F.size(x["bits"]) > 0)
-    dealt = opened.select("id", "part", "n", "keys", F.explode(levels).alias("at")).select(F.explode("keys").alias("key"), "id", "part", "n", "at.*")
+    tags = F.transform("keys", _tag)
+    dealt = opened.select("id", "part", "n", "keys", tags.alias("tags"), F.explode(levels).alias("at")).select(F.explode("keys").alias("key"), "id", "part", "n", "tags", "at.*")
     words = range(BITS // 64)
-    dealt = dealt.select("key", "level", "own", "id", "part", "n", *(F.get("bits", F.lit(i)).alias(f"b{i}") for i in words))
+    dealt = dealt.select("key", "level", "own", "id", "part", "n", "tags", *(F.get("bits", F.lit(i)).alias(f"b{i}") for i in words))
     x, y = dealt.alias("x"), dealt.alias("y")
     differ = sum((F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in words), F.lit(0))
     met_at = (F.col("x.key") == F.col("y.key")) & (F.col("x.level") == F.col("y.level")) & (F.col("x.own") | F.col("y.own"))
     apart = (F.col("x.id") < F.col("y.id")) & (F.col("x.part") != F.col("y.part")) & alike("x.n", "y.n")
     near = _near_enough(differ, F.col("x.n") + F.col("y.n"), F.col("x.level"), percent)
-    across = x.join(y, met_at & apart & near).select(F.col("x.id").alias("u"), F.col("y.id").alias("v"))
-    across = across.groupBy("u", "v").agg(F.count(F.lit(1)).alias("often")).where(f"often >= {COLLISIONS}").select("u", "v")
-    crossed = staged(_confirmed(staged(across, "across"), docs, shingle, percent), "links")
-
-    copies = full.join(classes.select("digest", F.col("id").alias("v")), "digest").select(F.col("id").alias("u"), "v")
+    # both sides bring the tags of all their lists, so a pair counts its collisions itself and is made in the first of them only
+    shared = F.array_intersect("x.tags", "y.tags")
+    first = (F.size(shared) >= COLLISIONS) & (F.array_min(shared) == _tag(F.col("x.key")))
+    across = x.join(y, met_at & apart & near & first).select(F.col("x.id").alias("u"), F.col("y.id").alias("v"))
+    across = staged(across, "across")
+    discard(opened)
+    crossed = _confirmed(across, docs, shingle, percent)
+
+    discard(posts)
     found = components(copies.union(starred).union(crossed))
     out = rows.select("id", "n_shingles").join(found, "id", "left")
     component = F.coalesce("component", "id")

@@ -5,6 +5,7 @@ import hashlib
 import math
 import re
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -12,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from flowmill import session
 from flowmill.llm import audio, bpe, fingerprints, graph, licenses, mixing, neardup, pii, queries, substrings, suffix_lm, toxicity
 
 LONG = ("alpha beta gamma delta " * 6000) + "licensed under the apache license version 2.0 mail bob@example.com"
@@ -497,6 +499,33 @@ def test_near_duplicates_in_large_groups(spark):
     assert got == dict(enumerate(root))
 
 
+def test_a_candidate_pair_comes_out_of_one_list(spark, monkeypatch):
+    """Near copies share many lists; what is no longer read is deleted."""
+    rng = np.random.default_rng(12)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for _ in range(120):
+        t = list(base)
+        for j in rng.choice(200, rng.integers(8, 14), replace=False):
+            t[j] = f"x{rng.integers(10**6)}"
+        texts.append(" ".join(t))
+    made = {}
+
+    def staged(df, name="stage"):
+        made[name] = (df, session.staged(df, name))
+        return made[name][1]
+
+    monkeypatch.setattr(neardup, "staged", staged)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = neardup.near_duplicates(docs, shingle=2)
+    joined, across = made["across"]
+    assert "Aggregate" not in joined._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[0]
+    assert across.count() == across.distinct().count() > 0
+    assert found.count() == len(texts)
+    for name in ("signatures", "classes", "posts", "open", "shingles"):
+        assert not any(Path(f.removeprefix("file:")).exists() for f in made[name][1].inputFiles()), name
+
+
 def test_repeats_brute_force(spark):
     rng = np.random.default_rng(10)
     passages = [[f"p{k}_{i}" for i in range(30)] for k in range(6)]
