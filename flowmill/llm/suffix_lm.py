@@ -5,96 +5,176 @@ Tokens are the words (A-Z lowered) and one end per text. A context is what stand
 there, the others are pooled. A context is kept if one of its named words diverges from its share under the next
 shorter context: the likelihood ratio of this word against all others has to exceed ``log(tokens + words)``, which
 no word seen once can. A kept context gives a named word its count, and hands the pooled counts and one per named
-word to the shorter context (Witten and Bell). Grams are counted by pairs of hashed keys, longer ones only where
-both of their shorter ones occur twice, so the tables of grams and of kept contexts grow with the corpus.
+word to the shorter context (Witten and Bell).
 
 Where no context is kept, a small tree over classes speaks: the most frequent words are classes of their own, the
 others go by word length; contexts have up to ``DEPTH`` of ``SYMBOLS`` classes. A word's probability is that of its
 class after the longest kept suffix, times that of the word within its class (add one, a share for unseen words).
 
 The logarithm of a text's probability is a sum over its grams: a kept context adds what it hands down, a named word
-after it adds the rest. Values of the ``VALUES`` most frequent grams and counts of the ``COMMON`` most frequent
-words (fixed numbers) go to every task; texts meet all others in a join, so nothing is dropped and no key is hot.
+after it adds the rest.
+
+Texts are read once and lie in blocks, each with its own words, of whole texts up to about ``4 * VALUES`` tokens.
+Nothing is exchanged by position or text: in a round, a block asks once for each of its different keys (hashes), all
+keys of a bucket in one packed message with the block's own counts, and gets the sums over all blocks in the order of
+its question. Longer grams are asked for only where both of their shorter ones occur twice. A block then holds counts
+and shares of all its grams, so that contexts and scores are worked out where the texts are; whichever block is told
+to be the first with a gram counts it for its context. A key costs a bucket one entry per block, however often it
+occurs; the number of buckets grows with the blocks, and no table of grams goes to the driver or to every task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Row, functions as F
 
-from flowmill.llm.words import U64, Words, byte_chunks, lists, map_texts, mixed, signed
+from flowmill.llm.words import U64, byte_chunks, joined, mixed, signed, span_hashes, word_spans
 from flowmill.session import staged
 
-SYMBOLS, DEPTH, COMMON = 32, 3, 1 << 18
-REACH, VALUES = 4, 1 << 19  # words of a context; grams whose values every task holds
-FILTER_BITS = 15, 29  # log2 of the least and the largest size of a filter of keys
+SYMBOLS, DEPTH, COMMON = 32, 3, 1 << 18  # the last: most words that could be classes of their own
+REACH, VALUES = 4, 1 << 19  # words of a context; a task holds the grams of four times as many tokens at once
 FREQUENT = 24  # classes of a single word
 SMOOTHING, DIVERGENCE = 16.0, 61.1  # pseudo-counts of the parent; chi-square bound, 31 degrees, 1 in 1000
 _LENGTHS = np.array([3, 5, 7, 9, 12, 16, 24])  # longest words of the classes by length, the last is open
 END = mixed(np.array([0x656E64], U64))  # token that closes every text
-_FLUSH = 1 << 19
+_MESSAGE = "target bigint, kind int, sender bigint, data binary"
+_SUMMARY = -1  # target of what a bucket says of its words
+_ECHO = 1000  # kinds from here on come back as they are: what a block has to remember
 
 
 def length_class(lengths: np.ndarray) -> np.ndarray:
     return FREQUENT + np.searchsorted(_LENGTHS, lengths)
 
 
-def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes with an end after each text, their length classes, and the bounds of the texts."""
-    w = Words(texts, lower=True, seed=5)
-    bounds = w.bounds + np.arange(len(texts) + 1)
-    tokens = np.empty(len(w.hashes) + len(texts), U64)
-    kind = np.empty(len(tokens), np.int64)
-    is_end = np.zeros(len(tokens), bool)
-    is_end[bounds[1:] - 1] = True
-    tokens[is_end], kind[is_end] = END[0], FREQUENT
-    tokens[~is_end], kind[~is_end] = w.hashes, length_class(w.ends - w.starts)
-    return tokens, kind, bounds
-
-
-def _word_counts(texts: DataFrame) -> DataFrame:
-    """``word`` (hash), ``kind`` (length class), ``n`` over all rows."""
+def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and length classes of the different tokens, which of them each token is (an end after each text), and the bounds of the texts."""
+    data, offsets = joined(texts)
+    raw, starts, ends = word_spans(data.lower())
+    cuts = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    inside = np.zeros(len(raw) + 1, np.int8)
+    inside[starts], inside[ends] = 1, -1
+    letters = raw[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
+    coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(letters)]).dictionary_encode()
+    spans = np.frombuffer(coded.dictionary.buffers()[1], np.int32, len(coded.dictionary) + 1).astype(np.int64)
+    letters = np.frombuffer(coded.dictionary.buffers()[2] or b"", np.uint8)
+    words = np.concatenate([span_hashes(letters, spans[:-1], spans[1:], 5), END])
+    kinds = np.concatenate([length_class(np.diff(spans)), [FREQUENT]])
+    bounds = np.searchsorted(starts, offsets) + np.arange(len(texts) + 1)
+    at = np.full(len(starts) + len(texts), len(words) - 1, np.int32)
+    is_word = np.ones(len(at), bool)
+    is_word[bounds[1:] - 1] = False
+    at[is_word] = coded.indices.to_numpy()
+    return words, kinds, at, bounds
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of unsigned numbers: planes of bytes without the empty ones, compressed."""
+    parts = []
+    for column in columns:
+        numbers = np.ascontiguousarray(column).astype(U64, copy=False)
+        planes = (int(numbers.max()).bit_length() + 7) // 8 if len(numbers) else 0
+        data = pa.compress(numbers.view(np.uint8).reshape(-1, 8)[:, :planes].T.tobytes(), "zstd", asbytes=True) if planes else b""
+        parts += [np.array([len(numbers), planes, len(data)], np.int64).tobytes(), data]
+    return b"".join(parts)
+
+
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    columns, at = [], 0
+    while at < len(data):
+        n, planes, size = map(int, np.frombuffer(data, np.int64, 3, at))
+        at += 24
+        width = 1 if planes < 2 else 2 if planes == 2 else 4 if planes <= 4 else 8
+        numbers = np.zeros((n, width), np.uint8)
+        if planes:
+            raw = np.frombuffer(pa.decompress(data[at : at + size], n * planes, "zstd"), np.uint8).reshape(planes, n)
+            for i, plane in enumerate(raw):
+                numbers[:, i] = plane
+        columns.append(numbers.view(f"u{width}").ravel())
+        at += size
+    return columns
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys ascending, the first place of each, and for every place the number of its key.
+
+    Hashed keys are sorted by their high bits with the place below; what this leaves out of order is put right.
+    """
+    n = len(keys)
+    below = max(n - 1, 0).bit_length()
+    order = keys >> U64(below)
+    order <<= U64(below)
+    order |= np.arange(n, dtype=U64)
+    order.sort()
+    order &= U64((1 << below) - 1)
+    order = order.view(np.int64)
+    ranked = keys[order]
+    if (ranked[1:] < ranked[:-1]).any():
+        again = np.argsort(ranked, kind="stable")
+        order, ranked = order[again], ranked[again]
+    new = np.ones(n, bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    at = np.flatnonzero(new)
+    ranked, one = ranked[at], order[at]
+    numbers = np.empty(n, np.int64)
+    numbers[order] = np.cumsum(new)
+    numbers -= 1
+    return ranked, one, numbers
+
+
+def _counted(places: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
+    return np.bincount(places, weights, n).astype(np.int64)
+
+
+def _rows(target, kind, sender, data: list[bytes]) -> pa.RecordBatch:
+    columns = [pa.array(target, pa.int64()), pa.array(kind, pa.int32()), pa.array(sender, pa.int64()), pa.array(data, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["target", "kind", "sender", "data"])
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """``id``, ``trains``, ``text`` as blocks of tokens: messages of kind 0 to themselves."""
+    most = 4 * VALUES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def send(keys, kinds, counts):
-            for i in range(0, len(keys), 50_000):
-                j = slice(i, i + 50_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(keys[j])), pa.array(kinds[j].astype(np.int32)), pa.array(counts[j])], names=["word", "kind", "n"]
-                )
+        task, made = TaskContext.get().partitionId() << 32, 0
+
+        def block(held: list[tuple]) -> pa.RecordBatch:
+            nonlocal made
+            words, kinds, at, *rest = zip(*held, strict=True)
+            firsts = np.cumsum([0, *map(len, words)])
+            words, one, number = _distinct(np.concatenate(words))
+            at = np.concatenate([number[i:][x] for i, x in zip(firsts, at, strict=False)])
+            order = np.argsort(-np.bincount(at), kind="stable")  # small numbers for frequent words
+            rank = np.empty(len(words), np.int32)
+            rank[order] = np.arange(len(words))
+            made += 1
+            me = task + made - 1
+            return _rows([me], [0], [me], [_packed(words[order], np.concatenate(kinds)[one][order], rank[at], *map(np.concatenate, rest))])
 
         held: list[tuple] = []
-        size = 0
-        for _, chunk in byte_chunks(batches, "text", 1 << 21):
-            tokens, kind, _ = _tokens(chunk)
-            keys, first, counts = np.unique(tokens, return_index=True, return_counts=True)
-            held.append((keys, kind[first], counts))
-            size += len(keys)
-            if size >= _FLUSH:
-                held = [_merged(held)]
-                size = len(held[0][0])
-                if size >= _FLUSH // 2:
-                    yield from send(*held[0])
-                    held, size = [], 0
+        for part, texts in byte_chunks(batches, "text", min(1 << 21, 8 * most)):
+            words, kinds, at, bounds = _tokens(texts)
+            if held and sum(len(x[2]) for x in held) + len(at) > most:
+                yield block(held)
+                held = []
+            ids = part.column(0)
+            held.append((
+                words, kinds, at, np.diff(bounds), part.column(1).to_numpy(zero_copy_only=False).astype(bool),
+                ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U64), ids.is_null().to_numpy(zero_copy_only=False),
+            ))
         if held:
-            yield from send(*_merged(held))
-
-    return texts.select("text").mapInArrow(run, "word bigint, kind int, n bigint").groupBy("word", "kind").agg(F.sum("n").alias("n"))
+            yield block(held)
 
-
-def _merged(parts: list[tuple]) -> tuple:
-    keys, first, back = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
-    kinds = np.concatenate([p[1] for p in parts])[first]
-    return keys, kinds, np.bincount(back, np.concatenate([p[2] for p in parts])).astype(np.int64)
+    return rows.select("id", "trains", "text").mapInArrow(run, _MESSAGE)
 
 
 @dataclass
 class Common:
-    """The frequent words, ascending by hash: counts and classes; and the symbol of everything."""
+    """The words that are classes of their own, ascending by hash: counts, length classes and symbols."""
 
     words: np.ndarray
     counts: np.ndarray
@@ -110,41 +190,51 @@ class Common:
         return at, np.where(at >= 0, self.symbols[at], kind)
 
 
-def _common(vocabulary: DataFrame) -> Common:
-    table = vocabulary.orderBy(F.desc("n"), "word").limit(COMMON).toArrow()
-    words = table.column("word").to_numpy().view(U64)
-    counts = table.column("n").to_numpy().astype(np.int64)
-    kinds = table.column("kind").to_numpy().astype(np.int64)
-    symbols = kinds.copy()
-    symbols[:FREQUENT] = np.arange(min(FREQUENT, len(words)))
-    order = np.argsort(words)
-    return Common(words[order], counts[order], kinds[order], symbols[order])
+def _vocabulary(answers: DataFrame) -> tuple[dict[int, tuple[int, int]], Common]:
+    """Tokens and different words of each length class, and the most frequent words, out of the buckets' answers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(3).to_pylist():
+                words, kinds, n, v = _unpacked(data)
+                named = np.arange(len(kinds)) < len(words)
+                words = np.concatenate([words, np.zeros(len(kinds) - len(words), U64)])
+                made = [pa.array(words.view(np.int64), mask=~named), *(pa.array(x.astype(np.int64)) for x in (kinds, n, v))]
+                yield pa.RecordBatch.from_arrays(made, names=["word", "kind", "n", "v"])
+
+    rows = answers.where(f"target = {_SUMMARY}").mapInArrow(run, "word bigint, kind bigint, n bigint, v bigint")
+    by_kind = {r["kind"]: (r["n"], r["v"]) for r in rows.where("word is null").groupBy("kind").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
+    top = rows.where("word is not null").orderBy(F.desc("n"), "word").limit(min(FREQUENT, COMMON)).toArrow()
+    words, kinds, counts = (top.column(c).to_numpy().astype(np.int64) for c in ("word", "kind", "n"))
+    order = np.argsort(words.view(U64))
+    return by_kind, Common(words.view(U64)[order], counts[order], kinds[order], np.arange(len(words))[order])
 
 
 def _contexts(symbols: np.ndarray, bounds: np.ndarray, end_symbol: int) -> np.ndarray:
     """For each token the ``DEPTH`` symbols before it, oldest first, in base ``SYMBOLS``; ends stand before a text."""
-    code = np.zeros(len(symbols), np.int64)
-    place = np.arange(len(symbols)) - np.repeat(bounds[:-1], np.diff(bounds))
+    code = np.zeros(len(symbols), np.int32)
+    place = (np.arange(len(symbols)) - np.repeat(bounds[:-1], np.diff(bounds))).astype(np.int32)
+    symbols = symbols.astype(np.int32)
     for back in range(DEPTH, 0, -1):
-        before = np.concatenate([np.full(min(back, len(symbols)), end_symbol), symbols[: max(0, len(symbols) - back)]])
-        code = code * SYMBOLS + np.where(place >= back, before, end_symbol)
-    return code
+        before = np.concatenate([np.full(min(back, len(symbols)), end_symbol, np.int32), symbols[: max(0, len(symbols) - back)]])
+        code = code * np.int32(SYMBOLS) + np.where(place >= back, before, np.int32(end_symbol))
+    return code.astype(np.int64)
 
 
-def _gram_counts(texts: DataFrame, shared, end_symbol: int) -> DataFrame:
+def _gram_counts(blocks: DataFrame, shared, end_symbol: int) -> DataFrame:
     cells = SYMBOLS ** (DEPTH + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(cells, np.int64)
-        for _, chunk in byte_chunks(batches, "text"):
-            tokens, kind, bounds = _tokens(chunk)
-            _, symbols = Common(*shared.value).look_up(tokens, kind)
-            count += np.bincount(_contexts(symbols, bounds, end_symbol) * SYMBOLS + symbols, minlength=cells)
+        for block in _read(batches, Block):
+            symbols = Common(*shared.value).look_up(block.words, block.kinds)[1][block.at]
+            grams = _contexts(symbols, block.bounds, end_symbol) * SYMBOLS + symbols
+            count += np.bincount(grams[block.weights], minlength=cells)
         at = np.flatnonzero(count)
         for i in range(0, len(at), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 50_000]), pa.array(count[at[i : i + 50_000]])], names=["gram", "n"])
 
-    return texts.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    return blocks.mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 class SuffixTree:
@@ -192,149 +282,313 @@ class SuffixTree:
         return p
 
 
-def _codes(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Keys of single words: the place of a frequent word (short in a shuffle), else the hash."""
-    return np.where(at >= 0, at.astype(U64), tokens)
+def pair_key(context: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return mixed(context * U64(0x9E3779B97F4A7C15) + low)
 
 
-def gram_keys(codes: np.ndarray, bounds: np.ndarray, length: int, start: np.uint64) -> Iterator[tuple]:
-    """For grams of 1 to ``length`` words ending at each token: keys, the keys one token before, and which exist.
+def _read(batches: Iterator[pa.RecordBatch], made: Callable) -> Iterator:
+    """One ``made(target, kinds)`` after the other from rows sorted by target, kind and sender.
 
-    A key is made of those of the gram without its last and without its first word. The end of one text is the
-    start of the next.
+    ``kinds``: by kind the lists of senders and of their messages.
     """
-    place = np.arange(len(codes)) - np.repeat(bounds[:-1], np.diff(bounds))
-    keys, first = codes, start
-    for m in range(1, length + 1):
-        before = np.concatenate([np.array([first], U64), keys[:-1]])
-        yield keys, before, place >= m - 2
-        keys, first = pair_key(before, keys), U64(0)
+    target, kinds = None, {}
+    for batch in batches:
+        for i in range(batch.num_rows):
+            to, kind, sender, data = (batch.column(c)[i].as_py() for c in range(4))
+            if to != target and kinds:
+                yield made(target, kinds)
+                kinds = {}
+            target = to
+            senders, messages = kinds.setdefault(kind, ([], []))
+            senders.append(sender)
+            messages.append(data)
+    if kinds:
+        yield made(target, kinds)
 
 
-def pair_key(context: np.ndarray, low: np.ndarray) -> np.ndarray:
-    return mixed(context * U64(0x9E3779B97F4A7C15) + low)
+@dataclass
+class Grams:
+    """The different grams of one length that a block has and training has twice, ascending by key.
 
+    ``at`` and ``number``: tokens where they end, and which of them it is. ``ctx`` and ``low``: numbers of the grams
+    without the last and without the first word. ``own``: this block counts them. ``p``: smoothed share of the last
+    word; ``governed``: by a kept context. ``value`` (log10): of a word that is named after its context. As contexts:
+    ``down`` (log10) of what the kept ones hand down, ``first`` (the shortest kept), ``ours`` (told by this block).
+    """
 
-def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys & U64(len(bits) * 8 - 1)
-    return (bits[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & np.uint8(1) == 1
+    at: np.ndarray
+    number: np.ndarray
+    keys: np.ndarray
+    n: np.ndarray
+    own: np.ndarray
+    ctx: np.ndarray | None = None
+    low: np.ndarray | None = None
+    p: np.ndarray | None = None
+    governed: np.ndarray | None = None
+    value: np.ndarray | None = None
+    down: np.ndarray | None = None
+    first: np.ndarray | None = None
+    ours: np.ndarray | None = None
+
+
+class Block:
+    """Tokens of some texts, and what the buckets have answered.
+
+    Kind ``2 * m`` asks for the counts of grams of ``m`` words, kind ``2 * m + 1`` for what grams of ``m`` words make
+    of their contexts: how many of them keep it, how many are governed, their summed counts and their number. Kind
+    ``_ECHO + m`` marks the tokens where a gram of ``m`` words ends that occurs twice.
+    """
 
+    def __init__(self, target: int, kinds: dict[int, tuple[list[int], list[bytes]]]):
+        self.target = target
+        self.words, self.kinds, self.at, lengths, trains, ids, null = _unpacked(kinds[0][1][0])
+        self.at = self.at.astype(np.int64)
+        self.words, self.kinds, self.ids = self.words.astype(U64, copy=False), self.kinds.astype(np.int64), ids.astype(U64, copy=False).view(np.int64)
+        self.trains, self.null = trains == 1, null == 1
+        self.bounds = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        self.weights = np.repeat(self.trains, lengths)
+        self.answers = {k: v for k, (_, v) in kinds.items() if k}
+
+    def _answer(self, kind: int, columns: int) -> list[np.ndarray]:
+        if kind not in self.answers:  # it had nothing to ask
+            return [np.zeros(0, np.int64)] * columns
+        return [np.concatenate(x).astype(np.int64) for x in zip(*map(_unpacked, self.answers[kind]), strict=True)]
+
+    def word_counts(self) -> np.ndarray:
+        """How often each of ``words`` occurs in training."""
+        n = np.empty(len(self.words), np.int64)
+        n[np.argsort(self.words)] = self._answer(2, 2)[0]
+        return n
+
+    def climb(self, rounds: int, unigram: Callable | None = None, bound: float = 0.0, each: Callable | None = None) -> list[tuple]:
+        """What to ask after so many rounds: kind, keys ascending, columns.
+
+        ``unigram``: the share of a word by its count. ``each`` is given the grams of one length after the other, with
+        their values, once all is answered.
+        """
+        order = np.argsort(self.words)
+        words = self.words[order]
+        if not rounds:
+            return [(2, words, [_counted(self.at, len(words), self.weights)[order], self.kinds[order]])]
+        values = each is not None
+        n, own = self._answer(2, 2)
+        use = np.flatnonzero(n > 1)
+        by_word = np.full(len(n), -1)
+        by_word[order[use]] = np.arange(len(use))
+        found, number = self.answers.get(_ECHO + 2), None
+        if values or not found:
+            number = by_word[self.at]
+        at = np.flatnonzero(number >= 0) if values else None
+        known = Grams(at, number[at] if values else None, words[use], n[use], own[use] > 0)
+        known.p, known.governed = unigram(known.n), np.zeros(len(use), bool)
+        asks = []
+        for m in range(2, REACH + 2):
+            if found := self.answers.get(_ECHO + m):
+                (bits,) = _unpacked(found[0])
+                at = np.flatnonzero(np.unpackbits(bits.astype(np.uint8, copy=False), count=len(self.at)).view(bool))
+            else:
+                follows = number >= 0
+                follows[1:] &= follows[:-1].copy()
+                follows[0] &= number[-1] >= 0  # an end stands before the first text
+                if m == 3:  # where it is only a start
+                    follows[self.bounds[:-1]] = False
+                at = np.flatnonzero(follows)
+                del follows
+
+            def parts(at: np.ndarray, number=number) -> Iterator[np.ndarray]:  # without the last and without the first word
+                return (by_word[self.at[x]] if number is None else number[x] for x in (at - 1, at))
+
+            keys, one, which = _distinct(pair_key(*(known.keys[x] for x in parts(at))))
+            if m > rounds:
+                if len(keys):
+                    asks.append((2 * m, keys, [_counted(which, len(keys), self.weights[at])]))
+                break
+            n, own = self._answer(2 * m, 2)
+            use = np.flatnonzero(n > 1)
+            n, own = n[use], own[use] > 0
+            ctx, low = parts(at[one if found else one[use]])
+            if not found:
+                again = np.full(len(keys), -1)
+                again[use] = np.arange(len(use))
+                which = again[which]
+                there = np.flatnonzero(which >= 0)
+                at, which, keys = at[there], which[there], keys[use]
+            number = again = there = parts = None
+            number = np.full(len(self.at), -1)
+            number[at] = which
+            grams = Grams(at, which, keys, n, own, ctx, low)
+            if m > rounds - 1:
+                if len(known.keys):
+                    asks.append((2 * m + 1, known.keys, self._made(known, grams, bound)))
+                if len(at):
+                    asks.append((_ECHO + m, None, [np.packbits(number >= 0)]))
+            elif values or m < REACH + 1:
+                self._settle(known, grams, values, *self._answer(2 * m + 1, 5))
+            if values:
+                each(known)
+            known = grams
+        if values:
+            each(known)
+        return asks
+
+    @staticmethod
+    def _made(known: Grams, grams: Grams, bound: float) -> list[np.ndarray]:
+        own = np.flatnonzero(grams.own)
+        ctx, n = grams.ctx[own], grams.n[own]
+        total, p, over = known.n[ctx], known.p[grams.low[own]], known.governed[grams.low[own]]
+        more = np.flatnonzero(n > total * p)
+        ratio = n[more] * np.log(n[more] / total[more] / p[more])
+        rest = np.flatnonzero(total[more] > n[more])
+        part = more[rest]
+        others = total[part] - n[part]
+        ratio[rest] += others * np.log(others / total[part] / (1 - p[part]))
+        size = len(known.keys)
+        return [_counted(ctx[more[ratio > bound]], size), _counted(ctx[over], size), _counted(ctx, size, n), _counted(ctx, size)]
+
+    @staticmethod
+    def _settle(known: Grams, grams: Grams, values: bool, keep, over, named, k, own) -> None:
+        """Contexts from the answers, then the grams that stand after them."""
+        kept = keep > 0
+        handed, total = known.n - named + k, known.n + k
+        parent, after = known.p[grams.low], np.flatnonzero(kept[grams.ctx])
+        ctx = grams.ctx[after]
+        grams.p, grams.governed = parent.copy(), known.governed[grams.low]
+        grams.p[after] = (grams.n[after] + handed[ctx] * parent[after]) / total[ctx]
+        grams.governed[after] = True
+        if values:
+            here = np.flatnonzero(kept)
+            down = np.ones(len(kept))
+            down[here] = handed[here] / total[here]
+            known.down, known.first, known.ours = np.log10(down), kept & (over == 0), kept & (own > 0)
+            grams.value = np.zeros(len(grams.n))
+            grams.value[after] = np.log10(grams.p[after] / parent[after] / down[ctx])
+
+
+class Bucket:
+    """Adds up what blocks ask for: each message has keys, ascending, and columns to sum."""
+
+    def __init__(self, target: int, kinds: dict[int, tuple[list[int], list[bytes]]]):
+        self.target, self.kinds = target, kinds
+
+    def answers(self) -> Iterator[pa.RecordBatch]:
+        """The sums and who is the first to ask, in the order of each message; nothing where the first sum is too small."""
+        for kind, (senders, messages) in self.kinds.items():
+            if kind >= _ECHO:
+                yield _rows(senders, [kind] * len(senders), [self.target] * len(senders), messages)
+                continue
+            deltas, *columns = zip(*map(_unpacked, messages), strict=True)
+            cuts = np.concatenate([[0], np.cumsum([len(x) for x in deltas])])
+            keys, one, number = _distinct(np.concatenate([np.cumsum(x, dtype=U64) for x in deltas]))
+            if kind == 2:
+                length = np.concatenate(columns.pop()).astype(np.int64)[one]
+            sums = [_counted(number, len(keys), np.concatenate(x)) for x in columns]
+            use = sums[0] > (kind % 2 == 0 and kind > 2)  # grams seen once are none; a context is kept or not
+            told = [np.where(use, x, 0)[number] for x in sums]
+            first = np.zeros(len(number), bool)
+            first[one] = use
+            told.append(first)
+            data = [_packed(*(x[i:j] for x in told)) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield _rows(senders, [kind] * len(senders), [self.target] * len(senders), data)
+            if kind == 2:
+                yield _rows([_SUMMARY], [0], [self.target], [self._summary(keys, length, sums[0])])
+
+    @staticmethod
+    def _summary(words: np.ndarray, length: np.ndarray, n: np.ndarray) -> bytes:
+        """Its most frequent words with classes and counts; then, without words, tokens and different words by class."""
+        top = np.lexsort((words.view(np.int64), -n))[:FREQUENT]
+        top = top[n[top] > 0]
+        v = np.bincount(length[n > 0], minlength=SYMBOLS)
+        kinds = np.flatnonzero(v)
+        tokens = _counted(length, SYMBOLS, n)
+        return _packed(words[top], np.concatenate([length[top], kinds]), np.concatenate([n[top], tokens[kinds]]), np.concatenate([np.ones(len(top), np.int64), v[kinds]]))
 
-def _filter(keys: DataFrame) -> np.ndarray:
-    """A bit per key (by its low bits): what is not marked is none of them."""
-    least, most = FILTER_BITS
-    size = 1 << min(max(least, keys.count().bit_length() + 4), most)
-    place = F.col("key").bitwiseAND(F.lit(size - 1)) + 1  # Spark counts from one
-    parts = keys.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
-    bits = np.zeros(size // 8, np.uint8)
-    for r in parts.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
-        at = (r["bucket"] - 1) * len(r["bits"])
-        bits[at : at + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
-    return bits
 
+@dataclass
+class GramValues:
+    """The grams that change a score, as the blocks of their texts know them."""
 
-def _pair_counts(texts: DataFrame, shared, bits, length: int) -> DataFrame:
-    """Grams of ``length`` words seen at least twice: ``ctx`` and ``low`` (keys without the last and the first word), ``n``, ``key``."""
+    answered: DataFrame  # blocks with all answers, sorted by block
+    climb: Callable  # of a block, with what is to be done for the grams of each length
 
-    def merged(parts: list[tuple]) -> tuple:
-        key, ctx, low, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        _, first, back = np.unique(key, return_index=True, return_inverse=True)
-        return key[first], ctx[first], low[first], np.bincount(back, n).astype(np.int64)
+    def table(self) -> DataFrame:
+        """``key``, ``n``, ``value`` (log10) and ``first`` (the shortest kept context of its positions), one row per gram."""
+        climb, names = self.climb, ["key", "n", "value", "first"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def send(_, ctx, low, n):
-            for i in range(0, len(n), 50_000):
-                j = slice(i, i + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(ctx[j])), pa.array(signed(low[j])), pa.array(n[j])], names=["ctx", "low", "n"])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block in _read(batches, Block):
+                made: list[pa.RecordBatch] = []
 
-        common, marked = Common(*shared.value), bits.value
-        held: list[tuple] = []
-        size = 0
-        end = _codes(END, common.look_up(END, np.array([FREQUENT]))[0])[0]
-        for _, chunk in byte_chunks(batches, "text", 1 << 21):
-            tokens, kind, bounds = _tokens(chunk)
-            codes = _codes(tokens, common.look_up(tokens, kind)[0])
-            *_, (keys, before, _) = gram_keys(codes, bounds, length - 1, end)
-            place = np.arange(len(codes)) - np.repeat(bounds[:-1], np.diff(bounds))
-            twice = _has(marked, keys)
-            use = np.flatnonzero((place >= length - 2) & twice & np.concatenate([_has(marked, before[:1]), twice[:-1]]))
-            held.append(merged([(pair_key(before[use], keys[use]), before[use], keys[use], np.ones(len(use), np.int64))]))
-            size += len(held[-1][0])
-            if size >= 2 * _FLUSH:
-                held = [merged(held)]
-                size = len(held[0][0])
-                if size >= _FLUSH:
-                    yield from send(*held[0])
-                    held, size = [], 0
-        if held:
-            yield from send(*merged(held))
+                def add(g: Grams, made=made) -> None:
+                    for use, value, first in ((g.own, g.value, np.zeros(len(g.n), bool)), (g.ours, g.down, g.first)):
+                        if value is not None:
+                            at = np.flatnonzero(use & (value != 0))
+                            made.append(pa.RecordBatch.from_arrays(
+                                [pa.array(signed(g.keys[at])), pa.array(g.n[at]), pa.array(value[at]), pa.array(first[at].astype(np.int32))], names=names
+                            ))
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ctx, low = (batch.column(i).to_numpy(zero_copy_only=False).view(U64) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signed(pair_key(ctx, low)))], names=["ctx", "low", "n", "key"])
+                climb(block, add)
+                yield from made
 
-    counts = texts.select("text").mapInArrow(run, "ctx bigint, low bigint, n bigint").repartition("ctx", "low").groupBy("ctx", "low").agg(F.sum("n").alias("n"))
-    return counts.where("n > 1").mapInArrow(keyed, "ctx bigint, low bigint, n bigint, key bigint")
+        rows = self.answered.mapInArrow(run, "key bigint, n bigint, value double, first int")
+        return rows.groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value"), F.max("first").alias("first"))
 
+    def collect(self) -> list[Row]:
+        return self.table().collect()
 
-def _kept(pairs: DataFrame, bound: float) -> DataFrame:
-    """Kept contexts of ``ctx``, ``n``, ``total``, ``parent``, ``over``: ``total``, named words ``k``, pooled counts ``rest``, ``over``."""
-    n, total, p = F.col("n"), F.col("total"), F.col("parent")
-    others = F.when(total > n, (total - n) * F.log((total - n) / total / (1 - p))).otherwise(0.0)
-    ratio = F.when(n > total * p, n * F.log(n / total / p) + others).otherwise(0.0)
-    contexts = pairs.groupBy("ctx").agg(
-        F.max("total").alias("total"), F.count(F.lit(1)).alias("k"), (F.max("total") - F.sum("n")).alias("rest"),
-        F.max("over").alias("over"), F.max(ratio).alias("ratio"),
-    )
-    return contexts.where(F.col("ratio") > bound).drop("ratio")
 
+def _dealt(messages: DataFrame, parts: int) -> DataFrame:
+    return messages.repartition(parts, "target").sortWithinPartitions("target", "kind", "sender")
 
-def _discard(df: DataFrame) -> None:
-    """Delete the files of a staged table that nothing reads any more."""
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
+class Rounds:
+    """Questions of blocks to the buckets of keys, and what is answered so far."""
 
-def gram_values(texts: DataFrame, words: DataFrame, shared, bound: float) -> DataFrame:
-    """``key``, ``n``, ``value`` (log10) and ``first`` (the shortest kept context of its positions) of the grams that change a score.
+    def __init__(self, blocks: DataFrame):
+        self.told, self.done = blocks, 0
+        self.parts = max(1, blocks.count())
+        self.buckets = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), self.parts)
 
-    ``words`` has ``key``, ``n`` and ``p`` of the single words.
-    """
-    spark = texts.sparkSession
-    known = words.withColumn("governed", F.lit(False))
-    values = []
-    for length in range(2, REACH + 2):
-        bits = spark.sparkContext.broadcast(_filter(known.where("n > 1").select("key")))
-        low = known.select(F.col("key").alias("low"), F.col("p").alias("parent"), F.col("governed").alias("over"))
-        total = known.select(F.col("key").alias("ctx"), F.col("n").alias("total"))
-        pairs = staged(_pair_counts(texts, shared, bits, length).join(low, "low").drop("low").join(total, "ctx"), "pairs")
-        kept = staged(_kept(pairs, bound), "kept")
-        handed = F.col("rest") + F.col("k")
-        down = handed / (F.col("total") + F.col("k"))
-        here = pairs.drop("total").join(kept.drop("over"), "ctx", "left")
-        named, parent = F.col("k").isNotNull(), F.col("parent")
-        p = F.when(named, (F.col("n") + handed * parent) / (F.col("total") + F.col("k"))).otherwise(parent)
-        old = known
-        known = here.select("key", "n", p.alias("p"), F.log10(p / parent / down).alias("value"), (named | F.col("over")).alias("governed"))
-        known = staged(known, "known")
-        values.append(staged(known.where("value is not null").select("key", "n", "value", F.lit(0).alias("first")), "named"))
-        values.append(kept.select(F.col("ctx").alias("key"), F.col("total").alias("n"), F.log10(down).alias("value"), F.when(F.col("over"), 0).otherwise(1).alias("first")))
-        known = known.drop("value")
-        _discard(pairs)
-        if length > 2:  # the words themselves stay
-            _discard(old)
-        del pairs, here, old, low, total
-        spark.sparkContext._jvm.System.gc()  # lets go of the level's shuffle files
-        if known.isEmpty():
-            break
-    _discard(known)
-    both = values[0]
-    for v in values[1:]:
-        both = both.unionByName(v)
-    return staged(both.groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value"), F.max("first").alias("first")), "values")
+    def blocks(self) -> DataFrame:
+        return _dealt(self.told, self.parts) if self.done else self.told
+
+    def ask(self, *how) -> DataFrame:
+        """One round; its answers."""
+        done, buckets = self.done, self.buckets
+        cuts = (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(U64)  # keys are hashes, so buckets are alike
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block in _read(batches, Block):
+                for kind, keys, columns in block.climb(done, *how):
+                    if keys is None:
+                        yield _rows([block.target % buckets], [kind], [block.target], [_packed(*columns)])
+                        continue
+                    ends = np.concatenate([[0], np.searchsorted(keys, cuts), [len(keys)]])
+                    to = np.flatnonzero(np.diff(ends))
+                    data = [_packed(np.diff(keys[i:j], prepend=U64(0)), *(x[i:j] for x in columns)) for i, j in zip(ends[to], ends[to + 1], strict=True)]
+                    yield _rows(to, [kind] * len(to), [block.target] * len(to), data)
+
+        def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for bucket in _read(batches, Bucket):
+                yield from bucket.answers()
+
+        conf, cleanup = self.told.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = conf.get(cleanup, None)
+        conf.set(cleanup, "true")  # nothing reads the round's shuffle files again
+        try:
+            answers = staged(_dealt(self.blocks().mapInArrow(run, _MESSAGE), buckets).mapInArrow(answer, _MESSAGE), "answers")
+        finally:
+            conf.unset(cleanup) if before is None else conf.set(cleanup, before)
+        self.told = self.told.unionByName(answers.where(f"target <> {_SUMMARY}"))
+        self.done += 1
+        return answers
+
+
+def gram_values(rounds: Rounds, unigram: Callable, bound: float) -> GramValues:
+    """Counts, shares and values of all grams of up to ``REACH + 1`` words, told to the blocks that have them."""
+    last = REACH + 2
+    while rounds.done < last and not rounds.ask(unigram, bound).isEmpty():  # or else nothing longer occurs twice
+        pass
+    return GramValues(rounds.blocks(), lambda block, each: block.climb(last, unigram, bound, each))
 
 
 def log_scores(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -347,16 +601,15 @@ def log_scores(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: st
     empty table gives an empty table.
     """
     rows = docs.selectExpr(f"cast(`{id_col}` as bigint) id", f"coalesce({train}, false) trains", f"cast(`{text_col}` as string) text")
-    training = rows.where("trains")
-    vocabulary = staged(_word_counts(training), "vocabulary")
-    by_kind = {r["kind"]: (r["n"], r["v"]) for r in vocabulary.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
+    blocks = staged(_blocks(rows), "blocks")
+    rounds = Rounds(blocks)
+    by_kind, common = _vocabulary(rounds.ask())
     all_tokens, distinct = sum(n for n, _ in by_kind.values()), sum(v for _, v in by_kind.values())
-    common = _common(vocabulary)
     shared = rows.sparkSession.sparkContext.broadcast((common.words, common.counts, common.kinds, common.symbols))
     _, end_symbols = common.look_up(END, np.array([FREQUENT]))
     end_symbol = int(end_symbols[0])
     grams = np.zeros(SYMBOLS ** (DEPTH + 1), np.int64)
-    table = _gram_counts(training, shared, end_symbol).toArrow()
+    table = _gram_counts(blocks, shared, end_symbol).toArrow()
     grams[table.column("gram").to_numpy()] = table.column("n").to_numpy()
     tree = rows.sparkSession.sparkContext.broadcast(SuffixTree(grams).log10)
 
@@ -373,82 +626,44 @@ def log_scores(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: st
     within = np.log10(n_class + v_class + room + (n_class + v_class + room == 0))  # of the denominators
     base = np.log10(all_tokens + distinct + 1)
 
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_words = Common(*shared.value)
-        for batch in batches:
-            words = batch.column(0).to_numpy(zero_copy_only=False).view(U64)
-            keys = _codes(words, known_words.look_up(words, np.zeros(len(words), np.int64))[0])
-            yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), batch.column(1)], names=["key", "n"])
-
-    words = staged(vocabulary.select("word", "n").mapInArrow(coded, "key bigint, n bigint"), "words")
-    words = words.withColumn("p", (F.col("n") + 1) / F.lit(float(all_tokens + distinct + 1)))
-    values = gram_values(training, words, shared, float(np.log(all_tokens + distinct + 1)))
-    spark = rows.sparkSession
-    marked = spark.sparkContext.broadcast(_filter(values.select("key")))
-    top = values.orderBy(F.desc("n"), "key").limit(VALUES).select("key", "value", "first").toArrow()
-    top = [top.column(c).to_numpy() for c in ("key", "value", "first")]
-    by_key = np.argsort(top[0].view(U64))
-    frequent = spark.sparkContext.broadcast((top[0].view(U64)[by_key], top[1][by_key], top[2][by_key] == 1))
-
-    def local(part, texts):
-        tokens, kind, bounds = _tokens(texts)
-        known_words = Common(*shared.value)
-        at, symbols = known_words.look_up(tokens, kind)
-        path = tree.value[_contexts(symbols, bounds, end_symbol), symbols] - within[symbols]
-        known = at >= 0
-        counts = np.log10(known_words.counts[at] + 1.0) if len(known_words.words) else np.zeros(len(at))
-        counts = np.where(known, counts, 0.0)
-        # what the class tree gives the token after each beyond its unigram; a kept context takes it back
-        after = np.roll(path + base, -1)
-        after[bounds[1:] - 1] = (path + base)[bounds[:-1]]
-        score = counts + path
-        grams, gains, first = frequent.value
-        asked: list[tuple] = []  # tokens and keys that are not at hand
-        start = _codes(END, known_words.look_up(END, np.array([FREQUENT]))[0])[0]
-        for m, (keys, _, exists) in enumerate(gram_keys(_codes(tokens, at), bounds, REACH + 1, start), 1):
-            use = exists & _has(marked.value, keys)
-            if m == 1:
-                asked.append((np.flatnonzero(~known), keys[~known]))
-                use &= known
-            use = np.flatnonzero(use)
-            found = np.minimum(np.searchsorted(grams, keys[use]), max(len(grams) - 1, 0))
-            hit = grams[found] == keys[use] if len(grams) else np.zeros(len(use), bool)
-            score[use[hit]] += gains[found[hit]] - np.where(first[found[hit]], after[use[hit]], 0.0)
-            asked.append((use[~hit], keys[use[~hit]]))
-        total = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: E731  every text has its end token
-        n = np.diff(bounds)
-        where, rare = (np.concatenate(x) for x in zip(*asked, strict=True))
-        text = np.searchsorted(bounds, where, "right") - 1
-        order = np.lexsort((rare, text))
-        where, rare, text = where[order], rare[order], text[order]
-        new = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (text[1:] != text[:-1])])) if len(rare) else np.zeros(0, np.int64)
-        cuts = np.searchsorted(text[new], np.arange(len(texts) + 1))
-        times = np.diff(np.append(new, len(rare))).astype(np.int32)
-        afters = np.add.reduceat(after[where], new) if len(new) else np.zeros(0)
-        return {
-            "id": part.column(0), "trains": part.column(1), "n_tokens": n, "n_known": total(known.astype(np.int64)),
-            "base_score": total(counts) - n * base, "score": total(score), "rare": lists(rare[new], cuts, pa.int64()),
-            "times": lists(times, cuts, pa.int32()), "afters": lists(afters, cuts, pa.float64()),
-        }
-
-    schema = (
-        "id bigint, trains boolean, n_tokens bigint, n_known bigint, base_score double, score double, "
-        "rare array<bigint>, times array<int>, afters array<double>"
-    )
-    scored = staged(map_texts(rows, "text", schema, local).withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times", "afters")).alias("x"))
-    rare = rare.select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"), F.col("x.afters").alias("afters"))
-    none = F.lit(0.0)
-    terms = words.where(~F.col("key").between(0, COMMON - 1)).select("key", F.lit(1).alias("known"), F.log10(F.col("n") + 1.0).alias("logs"), none.alias("value"), F.lit(0).alias("first"))
-    terms = terms.unionByName(values.select("key", F.lit(0).alias("known"), none.alias("logs"), "value", "first"))
-    times = F.col("times")
-    seen = rare.join(terms, "key").groupBy("row").agg(
-        F.sum(times * F.col("known")).alias("known"), F.sum(times * F.col("logs")).alias("logs"),
-        F.sum(times * F.col("value") - F.col("first") * F.col("afters")).alias("gains"),
-    )
-    out = scored.drop("rare", "times", "afters").join(seen, "row", "left")
-    logs, gains = F.coalesce("logs", none), F.coalesce("gains", none)
-    return out.select(
-        "id", "trains", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(all_tokens).cast("long").alias("train_tokens"), (F.col("base_score") + logs).alias("base_score"), (F.col("score") + logs + gains).alias("score"),
-    )
+    def unigram(n: np.ndarray) -> np.ndarray:
+        return (n + 1) / float(all_tokens + distinct + 1)
+
+    found = gram_values(rounds, unigram, float(np.log(all_tokens + distinct + 1)))
+    climb = found.climb
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _read(batches, Block):
+            bounds, n_words = block.bounds, block.word_counts()
+            symbols = Common(*shared.value).look_up(block.words, block.kinds)[1][block.at]
+            path = tree.value[_contexts(symbols, bounds, end_symbol), symbols] - within[symbols]
+            del symbols
+            total = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: E731  every text has its end token
+            score = np.log10(n_words + 1.0)[block.at]
+            base_score = total(score) - np.diff(bounds) * base
+            score += path
+            # what the class tree gives the token after each beyond its unigram; a kept context takes it back
+            path += base
+            after = np.roll(path, -1)
+            after[bounds[1:] - 1] = path[bounds[:-1]]
+            del path
+
+            def add(g: Grams, score=score, after=after) -> None:
+                if g.value is not None:
+                    score[g.at] += g.value[g.number]
+                if g.down is not None:
+                    score[g.at] += g.down[g.number]
+                    first = g.at[g.first[g.number]]
+                    score[first] -= after[first]
+
+            climb(block, add)
+            n = np.diff(bounds)
+            made = [
+                pa.array(block.ids, mask=block.null), pa.array(block.trains), pa.array(n), pa.array(total((n_words > 0).astype(np.int64)[block.at])),
+                pa.array(base_score), pa.array(total(score)),
+            ]
+            yield pa.RecordBatch.from_arrays(made, names=["id", "trains", "n_tokens", "n_known", "base_score", "score"])
+
+    schema = "id bigint, trains boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+    train_tokens = F.lit(all_tokens).cast("long").alias("train_tokens")
+    return found.answered.mapInArrow(scored, schema).select("id", "trains", "n_tokens", "n_known", train_tokens, "base_score", "score")

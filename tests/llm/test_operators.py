@@ -406,6 +406,45 @@ def test_suffix_tree_over_words_brute_force(spark, monkeypatch):
         assert scores[0][i]["score"] > scores[0][i]["base_score"] + 10
 
 
+def test_suffix_tree_disk_follows_the_texts(spark, monkeypatch):
+    """Nearly all word pairs occur once, and a third of the texts twice: grams must not lie on disk row by row."""
+    monkeypatch.setattr(suffix_lm, "VALUES", 20_000)  # fewer than the grams that occur twice
+    rng = np.random.default_rng(12)
+    lines = [" ".join(f"w{int(x):04d}" for x in rng.integers(0, 3000, 300)) for _ in range(600)]
+    lines += lines[:300]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string").coalesce(4)
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled() -> dict[str, int]:
+        files = disk.getAllFiles()
+        return {f.getName(): f.length() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_")}
+
+    before, kept, left = shuffled(), [], []
+    inside = suffix_lm.staged
+
+    def staged(df, name):
+        made = inside(df, name)
+        kept.append(sum(Path(f.removeprefix("file://")).stat().st_size for f in made.inputFiles()))
+        left.append(sum(n for name, n in shuffled().items() if name not in before))
+        return made
+
+    monkeypatch.setattr(suffix_lm, "staged", staged)
+    assert len(suffix_lm.log_scores(docs, "doc_id % 5 <> 0").collect()) == len(lines)
+    size = sum(map(len, lines))
+    assert sum(kept) < size and max(left) < size
+
+
+def test_suffix_tree_packed_columns_and_distinct_keys():
+    rng = np.random.default_rng(13)
+    columns = [np.zeros(0, np.uint64), np.zeros(5, np.int64), rng.integers(0, 1 << 20, 99), np.array([2**64 - 1, 0, 1 << 32], np.uint64), np.array([True, False])]
+    for got, want in zip(suffix_lm._unpacked(suffix_lm._packed(*columns)), columns, strict=True):
+        assert got.tolist() == [int(x) for x in want]
+    high = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    for keys in (high[rng.integers(0, 300, 2000)], rng.integers(0, 50, 2000).astype(np.uint64), high[:1], high[:0]):  # the second: equal high bits
+        found, one, number = suffix_lm._distinct(keys)
+        assert found.tolist() == sorted(set(keys.tolist())) and (keys[one] == found).all() and (found[number] == keys).all()
+
+
 def test_fingerprints(spark, sf_dir, texts):
     got = result(spark, sf_dir, "op10_fingerprints")
     ids = sorted(texts)
